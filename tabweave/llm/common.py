@@ -73,8 +73,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters and digits alone: any other ASCII byte parts them, and bytes of longer characters belong to words.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE[_SPACE] = 0
 _POW = np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64).cumprod(dtype=np.uint64)
 
 
@@ -101,10 +102,10 @@ class Words:
     data: lowered bytes; start, end: of each word; of: first word of each text, with the end; hash: 64 bits.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, parting: np.ndarray = _SPACE):
         raw, off = text_bytes(texts)
-        self.data = data = _LOWER[raw]
-        solid = np.concatenate([[False], ~_SPACE[data], [False]])
+        self.data, self.off = data, _ = _LOWER[raw], off
+        self.solid = solid = np.concatenate([[False], ~parting[data], [False]])
         if len(data):
             first = solid[1:-1] & ~solid[:-2]
             edge = off[:-1][off[:-1] < off[1:]]
@@ -120,7 +121,7 @@ class Words:
             s = self.start[0]
             lens = np.diff(np.append(self.start, len(data)))
             at = np.arange(s, len(data)) - np.repeat(self.start, lens)
-            value = _BYTE[data[s:]] * _powers(int(lens.max()) + 1)[at]
+            value = np.where(solid[s + 1 : -1], _BYTE[data[s:]], np.uint64(0)) * _powers(int(lens.max()) + 1)[at]
             self.hash = mix(np.add.reduceat(value, self.start - s))
         else:
             self.hash = np.zeros(0, np.uint64)

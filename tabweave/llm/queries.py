@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import lm
+from . import lm, simhash, toxicity
 
-QUERIES = {"op1_lm_score": lm.op1_lm_score}
+QUERIES = {"op1_lm_score": lm.op1_lm_score, "op4_simhash": simhash.op4_simhash, "op5_toxicity": toxicity.op5_toxicity}
 ORACLE_SQL: dict[str, str] = {}
