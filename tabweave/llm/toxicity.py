@@ -16,10 +16,10 @@ from .common import PUNCTUATED, Words, fold, mix, pieces
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
 SAMPLE = 1500
-FEATURE_BITS = 16
+FEATURE_BITS = 20
 BLOCK = 64
-#: A word's share of contexts in toxic documents against that in others, and its fewest contexts, to be taken for toxic.
-RATIO, CONTEXTS = 8.0, 12
+#: A word's share of contexts in toxic documents against that in others, its fewest contexts, and the share of toxic documents that have it, to be taken for toxic.
+RATIO, CONTEXTS, DOCUMENTS = 8.0, 12, 0.03
 
 
 def _features(words: Words) -> np.ndarray:
@@ -95,8 +95,8 @@ def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarra
     return p[real]
 
 
-def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: float = 1e-6) -> dict:
-    """Adam on the conditional log-likelihood. Transitions are learnt from expected pairs, taken as products of marginals."""
+def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, 2.0, 2.0)) -> dict:
+    """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature. Transitions are learnt from expected pairs, taken as products of marginals."""
     size = 3 << FEATURE_BITS
     w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
     m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
@@ -106,7 +106,7 @@ def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40
     for step in range(1, steps + 1):
         p = marginals(bias + w[feats].sum(0), trans, of)
         g = y - p
-        gw = sum(np.bincount(f, g, size) for f in feats) - l2 * len(y) * w
+        gw = sum(np.bincount(f, g, size) for f in feats) - np.repeat(l2, 1 << FEATURE_BITS) * w
         ab = [(1 - y[pairs - 1], y[pairs - 1]), (1 - p[pairs - 1], p[pairs - 1])]
         cd = [(1 - y[pairs], y[pairs]), (1 - p[pairs], p[pairs])]
         gt = np.array([[(ab[0][i] * cd[0][j]).sum() - (ab[1][i] * cd[1][j]).sum() for j in (0, 1)] for i in (0, 1)])
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     kinds, back = np.unique(words.hash, return_inverse=True)
     count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
     ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
-    bad = (ratio >= RATIO) & (count[1] >= CONTEXTS)
+    having = np.bincount(np.unique(np.stack([back, np.repeat(np.arange(len(n)), n)])[:, toxic], axis=1)[0], minlength=len(kinds))
+    bad = (ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum())
     token_y = (toxic & bad[back]).astype(float)
     model = _fit_field(feats, words.of, token_y)
     p = marginals(model["bias"] + model["w"][feats].sum(0), model["trans"], words.of)
