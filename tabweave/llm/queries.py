@@ -1,6 +1,14 @@
 """Queries of this subpackage, by name."""
 
-from . import lm, simhash, toxicity
+from . import decontaminate, lines, lm, packing, simhash, toxicity, urls
 
-QUERIES = {"op1_lm_score": lm.op1_lm_score, "op4_simhash": simhash.op4_simhash, "op5_toxicity": toxicity.op5_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
+    "op2_line_dedup": lines.op2_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_packing": packing.op6_packing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_urls": urls.op9_urls,
+}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}

@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, staged
+from .common import Words, mix, pieces, staged
 from .components import components
 
 SHINGLE = 4
 RADIUS = 4
 BALL = np.array([0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))], np.uint64)
-#: Variants in a bucket.
+#: Keys in a bucket.
 BUCKET = 1_500_000
 
 
@@ -67,42 +67,63 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _with_partner(fps: DataFrame) -> DataFrame:
-    """The fingerprints that agree with another on four of eight bytes."""
-    masks = [sum(0xFF << 8 * i for i in four) for four in combinations(range(8), 4)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "part"))
-    shared = keys.groupBy("mask", "part").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("mask", "part")
-    return keys.join(shared, ["mask", "part"], "left_semi").select("fp").distinct()
+#: Masks over four of eight bytes.
+AGREE = np.array([sum(0xFF << 8 * i for i in four) for four in combinations(range(8), 4)], np.uint64)
 
 
-def _emit_balls(bits: int):
+def _agreements(fp: np.ndarray) -> np.ndarray:
+    """A key for each choice of four bytes."""
+    return mix(mix(fp[:, None] & AGREE) + np.arange(len(AGREE), dtype=np.uint64))
+
+
+def _ball(fp: np.ndarray) -> np.ndarray:
+    return fp[:, None] ^ BALL
+
+
+def _spread(keys, each: int, bits: int):
+    """Every fingerprint with each of its keys, packed by the leading bits of the key."""
+
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                fp = batch.column("fp").slice(at, 512).to_numpy().view(np.uint64)
-                around = (fp[:, None] ^ BALL).ravel()
-                order = np.argsort(around)
-                around, centre = around[order], fp[order // len(BALL)]
-                bucket = (around >> np.uint64(64 - bits)).astype(np.int64)
+            for at in range(0, batch.num_rows, (1 << 20) // each):
+                fp = batch.column("fp").slice(at, (1 << 20) // each).to_numpy().view(np.uint64)
+                key = keys(fp).ravel()
+                order = np.argsort(key)
+                key, of = key[order], fp[order // each]
+                bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 spans = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True) if b > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([np.concatenate([around[a:b], centre[a:b]]).tobytes() for a, b in spans], pa.binary())], ["bucket", "payload"]
+                    [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([np.concatenate([key[a:b], of[a:b]]).tobytes() for a, b in spans], pa.binary())], ["bucket", "payload"]
                 )
 
     return run
 
 
+def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint that met another at a key, with the smallest there; the smallest itself is left out."""
+    parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("payload").to_pylist()]
+    key, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    least = np.repeat(fp[first], np.diff(np.append(first, len(key))))
+    return fp[fp != least], least[fp != least]
+
+
+def _partnered(table: pa.Table) -> pa.Table:
+    return pa.table({"fp": pa.array(np.unique(np.concatenate(_by_key(table))).view(np.int64))})
+
+
+def _dealt(fps: DataFrame, n: int, keys, each: int) -> DataFrame:
+    """The n fingerprints spread by key, and grouped into buckets of about BUCKET keys."""
+    bits = max(4, (n * each // BUCKET).bit_length())
+    return fps.repartition(n * each // (4 * BUCKET) + 1).mapInArrow(_spread(keys, each, bits), "bucket int, payload binary").groupBy("bucket")
+
+
 def _meet(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("payload").to_pylist()]
-        at, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((fp, at))
-        at, fp = at[order], fp[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        least = np.repeat(fp[first], np.diff(np.append(first, len(at))))
-        pair = np.unique(np.stack([fp, least])[:, fp != least], axis=1)
+        pair = np.unique(np.stack(_by_key(table)), axis=1)
         pair = pair[:, np.bitwise_count(pair[0] ^ pair[1]) <= radius]
         root: dict[int, int] = {}
 
@@ -125,11 +146,9 @@ def _meet(radius: int):
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (fp) which differ in at most four bits, directly or by way of others."""
-    fps = staged(_with_partner(fps), "partnered")
-    n = fps.count() * len(BALL)
-    bits = max(4, (n // BUCKET).bit_length())
-    balls = fps.repartition(max(1, n // (4 * BUCKET) + 1)).mapInArrow(_emit_balls(bits), "bucket int, payload binary")
-    return balls.groupBy("bucket").applyInArrow(_meet(RADIUS), "a long, b long").distinct()
+    fps = staged(fps.distinct(), "distinct")
+    some = staged(_dealt(fps, fps.count(), _agreements, len(AGREE)).applyInArrow(_partnered, "fp long").distinct(), "partnered")
+    return _dealt(some, some.count(), _ball, len(BALL)).applyInArrow(_meet(RADIUS), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
