@@ -32,11 +32,14 @@ def _seeds(words: Column, hashes: Column) -> Column:
 
 
 def _seeded(rows: DataFrame, *keep: str) -> DataFrame:
-    """The rows with words, and one row per seed: its hash and position."""
+    """The rows with words, and one row per seed: its hash and position; a row without seeds gives one with nulls.
+
+    The explode is an outer one, as Spark tests the array of an inner one for emptiness first, which computes it again.
+    """
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     rows = rows.select(*keep, "words", _seeds(F.col("words"), F.col("hashes")).alias("seeds"))
     n = F.size("words") - (SPAN - 1)
-    return rows.select(*keep, "words", F.posexplode("seeds").alias("k", "seed")).withColumn("at", F.expr("k") % n).drop("k")
+    return rows.select(*keep, "words", F.posexplode_outer("seeds").alias("k", "seed")).withColumn("at", F.expr("k") % n).drop("k")
 
 
 def _same_window(doc: Column, item: Column, at: Column, item_at: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+# Explodes are outer ones, as Spark tests the array of an inner one for emptiness first, which computes it again.
+
 MIN_WORDS = 8
 
 
@@ -22,7 +24,7 @@ def _words(line: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(doc_id, pos, line, h, g): the lines that aren't blank; h and g: two hashes."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     return rows.where(F.trim("line") != "").withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
@@ -67,12 +69,12 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     again = lines.select("h", "g", place.alias("place")).join(first, ["h", "g"]).where("place != first").select("place.*")
 
     long = lines.where(F.size(_words(F.col("line"))) >= min_words)
-    keys = long.select("h", F.explode(_halves(_words(F.col("line")))).alias("key"))
+    keys = long.select("h", F.explode_outer(_halves(_words(F.col("line")))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("key")
     likely = keys.join(shared, "key", "left_semi").select("h").distinct()
     some = staged(long.join(likely, "h").groupBy("h", "g").agg(F.min(place).alias("place"), F.first("line").alias("line")).select("place", _words(F.col("line")).alias("words")), "lines")
 
-    variants = some.select("place", F.explode(_variants(F.col("words"))).alias("x")).select("place", "x.*")
+    variants = some.select("place", F.explode_outer(_variants(F.col("words"))).alias("x")).select("place", "x.*")
     met = variants.groupBy("v").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("v")
     variants = staged(variants.join(met, "v", "left_semi"), "variants")
     best = variants.groupBy("v", "at").agg(F.min("place").alias("other"))
