@@ -83,7 +83,7 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def _seed_sql(table: str, key: str) -> str:
-    parts = (f"SELECT {key}, w, p AS at, {k} AS mask, [{', '.join(f'w[p + {j + 1}]' for j in m)}] AS seed FROM {table}, unnest(range(len(w) - {SPAN - 1})) AS t(p)" for k, m in enumerate(MASKS))
+    parts = (f"SELECT {key}, w, p AS sp, {k} AS mask, [{', '.join(f'w[p + {j + 1}]' for j in m)}] AS seed FROM {table}, unnest(range(len(w) - {SPAN - 1})) AS t(p)" for k, m in enumerate(MASKS))
     return " UNION ALL ".join(parts)
 
 
@@ -92,12 +92,12 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS ({_seed_sql('d', 'doc_id')}), bs AS ({_seed_sql('b', 'item_id')}),
 hits AS (
-  SELECT ds.doc_id, bs.item_id, ds.at, ds.w AS dw, bs.w AS bw, ds.at - bs.at AS shift, bs.at AS bat, least({WINDOW}, len(bs.w)) AS size
+  SELECT ds.doc_id, bs.item_id, ds.sp, ds.w AS dw, bs.w AS bw, ds.sp - bs.sp AS shift, bs.sp AS bat, least({WINDOW}, len(bs.w)) AS size
   FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
 ), good AS (
-  SELECT doc_id, item_id, at FROM hits
+  SELECT doc_id, item_id, sp FROM hits
   WHERE len(list_filter(range(greatest(bat + {SPAN} - size, 0), least(bat, len(bw) - size) + 1),
         lambda s: len(list_filter(range(size), lambda j: s + j + shift >= 0 AND dw[greatest(s + j + shift, 0) + 1] = bw[s + j + 1])) >= size - {WINDOW - SAME})) > 0
 )
-SELECT doc_id, item_id, count(*) AS n_hits, min(at)::BIGINT AS first_word, max(at)::BIGINT AS last_word FROM good GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(*) AS n_hits, min(sp)::BIGINT AS first_word, max(sp)::BIGINT AS last_word FROM good GROUP BY doc_id, item_id
 """

@@ -120,14 +120,14 @@ WITH lines AS (
 ), firsts AS (
   SELECT line, any_value(w) AS w, min(place) AS place FROM solid GROUP BY line
 ), variants AS (
-  SELECT place, 0 AS at, line AS v FROM firsts WHERE len(w) >= {MIN_WORDS}
+  SELECT place, 0 AS d, line AS v FROM firsts WHERE len(w) >= {MIN_WORDS}
   UNION ALL
   SELECT place, unnest(range(1, len(w) + 1)),
          unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(list_concat(w[1:i-1], w[i+1:]), ' ')))
   FROM firsts WHERE len(w) >= {MIN_WORDS}
 ), near AS (
   SELECT DISTINCT a.place FROM variants a JOIN variants b ON a.v = b.v
-  WHERE b.place < a.place AND (a.at = b.at OR a.at = 0 OR b.at = 0)
+  WHERE b.place < a.place AND (a.d = b.d OR a.d = 0 OR b.d = 0)
 ), gone AS (
   SELECT DISTINCT s.place FROM solid s JOIN firsts f ON s.line = f.line
   WHERE s.place > f.place OR f.place IN (SELECT place FROM near)

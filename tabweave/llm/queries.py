@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import decontaminate, lines, lm, packing, simhash, toxicity, urls
+from . import decontaminate, lines, lm, packing, simhash, sketches, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_urls": urls.op9_urls,
+    "op10_fingerprints": sketches.op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
