@@ -118,7 +118,7 @@ def _partnered(table: pa.Table) -> pa.Table:
 def _dealt(fps: DataFrame, n: int, keys, each: int) -> DataFrame:
     """The n fingerprints spread by key, and grouped into buckets of about BUCKET keys."""
     bits = max(4, (n * each // BUCKET).bit_length())
-    return fps.repartition(n * each // (4 * BUCKET) + 1).mapInArrow(_spread(keys, each, bits), "bucket int, payload binary").groupBy("bucket")
+    return fps.repartition(n * each // BUCKET + 2).mapInArrow(_spread(keys, each, bits), "bucket int, payload binary").groupBy("bucket")
 
 
 def _meet(radius: int):
