@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import decontaminate, lines, lm, packing, simhash, sketches, toxicity, urls
+from . import decontaminate, lines, lm, packing, simhash, sketches, substrings, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_suffix_dedup": substrings.op8_suffix_dedup,
     "op9_urls": urls.op9_urls,
     "op10_fingerprints": sketches.op10_fingerprints,
 }
