@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import decontaminate, lines, lm, packing, simhash, sketches, substrings, toxicity, urls
+from . import chat, decontaminate, lines, lm, packing, simhash, sketches, substrings, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_chat": chat.op3_chat,
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
