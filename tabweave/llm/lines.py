@@ -2,7 +2,7 @@
 
 A line goes if an earlier place (doc_id, line number) holds an equal line, or, for lines of at least MIN_WORDS words,
 one at an edit distance of one word: a word put in, left out or exchanged. Such lines meet at a variant: the line itself
-or the line without one word. To keep variants few, a first pass hashes the halves of every line, since lines one word
+or the line without one word, hashed (first coarsely, by sums over adjacent words; where these meet, exactly). To keep variants few, a first pass hashes the halves of every line, since lines one word
 apart share their first or last half; only lines that share a half with a different line emit their variants. Lines that
 meet in a variant at the same deleted position are one exchange apart from each other, so each is checked against the
 earliest of them alone; so it is for a line and those that lack one of its words. No pairs of a group are formed.
@@ -39,12 +39,22 @@ def _halves(words: Column) -> Column:
     return F.array(*of(n), *of(n - 1))
 
 
-def _variants(words: Column) -> Column:
-    """(at, v): the hash of the line (at 0), and of the line without its word `at`."""
-    n = F.size(words)
-    whole = F.struct(F.lit(0).alias("at"), F.xxhash64(words).alias("v"))
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n))).alias("v")))
-    return F.concat(F.array(whole), less)
+def _pair(a: Column, b: Column) -> Column:
+    """44 bits, so that sums stay in range."""
+    return F.shiftright(F.xxhash64(a, b), 20)
+
+
+def _coarse(lines: DataFrame) -> DataFrame:
+    """(place, at, key): for a line (at 0) and for the line without its word `at`, the sum of the hashes of adjacent words.
+
+    A sum follows from the whole line's by the pairs that a word takes part in, so all variants take time in proportion to the line.
+    """
+    word = lambda i: F.get("words", i)  # noqa: E731  null before the first and after the last
+    last = F.size("words")
+    pairs = lines.withColumn("pairs", F.transform(F.sequence(F.lit(0), last), lambda i: _pair(F.when(i > 0, word(i - 1)), word(i))))
+    sums = pairs.withColumn("sum", F.aggregate("pairs", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    less = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.col("sum") - F.get("pairs", i) - F.get("pairs", i + 1) + _pair(F.when(i > 0, word(i - 1)), word(i + 1)))
+    return sums.select("place", F.posexplode_outer(F.concat(F.array("sum"), less)).alias("at", "key"))
 
 
 def _one_word_apart(a: Column, b: Column) -> Column:
@@ -61,22 +71,26 @@ def _one_word_apart(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, pos) of every line that goes; pos counts lines from 0. Blank lines stay, and rows without an id take no part.
 
-    An earlier line counts even if it goes itself. Rows that repeat an id share their places: none is earlier than the other.
+    An earlier line counts even if it goes itself. Rows that repeat an id share their places: none is earlier than the
+    other, and what goes at a place goes in all of them.
     """
-    lines = _lines(docs, text, id_col)
     place = F.struct("doc_id", "pos")
-    first = lines.groupBy("h", "g").agg(F.min(place).alias("first"))
-    again = lines.select("h", "g", place.alias("place")).join(first, ["h", "g"]).where("place != first").select("place.*")
+    lines = _lines(docs, text, id_col)
+    words = F.when(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1, _words(F.col("line")))
+    hashed = staged(lines.withColumn("words", words).select("doc_id", "pos", "h", "g", F.when(F.col("words").isNotNull(), _halves(F.col("words"))).alias("keys")), "lines")
+    first = hashed.groupBy("h", "g").agg(F.min(place).alias("first"))
+    again = hashed.select("h", "g", place.alias("place")).join(first, ["h", "g"]).where("place != first").select("place.*")
 
-    long = lines.where(F.size(_words(F.col("line"))) >= min_words)
-    keys = long.select("h", F.explode_outer(_halves(_words(F.col("line")))).alias("key"))
+    keys = hashed.where("keys IS NOT NULL").select("h", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("key")
-    likely = keys.join(shared, "key", "left_semi").select("h").distinct()
-    some = staged(long.join(likely, "h").groupBy("h", "g").agg(F.min(place).alias("place"), F.first("line").alias("line")).select("place", _words(F.col("line")).alias("words")), "lines")
-
-    variants = some.select("place", F.explode_outer(_variants(F.col("words"))).alias("x")).select("place", "x.*")
-    met = variants.groupBy("v").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("v")
-    variants = staged(variants.join(met, "v", "left_semi"), "variants")
+    likely = keys.join(shared, "key", "left_semi").select("h").distinct().join(first.select("h", "first.*"), "h").select("doc_id", "pos")
+    some = lines.join(likely, ["doc_id", "pos"]).select(place.alias("place"), _words(F.col("line")).alias("words")).distinct()
+    some = staged(some, "likely")
+
+    coarse = _coarse(some)
+    met = coarse.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("key")
+    less = F.when(F.col("at") == 0, F.col("words")).otherwise(F.concat(F.slice("words", F.lit(1), F.col("at") - 1), F.slice("words", F.col("at") + 1, F.size("words"))))
+    variants = staged(coarse.join(met, "key", "left_semi").join(some, "place").select("place", "at", F.xxhash64(less).alias("v")), "variants")
     best = variants.groupBy("v", "at").agg(F.min("place").alias("other"))
     same = variants.where("at > 0").join(best, ["v", "at"])
     whole = variants.where("at = 0").join(best.where("at > 0").groupBy("v").agg(F.min("other").alias("other")), "v")
