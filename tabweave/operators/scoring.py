@@ -85,7 +85,9 @@ def term_frequency(tables: DataFrame, translatable: list[str] = C.TRANSLATABLE,
     several = [F.when(low.contains(t), t) for t in sorted(untranslatable) if " " in t] or [F.lit(None).cast("string")]
     label = F.when(word.isin(translatable), "translatable").when(word.isin(untranslatable) | hit.isNotNull(), "untranslatable").when(~word.isin(T.TRACKING_STOP_WORDS), "unknown")
     term = F.when(word.isin(translatable) | word.isin(untranslatable), word).otherwise(F.coalesce(hit, word))
-    rows = _text_cells(tables).select(F.coalesce(*several).alias("hit"), F.explode_outer(T.words(F.col("cell"))).alias("word"))  # the cell's term once, not for each word
+    cells = _text_cells(tables).withColumn("words", T.words(F.col("cell")))
+    both = F.arrays_zip("words", F.array_repeat(F.coalesce(*several), F.size("words")).alias("hits"))  # the cell's term is looked for once, not for each word
+    rows = cells.select(F.explode_outer(both).alias("x")).select(F.col("x.words").alias("word"), F.col("x.hits").alias("hit"))
     return rows.where("word IS NOT NULL").select(label.alias("label"), term.alias("term")).where("label IS NOT NULL").groupBy("label", "term").agg(F.count("*").alias("occurrences"))
 
 
