@@ -55,19 +55,25 @@ def _same_window(doc: Column, item: Column, at: Column, item_at: Column) -> Colu
     return F.exists(F.sequence(first, last), matches)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, n_hits, first_word, last_word): texts that hold a passage of an item, and where its hits begin.
 
     Items under SPAN words are too short to be evidence, and null texts hold nothing. Equal items are each reported;
-    rows that repeat an id are reported as one.
+    rows that repeat an id are reported as one; rows with a null id are reported under it while the benchmark is small.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words"))
-    items = _seeded(items, "item_id").select("item_id", F.col("words").alias("item"), "seed", F.col("at").alias("item_at"))
-    if items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        items = F.broadcast(items)
-    seeded = _seeded(docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("words")), "doc_id")
-    hits = seeded.join(items, "seed").where(_same_window(F.col("words"), F.col("item"), F.col("at"), F.col("item_at"))).select("doc_id", "item_id", "at")
-    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("words"))
+    known = _seeded(items, "item_id").select("item_id", F.col("words").alias("item"), "seed", F.col("at").alias("item_at")).where("seed IS NOT NULL")
+    seeded = _seeded(texts, "doc_id")
+    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
+        hits = seeded.join(F.broadcast(known), "seed")
+    else:  # words follow the hits alone
+        hits = seeded.drop("words").join(known.drop("item"), "seed").join(texts, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    # Windows are compared within the aggregate: as a condition of the join they would keep it, and the explode before it,
+    # from running as one compiled loop, and every seed of a text would be copied with all of the text's words.
+    at = F.when(_same_window(F.col("words"), F.col("item"), F.col("at"), F.col("item_at")), F.col("at"))
+    found = hits.groupBy("doc_id", "item_id").agg(F.count(at).alias("n_hits"), F.min(at).cast("long").alias("first_word"), F.max(at).cast("long").alias("last_word"))
+    return found.where("n_hits > 0")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
