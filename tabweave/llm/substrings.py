@@ -95,6 +95,7 @@ class Runs:
         keys, count = np.unique(mix(gram[chosen] + mix(text(chosen))), return_counts=True)
         at = np.searchsorted(keys, mix(self.bucket + mix(text(self.first))))
         self.many = count[np.minimum(at, len(count) - 1)] > 1 if len(count) else np.zeros(len(self.first), bool)
+        self.bucket = mix(self.bucket)  # least hashes are small ones; their mixed values spread evenly over the shards
 
     @property
     def whole(self) -> np.ndarray:
