@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import PUNCTUATED, Words, fold, mix, pieces
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
-SAMPLE = 1500
+SAMPLE = 1200
 FEATURE_BITS = 20
 BLOCK = 64
 #: A word's share of contexts in toxic documents against that in others, its fewest contexts, and the share of toxic documents that have it, to be taken for toxic.
@@ -97,24 +97,31 @@ def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarra
 
 def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, 2.0, 2.0)) -> dict:
     """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature. Transitions are learnt from expected pairs, taken as products of marginals."""
-    size = 3 << FEATURE_BITS
+    used, feats = np.unique(feats, return_inverse=True)  # weights of the features that occur, so memory follows the sample
+    feats = feats.reshape(3, -1).astype(np.int32)
+    size, penalty = len(used), np.asarray(l2)[used >> FEATURE_BITS]
     w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
     m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
     inner = np.ones(len(y), bool)
     inner[of[:-1][of[:-1] < of[1:]]] = False
     pairs = np.flatnonzero(inner)
     for step in range(1, steps + 1):
-        p = marginals(bias + w[feats].sum(0), trans, of)
+        p = marginals(bias + sum(w[f] for f in feats), trans, of)
         g = y - p
-        gw = sum(np.bincount(f, g, size) for f in feats) - np.repeat(l2, 1 << FEATURE_BITS) * w
-        ab = [(1 - y[pairs - 1], y[pairs - 1]), (1 - p[pairs - 1], p[pairs - 1])]
-        cd = [(1 - y[pairs], y[pairs]), (1 - p[pairs], p[pairs])]
-        gt = np.array([[(ab[0][i] * cd[0][j]).sum() - (ab[1][i] * cd[1][j]).sum() for j in (0, 1)] for i in (0, 1)])
+        gw = sum(np.bincount(f, g, size) for f in feats) - penalty * w
+        gt = np.array([[(_state(y, pairs - 1, i) * _state(y, pairs, j)).sum() - (_state(p, pairs - 1, i) * _state(p, pairs, j)).sum() for j in (0, 1)] for i in (0, 1)])
         grad = np.concatenate([gw, [g.sum()], gt.ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, bias, trans = w + move[:size], bias + move[size], trans + move[size + 1 :].reshape(2, 2)
-    return {"w": w.astype(np.float32), "bias": float(bias), "trans": trans}
+    full = np.zeros(3 << FEATURE_BITS, np.float32)
+    full[used] = w
+    return {"w": full, "bias": float(bias), "trans": trans}
+
+
+def _state(p: np.ndarray, at: np.ndarray, state: int) -> np.ndarray:
+    """Probability of a state at some tokens, from that of state 1 at all."""
+    return p[at] if state else 1 - p[at]
 
 
 def _document_features(p: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -168,13 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     bad = (ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum())
     token_y = (toxic & bad[back]).astype(float)
     model = _fit_field(feats, words.of, token_y)
-    p = marginals(model["bias"] + model["w"][feats].sum(0), model["trans"], words.of)
+    p = marginals(model["bias"] + sum(model["w"][f] for f in feats), model["trans"], words.of)
     return model | {"beta": _fit_curve(_document_features(p, words.of), y)}
 
 
 def _apply(model: dict, texts: pa.Array):
     words = Words(texts, PUNCTUATED)
-    p = marginals(model["bias"] + model["w"][_features(words)].sum(0).astype(float), model["trans"], words.of)
+    p = marginals(model["bias"] + sum(model["w"][f] for f in _features(words)).astype(float), model["trans"], words.of)
     score = 1 / (1 + np.exp(-np.clip(_document_features(p, words.of) @ model["beta"], -30, 30)))
     return words, p, score
 
