@@ -25,12 +25,15 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(3))
 
 
+def _third(cells: Column) -> Column:
+    return F.floor(cells / 3).cast("int")
+
+
 def _tagged(found: Column, cells: Column) -> Column:
-    """Each digest (with its count) with its check and its three cells."""
-    third = F.floor(cells / 3).cast("bigint")
+    """Each digest (with its count) with its check and its cell within each third."""
 
     def places(d: Column) -> list[Column]:
-        return [(F.pmod(F.xxhash64(d, F.lit(k), cells), third) + third * k).alias(f"p{k}") for k in range(3)]
+        return [F.pmod(F.xxhash64(d, F.lit(k), cells), _third(cells)).cast("int").alias(f"p{k}") for k in range(3)]
 
     return F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"), _check(x["key"]).alias("chk"), *places(x["key"])))
 
@@ -39,24 +42,32 @@ def _add(cell: Column, x: Column, sign: int) -> Column:
     return F.struct((cell["n"] + x["n"] * sign).alias("n"), cell["key"].bitwiseXOR(x["key"]).alias("key"), cell["chk"].bitwiseXOR(x["chk"]).alias("chk"))
 
 
-def _put(cells: Column, tagged: Column, sign: int) -> Column:
+def _put(cells_now: Column, tagged: Column, cells: Column, sign: int) -> Column:
     """The cells with the tagged digests added to, or taken from, their places."""
 
-    def one(cell: Column, at: Column) -> Column:
-        here = F.filter(tagged, lambda x: (x["p0"] == at) | (x["p1"] == at) | (x["p2"] == at))
-        return F.aggregate(here, cell, lambda c, x: _add(c, x, sign))
+    def part(k: int) -> Column:
+        def one(cell: Column, at: Column) -> Column:
+            return F.aggregate(F.filter(tagged, lambda x: x[f"p{k}"] == at), cell, lambda c, x: _add(c, x, sign))
 
-    return F.transform(cells, one)
+        return F.transform(F.slice(cells_now, _third(cells) * k + 1, _third(cells)), one)
+
+    return F.concat(part(0), part(1), part(2))
 
 
 def _empty(cells: Column) -> Column:
     zero = F.lit(0).cast("bigint")
-    return F.transform(F.sequence(F.lit(1).cast("bigint"), cells), lambda i: F.struct((i * 0).alias("n"), zero.alias("key"), zero.alias("chk")))
+    return F.transform(F.sequence(F.lit(1).cast("bigint"), _third(cells) * 3), lambda i: F.struct((i * 0).alias("n"), zero.alias("key"), zero.alias("chk")))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def sketch(found: Column, cells: Column) -> Column:
-    """The cells of an array of distinct digests."""
-    return _put(_empty(cells), _tagged(F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key"))), cells), 1)
+    """The cells, a multiple of three, of an array of distinct digests."""
+    tagged = _tagged(F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key"))), cells)
+    return _once(tagged, lambda t: _put(_empty(cells), t, cells, 1))
 
 
 def fingerprint(cells: Column) -> Column:
@@ -67,45 +78,44 @@ def fingerprint(cells: Column) -> Column:
 def peel(a: Column, b: Column, cells: Column) -> Column:
     """The digests (n: 1 of a, -1 of b) that two sketches of so many cells differ in; null where peeling gets stuck."""
     left = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["chk"].bitwiseXOR(y["chk"]).alias("chk")))
-    start = F.struct(left.alias("cells"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("got"))
+    start = F.struct(left.alias("cells"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("got"), F.lit(True).alias("more"))
 
     def pure(cells_left: Column) -> Column:
         return F.array_distinct(F.transform(F.filter(cells_left, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
 
     def step(state: Column, _: Column) -> Column:
-        taken = F.array(state["cells"])
-
-        def take(cells_left: Column) -> Column:  # a one-element array names the pure cells, so that they are found once
-            return F.transform(F.array(pure(cells_left)), lambda p: F.struct(F.when(F.size(p) == 0, cells_left).otherwise(_put(cells_left, _tagged(p, cells), -1)).alias("cells"), F.concat(state["got"], p).alias("got")))[0]
+        def take(p: Column) -> Column:
+            rest = F.when(F.size(p) == 0, state["cells"]).otherwise(_once(_tagged(p, cells), lambda t: _put(state["cells"], t, cells, -1)))
+            return F.struct(rest.alias("cells"), F.concat(state["got"], p).alias("got"), (F.size(p) > 0).alias("more"))
 
-        return F.transform(taken, take)[0]
+        return F.when(state["more"], _once(pure(state["cells"]), take)).otherwise(state)
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.transform(F.array(end), lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), e["got"]))[0]
+    return _once(end, lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), e["got"]))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Digests that two arrays of distinct digests differ in, by sketches of CELLS, then four times as many, then sized by the counts.
+def difference(a: Column, b: Column, small_a: Column | None = None, small_b: Column | None = None) -> Column:
+    """Digests that two arrays of distinct digests differ in, by sketches of CELLS (given, if they are there), then larger ones.
 
-    null only if even the last is stuck, which takes digests that share all three of their cells.
+    The next have four times the cells where the sets are large enough for that to be a saving, then sizes follow from the
+    counts. null only if even the last is stuck, which takes digests that share all three of their cells.
     """
+    base = F.lit(CELLS).cast("bigint")
+    total = (F.size(a) + F.size(b)).cast("bigint")
+    least = F.abs(F.size(a) - F.size(b))  # as many differ at least, so a sketch of fewer cells would surely fail
 
     def of(cells: Column) -> Column:
-        return F.transform(F.array(cells), lambda m: peel(sketch(a, m), sketch(b, m), m))[0]
+        return _once(cells, lambda m: peel(sketch(a, m), sketch(b, m), m))
 
-    total = (F.size(a) + F.size(b)).cast("bigint")
-    sizes = [F.lit(CELLS).cast("bigint"), F.lit(4 * CELLS).cast("bigint"), total * 2 + CELLS, total * 4 + 8 * CELLS]
-    # A size whose cells are too few for digests that surely differ is passed over: the counts alone show it would fail.
-    least = F.abs(F.size(a) - F.size(b))
-    tries = [F.when(least < m, of(m)) for m in sizes[:2]] + [of(m) for m in sizes[2:]]
-    return F.coalesce(*tries)
+    first = peel(small_a if small_a is not None else sketch(a, base), small_b if small_b is not None else sketch(b, base), base)
+    return F.coalesce(F.when(least <= CELLS, first), F.when((least <= 4 * CELLS) & (total > 4 * CELLS), of(base * 4)), of(total + F.floor(total / 2) + CELLS), of(total * 4 + 8 * CELLS))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, small_a: Column | None = None, small_b: Column | None = None) -> Column:
     """1 less the share of paragraphs that differ; 1 for two empty sets."""
     total = F.size(a) + F.size(b)
-    same = F.when(total == 0, F.lit(1.0))
-    return same.otherwise(F.lit(1.0) - F.coalesce(F.size(difference(a, b)), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))) / total)
+    differ = F.coalesce(F.size(difference(a, b, small_a, small_b)), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(1.0) - differ / total)
 
 
 def _followers(keyed: DataFrame) -> DataFrame:
@@ -134,14 +144,16 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     the texts' hashes decide. A null id comes last. A single document is its own next.
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
+    key = ["id", "no_id", "h"]  # plain columns, so that both joins and the window share one partitioning of the texts
     keyed = docs.select(F.col(id_col).alias("doc_id"), text_col.alias("text"), F.xxhash64(text_col).alias("h"))
+    parts = lambda c: [F.coalesce(c, F.lit(0).cast(docs.schema[id_col].dataType)), c.isNull()]
     follows = _followers(keyed)
-    same = keyed["doc_id"].eqNullSafe(follows["doc_id"]) & (keyed["h"] == follows["h"])
-    rows = keyed.join(follows, same).select(keyed["doc_id"], keyed["h"], "text", "for_doc", "for_h", "for_n")
-    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))).where("copy = 1")
-    lent = once.select("for_doc", "for_h", F.substr("text", F.lit(1), F.floor(F.col("for_n") / 2).cast("int")).alias("lent"), digests(F.col("text")).alias("next_digests"))
-    base = rows.select("doc_id", "h", "text")
-    joined = base.join(lent, base["doc_id"].eqNullSafe(lent["for_doc"]) & (base["h"] == lent["for_h"]))
+    follows = follows.select(*(c.alias(n) for c, n in zip(parts(F.col("doc_id")), key, strict=False)), "h", *(c.alias(f"for_{n}") for c, n in zip(parts(F.col("for_doc")), key, strict=False)), "for_h", "for_n")
+    texts = keyed.select("doc_id", *(c.alias(n) for c, n in zip(parts(F.col("doc_id")), key, strict=False)), "h", "text")
+    rows = texts.join(follows, key)
+    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("for_h"))).where("copy = 1")
+    lent = once.select(*(F.col(f"for_{n}").alias(n) for n in key), F.substr("text", F.lit(1), F.floor(F.col("for_n") / 2).cast("int")).alias("lent"), digests(F.col("text")).alias("next_digests"))
+    joined = rows.select("doc_id", *key, "text").join(lent, key)
     n = F.length("text")
     return joined.select("doc_id", "text", F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "lent").alias("edited"), "next_digests")
 
@@ -151,8 +163,9 @@ def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     cells = F.lit(CELLS).cast("bigint")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), F.col("next_digests").alias("c"))
+    rows = rows.withColumns({f"small_{x}": sketch(F.col(x), cells) for x in "abc"})
+    a, b, c = ((F.col(x), F.col(f"small_{x}")) for x in "abc")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(sketch(F.col("a"), cells)).alias("fingerprint"), fingerprint(sketch(F.col("b"), cells)).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(a[1]).alias("fingerprint"), fingerprint(b[1]).alias("edited_fingerprint"),
+        likeness(a[0], b[0], a[1], b[1]).alias("near_edited"), likeness(a[0], c[0], a[1], c[1]).alias("near_next"),
     )
