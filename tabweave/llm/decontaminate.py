@@ -61,17 +61,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
     Items under SPAN words are too short to be evidence, and null texts hold nothing. Equal items are each reported;
     rows that repeat an id are reported as one; rows with a null id are reported under it while the benchmark is small.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "words"))
     texts = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("words"))
-    known = _seeded(items, "item_id").select("item_id", F.col("words").alias("item"), "seed", F.col("at").alias("item_at")).where("seed IS NOT NULL")
+    known = _seeded(items, "item").select("item", "seed", F.col("at").alias("item_at"))
+    items = items.select("item", "item_id", F.col("words").alias("item_words"))
     seeded = _seeded(texts, "doc_id")
-    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = seeded.join(F.broadcast(known), "seed")
+    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:  # which bounds the items' words too
+        hits = seeded.join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
     else:  # words follow the hits alone
-        hits = seeded.drop("words").join(known.drop("item"), "seed").join(texts, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+        hits = seeded.drop("words").join(known, "seed").join(texts, "doc_id").join(items, "item")
     # Windows are compared within the aggregate: as a condition of the join they would keep it, and the explode before it,
     # from running as one compiled loop, and every seed of a text would be copied with all of the text's words.
-    at = F.when(_same_window(F.col("words"), F.col("item"), F.col("at"), F.col("item_at")), F.col("at"))
+    at = F.when(_same_window(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at")), F.col("at"))
     found = hits.groupBy("doc_id", "item_id").agg(F.count(at).alias("n_hits"), F.min(at).cast("long").alias("first_word"), F.max(at).cast("long").alias("last_word"))
     return found.where("n_hits > 0")
 
