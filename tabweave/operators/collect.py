@@ -22,6 +22,33 @@ def distinct_content(tables: DataFrame) -> DataFrame:
     return tables.groupBy("source", C.content_hash(F.col("data")).alias("hash")).agg(F.min("table_id").alias("kept"), F.count("*").alias("copies")).withColumn("table_id", F.concat_ws("_", "source", "hash"))
 
 
+def located(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """Every kept file name with the first path that it is found at, null if none."""
+    first = files.groupBy("file_name").agg(F.min("path").alias("path"))
+    return kept.select("file_name").join(first, "file_name", "left")
+
+
+def counters(gated: DataFrame) -> DataFrame:
+    """By source: tables seen, let in, and turned away for size or for nulls."""
+    small = (C.dimension(F.col("data")) < 3) | (C.dimension(F.col("columns")) < 3)
+    return gated.groupBy("source").agg(F.count("*").alias("seen"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted") & small).alias("too_small"), F.count_if(~F.col("accepted") & ~small).alias("too_empty"))
+
+
+def clean_headers(columns):
+    """Headers of printed tables: line breaks become spaces, null an empty text."""
+    return F.transform(columns, lambda c: F.coalesce(F.trim(F.replace(c, F.lit("\n"), F.lit(" "))), F.lit("")))
+
+
+def first_tables(from_html: DataFrame, from_print: DataFrame, key: str = "paper") -> DataFrame:
+    """Tables read from a paper's page; those of its print only where the page has none."""
+    return from_html.unionByName(from_print.join(from_html.select(key).distinct(), key, "left_anti"))
+
+
+def query_text(terms: list[str], size: tuple[int, int], ending: str = "csv") -> str:
+    """A code search for any of some terms in files of an ending and a size range in bytes."""
+    return f"({' OR '.join(terms)}) extension:{ending} size:{size[0]}..{size[1]}"
+
+
 def up_to(tables: DataFrame, target: int) -> DataFrame:
     """At most `target` tables of each source."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy("table_id"))

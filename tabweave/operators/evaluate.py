@@ -74,6 +74,15 @@ def overall(scored: DataFrame, places: int = 6) -> DataFrame:
     return scored.agg(*_means(places))
 
 
+def summary(tagged: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: the model (of the first response), counters, and overall and per-language metrics as one JSON text."""
+    languages = per_language(scored).agg(F.array_sort(F.collect_list(F.struct("language", "samples", "exact_match", "f1_score", "bleu_score"))).alias("per_language_metrics"))
+    parts = [counters(tagged), overall(scored), languages]  # one row each
+    rows = [p.select(F.lit(1).alias("one"), F.struct(*p.columns).alias(f"part{i}")) for i, p in enumerate(parts)]
+    joined = rows[0].join(rows[1], "one").join(rows[2], "one")
+    return joined.select(F.to_json(F.struct(F.col("part0").alias("metadata"), F.col("part1").alias("overall_metrics"), F.col("part2.per_language_metrics").alias("per_language_metrics"))).alias("summary"))
+
+
 def instances(questions: DataFrame, images: DataFrame, language: str = "default", image_type: str = "clean", prefix: bool = False) -> DataFrame:
     """Questions with each of their images in their language; for noise, one picked by a hash of its name.
 

@@ -14,6 +14,13 @@ def cells(tables: DataFrame) -> DataFrame:
     return flat.select("table_id", "category", "row_idx", "col_idx", F.get("columns", F.col("col_idx")).alias("col_name"), "cell")
 
 
+def from_cells(cells: DataFrame) -> DataFrame:
+    """Tables back from the long form: rows and cells in their order; a table comes together in one row, as it is stored."""
+    rows = cells.groupBy("table_id", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "col_name", "cell"))), lambda x: F.struct(x["col_name"].alias("name"), x["cell"].alias("cell"))).alias("r"))
+    tables = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "r"))).alias("rows"))
+    return tables.select("table_id", F.transform(F.get("rows", F.lit(0))["r"], lambda x: x["name"]).alias("columns"), F.transform("rows", lambda x: F.transform(x["r"], lambda y: y["cell"])).alias("data"))
+
+
 def cell_translatability(cells: DataFrame, terms: list[str] = C.UNTRANSLATABLE) -> DataFrame:
     return cells.withColumn("t", C.translatability(F.col("cell"), terms)).select(*cells.columns, "t.score", "t.reason")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import collect, evaluate, render, scoring, stats, worklists
+from ..operators import collect, evaluate, render, scoring, stats, translate, worklists
 from ..schema import LANGUAGES, QA_LANGUAGES
 from . import adapters as A
 
@@ -555,6 +555,61 @@ def translation_prompts(spark, sf):
     return t.select("table_id", (~F.col("prompt").startswith("Translate")).alias("odd"))
 
 
+@query("kept_files", "SELECT doc_id || '.json' AS file_name, CASE WHEN doc_id % 3 <> 0 THEN 'a/' || doc_id || '.json' END AS path FROM documents")
+def kept_files(spark, sf):
+    name = F.concat("doc_id", F.lit(".json"))
+    docs = A.read(spark, sf, "documents").select("doc_id", name.alias("file_name"))
+    files = docs.where("doc_id % 3 <> 0").select("file_name", F.explode(F.array(F.concat(F.lit("b/"), "file_name"), F.concat(F.lit("a/"), "file_name"))).alias("path"))
+    return collect.located(docs, files)
+
+
+@query("collection_counters", _with(A.TABLES_SQL) + "SELECT source, count(*) AS seen, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS too_small, 0::BIGINT AS too_empty FROM (SELECT source, len(data) >= 3 AND len(data[1]) >= 3 AS ok FROM tables) GROUP BY source")
+def collection_counters(spark, sf):
+    return collect.counters(collect.gated(A.tables(spark, sf)))
+
+
+@query("tables_from_cells", _with(A.TABLES_SQL) + "SELECT table_id, array_to_string(list_transform(data, lambda r: array_to_string(r, ' | ')), chr(10)) AS text FROM tables")
+def tables_from_cells(spark, sf):
+    back = scoring.from_cells(scoring.cells(A.tables(spark, sf)))
+    return back.select("table_id", F.array_join(F.transform("data", lambda r: F.array_join(r, " | ")), "\n").alias("text"))
+
+
+_PLAN = f"plan AS (SELECT q.doc_id::VARCHAR AS table_id, l AS lang_code, CASE WHEN q.doc_id % 5 = 0 THEN 'failed' WHEN d.table_id IS NOT NULL THEN 'completed' ELSE 'pending' END AS status FROM (SELECT * FROM documents, unnest({FEW!r}) AS u(l)) q LEFT JOIN done d ON q.doc_id::VARCHAR = d.table_id AND q.l = d.lang_code)"
+
+
+def _plan(spark, sf):
+    tables = A.tables(spark, sf).select("table_id")
+    return translate.question_plan(tables, tables.where(F.col("table_id").cast("long") % 5 != 0), _done(spark, sf), FEW)
+
+
+@query("question_plan", _with(_DONE, _PLAN) + "SELECT * FROM plan")
+def question_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+@query("run_statistics", _with(_DONE, _PLAN) + "SELECT status, count(*) AS rows FROM plan GROUP BY status")
+def run_statistics(spark, sf):
+    return translate.run_statistics(_plan(spark, sf))
+
+
+def _upper() -> "translate.Client":
+    return lambda prompt: prompt.partition("\n")[2].upper().replace('"COLUMNS"', '"columns"').replace('"DATA"', '"data"')
+
+
+@query("translation_round_trip", "SELECT doc_id::VARCHAR AS table_id, 'fr' AS lang_code FROM documents")
+def translation_round_trip(spark, sf):
+    """A step with a client that answers in upper case, of which a third is done already."""
+    work = A.tables(spark, sf).select("table_id", F.lit("fr").alias("lang_code"), "columns", "data")
+    done = work.where(F.col("table_id").cast("long") % 3 == 0)
+    return translate.step(work, done, translate.table_prompt(F.col("lang_code")), lambda: _upper()).select("table_id", "lang_code")
+
+
+@query("eval_summary")
+def eval_summary(spark, sf):
+    tagged = _tagged(spark, sf)
+    return evaluate.summary(tagged, evaluate.score(tagged))
+
+
 # Rendering -------------------------------------------------------------------------------------------------------
 
 _ESCAPED = "replace(replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabweave.functions import cells as C
 from tabweave.functions import metrics as M
 from tabweave.functions import text as T
-from tabweave.operators import collect, evaluate, scoring, stats, worklists
+from tabweave.operators import collect, evaluate, scoring, stats, translate, worklists
 from tabweave.sources import readers, writers
 from tabweave.streaming import incremental
 
@@ -183,3 +183,61 @@ def test_search_source(spark):
     rows = spark.read.format("paged_search").option("terms", "a,b").option("client", "tests.clients:find").load()
     hits = readers.search_hits(rows.withColumn("host", F.lit("h")))
     assert sorted(r.path for r in hits.collect()) == ["a1.csv", "b1.csv"]
+
+
+def test_patient_and_rotating_clients():
+    calls = []
+
+    def flaky():
+        def call(text):
+            calls.append(text)
+            if len(calls) < 3:
+                raise ValueError
+            return text
+
+        return call
+
+    assert translate.patient(flaky, attempts=3, wait=0)()("x") == "x" and len(calls) == 3
+
+    def broken():
+        def call(text):
+            raise ValueError
+
+        return call
+
+    assert translate.rotating([broken, worklists.echo_client])()("y") == "y"
+    with pytest.raises(ValueError):
+        translate.patient(broken, attempts=2, wait=0)()("x")
+
+
+def test_terms_and_questions(spark):
+    terms = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    batches = translate.term_batches(terms)
+    answers = batches.withColumn("answer", F.lit('```json\n{"a": "translatable", "b": "nonsense"}\n```'))
+    assert {tuple(r) for r in translate.labelled_terms(answers).collect()} == {("a", "translatable"), ("b", "unknown"), ("c", "unknown")}
+    said = json.dumps([{"question": "q", "answer": [["1"]], "evidence_cells": ["A1"], "question_type": "value", "reasoning_category": "Outlier Detection"}, {"question": "q"}])
+    pairs = translate.generated_questions(spark.createDataFrame([("t", said), ("u", "broken")], "table_id string, answer string"))
+    assert [r.question_id for r in pairs.collect()] == ["t_001"]
+    out = {r.lang_code: r for r in translate.translated_questions(pairs, ["en", "fr"], worklists.echo_client).collect()}
+    assert out["en"].question == "q" and out["fr"].question == "Translate to fr: q" and out["fr"].answer == [["1"]]
+
+
+def test_translation_steps(spark):
+    tables = spark.createDataFrame([("t", ["a"], [["1"], ["2"]]), ("u", ["b"], [["3"], [None]])], "table_id string, columns array<string>, data array<array<string>>")
+    work = worklists.by_language(tables, ["fr"])
+    none = work.limit(0)
+
+    def answer():
+        return lambda prompt: prompt.partition("\n")[2] if '"a"' in prompt else "no table"
+
+    first = translate.step(work, none, translate.table_prompt(F.col("lang_code")), answer)
+    assert [r.table_id for r in first.collect()] == ["t"]
+    assert [(r.bleu_score, r.decision) for r in translate.quality(tables, first).collect()] == [(pytest.approx(translate.M.bleu_of(["a", "1", "2"], ["a", "1", "2"], 4)), "KEEP")]
+
+
+def test_located_and_first_tables(spark):
+    html = spark.createDataFrame([("p1", 1)], "paper string, t int")
+    pdf = spark.createDataFrame([("p1", 2), ("p2", 3)], "paper string, t int")
+    assert sorted(r.t for r in collect.first_tables(html, pdf).collect()) == [1, 3]
+    assert value(spark, collect.clean_headers(F.array(F.lit(" a\nb "), F.lit(None).cast("string")))) == ["a b", ""]
+    assert collect.query_text(["x", "y"], (1, 9)) == "(x OR y) extension:csv size:1..9"
