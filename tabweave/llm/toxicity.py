@@ -1,10 +1,11 @@
 """Operator 5: toxic spans tagged by a linear-chain conditional random field.
 
-The labels mark documents, so tokens are labelled from a bounded sample of them: a word is taken for toxic where it
-stands in far more distinct contexts of toxic documents than of others (contexts, not documents, so that copies of one
-text count once). The field has two states; a token's score comes from hashed weights of the word and its neighbours.
-It is fitted on the sample by full-batch gradient ascent. Every text is then scored whole: forward-backward marginals
-give offending offsets, and a logistic curve over their sum, highest values and density gives the document's score.
+The labels mark documents, so tokens are labelled from a bounded sample of them: a word, or a beginning of words, is taken
+for toxic where it stands in far more distinct contexts of toxic documents than of others (contexts, not documents, so that
+copies of one text count once). The field has two states; a token's score comes from hashed weights of the word, its
+beginnings and its neighbours. It is fitted on the sample by full-batch gradient ascent. Every text is then scored whole:
+forward-backward marginals give offending offsets, and a logistic curve over their sum, highest values and density gives
+the document's score.
 """
 
 import numpy as np
@@ -16,21 +17,38 @@ from .common import PUNCTUATED, Words, fold, mix, pieces
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
 SAMPLE = 1200
-FEATURE_BITS = 20
+FEATURE_BITS = 19
+#: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
+PREFIXES = (5, 6, 7)
+KINDS = 3 + len(PREFIXES)
 BLOCK = 64
-#: A word's share of contexts in toxic documents against that in others, its fewest contexts, and the share of toxic documents that have it, to be taken for toxic.
+#: A word's (or beginning's) share of contexts in toxic documents against that in others, its fewest contexts, and the share of toxic documents that have it, to be taken for toxic.
 RATIO, CONTEXTS, DOCUMENTS = 8.0, 12, 0.03
 
 
-def _features(words: Words) -> np.ndarray:
-    """Three hashed features of each token: the word, the one before and the one after in the same text."""
+def _units(words: Words) -> list[np.ndarray]:
+    """A 64-bit hash of each word, and of its beginnings; 0 where it is no longer than the beginning."""
+    lens = words.end - words.start
+    at = np.minimum(words.start[:, None] + np.arange(max(PREFIXES)), max(0, len(words.data) - 1))
+    letters = words.data[at].astype(np.uint64) if len(lens) else np.zeros((0, max(PREFIXES)), np.uint64)
+    packed = np.zeros(len(lens), np.uint64)
+    out = []
+    for k in range(max(PREFIXES)):
+        packed = packed << np.uint64(8) | letters[:, k]
+        if k + 1 in PREFIXES:
+            out.append(np.where(lens > k + 1, mix(packed + np.uint64(k)), np.uint64(0)))
+    return [words.hash, *out]
+
+
+def _features(words: Words, units: list[np.ndarray]) -> np.ndarray:
+    """Hashed features of each token: its units, the word before and the word after in the same text."""
     h, edge = words.hash, mix(np.array([7], np.uint64))[0]
     before, after = np.roll(h, 1), np.roll(h, -1)
     some = words.of[:-1][words.of[:-1] < words.of[1:]]
     before[some] = edge
     after[np.append(some[1:], len(h))[: len(some)] - 1] = edge
     shift = np.uint64(64 - FEATURE_BITS)
-    return np.stack([(mix(x + np.uint64(i)) >> shift).astype(np.int64) + (i << FEATURE_BITS) for i, x in enumerate((h, before, after))])
+    return np.stack([(mix(x + np.uint64(i)) >> shift).astype(np.int64) + (i << FEATURE_BITS) for i, x in enumerate((*units, before, after))])
 
 
 def _blocks(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +113,10 @@ def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarra
     return p[real]
 
 
-def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, 2.0, 2.0)) -> dict:
+def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, *(0.02 for _ in PREFIXES), 2.0, 2.0)) -> dict:
     """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature. Transitions are learnt from expected pairs, taken as products of marginals."""
     used, feats = np.unique(feats, return_inverse=True)  # weights of the features that occur, so memory follows the sample
-    feats = feats.reshape(3, -1).astype(np.int32)
+    feats = feats.reshape(KINDS, -1).astype(np.int32)
     size, penalty = len(used), np.asarray(l2)[used >> FEATURE_BITS]
     w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
     m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
@@ -114,7 +132,7 @@ def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, bias, trans = w + move[:size], bias + move[size], trans + move[size + 1 :].reshape(2, 2)
-    full = np.zeros(3 << FEATURE_BITS, np.float32)
+    full = np.zeros(KINDS << FEATURE_BITS, np.float32)
     full[used] = w
     return {"w": full, "bias": float(bias), "trans": trans}
 
@@ -149,6 +167,18 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _telling(unit: np.ndarray, feats: np.ndarray, words: Words, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each token's unit stands in far more distinct contexts of toxic documents than of others, and in enough of them."""
+    context = mix(words.hash ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
+    _, first = np.unique(np.where(toxic, context, ~context), return_index=True)
+    kinds, back = np.unique(unit, return_inverse=True)
+    count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
+    ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
+    text = np.repeat(np.arange(len(y)), np.diff(words.of))
+    having = np.bincount(np.unique(back[toxic] * len(y) + text[toxic]) // len(y), minlength=len(kinds))
+    return ((ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum()) & (kinds != 0))[back]
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
     """Fits field and curve on at most `sample` labelled documents of each class; rows without text or label are no use.
 
@@ -159,21 +189,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     some = F.broadcast(picked[0].unionByName(picked[1]).select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")))
     rows = docs.join(some, docs[id_col] == F.col("_id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("_toxic").cast("double").alias("toxic")).toArrow()
     y = rows.column("toxic").to_numpy()
-    flat = {"w": np.zeros(3 << FEATURE_BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2))}
+    flat = {"w": np.zeros(KINDS << FEATURE_BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2))}
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.01
     if not 0 < y.sum() < len(y):
         return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
     words = Words(rows.column("text").combine_chunks(), PUNCTUATED)
-    feats, n = _features(words), np.diff(words.of)
-    toxic = np.repeat(y, n) > 0
-    context = mix(words.hash ^ mix(feats[1].astype(np.uint64)) ^ mix(feats[2].astype(np.uint64) << np.uint64(20)))
-    _, first = np.unique(np.where(toxic, context, ~context), return_index=True)
-    kinds, back = np.unique(words.hash, return_inverse=True)
-    count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
-    ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
-    having = np.bincount(np.unique(np.stack([back, np.repeat(np.arange(len(n)), n)])[:, toxic], axis=1)[0], minlength=len(kinds))
-    bad = (ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum())
-    token_y = (toxic & bad[back]).astype(float)
+    units, n = _units(words), np.diff(words.of)
+    feats, toxic = _features(words, units), np.repeat(y, n) > 0
+    token_y = (toxic & np.logical_or.reduce([_telling(u, feats, words, toxic, y) for u in units])).astype(float)
     model = _fit_field(feats, words.of, token_y)
     p = marginals(model["bias"] + sum(model["w"][f] for f in feats), model["trans"], words.of)
     return model | {"beta": _fit_curve(_document_features(p, words.of), y)}
@@ -181,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
 def _apply(model: dict, texts: pa.Array):
     words = Words(texts, PUNCTUATED)
-    p = marginals(model["bias"] + sum(model["w"][f] for f in _features(words)).astype(float), model["trans"], words.of)
+    p = marginals(model["bias"] + sum(model["w"][f] for f in _features(words, _units(words))).astype(float), model["trans"], words.of)
     score = 1 / (1 + np.exp(-np.clip(_document_features(p, words.of) @ model["beta"], -30, 30)))
     return words, p, score
 
