@@ -9,7 +9,7 @@ then decoded between the roles that were chosen at its ends.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, staged
@@ -172,7 +172,24 @@ def recover(steps: DataFrame, model: dict, id_col: str = "conv_id", step: str =
     decoded = both.mapInArrow(_decode(model), f"conv_id {kind}, steps array<struct<{inner}>>, roles array<string>")
     out = decoded.select("conv_id", F.explode(F.arrays_zip("steps", "roles")).alias("x")).select("conv_id", "x.steps.turn", F.col("x.roles").alias("role"), F.col("x.steps.text").alias("text"), F.col("x.steps.f_marker").alias("marker"))
     content = F.when(F.col("marker") == "none", F.trim("text")).otherwise(F.trim(F.regexp_replace("text", _MARK.format("|".join(MARKERS.values())), "")))
-    return out.select("conv_id", "turn", "role", content.alias("content")).withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>\n")))
+    return out.select("conv_id", "turn", "role", content.alias("content")).withColumn("rendered", _rendered())
+
+
+def _rendered() -> Column:
+    return F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>\n"))
+
+
+def merged_turns(recovered: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, content, rendered): consecutive steps of one role as one turn, its lines joined; turn is its first step.
+
+    For lines of transcripts. A conversation's steps pass through one window, which sorts on disk and holds none but the turn at hand.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "content")
+    begins = recovered.withColumn("new", F.when(F.col("role").eqNullSafe(F.lag("role").over(order)), 0).otherwise(1))
+    numbered = begins.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "content")))
+    out = numbered.groupBy("conv_id", "n", "role").agg(F.min("turn").alias("turn"), F.array_join(F.transform(lines, lambda x: x["content"]), "\n").alias("content"))
+    return out.select("conv_id", "turn", "role", "content").withColumn("rendered", _rendered())
 
 
 def transcript_steps(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -138,6 +138,10 @@ def test_chat(spark):
     assert len(rows) == 5 and {(x.conv_id, x.role, x.content) for x in rows if x.conv_id == 1} == {(1, "user", "hello"), (1, "assistant", "well")}
     assert chat.recover(odd.limit(0), model).count() == 0 and chat.recover(odd, chat.train(turns.limit(0))).count() == 5
     assert chat.transcript_steps(spark.createDataFrame([(1, "User: a\n\nBot: b"), (2, None)], "doc_id long, text string")).count() == 2
+    raw = chat.transcript_steps(spark.createDataFrame([(1, "User: a?\nUser: b?\nAssistant: c\nUser: d")], "doc_id long, text string"))
+    merged = chat.merged_turns(chat.recover(raw, model)).orderBy("turn").collect()
+    assert [(x.turn, x.role, x.content) for x in merged] == [(0, "user", "a?\nb?"), (2, "assistant", "c"), (3, "user", "d")]
+    assert merged[0].rendered == "<|user|>\na?\nb?\n<|end|>\n"
 
 
 def test_viterbi_is_best(spark):
