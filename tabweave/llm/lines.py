@@ -118,8 +118,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """What is left of every document: lines before and after, characters, and a digest of the text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("lines_before"))
+    """What is left of every document (null text: empty): lines before and after, characters, and a digest of the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("lines_before", F.size(F.split("text", "\n", -1)).cast("long"))
     out = dedup_lines(docs)
     left = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     return out.select("doc_id", "lines_before", left.alias("lines_after"), F.length("text").cast("long").alias("chars_after"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -149,7 +150,7 @@ WITH lines AS (
   SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines
   WHERE (doc_id, pos) NOT IN (SELECT place FROM gone) GROUP BY doc_id
 )
-SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS lines_before,
+SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS lines_before,
        CASE WHEN coalesce(k.text, '') = '' THEN 0 ELSE k.n END::BIGINT AS lines_after,
        length(coalesce(k.text, ''))::BIGINT AS chars_after, md5(coalesce(k.text, '')) AS text_md5
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
