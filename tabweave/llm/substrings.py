@@ -4,7 +4,8 @@ Any 200-byte string holds 137 q-grams of 64 bytes, and the smallest hash of them
 buckets, and consecutive offsets mostly in the same one, so a text is a row of runs. Buckets are refined by what follows:
 a run's refined identifier is the hash of all bytes that its strings cover, up to the last one's end. A bucket with one run is
 done (nothing repeats), and so is one whose runs all have one identifier (everything does). Only what is left of the other
-buckets goes into the next round, where every offset has the hash of its whole 200-byte string as identifier.
+buckets goes into the next round, where every offset has an identifier of its own: that of twice the q-gram is made from the
+identifiers of two offsets, and that of the whole string from two of those, the later ones being used again at every offset.
 
 Each round shuffles identifiers alone, reduced within tasks first; its outcome is written to the shared folder as sorted arrays,
 and the next pass over the texts looks up in those, memory-mapped. Texts themselves are never shuffled. Identifiers are
@@ -76,7 +77,7 @@ class Runs:
         if len(self.data) < LENGTH:
             return
         window = LENGTH - GRAM + 1
-        gram = self.rolling.all(GRAM)
+        self.gram = gram = self.rolling.all(GRAM)
         least = _sliding(gram, window, np.minimum)  # one for each offset
         n = len(least)
         stop = np.repeat(np.maximum(self.off[1:] - LENGTH + 1, self.off[:-1]), np.diff(self.off))[:n]  # offsets of a text end here
@@ -101,6 +102,14 @@ class Runs:
     def whole(self) -> np.ndarray:
         return self.rolling.of(self.first, self.end - 1 + LENGTH)
 
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Identifiers of the strings at some offsets: of twice the q-gram from those of it and of the offset where it ends, and of the whole from two of those."""
+
+        def twice(x: np.ndarray) -> np.ndarray:
+            return mix(self.gram[x] + mix(self.gram[x + GRAM]))
+
+        return mix(twice(at) + mix(twice(at + LENGTH - 2 * GRAM))) if len(at) else np.zeros(0, np.uint64)
+
     def offsets(self, pick: np.ndarray) -> np.ndarray:
         """All offsets of the picked runs."""
         n = (self.end - self.first)[pick]
@@ -208,7 +217,7 @@ def _strings_of(mixed: Sorted):
     def found(texts: pa.Array):
         runs = Runs(texts)
         at = runs.offsets(mixed.has(runs.bucket))
-        key = runs.rolling.of(at, at + LENGTH)
+        key = runs.strings(at)
         zero = np.zeros(len(key), np.uint64)
         return key, np.ones(len(key), np.uint8), zero, zero
 
@@ -237,7 +246,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
                 change = np.zeros(len(data) + 1, np.int32)
                 whole = same.has(runs.bucket)
                 at = runs.offsets(mixed.has(runs.bucket))
-                at = at[strings.has(runs.rolling.of(at, at + LENGTH))]
+                at = at[strings.has(runs.strings(at))]
                 change[: len(data)] += np.bincount(runs.first[whole], minlength=len(data))[: len(data)].astype(np.int32)
                 change -= np.bincount(runs.end[whole] - 1 + LENGTH, minlength=len(change)).astype(np.int32)
                 change += np.bincount(at, minlength=len(change)).astype(np.int32)
