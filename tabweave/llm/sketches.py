@@ -149,13 +149,13 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     parts = lambda c: [F.coalesce(c, F.lit(0).cast(docs.schema[id_col].dataType)), c.isNull()]
     follows = _followers(keyed)
     follows = follows.select(*(c.alias(n) for c, n in zip(parts(F.col("doc_id")), key, strict=False)), "h", *(c.alias(f"for_{n}") for c, n in zip(parts(F.col("for_doc")), key, strict=False)), "for_h", "for_n")
-    texts = keyed.select("doc_id", *(c.alias(n) for c, n in zip(parts(F.col("doc_id")), key, strict=False)), "h", "text")
+    texts = keyed.select(*(c.alias(n) for c, n in zip(parts(F.col("doc_id")), key, strict=False)), "h", "text")  # these columns alone on both ways, so that one shuffle serves both
     rows = texts.join(follows, key)
     once = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("for_h"))).where("copy = 1")
     lent = once.select(*(F.col(f"for_{n}").alias(n) for n in key), F.substr("text", F.lit(1), F.floor(F.col("for_n") / 2).cast("int")).alias("lent"), digests(F.col("text")).alias("next_digests"))
-    joined = rows.select("doc_id", *key, "text").join(lent, key)
-    n = F.length("text")
-    return joined.select("doc_id", "text", F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "lent").alias("edited"), "next_digests")
+    joined = texts.join(lent, key)
+    n, doc_id = F.length("text"), F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
+    return joined.select(doc_id, "text", F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "lent").alias("edited"), "next_digests")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
