@@ -74,6 +74,11 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     An earlier line counts even if it goes itself. Rows that repeat an id share their places: none is earlier than the
     other, and what goes at a place goes in all of them.
     """
+    return _removed(docs, text, id_col, min_words).distinct()
+
+
+def _removed(docs: DataFrame, text: str, id_col: str, min_words: int) -> DataFrame:
+    """The same, with places of rows that repeat an id more than once."""
     place = F.struct("doc_id", "pos")
     lines = _lines(docs, text, id_col)
     words = F.when(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1, _words(F.col("line")))
@@ -98,7 +103,7 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     pairs = same.select("place", "other").unionByName(whole.select("place", "other")).unionByName(less.select("place", "other")).where("other < place").distinct()
     pairs = pairs.join(some.select("place", F.col("words").alias("a")), "place").join(some.select(F.col("place").alias("other"), F.col("words").alias("b")), "other")
     near = pairs.where(_one_word_apart(F.col("a"), F.col("b"))).select("place.*")
-    return again.unionByName(near).distinct()
+    return again.unionByName(near)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -106,7 +111,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
 
     A null text stays null; a text whose lines all go becomes empty.
     """
-    gone = removed_lines(docs, text, id_col, min_words).groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_set("pos").alias("_line_gone"))
+    gone = _removed(docs, text, id_col, min_words).groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_set("pos").alias("_line_gone"))
     joined = docs.join(gone, docs[id_col] == F.col("_line_doc"), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
