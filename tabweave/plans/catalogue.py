@@ -121,10 +121,10 @@ def _labels(spark, sf):
     return A.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("table_id"), "quality")
 
 
-@query("metadata_left_join", "SELECT d.doc_id::VARCHAR AS table_id, l.quality, l.doc_id IS NOT NULL AS has_metadata FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("metadata_left_join", "SELECT d.doc_id::VARCHAR AS table_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NOT NULL AS has_metadata FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def metadata_left_join(spark, sf):
     tables = A.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("table_id"))
-    return collect.with_metadata(tables, _labels(spark, sf)).select("table_id", "quality", "has_metadata")
+    return collect.with_metadata(tables, _labels(spark, sf)).select("table_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "has_metadata")
 
 
 @query("metadata_missing", "SELECT doc_id::VARCHAR AS table_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
