@@ -14,4 +14,4 @@ QUERIES = {
     "op9_urls": urls.op9_urls,
     "op10_fingerprints": sketches.op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL}

@@ -268,3 +268,16 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+s AS (SELECT doc_id, p, md5(hex(b[p:p + 199])) AS w FROM d, unnest(range(1, n - 198)) AS t(p)),
+r AS (SELECT doc_id, p FROM s WHERE w IN (SELECT w FROM s GROUP BY w HAVING count(*) > 1)),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM r)),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 199 AS e FROM i GROUP BY doc_id, k),
+edges AS (SELECT doc_id, e + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS e FROM (SELECT doc_id, a, e FROM spans UNION ALL SELECT doc_id, 0, 0 FROM d)),
+kept AS (SELECT d.doc_id, string_agg(CASE WHEN x.e > x.a THEN hex(d.b[x.a:least(x.e - 1, d.n)]) ELSE '' END, '' ORDER BY x.a) AS h FROM d JOIN edges x ON d.doc_id = x.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(g.m, 0)::BIGINT AS n_removed, coalesce(g.c, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, sum(e - a + 1) AS m, count(*) AS c FROM spans GROUP BY doc_id) g ON d.doc_id = g.doc_id
+"""
