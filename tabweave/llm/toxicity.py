@@ -167,14 +167,14 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _telling(unit: np.ndarray, feats: np.ndarray, words: Words, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(unit: np.ndarray, word: np.ndarray, feats: np.ndarray, of: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether each token's unit stands in far more distinct contexts of toxic documents than of others, and in enough of them."""
-    context = mix(words.hash ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
+    context = mix(word ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
     _, first = np.unique(np.where(toxic, context, ~context), return_index=True)
     kinds, back = np.unique(unit, return_inverse=True)
     count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
     ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
-    text = np.repeat(np.arange(len(y)), np.diff(words.of))
+    text = np.repeat(np.arange(len(y)), np.diff(of))
     having = np.bincount(np.unique(back[toxic] * len(y) + text[toxic]) // len(y), minlength=len(kinds))
     return ((ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum()) & (kinds != 0))[back]
 
@@ -187,19 +187,26 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     labels = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     picked = [labels.where(F.col("toxic") == v).orderBy(F.xxhash64(id_col), id_col).limit(sample) for v in (0, 1)]
     some = F.broadcast(picked[0].unionByName(picked[1]).select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")))
-    rows = docs.join(some, docs[id_col] == F.col("_id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("_toxic").cast("double").alias("toxic")).toArrow()
+    rows = docs.join(some, docs[id_col] == F.col("_id")).dropDuplicates(["_id"]).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("_toxic").cast("double").alias("toxic")).toArrow()
     y = rows.column("toxic").to_numpy()
     flat = {"w": np.zeros(KINDS << FEATURE_BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2))}
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.01
     if not 0 < y.sum() < len(y):
         return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
-    words = Words(rows.column("text").combine_chunks(), PUNCTUATED)
-    units, n = _units(words), np.diff(words.of)
-    feats, toxic = _features(words, units), np.repeat(y, n) > 0
-    token_y = (toxic & np.logical_or.reduce([_telling(u, feats, words, toxic, y) for u in units])).astype(float)
-    model = _fit_field(feats, words.of, token_y)
-    p = marginals(model["bias"] + sum(model["w"][f] for f in feats), model["trans"], words.of)
-    return model | {"beta": _fit_curve(_document_features(p, words.of), y)}
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for piece in (p for batch in rows.to_batches() for p in pieces(batch)):
+        words = Words(piece.column("text"), PUNCTUATED)
+        units = _units(words)
+        parts.append((np.stack(units), _features(words, units).astype(np.int32)))
+        ends.append(words.of[1:] + ends[-1][-1])
+    units, feats = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
+    of = np.concatenate(ends)
+    toxic = np.repeat(y, np.diff(of)) > 0
+    token_y = (toxic & np.logical_or.reduce([_telling(u, units[0], feats, of, toxic, y) for u in units])).astype(float)
+    del parts, units
+    model = _fit_field(feats, of, token_y)
+    p = marginals(model["bias"] + sum(model["w"][f] for f in feats), model["trans"], of)
+    return model | {"beta": _fit_curve(_document_features(p, of), y)}
 
 
 def _apply(model: dict, texts: pa.Array):
