@@ -113,9 +113,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
     """
     gone = _removed(docs, text, id_col, min_words).groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_set("pos").alias("_line_gone"))
     joined = docs.join(gone, docs[id_col] == F.col("_line_doc"), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
-    new = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # an array of one, so that the text is split once and not for each line
+    new = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.transform(F.array(F.split(F.col(text), "\n", -1)), left)[0])
     out = joined.withColumn(text, new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
