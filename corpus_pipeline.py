@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweave.llm import decontaminate, lines, packing, simhash, toxicity
+from tabweave.llm import decontaminate, lines, near, packing, toxicity
 from tabweave.llm.common import fold, staged
 
 
@@ -18,8 +18,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies."""
+    return near.near_dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

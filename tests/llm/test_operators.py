@@ -201,6 +201,32 @@ def test_simhash_links_random_prints(spark):
     assert {frozenset(x % 2**64 for x in p.n) for p in parts} == {frozenset(s) for s in want.values() if len(s) > 1}
 
 
+def jaccard(a, b) -> float:
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (split(a), split(b)))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies(spark, docs, rows, none):
+    from tabweave.llm import near
+
+    r = random.Random(11)
+    base = [[f"{k}w{r.randint(0, 9999)}" for _ in range(200)] for k in range(120)]
+    data = []
+    for k, w in enumerate(base):
+        data.append((2 * k, " ".join(w)))
+        for at in r.sample(range(200), 1 + k % 8):
+            w[at] = "other"
+        data.append((2 * k + 1, " ".join(w)))
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    like = [jaccard(data[2 * k][1], data[2 * k + 1][1]) for k in range(120)]
+    assert sum(x >= 0.8 for x in like) > 30 and sum(x < 0.8 for x in like) > 30
+    kept = {x.doc_id for x in near.near_dedup(table).collect()}
+    assert kept == {2 * k for k in range(120)} | {2 * k + 1 for k in range(120) if like[k] < 0.8}
+    same = spark.createDataFrame([(5, "a b c d e f g"), (5, "h i j k l m n"), (9, "A b c d e  f g"), (None, "h i j k l m n"), (None, "o p q r s t u"), (None, "o p q r s t u"), (3, ""), (4, None)], "doc_id long, text string")
+    assert sorted(map(tuple, near.near_dedup(same).collect()), key=str) == [(3, ""), (5, "a b c d e f g"), (5, "h i j k l m n"), (None, "o p q r s t u")]
+    assert near.near_dedup(docs).columns == docs.columns and near.near_dedup(none).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
