@@ -4,14 +4,25 @@ A seed is a mask over SPAN words that leaves some out, so a substituted word doe
 position of every text are joined with those of the benchmark; around a hit, windows of WINDOW words that hold the seed
 are compared word by word at the same alignment, and one with at most two words different is a leak. The seeds of a
 small benchmark (its rows are counted) are broadcast; those of a larger one are joined by shuffling.
+
+The query's two masks are fixed, and miss some windows with two words different. The pipeline's stage takes WHOLE instead:
+masks of two of four equal blocks, two of which any two exchanged words leave whole, so no such window is missed, and
+items too short for the query are found word for word.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Fixed masks: the positions compared.
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 5, 7, 8))
 SPAN, WINDOW, SAME = 9, 13, 11
+#: Two of four blocks of three words (of two words, for items under 12 words); equal distances between blocks are one mask.
+LONG = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
+SHORT = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7))
+#: Items of fewer words than this are found only where they are the whole text, as a few words occur anywhere.
+ALONE = 4
 #: Most seeds that are broadcast.
 BROADCAST_SEEDS = 1_000_000
 
@@ -59,18 +70,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
     """(doc_id, item_id, n_hits, first_word, last_word): texts that hold a passage of an item, and where its hits begin.
 
     Items under SPAN words are too short to be evidence, and null texts hold nothing. Equal items are each reported;
-    rows that repeat an id are reported as one; rows with a null id are reported under it while the benchmark is small.
+    rows that repeat an id are reported as one, with the hits of all; rows with a null id are reported under it.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
     texts = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("words"))
     known = _seeded(items, "item").select("item", "seed", F.col("at").alias("item_at"))
     items = items.select("item", "item_id", F.col("words").alias("item_words"))
-    seeded = _seeded(texts, "doc_id")
     if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:  # which bounds the items' words too
-        hits = seeded.join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
+        hits = _seeded(texts, "doc_id").join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
     else:  # words follow the hits alone
-        hits = seeded.drop("words").join(known, "seed").join(texts, "doc_id").join(items, "item")
+        texts = staged(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hits = _seeded(texts, "row").drop("words").join(known, "seed").join(texts, "row").join(items, "item")
     # Windows are compared within the aggregate: as a condition of the join they would keep it, and the explode before it,
     # from running as one compiled loop, and every seed of a text would be copied with all of the text's words.
     at = F.when(_same_window(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at")), F.col("at"))
@@ -78,10 +89,77 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
     return found.where("n_hits > 0")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, that hold no passage of the benchmark; rows with a null id stay."""
-    found = leaks(docs, benchmark, text, id_col).select(F.col("doc_id").alias("_leak_doc")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_leak_doc"), "left_anti")
+def _whole_seeds(words: Column, sizes: list[int], is_item: bool) -> Column:
+    """Structs (seed, at, span) of all masks that items of these sizes need; an item's own are those of its size."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    n = F.size(words)
+
+    def of(hashes: Column, k: int, mask: tuple, fits: Column | bool) -> Column:
+        span = mask[-1] + 1
+        at = F.when(F.lit(fits) & (n >= span), F.sequence(F.lit(0), F.greatest(n - span, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(k), *(F.get(hashes, i + j) for j in mask)).alias("seed"), i.alias("at"), F.lit(span).alias("span")))
+
+    def every(hashes: Column) -> Column:
+        parts = []
+        if any(x >= 12 for x in sizes):
+            parts += [of(hashes, k, mask, n >= 12 if is_item else True) for k, mask in enumerate(LONG)]
+        if any(SPAN <= x < 12 for x in sizes):
+            parts += [of(hashes, 10 + k, mask, (n >= SPAN) & (n < 12) if is_item else True) for k, mask in enumerate(SHORT)]
+        parts += [of(hashes, 20 + x, tuple(range(x)), n == x if is_item or x < ALONE else True) for x in sizes if x < SPAN]
+        return F.flatten(F.array(*parts))
+
+    # an array of one, so that the words are hashed once and not for each mask
+    return F.flatten(F.transform(F.array(hashes), every))
+
+
+def _whole_window(doc: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
+    """As _same_window, for seeds of any span; an item under SPAN words must be there word for word."""
+    size = F.least(F.lit(WINDOW), F.size(item))
+    allowed = F.when(F.size(item) < SPAN, 0).otherwise(WINDOW - SAME)
+    first, last = F.greatest(item_at + span - size, F.lit(0)), F.least(item_at, F.size(item) - size)
+    shift = at - item_at
+
+    def matches(start: Column) -> Column:
+        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (start + j + shift >= 0) & F.get(doc, F.greatest(start + j + shift, F.lit(0))).eqNullSafe(F.get(item, start + j)))
+        return F.size(equal) >= size - allowed
+
+    return F.exists(F.sequence(first, last), matches)
+
+
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(F.lit(1), text).alias("_leak_h"), F.xxhash64(F.lit(2), text).alias("_leak_g")]
+
+
+def leaky_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, least_words: int = ALONE) -> DataFrame:
+    """(_leak_h, _leak_g): keys of the texts that hold a passage of an item, none missed.
+
+    A passage is a window of WINDOW words, or all of an item of SPAN words or more, with at most two words different, or all
+    words of a shorter item; an item under ALONE words must be the whole text. Items under least_words words are not looked for.
+    """
+    items = benchmark.select(_words(F.col(item_text)).alias("words")).where(F.size("words") >= max(1, least_words)).distinct()
+    items = items.withColumn("item", F.xxhash64("words"))
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(12))).distinct().collect())
+    texts = docs.select(*_text_key(F.col(text)), _words(F.col(text)).alias("words"))
+    if not sizes:
+        return texts.select("_leak_h", "_leak_g").limit(0)
+    known = items.select("item", F.explode(_whole_seeds(F.col("words"), sizes, True)).alias("x")).select("item", "x.seed", F.col("x.at").alias("item_at"), "x.span")
+    items = items.select("item", F.col("words").alias("item_words"))
+    key = ["_leak_h", "_leak_g"]
+    seeded = texts.select(*key, "words", F.explode_outer(_whole_seeds(F.col("words"), sizes, False)).alias("x")).select(*key, "words", "x.seed", "x.at")
+    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
+        hits = seeded.join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
+    else:  # words follow the hits alone
+        hits = seeded.drop("words").join(known, "seed").distinct().join(texts.dropDuplicates(key), key).join(items, "item")
+    same = _whole_window(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at"), F.col("span"))
+    return hits.groupBy(*key).agg(F.max(same).alias("found")).where("found").select(*key)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", broadcast_seeds: int = BROADCAST_SEEDS, least_words: int = ALONE) -> DataFrame:
+    """The rows, with all their columns, whose text holds no passage of the benchmark, whatever their id."""
+    found = leaky_texts(docs, benchmark, text, broadcast_seeds=broadcast_seeds, least_words=least_words)
+    return docs.withColumns(dict(zip(("_leak_h", "_leak_g"), _text_key(F.col(text)), strict=True))).join(found, ["_leak_h", "_leak_g"], "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -321,6 +321,35 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_misses_nothing(spark):
+    from itertools import combinations
+
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (2, 5, 8, 9, 10, 11, 12, 13, 20)], "item_id long, text string")
+    data = []
+    for n in (2, 5, 8, 9, 10, 11, 12, 13, 20):
+        size = min(n, 13)
+        for first in {0, n - size}:
+            for gone in [c for k in range(4) for c in combinations(range(size), k)]:
+                w = [f"i{n}w{first + k}" for k in range(size)]
+                for k in gone:
+                    w[k] = "zz"
+                leak = len(gone) <= (2 if n >= 9 else 0)
+                data.append((None if len(data) % 3 else 7, " ".join(w if n < 4 else ["aa", *w, "bb"]), leak))
+    data.append((7, "aa i2w0 i2w1 bb", False))
+    table = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 3):
+        kept = Counter(r.text for r in decontaminate.decontaminate(table, bench, broadcast_seeds=most, least_words=1).collect())
+        assert kept == Counter(t for _, t, leak in data if not leak)
+
+
+def test_leaks_by_either_join(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    table = spark.createDataFrame([(1, item), (1, item), (1, "x " + item), (None, item)], "doc_id long, text string")
+    both = [sorted(map(tuple, decontaminate.leaks(table, bench, broadcast_seeds=most).collect()), key=str) for most in (decontaminate.BROADCAST_SEEDS, 3)]
+    assert both[0] == both[1] == [(1, 1, 72, 0, 12), (None, 1, 24, 0, 11)]
+
+
 def test_substrings(docs, rows, none):
     data = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[s : s + 200] for _, b in data for s in range(len(b) - 199))
