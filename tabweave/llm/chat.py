@@ -3,8 +3,9 @@
 A step (a turn, or a line of a raw transcript) is seen through discrete features: its speaker marker, length, lines,
 question mark and opening. Role, transition and feature counts of labelled conversations are Spark aggregates; decoding
 is Viterbi. Conversations are cut into chunks of CHUNK steps so that none is ever held whole: each chunk gives the best
-score from each role before it to each role at its end, a conversation combines those few numbers, and each chunk is
-then decoded between the roles that were chosen at its ends.
+score from each role before it to each role at its end, stretches of JOINED chunks and then a conversation combine those
+few numbers, and each chunk is then decoded between the roles that were chosen at its ends. Chunks are cut from rows that
+are sorted over all machines, so neither a conversation nor a step's number holds more rows together than a chunk.
 """
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import fold, staged
 
 CHUNK = 256
+#: Chunks whose scores are combined at once.
+JOINED = 1024
 #: Speaker markers at the beginning of a step, by the role they stand for.
 MARKERS = {"user": "user|human|question|q|customer|me", "assistant": "assistant|ai|bot|answer|a|agent|model", "system": "system|instructions?|context"}
 _MARK = r"(?i)^\s*(?:\[|<\|?|\*\*|#+\s*)?({})(?:\|?>|\]|\*\*)?\s*[:>\-]\s*"
@@ -108,20 +111,38 @@ def _matrices(model: dict):
     return run
 
 
-def _ends(model: dict):
-    """The role at the end of every chunk of a conversation, and before it."""
+def _products(model: dict):
+    """One matrix for the chunks of a stretch: the best score from each role before it to each at its end."""
+
+    def run(batches):
+        k = len(model["roles"])
+        for batch in batches:
+            out = []
+            for chunks in batch.column("chunks").to_pylist():
+                total, *rest = (np.array(c["matrix"]).reshape(k, k) for c in chunks)
+                for m in rest:
+                    total = (total[:, :, None] + m).max(axis=1)
+                out.append(total.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("stretch"), pa.array(out, pa.list_(pa.float64()))], ["conv_id", "chunk", "matrix"])
+
+    return run
+
+
+def _ends(model: dict, between: bool):
+    """The role at the end of every chunk, and before it; between: for the given roles before and at the end of all of them."""
 
     def run(batches):
         k = len(model["roles"])
         for batch in batches:
             rows = ([], [], [], [])
-            for i, chunks in enumerate(batch.column("chunks").to_pylist()):
-                score, back = np.zeros(k), []
+            sides = zip(*(batch.column(c).to_pylist() for c in ("before", "end")), strict=True) if between else [(None, None)] * batch.num_rows
+            for i, (chunks, (before, role)) in enumerate(zip(batch.column("chunks").to_pylist(), sides, strict=True)):
+                score, back = np.where(np.arange(k) == before, 0.0, -1e18) if between else np.zeros(k), []
                 for c in chunks:
                     ways = score[:, None] + np.array(c["matrix"]).reshape(k, k)
                     back.append(ways.argmax(axis=0))
                     score = ways.max(axis=0)
-                role = int(score.argmax())
+                role = role if between else int(score.argmax())
                 for c, b in zip(reversed(chunks), reversed(back), strict=True):
                     for column, value in zip(rows, (i, c["chunk"], int(b[role]), role), strict=True):
                         column.append(value)
@@ -150,22 +171,36 @@ def _decode(model: dict):
     return run
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(conv_id, chunk, steps): at most CHUNK steps each, in order of number and text; a conversation's first chunk is 0, later ones go up."""
+    order = ["conv_id", "turn", "text"]
+    names = ["turn", "text", *(f"f_{f}" for f in FEATURES)]
+    # ids go up along the sorted rows of all partitions
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK) + 1)
+    chunks = staged(features(at).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("steps")), "cut")
+    lowest = chunks.groupBy(F.col("conv_id").alias("of")).agg(F.min("chunk").alias("least"))
+    first = chunks.join(lowest, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("least")), "left")
+    return first.select("conv_id", F.when(F.col("least").isNotNull(), 0).otherwise(F.col("chunk")).alias("chunk"), "steps")
+
+
 def recover(steps: DataFrame, model: dict, id_col: str = "conv_id", step: str = "turn", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, content, rendered): every step with its recovered role, its text without the marker, and in canonical form.
 
     Steps are taken by number, then text; a row that repeats conversation, number and text is the same step; null numbers
-    count as 0, null texts as empty, null conversations as one of their own. Chunks go by number, so a number that a great
-    many different texts of one conversation share makes a larger chunk.
+    count as 0, null texts as empty, null conversations as one of their own.
     """
     kind = dict(steps.dtypes)[id_col]
     rows = steps.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col(step), F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
-    rows = features(rows).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
     names = ["turn", "text", *(f"f_{f}" for f in FEATURES)]
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("steps"))
-    lowest = chunks.groupBy(F.col("conv_id").alias("of")).agg(F.min("chunk").alias("least"))
-    chunks = staged(chunks.join(lowest, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", (F.col("chunk") - F.col("least")).alias("chunk"), "steps"), "chunks")
-    matrices = chunks.mapInArrow(_matrices(model), f"conv_id {kind}, chunk long, matrix array<double>")
-    ends = matrices.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks")).mapInArrow(_ends(model), f"conv_id {kind}, chunk long, before long, end long")
+    chunks = staged(_chunks(rows), "chunks")
+    matrices = staged(chunks.mapInArrow(_matrices(model), f"conv_id {kind}, chunk long, matrix array<double>"), "matrices")
+    stretch = F.floor(F.col("chunk") / JOINED).alias("stretch")
+    stretches = matrices.groupBy("conv_id", stretch).agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks"))
+    products = stretches.mapInArrow(_products(model), f"conv_id {kind}, chunk long, matrix array<double>")
+    outer = products.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks")).mapInArrow(_ends(model, False), f"conv_id {kind}, chunk long, before long, end long")
+    outer = outer.select(F.col("conv_id").alias("of"), F.col("chunk").alias("at"), "before", "end")
+    inner = stretches.join(outer, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at"))).select("conv_id", "chunks", "before", "end")
+    ends = inner.mapInArrow(_ends(model, True), f"conv_id {kind}, chunk long, before long, end long")
     ends = ends.select(F.col("conv_id").alias("of"), F.col("chunk").alias("at"), "before", "end")
     both = chunks.join(ends, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at"))).select("conv_id", "chunk", "steps", "before", "end")
     inner = ", ".join(f"{n}: {'bigint' if n == 'turn' else 'string'}" for n in names)

@@ -77,7 +77,8 @@ def _agreements(fp: np.ndarray) -> np.ndarray:
 
 
 def _ball(fp: np.ndarray) -> np.ndarray:
-    return fp[:, None] ^ BALL
+    """The values of each ball, mixed so that a family of near copies, whose leading bits agree, is spread over the buckets."""
+    return mix(fp[:, None] ^ BALL)
 
 
 def _spread(keys, each: int, bits: int):

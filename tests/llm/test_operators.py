@@ -144,6 +144,24 @@ def test_chat(spark):
     assert merged[0].rendered == "<|user|>\na?\nb?\n<|end|>\n"
 
 
+def test_chat_chunks_are_bounded(spark, monkeypatch):
+    r = random.Random(8)
+    one = spark.createDataFrame([(None, 0, f"text {k}") for k in range(1500)] + [(4, 3, f"other {k}") for k in range(700)], "conv_id long, turn long, text string")
+    cut = [(x.conv_id, x.chunk, x.n) for x in chat._chunks(one).selectExpr("conv_id", "chunk", "size(steps) AS n").collect()]
+    assert max(n for *_, n in cut) <= chat.CHUNK and sum(n for *_, n in cut) == 2200
+    assert Counter(c for c, k, _ in cut if k == 0) == {None: 1, 4: 1}
+    turns = spark.createDataFrame([(c, t, r.choice(["user", "assistant"]), "w " * r.randint(1, 12) + r.choice("?.")) for c in (None, 1, 2) for t in range(90)], "conv_id long, turn long, role string, text string")
+    model = chat.train(turns)
+    monkeypatch.setattr(chat, "CHUNK", 4)
+    monkeypatch.setattr(chat, "JOINED", 3)
+    got = {(x.conv_id, x.turn): model["roles"].index(x.role) for x in chat.recover(turns, model).collect()}
+    for c in (None, 1, 2):  # ways that tie are as good
+        e = chat._emissions(model, chat.features(turns.where(F.col("conv_id").eqNullSafe(c))).orderBy("turn").collect())
+        way = [got[c, t] for t in range(90)]
+        score = model["start"][way[0]] + sum(e[t][way[t]] for t in range(90)) + sum(model["trans"][a, b] for a, b in zip(way, way[1:], strict=False))
+        assert score == pytest.approx(chat._best(model, e[1:], (model["start"] + e[0])[None])[0].max())
+
+
 def test_viterbi_is_best(spark):
     model = {"roles": ["a", "b"], "start": np.log([0.6, 0.4]), "trans": np.log([[0.3, 0.7], [0.6, 0.4]])}
     scores = np.log(np.random.default_rng(1).random((6, 2)))
@@ -177,6 +195,18 @@ def test_simhash(spark, docs, rows, none):
     assert simhash.classes(none).count() == 0 and simhash.near_dedup(none).count() == 0
 
 
+def test_balls_of_a_family_are_spread():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    family = np.uint64(0x5A5A << 48) | r.integers(0, 2**48, 400, dtype=np.uint64)
+    size = Counter()
+    for batch in simhash._spread(simhash._ball, len(simhash.BALL), 10)([pa.record_batch({"fp": family.view(np.int64)})]):
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            size[bucket] += len(payload) // 16
+    assert sum(size.values()) == 400 * len(simhash.BALL) and max(size.values()) < 2 * sum(size.values()) / 1024
+
+
 def test_simhash_links_random_prints(spark):
     r = random.Random(4)
     prints = {r.getrandbits(64) for _ in range(150)}
