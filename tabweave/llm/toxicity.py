@@ -22,8 +22,9 @@ FEATURE_BITS = 19
 PREFIXES = (5, 6, 7)
 KINDS = 3 + len(PREFIXES)
 BLOCK = 64
-#: A word's (or beginning's) share of contexts in toxic documents against that in others, its fewest contexts, and the share of toxic documents that have it, to be taken for toxic.
-RATIO, CONTEXTS, DOCUMENTS = 8.0, 12, 0.03
+#: A word's (or beginning's) share of contexts in toxic documents against that in others, the fewest toxic documents that have
+#: it, and the greatest chance that as many would have it if toxic documents had it no more often than others, to be taken for toxic.
+RATIO, DOCUMENTS, CHANCE = 8.0, 5, 1e-4
 
 
 def _units(words: Words) -> list[np.ndarray]:
@@ -167,16 +168,37 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _chance(k: np.ndarray, other: np.ndarray, toxic_total: float, total: float) -> np.ndarray:
+    """The chance (exact, binomial) that of k + other documents which have a unit at least k are toxic, at the sample's share of toxic ones."""
+    p, n = toxic_total / total, k + other
+    logs = np.append(0.0, np.cumsum(np.log(np.arange(1, int(n.max(initial=0)) + 1))))
+    out, known = np.ones(len(k)), {}
+    for i in np.flatnonzero(k >= DOCUMENTS):
+        a, m = int(k[i]), int(n[i])
+        if (a, m) not in known:
+            x = np.arange(a, m + 1)
+            known[a, m] = np.exp(logs[m] - logs[x] - logs[m - x] + x * np.log(p) + (m - x) * np.log1p(-p)).sum()
+        out[i] = known[a, m]
+    return out
+
+
 def _telling(unit: np.ndarray, word: np.ndarray, feats: np.ndarray, of: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether each token's unit stands in far more distinct contexts of toxic documents than of others, and in enough of them."""
+    """Whether each token's unit stands in far more distinct contexts of toxic documents than of others, and in more of them than chance would have it.
+
+    The test is one of the unit's own counts, so a unit of a rare language or topic is judged as one of a common one is.
+    Documents count by their distinct contexts of the unit, so that copies of one text count once.
+    """
     context = mix(word ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
     _, first = np.unique(np.where(toxic, context, ~context), return_index=True)
     kinds, back = np.unique(unit, return_inverse=True)
     count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
     ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
     text = np.repeat(np.arange(len(y)), np.diff(of))
-    having = np.bincount(np.unique(back[toxic] * len(y) + text[toxic]) // len(y), minlength=len(kinds))
-    return ((ratio >= RATIO) & (count[1] >= CONTEXTS) & (having >= DOCUMENTS * y.sum()) & (kinds != 0))[back]
+    pair = np.unique(back[first] * len(y) + text[first])
+    of_toxic = y[pair % len(y)] > 0
+    having = [np.bincount(pair[of_toxic == v] // len(y), minlength=len(kinds)) for v in (False, True)]
+    sure = _chance(having[1], having[0], float((y > 0).sum()), len(y)) <= CHANCE
+    return ((ratio >= RATIO) & (having[1] >= DOCUMENTS) & sure & (kinds != 0))[back]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:

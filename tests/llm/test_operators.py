@@ -301,6 +301,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.tag(none, toxicity.train(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_a_rare_language(spark):
+    r = random.Random(4)
+
+    def make(k, bad):  # one document in fifty is in a language of its own words
+        kind, bads = ("q", ["zlovo", "grdno"]) if k % 50 < 1 else ("w", ["vile", "foul"])
+        return " ".join(r.choice(bads) if bad and r.random() < 0.08 else f"{kind}{r.randint(0, 300)}" for _ in range(80))
+
+    data = [(i, make(i // 2, i % 2), i % 2) for i in range(2400)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data if i < 1600], "doc_id long, toxic int")
+    score = {x.doc_id: x.score for x in toxicity.tag(table, toxicity.train(table, labels)).collect()}
+    held = [i for i in range(1600, 2400)]
+    for some in ([i for i in held if i // 2 % 50 < 1], held):
+        assert sum((score[i] >= 0.5) == data[i][2] for i in some) >= 0.95 * len(some)
+
+
 def test_packing(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
