@@ -1,9 +1,10 @@
 """The cleaning pipeline over documents: STAGES, each from its predecessor's rows, and run()."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabweave.llm import decontaminate, lines, near, packing, toxicity
-from tabweave.llm.common import fold, staged
+from tabweave.llm.common import fold, row_key, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +14,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier place has already."""
-    return lines.dedup_lines(docs)
+    """All documents, without lines that an earlier place has already; places go by id (nulls last) and row, equal rows alone share theirs."""
+    kind = docs.schema["doc_id"].dataType
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), row_key(docs)["h"].alias("row"))
+    return lines.dedup_lines(docs.withColumn("_place", place), id_col="_place").drop("_place")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

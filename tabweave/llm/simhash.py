@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, staged
+from .common import Words, mix, pieces, row_key, staged
 from .components import components
 
 SHINGLE = 4
@@ -152,6 +152,11 @@ def links(fps: DataFrame) -> DataFrame:
     return _dealt(some, some.count(), _ball, len(BALL)).applyInArrow(_meet(RADIUS), "a long, b long").distinct()
 
 
+def _parts(prints: DataFrame) -> DataFrame:
+    """(fp, component) of the fingerprints that have links."""
+    return staged(components(links(prints.select("fp"))), "components").withColumnRenamed("node", "fp")
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id that links reach, itself included.
 
@@ -159,16 +164,19 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     """
     prints = staged(fingerprints(docs, text, id_col, size), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    part = staged(components(links(least.select("fp"))), "components").withColumnRenamed("node", "fp")
+    part = _parts(least)
     named = least.join(part, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     of = least.join(part.join(named, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(of, "fp")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay: one of each component, that of the smallest id; of rows that share it, one. Rows with a null id stay."""
-    keep = classes(docs, text, id_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows that stay: exactly one of each component, that of the smallest id (nulls last), then by hash of the row."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("row"))
+    prints = staged(fingerprints(docs.select(key.alias("key"), F.col(text).alias("text")), "text", "key"), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(_parts(least), "fp", "left").groupBy(F.coalesce("component", "fp"), F.col("component").isNull()).agg(F.min("least")["row"].alias("_row"))
+    return docs.withColumn("_row", row_key(docs)).join(named.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -473,6 +473,17 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).agg(F.count_distinct("doc_id")).first()[0] == docs.count()
 
 
+def test_stages_go_by_row(spark, sf):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"{k}x{i}" for i in range(30))
+    data = [(1, words("a")), (1, words("b")), (2, words("b")), (None, words("a")), (None, words("c")), (None, words("c")), (0, words("a"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_dedup(docs).collect()), key=str) == [(0, words("a")), (1, words("b")), (None, words("c"))]
+    left = sorted((x.doc_id or -1, x.text) for x in corpus_pipeline.drop_lines(spark, docs, sf).collect() if x.text)
+    assert left == [(-1, words("a")), (-1, words("c")), (-1, words("c")), (1, words("b"))]  # 0 is -1 here, and first
+
+
 def test_queries_match_sql(spark, sf, duck):
     from conftest import same_rows
 
