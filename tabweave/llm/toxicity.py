@@ -3,9 +3,9 @@
 The labels mark documents, so tokens are labelled from a bounded sample of them: a word, or a beginning of words, is taken
 for toxic where it stands in far more distinct contexts of toxic documents than of others (contexts, not documents, so that
 copies of one text count once). The field has two states; a token's score comes from hashed weights of the word, its
-beginnings and its neighbours. It is fitted on the sample by full-batch gradient ascent. Every text is then scored whole:
-forward-backward marginals give offending offsets, and a logistic curve over their sum, highest values and density gives
-the document's score.
+beginnings and its neighbours. It is fitted on the sample by full-batch gradient ascent: forward-backward gives the expected
+states and pairs of states, summed over the executors. Every text is then scored whole: marginals give offending offsets,
+and a logistic curve over their sum, highest values and density gives the document's score.
 """
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATED, Words, fold, mix, pieces
+from .common import PUNCTUATED, Words, fold, mix, pieces, staged
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
 SAMPLE = 1200
@@ -22,6 +22,10 @@ FEATURE_BITS = 19
 PREFIXES = (5, 6, 7)
 KINDS = 3 + len(PREFIXES)
 BLOCK = 64
+#: Tokens of a text that are learnt from as one chain; a longer text is several.
+SEGMENT = 4096
+#: Tasks that the sample is dealt to.
+TASKS = 6
 #: A word's (or beginning's) share of contexts in toxic documents against that in others, the fewest toxic documents that have
 #: it, and the greatest chance that as many would have it if toxic documents had it no more often than others, to be taken for toxic.
 RATIO, DOCUMENTS, CHANCE = 8.0, 5, 1e-4
@@ -49,7 +53,7 @@ def _features(words: Words, units: list[np.ndarray]) -> np.ndarray:
     before[some] = edge
     after[np.append(some[1:], len(h))[: len(some)] - 1] = edge
     shift = np.uint64(64 - FEATURE_BITS)
-    return np.stack([(mix(x + np.uint64(i)) >> shift).astype(np.int64) + (i << FEATURE_BITS) for i, x in enumerate((*units, before, after))])
+    return np.stack([(mix(x + np.uint64(i)) >> shift).astype(np.int32) + np.int32(i << FEATURE_BITS) for i, x in enumerate((*units, before, after))])
 
 
 def _blocks(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,91 +64,70 @@ def _blocks(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(of[:-1], k) + rank * BLOCK, rank
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Probability of state 1 at every token of chains given by of; unary: the score of state 1 over state 0.
+def expectations(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of state 1 at every token of chains given by of, and the expected number of each pair of adjacent states.
 
-    Blocks run side by side: products of their 2x2 matrices give the message into each, then each is walked from there.
+    unary: the score of state 1 over state 0; trans: the score of a state (row) before another. Blocks run side by side:
+    products of their 2x2 matrices give the message into each from either side, then each is walked from there.
     """
     if not len(unary):
-        return unary
+        return unary, np.zeros((2, 2))
     start, rank = _blocks(of)
     end = np.minimum(start + BLOCK, np.repeat(of[1:], -(-np.diff(of) // BLOCK)))
     at = start[:, None] + np.arange(BLOCK)
     real = at < end[:, None]
-    e = np.where(real, np.exp(np.clip(unary[np.minimum(at, len(unary) - 1)], -30, 30)), 1.0)
+    e = np.ones((*real.shape, 2))
+    e[..., 1] = np.where(real, np.exp(np.clip(unary[np.minimum(at, len(unary) - 1)], -30, 30)), 1.0)
     t = np.exp(trans)
+    move = np.where(real[:, :, None, None], t, np.eye(2))  # identity beyond the end, and before a chain's first token
+    move[rank == 0, 0] = np.eye(2)
 
-    def step(k, m):  # rows m times the matrix at k; identity beyond the end
-        out = m @ t
-        out[..., 1] *= e[:, k].reshape(-1, *[1] * (m.ndim - 2))
-        out /= out.sum(axis=tuple(range(1, m.ndim)), keepdims=True)
-        return np.where(real[:, k].reshape(-1, *[1] * (m.ndim - 1)), out, m)
-
-    def back(k, m):
-        out = m * np.where(np.arange(2) == 1, e[:, k, None], 1.0) @ t.T
-        out /= out.sum(axis=1, keepdims=True)
-        return np.where(real[:, k, None], out, m)
+    def normal(x: np.ndarray) -> np.ndarray:
+        return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
-    product = np.broadcast_to(np.eye(2), (len(start), 2, 2)).copy()
+    product = np.broadcast_to(np.eye(2), (len(start), 2, 2))
     for k in range(BLOCK):
-        product = step(k, product)
+        product = normal(product @ (move[:, k] * e[:, k, None, :]))
     left, right = np.ones((len(start), 2)), np.ones((len(start), 2))
     for r in range(1, int(rank.max()) + 1):
         b = np.flatnonzero(rank == r)
-        v = np.einsum("bi,bij->bj", left[b - 1], product[b - 1])
-        left[b] = v / v.sum(axis=1, keepdims=True)
-    last = np.append(rank[1:] == 0, True)
-    height = np.empty_like(rank)
-    tops = np.flatnonzero(last)
+        left[b] = normal(np.einsum("bi,bij->bj", left[b - 1], product[b - 1]))
+    tops = np.flatnonzero(np.append(rank[1:] == 0, True))
     height = np.repeat(rank[tops], np.diff(np.append(-1, tops))) - rank
     for r in range(1, int(height.max()) + 1):
         b = np.flatnonzero(height == r)
-        v = np.einsum("bij,bj->bi", product[b + 1], right[b + 1])
-        right[b] = v / v.sum(axis=1, keepdims=True)
-    alpha = np.empty((BLOCK, len(start), 2))
-    m = left
+        right[b] = normal(np.einsum("bij,bj->bi", product[b + 1], right[b + 1]))
+    alpha = np.empty((BLOCK + 1, len(start), 2))
+    alpha[0] = left
     for k in range(BLOCK):
-        alpha[k] = m = step(k, m)
-    p = np.empty((len(start), BLOCK))
-    m = right
+        alpha[k + 1] = normal(np.einsum("bi,bij->bj", alpha[k], move[:, k]) * e[:, k])
+    p, pairs, beta = np.empty(real.shape), np.zeros((2, 2)), right
     for k in range(BLOCK - 1, -1, -1):
-        both = alpha[k] * m
-        p[:, k] = both[:, 1] / both.sum(axis=1)
-        m = back(k, m)
-    return p[real]
+        p[:, k] = normal(alpha[k + 1] * beta)[:, 1]
+        ahead = e[:, k] * beta
+        some = real[:, k] & ((rank > 0) | (k > 0))
+        pairs += normal(alpha[k][some, :, None] * t * ahead[some, None, :]).sum(axis=0)
+        beta = normal(np.einsum("bij,bj->bi", move[:, k], ahead))
+    return p[real], pairs
 
 
-def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, *(0.02 for _ in PREFIXES), 2.0, 2.0)) -> dict:
-    """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature. Transitions are learnt from expected pairs, taken as products of marginals."""
-    used, feats = np.unique(feats, return_inverse=True)  # weights of the features that occur, so memory follows the sample
-    feats = feats.reshape(KINDS, -1).astype(np.int32)
-    size, penalty = len(used), np.asarray(l2)[used >> FEATURE_BITS]
-    w, bias, trans = np.zeros(size), -4.0, np.zeros((2, 2))
-    m1, m2 = np.zeros(size + 5), np.zeros(size + 5)
-    inner = np.ones(len(y), bool)
-    inner[of[:-1][of[:-1] < of[1:]]] = False
-    pairs = np.flatnonzero(inner)
-    for step in range(1, steps + 1):
-        p = marginals(bias + sum(w[f] for f in feats), trans, of)
-        g = y - p
-        gw = sum(np.bincount(f, g, size) for f in feats) - penalty * w
-        gt = np.array([[(_state(y, pairs - 1, i) * _state(y, pairs, j)).sum() - (_state(p, pairs - 1, i) * _state(p, pairs, j)).sum() for j in (0, 1)] for i in (0, 1)])
-        grad = np.concatenate([gw, [g.sum()], gt.ravel()])
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w, bias, trans = w + move[:size], bias + move[size], trans + move[size + 1 :].reshape(2, 2)
-    full = np.zeros(KINDS << FEATURE_BITS, np.float32)
-    full[used] = w
-    return {"w": full, "bias": float(bias), "trans": trans}
+def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Probability of state 1 at every token."""
+    return expectations(unary, trans, of)[0]
 
 
-def _state(p: np.ndarray, at: np.ndarray, state: int) -> np.ndarray:
-    """Probability of a state at some tokens, from that of state 1 at all."""
-    return p[at] if state else 1 - p[at]
+def gradient(w: np.ndarray, bias: float, trans: np.ndarray, feats: np.ndarray, of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of the conditional log-likelihood of the states y, for the weights, the bias and the transitions: what is seen less what is expected."""
+    p, pairs = expectations(bias + sum(w[f] for f in feats).astype(float), trans, of)
+    inner = np.ones(len(y), bool)
+    inner[of[:-1][of[:-1] < of[1:]]] = False
+    at, state = np.flatnonzero(inner), y.astype(np.int64)
+    seen = np.bincount(2 * state[at - 1] + state[at], minlength=4).reshape(2, 2)
+    return sum(np.bincount(f, y - p, len(w)) for f in feats), float((y - p).sum()), seen - pairs
 
 
-def _document_features(p: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Of each text: the expected number of toxic tokens, its logarithm, the two highest marginals and the density."""
+def _sums_and_tops(p: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each chain: its tokens, the expected number of toxic ones, and the two highest marginals."""
     n = np.diff(of)
     some = n > 0
     total, top, second = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
@@ -156,6 +139,11 @@ def _document_features(p: np.ndarray, of: np.ndarray) -> np.ndarray:
         doc = np.searchsorted(of, peak, side="right") - 1
         rest[peak[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))]] = 0
         second[some] = np.maximum.reduceat(rest, begin)
+    return n, total, top, second
+
+
+def _document_features(n: np.ndarray, total: np.ndarray, top: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of each text: the logarithm of the expected number of toxic tokens, the two highest marginals and the density."""
     return np.stack([np.ones(len(n)), np.log(total + 0.02), top, second, np.log1p(1000 * total / np.maximum(n, 1))], axis=1)
 
 
@@ -182,59 +170,180 @@ def _chance(k: np.ndarray, other: np.ndarray, toxic_total: float, total: float)
     return out
 
 
-def _telling(unit: np.ndarray, word: np.ndarray, feats: np.ndarray, of: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether each token's unit stands in far more distinct contexts of toxic documents than of others, and in more of them than chance would have it.
+def _tokens(batches):
+    """Of each text, segments of at most SEGMENT tokens: hashed features, units and contexts, a row of each kind after the other."""
+    for batch in batches:
+        for piece in pieces(batch):
+            words = Words(piece.column("text"), PUNCTUATED)
+            units = _units(words)
+            feats = _features(words, units)
+            context = mix(words.hash ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
+            cuts = [(i, a, min(a + SEGMENT, hi)) for i, (lo, hi) in enumerate(zip(words.of[:-1], words.of[1:], strict=True)) for a in range(lo, max(hi, lo + 1), SEGMENT)]
+            row = pa.array([c[0] for c in cuts], pa.int64())
+            packed = [[x[..., a:b].tobytes() for _, a, b in cuts] for x in (feats, np.stack(units), context)]
+            yield pa.RecordBatch.from_arrays([piece.column("id").take(row), piece.column("toxic").take(row), *(pa.array(x, pa.binary()) for x in packed)], ["id", "toxic", "feats", "units", "contexts"])
+
+
+def _columns(batch: pa.RecordBatch, name: str, kind, rows: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind).reshape(rows, -1) for x in batch.column(name).to_pylist()]
+
+
+def _unit_rows(batches):
+    """A row for each context of a segment and each of its units."""
+    for batch in batches:
+        for i, (units, context) in enumerate(zip(_columns(batch, "units", np.uint64, 1 + len(PREFIXES)), _columns(batch, "contexts", np.int64, 1), strict=True)):
+            context, at = np.unique(context[0], return_index=True)
+            for k, unit in enumerate(units[:, at].view(np.int64)):
+                some = np.flatnonzero(unit)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(n, i))), batch.column("toxic").take(pa.array(np.full(n, i))), pa.array(np.full(n, k, np.int32)), pa.array(unit[some]), pa.array(context[some])], ["id", "toxic", "k", "unit", "context"])
+
+
+def _telling(segments: DataFrame, kind: str, y: np.ndarray) -> list[np.ndarray]:
+    """For each kind of unit, those that stand in far more distinct contexts of toxic documents than of others, and in more of them than chance would have it.
 
     The test is one of the unit's own counts, so a unit of a rare language or topic is judged as one of a common one is.
-    Documents count by their distinct contexts of the unit, so that copies of one text count once.
+    A context counts once among toxic documents and once among others, for its smallest id, so that copies of one text count once.
     """
-    context = mix(word ^ mix(feats[-2].astype(np.uint64)) ^ mix(feats[-1].astype(np.uint64) << np.uint64(20)))
-    _, first = np.unique(np.where(toxic, context, ~context), return_index=True)
-    kinds, back = np.unique(unit, return_inverse=True)
-    count = [np.bincount(back[first][toxic[first] == v], minlength=len(kinds)) for v in (False, True)]
-    ratio = (count[1] / max(1, count[1].sum())) / ((count[0] + 1) / max(1, count[0].sum()))
-    text = np.repeat(np.arange(len(y)), np.diff(of))
-    pair = np.unique(back[first] * len(y) + text[first])
-    of_toxic = y[pair % len(y)] > 0
-    having = [np.bincount(pair[of_toxic == v] // len(y), minlength=len(kinds)) for v in (False, True)]
-    sure = _chance(having[1], having[0], float((y > 0).sum()), len(y)) <= CHANCE
-    return ((ratio >= RATIO) & (having[1] >= DOCUMENTS) & sure & (kinds != 0))[back]
+    rows = segments.mapInArrow(_unit_rows, f"id {kind}, toxic double, k int, unit long, context long")
+    once = staged(rows.groupBy("k", "unit", "context", "toxic").agg(F.min("id").alias("id")), "contexts")
+    of = lambda v: [F.sum((F.col("toxic") == v).cast("long")), F.countDistinct(F.when(F.col("toxic") == v, F.col("id")))]
+    names = ["others", "clean_docs", "bad", "bad_docs"]
+    counts = once.groupBy("k", "unit").agg(*(c.alias(n) for c, n in zip([*of(0), *of(1)], names, strict=True)))
+    totals = {r["k"]: r for r in once.groupBy("k").agg(of(0)[0].alias("others"), of(1)[0].alias("bad")).collect()}
+    share = F.coalesce(*(F.when(F.col("k") == k, F.lit(max(1, r["others"]) / max(1, r["bad"]))) for k, r in totals.items()), F.lit(1.0))
+    some = counts.where((F.col("bad_docs") >= DOCUMENTS) & (F.col("bad") * share >= RATIO * (F.col("others") + 1))).toPandas()
+    sure = _chance(some["bad_docs"].to_numpy(np.int64), some["clean_docs"].to_numpy(np.int64), float((y > 0).sum()), len(y)) <= CHANCE
+    return [np.sort(some["unit"].to_numpy(np.int64)[sure & (some["k"] == k).to_numpy()].view(np.uint64)) for k in range(1 + len(PREFIXES))]
+
+
+def _learnable(used: np.ndarray, telling: list[np.ndarray]):
+    """Each segment with its features as places in used (the last place for all others) and the states of its tokens."""
+
+    def run(batches):
+        for batch in batches:
+            feats, states = [], []
+            toxic = batch.column("toxic").to_numpy()
+            for i, (f, units) in enumerate(zip(_columns(batch, "feats", np.int32, KINDS), _columns(batch, "units", np.uint64, 1 + len(PREFIXES)), strict=True)):
+                at = np.minimum(np.searchsorted(used, f), len(used) - 1)
+                feats.append(np.where(used[at] == f, at, len(used)).astype(np.int32).tobytes())
+                states.append((np.logical_or.reduce([np.isin(u, t) for u, t in zip(units, telling, strict=True)]) & (toxic[i] > 0)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(feats, pa.binary()), pa.array(states, pa.binary())], ["id", "toxic", "feats", "states"])
+
+    return run
+
+
+def _chains(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    feats = _columns(batch, "feats", np.int32, KINDS)
+    return np.concatenate(feats, axis=1), np.append(0, np.cumsum([f.shape[1] for f in feats]))
+
+
+def _sums(w: np.ndarray, bias: float, trans: np.ndarray):
+    """One row for each task: the gradient over its segments."""
+
+    def run(batches):
+        total = np.zeros(len(w) + 5)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                feats, of = _chains(part)
+                y = np.concatenate([np.frombuffer(x, bool) for x in part.column("states").to_pylist()]).astype(float)
+                gw, gb, gt = gradient(w, bias, trans, feats, of, y)
+                total += np.concatenate([gw, [gb], gt.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def _fit_field(learnable: DataFrame, used: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, *(0.02 for _ in PREFIXES), 2.0, 2.0)) -> dict:
+    """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature; every step sums gradients over the tasks."""
+    size, penalty = len(used), np.asarray(l2)[used >> FEATURE_BITS]
+    all_w, m1, m2 = np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
+    all_w[size] = -4.0
+    for step in range(1, steps + 1):
+        w = np.append(all_w[:size], 0.0)  # the last place has no weight
+        grad = np.zeros(size + 6)
+        for r in learnable.mapInArrow(_sums(w.astype(np.float32), all_w[size], all_w[size + 1 :].reshape(2, 2)), "sums binary").collect():
+            grad += np.frombuffer(r["sums"])
+        grad = np.delete(grad, size)
+        grad[:size] -= penalty * all_w[:size]
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
+        all_w = all_w + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    full = np.zeros(KINDS << FEATURE_BITS, np.float32)
+    full[used] = all_w[:size]
+    return {"w": full, "bias": float(all_w[size]), "trans": all_w[size + 1 :].reshape(2, 2)}
+
+
+def _measured(model: dict, used: np.ndarray):
+    """Of each segment: its tokens, the expected number of toxic ones, and the two highest marginals."""
+
+    def run(batches):
+        w = np.append(model["w"][used], np.float32(0))
+        for batch in batches:
+            feats, of = _chains(batch)
+            p = marginals(model["bias"] + sum(w[f] for f in feats).astype(float), model["trans"], of)
+            x = _sums_and_tops(p, of)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *(pa.array(c) for c in x)], ["id", "toxic", "n", "total", "top", "second"])
+
+    return run
+
+
+def _some(docs: DataFrame, labels: DataFrame, text: str, id_col: str, sample: int) -> DataFrame:
+    """(id, text, toxic) of the sample; of texts that share an id, the one of the least hash."""
+    known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("double").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
+    some = picked[0].unionByName(picked[1])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
     """Fits field and curve on at most `sample` labelled documents of each class; rows without text or label are no use.
 
-    Without labelled rows of both classes the field is flat and every score is the share of toxic labels.
+    The sample's features are staged by the executors, and every step of the fit sums its gradient there, so the driver
+    holds the weights of features that occur twice or more, and no texts. Without labelled rows of both classes the field is
+    flat and every score is the share of toxic labels.
     """
-    labels = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    picked = [labels.where(F.col("toxic") == v).orderBy(F.xxhash64(id_col), id_col).limit(sample) for v in (0, 1)]
-    some = F.broadcast(picked[0].unionByName(picked[1]).select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")))
-    rows = docs.join(some, docs[id_col] == F.col("_id")).dropDuplicates(["_id"]).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("_toxic").cast("double").alias("toxic")).toArrow()
-    y = rows.column("toxic").to_numpy()
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = staged(_some(docs, labels, text, id_col, sample), "sample")
+    y = np.array([r["toxic"] for r in rows.select("toxic").collect()])
     flat = {"w": np.zeros(KINDS << FEATURE_BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2))}
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.01
     if not 0 < y.sum() < len(y):
         return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
-    parts, ends = [], [np.zeros(1, np.int64)]
-    for piece in (p for batch in rows.to_batches() for p in pieces(batch)):
-        words = Words(piece.column("text"), PUNCTUATED)
-        units = _units(words)
-        parts.append((np.stack(units), _features(words, units).astype(np.int32)))
-        ends.append(words.of[1:] + ends[-1][-1])
-    units, feats = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
-    of = np.concatenate(ends)
-    toxic = np.repeat(y, np.diff(of)) > 0
-    token_y = (toxic & np.logical_or.reduce([_telling(u, units[0], feats, of, toxic, y) for u in units])).astype(float)
-    del parts, units
-    model = _fit_field(feats, of, token_y)
-    p = marginals(model["bias"] + sum(model["w"][f] for f in feats), model["trans"], of)
-    return model | {"beta": _fit_curve(_document_features(p, of), y)}
+    segments = staged(rows.repartition(TASKS).mapInArrow(_tokens, f"id {kind}, toxic double, feats binary, units binary, contexts binary"), "segments")
+    telling = _telling(segments, kind, y)
+    times = np.zeros(KINDS << FEATURE_BITS, np.uint8)
+    for r in segments.mapInArrow(_often, "once binary, again binary").collect():
+        for place, least in (("once", 1), ("again", 2)):
+            at = np.frombuffer(r[place], np.int32)
+            times[at] = np.minimum(times[at] + least, 2)
+    used = np.flatnonzero(times > 1).astype(np.int32)
+    if not len(used) or not any(len(t) for t in telling):
+        return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
+    learnable = staged(segments.mapInArrow(_learnable(used, telling), f"id {kind}, toxic double, feats binary, states binary"), "learnable")
+    model = _fit_field(learnable, used)
+    measured = learnable.mapInArrow(_measured(model, used), f"id {kind}, toxic double, n long, total double, top double, second double")
+    highest = F.sort_array(F.flatten(F.collect_list(F.array("top", "second"))), asc=False)
+    docs_of = measured.groupBy("id", "toxic").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), highest.alias("tops")).select("toxic", "n", "total", F.col("tops")[0].alias("top"), F.col("tops")[1].alias("second")).toPandas()
+    x = _document_features(*(docs_of[c].to_numpy(float) for c in ("n", "total", "top", "second")))
+    return model | {"beta": _fit_curve(x, docs_of["toxic"].to_numpy(float))}
+
+
+def _often(batches):
+    """The task's features that occur there once, and those that do so again."""
+    times = np.zeros(KINDS << FEATURE_BITS, np.uint8)
+    for batch in batches:
+        for f in _columns(batch, "feats", np.int32, KINDS):
+            at, n = np.unique(f, return_counts=True)
+            times[at] = np.minimum(times[at] + np.minimum(n, 2), 2)
+    yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(times == k).astype(np.int32).tobytes()], pa.binary()) for k in (1, 2)], ["once", "again"])
 
 
 def _apply(model: dict, texts: pa.Array):
     words = Words(texts, PUNCTUATED)
     p = marginals(model["bias"] + sum(model["w"][f] for f in _features(words, _units(words))).astype(float), model["trans"], words.of)
-    score = 1 / (1 + np.exp(-np.clip(_document_features(p, words.of) @ model["beta"], -30, 30)))
+    score = 1 / (1 + np.exp(-np.clip(_document_features(*_sums_and_tops(p, words.of)) @ model["beta"], -30, 30)))
     return words, p, score
 
 

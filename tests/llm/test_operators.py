@@ -271,7 +271,7 @@ def test_marginals():
         if a == b:
             continue
         e = np.stack([np.ones(b - a), np.exp(unary[a:b])], axis=1)
-        forward, back = [np.exp(trans).sum(0) * e[0]], [np.ones(2)]
+        forward, back = [e[0]], [np.ones(2)]  # no move into the first token
         for k in range(1, b - a):
             m = forward[-1] @ np.exp(trans) * e[k]
             forward.append(m / m.sum())
@@ -282,6 +282,39 @@ def test_marginals():
         assert got[a:b] == pytest.approx(both[:, 1] / both.sum(1))
 
 
+def test_field_gradient():
+    """The gradient is that of the likelihood: differences of it, each path's score being summed by itself."""
+    r = np.random.default_rng(2)
+    of, feats = np.array([0, 5, 5, 6, 11]), r.integers(0, 4, size=(2, 11))
+    y = r.integers(0, 2, 11).astype(float)
+
+    def likelihood(x):
+        w, bias, trans = x[:4], x[4], x[5:].reshape(2, 2)
+        unary, out = bias + w[feats].sum(0), 0.0
+        for a, b in zip(of[:-1], of[1:], strict=True):
+            score = lambda path, a=a, b=b: sum(u * s for u, s in zip(unary[a:b], path, strict=True)) + sum(trans[i, j] for i, j in zip(path, path[1:], strict=False))
+            out += score(y[a:b].astype(int).tolist()) - math.log(sum(math.exp(score([k >> i & 1 for i in range(b - a)])) for k in range(1 << b - a)))
+        return out
+
+    x = r.normal(size=9)
+    gw, gb, gt = toxicity.gradient(x[:4], x[4], x[5:].reshape(2, 2), feats, of, y)
+    step = 1e-6 * np.eye(9)
+    assert np.concatenate([gw, [gb], gt.ravel()]) == pytest.approx([(likelihood(x + s) - likelihood(x - s)) / 2e-6 for s in step], abs=1e-5)
+
+
+def test_toxicity_query(spark):
+    """Every document once, folds as asked for, learnt from the other folds alone, and held-out labels told."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = toxicity.op5_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    assert all(0 <= s.start < s.end <= len(docs[r.doc_id]) and not docs[r.doc_id][s.start : s.end].isspace() for r in got for s in r.spans)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in got if r.held_out and r.doc_id in toxic]
+    assert held and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(1)
     make = lambda bad: " ".join(r.choice(["vile", "foul", "nasty"]) + "," if bad and r.random() < 0.1 else f"w{r.randint(0, 300)}" for _ in range(80))
