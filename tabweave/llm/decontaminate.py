@@ -1,129 +1,105 @@
 """Operator 7: benchmark passages found by spaced seeds, in DataFrame functions alone.
 
-A seed is a mask over SPAN words that leaves some out, so a substituted word does not hide a passage. Seeds of every
-position of every text are joined with those of the benchmark; around a hit, windows of WINDOW words that hold the seed
-are compared word by word at the same alignment, and one with at most two words different is a leak. The seeds of a
-small benchmark (its rows are counted) are broadcast; those of a larger one are joined by shuffling.
-
-The query's two masks are fixed, and miss some windows with two words different. The pipeline's stage takes WHOLE instead:
-masks of two of four equal blocks, two of which any two exchanged words leave whole, so no such window is missed, and
-items too short for the query are found word for word.
+A passage is a window of WINDOW words of an item that stands in a text with at most ODD words exchanged; of an item with
+SHORT to WINDOW words, the whole item with as many exchanged; of a shorter one, the whole item word for word (and one under
+ALONE words must be the whole text, as a few words occur anywhere). A seed is a fixed mask over some words that leaves the
+others out. The masks are two of four equal blocks: exchanged words leave two of the blocks whole, so every passage holds
+a seed, and none is missed.
+
+All masks of a benchmark begin with the same few words, so a first, cheap join keeps the positions of the texts where
+such a beginning stands; seeds are made for these alone and joined with those of the benchmark. Around a hit, the windows
+that hold the seed are compared word by word at the same alignment. Seeds of a small benchmark (they are counted) are
+broadcast; those of a larger one are shuffled, and words follow the hits alone. Both ways give the same rows.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
-#: Fixed masks: the positions compared.
-MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 5, 7, 8))
-SPAN, WINDOW, SAME = 9, 13, 11
-#: Two of four blocks of three words (of two words, for items under 12 words); equal distances between blocks are one mask.
-LONG = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
-SHORT = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7))
-#: Items of fewer words than this are found only where they are the whole text, as a few words occur anywhere.
-ALONE = 4
+WINDOW, ODD, SHORT, ALONE = 13, 2, 9, 4
+#: Fixed masks, the positions compared: blocks of three words for items of twelve words or more, of two words for others from
+#: SHORT. Equal distances between blocks are one mask.
+LONG_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7))
 #: Most seeds that are broadcast.
 BROADCAST_SEEDS = 1_000_000
 
+# Explodes are outer ones, as Spark tests the array of an inner one for emptiness first, which computes it again.
+
 
 def _words(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _seeds(words: Column, hashes: Column) -> Column:
-    """One array for each mask: the seed at every position where a whole span fits."""
-    at = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.greatest(F.size(words) - SPAN, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+def _masks(sizes: list[int]) -> list[tuple[int, tuple, int, int]]:
+    """(number, mask, least and most words of the items it is for) for items of these sizes."""
+    out = [(k, m, 12, 1 << 30) for k, m in enumerate(LONG_MASKS) if any(x >= 12 for x in sizes)]
+    out += [(10 + k, m, SHORT, 11) for k, m in enumerate(SHORT_MASKS) if any(SHORT <= x < 12 for x in sizes)]
+    return out + [(20 + x, tuple(range(x)), x, x) for x in sizes if x < SHORT]
 
-    def of(k: int, mask: tuple) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *(F.get(hashes, i + j) for j in mask)))
 
-    return F.flatten(F.array(*(of(k, mask) for k, mask in enumerate(MASKS))))
+def _positions(n: Column, span: int) -> Column:
+    return F.when(n >= span, F.sequence(F.lit(0), F.greatest(n - span, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def _seeded(rows: DataFrame, *keep: str) -> DataFrame:
-    """The rows with words, and one row per seed: its hash and position; a row without seeds gives one with nulls.
+def _seed(k: int, mask: tuple, hashes: Column, at: Column) -> Column:
+    return F.xxhash64(F.lit(k), *(F.get(hashes, at + j) for j in mask))
 
-    The explode is an outer one, as Spark tests the array of an inner one for emptiness first, which computes it again.
-    """
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    rows = rows.select(*keep, "words", _seeds(F.col("words"), F.col("hashes")).alias("seeds"))
-    n = F.size("words") - (SPAN - 1)
-    return rows.select(*keep, "words", F.posexplode_outer("seeds").alias("k", "seed")).withColumn("at", F.expr("k") % n).drop("k")
 
+def _lead(hashes: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(hashes, at + j) for j in range(size)))
 
-def _same_window(doc: Column, item: Column, at: Column, item_at: Column) -> Column:
-    """A window of WINDOW words of the item (or all of a shorter one) that holds the seed and differs from the text in at most WINDOW - SAME."""
-    size = F.least(F.lit(WINDOW), F.size(item))
-    first, last = F.greatest(item_at + SPAN - size, F.lit(0)), F.least(item_at, F.size(item) - size)
-    shift = at - item_at
 
-    def matches(start: Column) -> Column:
-        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (start + j + shift >= 0) & F.get(doc, F.greatest(start + j + shift, F.lit(0))).eqNullSafe(F.get(item, start + j)))
-        return F.size(equal) >= size - (WINDOW - SAME)
+def _matches(doc: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
+    """Where the item's windows begin that hold the seed and stand in the text at the same alignment."""
+    n = F.size(item)
+    size, allowed = F.least(F.lit(WINDOW), n), F.when(n < SHORT, 0).otherwise(ODD)
+    first, last = F.greatest(item_at + span - size, F.lit(0)), F.least(item_at, n - size)
 
-    return F.exists(F.sequence(first, last), matches)
+    def same(start: Column) -> Column:
+        begin = start + at - item_at
+        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: F.get(doc, F.greatest(begin + j, F.lit(0))).eqNullSafe(F.get(item, start + j)))
+        return (begin >= 0) & (begin + size <= F.size(doc)) & (F.size(equal) >= size - allowed) & ((n >= ALONE) | (F.size(doc) == n))
 
+    return F.filter(F.sequence(first, last), same)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id, n_hits, first_word, last_word): texts that hold a passage of an item, and where its hits begin.
 
-    Items under SPAN words are too short to be evidence, and null texts hold nothing. Equal items are each reported;
-    rows that repeat an id are reported as one, with the hits of all; rows with a null id are reported under it.
+def passages(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(*key, item, item_start, start, size): every passage of an item (named by a hash of its words) in the texts, once; starts count words.
+
+    key: columns that name a text; rows that share them all must have equal texts, and count as one. Null texts and
+    items hold no words. An empty benchmark, or one without words, is found nowhere.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN).distinct()
-    items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("words"))
-    known = _seeded(items, "item").select("item", "seed", F.col("at").alias("item_at"))
-    items = items.select("item", "item_id", F.col("words").alias("item_words"))
-    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:  # which bounds the items' words too
-        hits = _seeded(texts, "doc_id").join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
-    else:  # words follow the hits alone
-        texts = staged(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
-        hits = _seeded(texts, "row").drop("words").join(known, "seed").join(texts, "row").join(items, "item")
-    # Windows are compared within the aggregate: as a condition of the join they would keep it, and the explode before it,
-    # from running as one compiled loop, and every seed of a text would be copied with all of the text's words.
-    at = F.when(_same_window(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at")), F.col("at"))
-    found = hits.groupBy("doc_id", "item_id").agg(F.count(at).alias("n_hits"), F.min(at).cast("long").alias("first_word"), F.max(at).cast("long").alias("last_word"))
-    return found.where("n_hits > 0")
-
-
-def _whole_seeds(words: Column, sizes: list[int], is_item: bool) -> Column:
-    """Structs (seed, at, span) of all masks that items of these sizes need; an item's own are those of its size."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-
-    def of(hashes: Column, k: int, mask: tuple, fits: Column | bool) -> Column:
-        span = mask[-1] + 1
-        at = F.when(F.lit(fits) & (n >= span), F.sequence(F.lit(0), F.greatest(n - span, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(k), *(F.get(hashes, i + j) for j in mask)).alias("seed"), i.alias("at"), F.lit(span).alias("span")))
-
-    def every(hashes: Column) -> Column:
-        parts = []
-        if any(x >= 12 for x in sizes):
-            parts += [of(hashes, k, mask, n >= 12 if is_item else True) for k, mask in enumerate(LONG)]
-        if any(SPAN <= x < 12 for x in sizes):
-            parts += [of(hashes, 10 + k, mask, (n >= SPAN) & (n < 12) if is_item else True) for k, mask in enumerate(SHORT)]
-        parts += [of(hashes, 20 + x, tuple(range(x)), n == x if is_item or x < ALONE else True) for x in sizes if x < SPAN]
-        return F.flatten(F.array(*parts))
-
-    # an array of one, so that the words are hashed once and not for each mask
-    return F.flatten(F.transform(F.array(hashes), every))
-
-
-def _whole_window(doc: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
-    """As _same_window, for seeds of any span; an item under SPAN words must be there word for word."""
-    size = F.least(F.lit(WINDOW), F.size(item))
-    allowed = F.when(F.size(item) < SPAN, 0).otherwise(WINDOW - SAME)
-    first, last = F.greatest(item_at + span - size, F.lit(0)), F.least(item_at, F.size(item) - size)
-    shift = at - item_at
-
-    def matches(start: Column) -> Column:
-        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (start + j + shift >= 0) & F.get(doc, F.greatest(start + j + shift, F.lit(0))).eqNullSafe(F.get(item, start + j)))
-        return F.size(equal) >= size - allowed
-
-    return F.exists(F.sequence(first, last), matches)
+    items = benchmark.select(_words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0).distinct().withColumn("item", F.xxhash64("item_words"))
+    masks = _masks(sorted(r[0] for r in items.select(F.least(F.size("item_words"), F.lit(12)).alias("n")).distinct().collect()))
+    texts = docs.select(*key, _words(F.col(text)).alias("words"))
+    if not masks:
+        return texts.select(*key, *(F.lit(0).cast(t).alias(c) for c, t in (("item", "long"), ("item_start", "int"), ("start", "int"), ("size", "int")))).limit(0)
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    lead = min(next((i for i, j in enumerate(m) if i != j), len(m)) for _, m, _, _ in masks)
+    n = F.size("item_words")
+
+    def own(k: int, mask: tuple, low: int, high: int) -> Column:
+        def seed(i: Column) -> Column:
+            return F.struct(_seed(k, mask, F.col("hashes"), i).alias("seed"), _lead(F.col("hashes"), i, lead).alias("lead"), i.alias("item_at"), F.lit(mask[-1] + 1).alias("span"))
+
+        return F.when(n.between(low, high), F.transform(_positions(n, mask[-1] + 1), seed))
+
+    some = F.array().cast("array<struct<seed:bigint,lead:bigint,item_at:int,span:int>>")
+    known = items.withColumn("hashes", hashed("item_words")).select("item", F.explode_outer(F.flatten(F.array(*(F.coalesce(own(*m), some) for m in masks)))).alias("x")).select("item", "x.*").where("seed IS NOT NULL")
+    small = known.limit(broadcast_seeds + 1).count() <= broadcast_seeds  # which bounds the items' words too
+    near = F.broadcast if small else lambda df: df
+    begins = texts.withColumn("hashes", hashed("words"))
+    begins = begins.select(*key, *["words"] * small, "hashes", F.posexplode_outer(F.transform(_positions(F.size("hashes"), lead), lambda i: _lead(F.col("hashes"), i, lead))).alias("at", "lead"))
+    begins = begins.join(near(known.select("lead").distinct()), "lead", "left_semi")
+    seeds = F.array(*(F.when(F.col("at") + m[-1] < F.size("hashes"), _seed(k, m, F.col("hashes"), F.col("at"))) for k, m, _, _ in masks))
+    hits = begins.select(*key, *["words"] * small, "at", F.explode_outer(seeds).alias("seed")).join(near(known.drop("lead")), "seed")
+    if not small:
+        named = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
+        owners = texts.dropDuplicates(key).select(*(F.col(c).alias(f"_of_{c}") for c in key), "words")
+        hits = hits.drop("seed").distinct().join(owners, named).drop(*(f"_of_{c}" for c in key))
+    found = hits.join(near(items), "item").select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift"), F.least(F.lit(WINDOW), F.size("item_words")).alias("size"), F.explode_outer(_matches(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at"), F.col("span"))).alias("item_start"))
+    return found.where("item_start IS NOT NULL").select(*key, "item", "item_start", (F.col("item_start") + F.col("shift")).alias("start"), "size").distinct()
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -132,34 +108,24 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), text).alias("_leak_h"), F.xxhash64(F.lit(2), text).alias("_leak_g")]
 
 
-def leaky_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, least_words: int = ALONE) -> DataFrame:
-    """(_leak_h, _leak_g): keys of the texts that hold a passage of an item, none missed.
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, item_id, n_windows, first_word, last_word): documents that hold passages of an item, how many, and the words from the first to the last.
 
-    A passage is a window of WINDOW words, or all of an item of SPAN words or more, with at most two words different, or all
-    words of a shorter item; an item under ALONE words must be the whole text. Items under least_words words are not looked for.
+    Rows that repeat id and text are one document; of rows that share the id alone, each text counts. Rows with a null id
+    are reported under it. Items of equal words are each reported, with a null id too.
     """
-    items = benchmark.select(_words(F.col(item_text)).alias("words")).where(F.size("words") >= max(1, least_words)).distinct()
-    items = items.withColumn("item", F.xxhash64("words"))
-    sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(12))).distinct().collect())
-    texts = docs.select(*_text_key(F.col(text)), _words(F.col(text)).alias("words"))
-    if not sizes:
-        return texts.select("_leak_h", "_leak_g").limit(0)
-    known = items.select("item", F.explode(_whole_seeds(F.col("words"), sizes, True)).alias("x")).select("item", "x.seed", F.col("x.at").alias("item_at"), "x.span")
-    items = items.select("item", F.col("words").alias("item_words"))
-    key = ["_leak_h", "_leak_g"]
-    seeded = texts.select(*key, "words", F.explode_outer(_whole_seeds(F.col("words"), sizes, False)).alias("x")).select(*key, "words", "x.seed", "x.at")
-    if known.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = seeded.join(F.broadcast(known), "seed").join(F.broadcast(items), "item")
-    else:  # words follow the hits alone
-        hits = seeded.drop("words").join(known, "seed").distinct().join(texts.dropDuplicates(key), key).join(items, "item")
-    same = _whole_window(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at"), F.col("span"))
-    return hits.groupBy(*key).agg(F.max(same).alias("found")).where("found").select(*key)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", broadcast_seeds: int = BROADCAST_SEEDS, least_words: int = ALONE) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *_text_key(F.col(text)))
+    found = passages(rows, benchmark, ["doc_id", "_leak_h", "_leak_g"], "text", item_text, broadcast_seeds)
+    names = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(_words(F.col(item_text))).alias("item")).distinct()
+    by = found.groupBy("doc_id", "_leak_h", "_leak_g", "item").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max(F.col("start") + F.col("size") - 1).alias("last"))
+    return by.join(names, "item").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The rows, with all their columns, whose text holds no passage of the benchmark, whatever their id."""
-    found = leaky_texts(docs, benchmark, text, broadcast_seeds=broadcast_seeds, least_words=least_words)
-    return docs.withColumns(dict(zip(("_leak_h", "_leak_g"), _text_key(F.col(text)), strict=True))).join(found, ["_leak_h", "_leak_g"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.col(text).alias("text"), *_text_key(F.col(text)))
+    found = passages(rows, benchmark, ["_leak_h", "_leak_g"], "text", broadcast_seeds=broadcast_seeds).select("_leak_h", "_leak_g").distinct()
+    return docs.select(F.struct(*docs.columns).alias("_doc"), *_text_key(F.col(text))).join(found, ["_leak_h", "_leak_g"], "left_anti").select("_doc.*")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -168,22 +134,22 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
-def _seed_sql(table: str, key: str) -> str:
-    parts = (f"SELECT {key}, w, p AS sp, {k} AS mask, [{', '.join(f'w[p + {j + 1}]' for j in m)}] AS seed FROM {table}, unnest(range(len(w) - {SPAN - 1})) AS t(p)" for k, m in enumerate(MASKS))
-    return " UNION ALL ".join(parts)
+def _words_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}"
 
 
+# Without seeds: equal words give alignments, and every window is compared at those with enough of them.
 OP7_SQL = f"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS ({_seed_sql('d', 'doc_id')}), bs AS ({_seed_sql('b', 'item_id')}),
-hits AS (
-  SELECT ds.doc_id, bs.item_id, ds.sp, ds.w AS dw, bs.w AS bw, ds.sp - bs.sp AS shift, bs.sp AS bat, least({WINDOW}, len(bs.w)) AS size
-  FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
-), good AS (
-  SELECT doc_id, item_id, sp FROM hits
-  WHERE len(list_filter(range(greatest(bat + {SPAN} - size, 0), least(bat, len(bw) - size) + 1),
-        lambda s: len(list_filter(range(size), lambda j: s + j + shift >= 0 AND dw[greatest(s + j + shift, 0) + 1] = bw[s + j + 1])) >= size - {WINDOW - SAME})) > 0
+WITH d AS (SELECT row_number() OVER () AS d, * FROM (SELECT DISTINCT * FROM ({_words_sql('documents', 'doc_id, text')}))),
+b AS (SELECT row_number() OVER () AS b, len(w) AS n, least({WINDOW}, len(w)) AS size, CASE WHEN len(w) < {SHORT} THEN 0 ELSE {ODD} END AS odd, * FROM (SELECT DISTINCT * FROM ({_words_sql('benchmark', 'item_id')}) WHERE len(w) > 0)),
+dw AS (SELECT d, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+bw AS (SELECT b, size - odd AS least, unnest(w) AS x, unnest(range(len(w))) AS p FROM b),
+aligned AS (SELECT d, b, dw.p - bw.p AS shift, least FROM dw JOIN bw ON dw.x = bw.x GROUP BY ALL HAVING count(*) >= least),
+starts AS (SELECT d.doc_id, b.item_id, d.w AS dw, b.w AS bw, n, size, odd, shift, unnest(range(n - size + 1)) AS s FROM aligned JOIN d USING (d) JOIN b USING (b)),
+good AS (
+  SELECT doc_id, item_id, s + shift AS a, size FROM starts
+  WHERE s + shift >= 0 AND s + shift + size <= len(dw) AND (n >= {ALONE} OR len(dw) = n)
+    AND len(list_filter(range(size), lambda j: dw[s + shift + j + 1] = bw[s + j + 1])) >= size - odd
 )
-SELECT doc_id, item_id, count(*) AS n_hits, min(sp)::BIGINT AS first_word, max(sp)::BIGINT AS last_word FROM good GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min(a)::BIGINT AS first_word, max(a + size - 1)::BIGINT AS last_word FROM good GROUP BY doc_id, item_id
 """

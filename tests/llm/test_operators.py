@@ -394,9 +394,9 @@ def test_decontaminate(spark, docs, none):
     table = docs.unionByName(spark.createDataFrame([(i, t, "p", "r", "w", "h", "s", "q") for i, t in cases], SCHEMA))
     for most in (decontaminate.BROADCAST_SEEDS, 3):
         found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table, bench, broadcast_seeds=most).collect()}
-        assert found == {(1000, 1), (1001, 1), (1004, 2), (1006, 1)}
+        assert found == {(1000, 1), (1001, 1), (1004, 2), (1005, 3), (1006, 1)}
     clean = decontaminate.decontaminate(table, bench)
-    assert clean.count() == table.count() - 4 and clean.columns == table.columns
+    assert clean.count() == table.count() - 5 and clean.columns == table.columns
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
@@ -417,16 +417,41 @@ def test_decontaminate_misses_nothing(spark):
     data.append((7, "aa i2w0 i2w1 bb", False))
     table = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
     for most in (decontaminate.BROADCAST_SEEDS, 3):
-        kept = Counter(r.text for r in decontaminate.decontaminate(table, bench, broadcast_seeds=most, least_words=1).collect())
+        kept = Counter(r.text for r in decontaminate.decontaminate(table, bench, broadcast_seeds=most).collect())
         assert kept == Counter(t for _, t, leak in data if not leak)
 
 
 def test_leaks_by_either_join(spark):
-    item = " ".join(f"w{k}" for k in range(20))
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    table = spark.createDataFrame([(1, item), (1, item), (1, "x " + item), (None, item)], "doc_id long, text string")
-    both = [sorted(map(tuple, decontaminate.leaks(table, bench, broadcast_seeds=most).collect()), key=str) for most in (decontaminate.BROADCAST_SEEDS, 3)]
-    assert both[0] == both[1] == [(1, 1, 72, 0, 12), (None, 1, 24, 0, 11)]
+    """Both joins against all windows at all places, with null and repeated ids, repeated rows, and items of all sizes."""
+    r = random.Random(5)
+    word = lambda: r.choice("abcdefghij") * 2
+    bench = [(i if i else None, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 3, 4, 6, 9, 10, 11, 12, 13, 14, 25))] + [(11, "cc dd"), (12, "cc dd"), (12, "cc dd"), (13, None), (14, "")]
+    rows = [(None, ""), (5, None), (5, "cc dd"), (5, "cc dd")]
+    for i in range(120):
+        w = r.choice(bench[:11])[1].split(" ")
+        a = r.randint(0, max(0, len(w) - 13))
+        w = w[a : a + r.randint(1, 16)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "zz"
+        w = [word() for _ in range(r.randint(0, 3))] * (i % 2) + w + [word() for _ in range(r.randint(0, 3))] * (i % 3)
+        rows += [(r.choice([None, i % 40]), " ".join(w))] * r.choice([1, 1, 2])
+    want: dict = {}
+    for i, t in {(i, t or "") for i, t in rows}:
+        doc = t.split()
+        for k, text in set(bench):
+            item = (text or "").split()
+            size = min(13, len(item))
+            for s in range(len(item) - size + 1 if item else 0):
+                for p in range(len(doc) - size + 1):
+                    odd = sum(x != y for x, y in zip(item[s : s + size], doc[p : p + size], strict=True))
+                    if odd <= (2 if len(item) >= 9 else 0) and (len(item) >= 4 or len(item) == len(doc)):
+                        n, low, high = want.get((i, k), (0, p, 0))
+                        want[i, k] = (n + 1, min(low, p), max(high, p + size - 1))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert len(want) > 20
+    for most in (decontaminate.BROADCAST_SEEDS, 3):
+        got = decontaminate.leaks(docs, items, broadcast_seeds=most).collect()
+        assert len(got) == len(want) and {(x.doc_id, x.item_id): (x.n_windows, x.first_word, x.last_word) for x in got} == want
 
 
 def test_substrings(docs, rows, none):
