@@ -1,9 +1,11 @@
-"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-Candidates are texts that share one of BANDS keys, each of the least hashes under ROWS functions: a pair at 0.8 shares none
-with a probability of 7 in 100000. In each band's group the members are held against the group's first and last in an order
-of the band's own, so that groups of up to three are compared whole, and in larger ones no pairs of all members are
-formed. Every candidate is verified on the shingles themselves; components of what is left are the groups.
+"""Near copies by the ball join of operator 4, with fingerprints that follow Jaccard similarity, each pair being verified.
+
+At a Jaccard similarity of 0.8 fingerprints of operator 4's own kind differ in ten bits of 64, far beyond its radius. Here a text has
+PRINTS fingerprints of BITS bits, four bits from each of ten minimum hashes of its five-word shingles, so that those of
+texts at 0.8 differ in few. As there, every fingerprint emits all values within half the radius, values are shuffled, and texts
+whose fingerprints are within the radius meet: of pairs at 0.8 some 97 of 100 do in one fingerprint or another, of those
+at 0.9 all. At every value the others are held against the first in one of ORDERS orders, so no pairs of a group are
+formed; each candidate is verified on the shingles themselves, and components of what is left are the groups.
 """
 
 import numpy as np
@@ -13,10 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix, pieces, row_key, staged
 from .components import components
+from .simhash import dealt, met
 
 SHINGLE, LIKE = 5, 0.8
-BANDS, ROWS = 24, 5
-_TURN = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Fingerprints of a text, their bits, and the minimum hashes in each.
+PRINTS, BITS, MINIMA = 9, 40, 10
+ORDERS = 6
+#: All values within one bit; two fingerprints within two bits have one in common.
+BALL = np.array([0, *(1 << i for i in range(BITS))], np.uint64)
+_TURN = mix(np.arange(1, PRINTS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -32,24 +39,35 @@ def _shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return out, count
 
 
-def _bands(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """BANDS keys for each run of hashes."""
-    begin = np.cumsum(count) - count
-    keys = np.empty((len(count), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(count), b, np.uint64)
-        for turn in _TURN[b * ROWS : (b + 1) * ROWS]:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((hashes ^ turn) * (turn | np.uint64(1)), begin))
-        keys[:, b] = key
-    return keys
+def _prints(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints for each run of hashes, the number of the fingerprint being above its bits."""
+    begin, each = np.cumsum(count) - count, BITS // MINIMA
+    out = np.empty((len(count), PRINTS), np.uint64)
+    for k in range(PRINTS):
+        value = np.full(len(count), k, np.uint64)
+        for turn in _TURN[k * MINIMA : (k + 1) * MINIMA]:
+            least = np.minimum.reduceat((hashes ^ turn) * (turn | np.uint64(1)), begin)
+            value = value << np.uint64(each) | mix(least + turn) >> np.uint64(64 - each)
+        out[:, k] = value
+    return out
 
 
-def _keyed(batches):
+def _printed(batches):
     for batch in batches:
         for piece in pieces(batch):
-            keys = _bands(*_shingles(Words(piece.column("text")))).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([piece.column("node"), lists], ["node", "keys"])
+            prints = _prints(*_shingles(Words(piece.column("text"))))
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([x.tobytes() for x in prints], pa.binary())], ["node", "prints"])
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """The values of the balls of all fingerprints of each text."""
+    prints = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PRINTS, 1)
+    return mix(prints ^ BALL)
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    pairs = met(table, ORDERS)
+    return pa.table({"a": pa.array(pairs.min(axis=0).view(np.int64)), "b": pa.array(pairs.max(axis=0).view(np.int64))})
 
 
 def _sets(batches):
@@ -77,11 +95,8 @@ def _node(text: str) -> Column:
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): verified links between texts, each named by its 64-bit hash."""
     once = docs.select(_node(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bands = staged(once.mapInArrow(_keyed, "node long, keys array<long>").dropDuplicates(["node"]), "bands")
-    bands = bands.select("node", F.posexplode("keys").alias("band", "key")).withColumn("rank", F.xxhash64("node", F.col("band") % 3))
-    ends = bands.groupBy("band", "key").agg(F.min(F.struct("rank", "node"))["node"].alias("low"), F.max(F.struct("rank", "node"))["node"].alias("high")).where("low != high")
-    met = bands.join(ends, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
-    pairs = staged(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "candidates")
+    prints = staged(once.mapInArrow(_printed, "node long, prints binary").dropDuplicates(["node"]), "prints")
+    pairs = staged(dealt(prints, prints.count(), _values, PRINTS * len(BALL), "node", "prints", ORDERS).applyInArrow(_candidates, "a long, b long").distinct(), "candidates")
     some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = staged(once.join(some, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))

@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, row_key, staged
+from .common import Words, mix, pieces, staged
 from .components import components
 
 SHINGLE = 4
 RADIUS = 4
 BALL = np.array([0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))], np.uint64)
-#: Keys in a bucket.
+#: Keys in a bucket, about.
 BUCKET = 1_500_000
 
 
@@ -81,50 +81,78 @@ def _ball(fp: np.ndarray) -> np.ndarray:
     return mix(fp[:, None] ^ BALL)
 
 
-def _spread(keys, each: int, bits: int):
-    """Every fingerprint with each of its keys, packed by the leading bits of the key."""
+def _heads(key: np.ndarray, of: np.ndarray, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the first item at each, and the pairs (item, first) of the others.
+
+    First is the smallest; with several orders, each key takes one of them, a mixing of the items of its own.
+    """
+    rank = of if orders == 1 else mix(of + key.astype(np.uint64) % np.uint64(orders))
+    order = np.lexsort((rank, key))
+    key, of = key[order], of[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    head = np.repeat(of[first], np.diff(np.append(first, len(key))))
+    pairs = np.stack([of, head])[:, of != head]
+    return key[first], of[first], np.unique(pairs, axis=1) if pairs.size else pairs
+
+
+def spread(keys, each: int, bits: int, item: str, value: str, orders: int):
+    """Every item with each of its keys (keys(values): an array of `each` for each item), packed by the leading bits of the key.
+
+    Items that share a key within a batch are paired there, and the first of them alone goes on with the key; so a
+    key that many items have takes no more room in its bucket than there are batches.
+    """
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, (1 << 20) // each):
-                fp = batch.column("fp").slice(at, (1 << 20) // each).to_numpy().view(np.uint64)
-                key = keys(fp).ravel()
+            step = max(1, (3 << 19) // each)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                key = keys(part.column(value)).ravel()
+                of = np.repeat(part.column(item).to_numpy().view(np.uint64), each)
                 order = np.argsort(key)
-                key, of = key[order], fp[order // each]
+                key, of = key[order], of[order]
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+                key = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)  # the rest is told apart by what verifies the pairs
+                out = {"bucket": [], "payload": []}
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                spans = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([np.concatenate([key[a:b], of[a:b]]).tobytes() for a, b in spans], pa.binary())], ["bucket", "payload"]
-                )
+                for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+                    if b > a:
+                        once, first, pairs = _heads(key[a:b], of[a:b], orders)
+                        out["bucket"].append(int(bucket[a]))
+                        out["payload"].append(b"".join([np.array([len(once)], np.uint64).tobytes(), first.tobytes(), once.tobytes(), pairs.tobytes()]))
+                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["payload"], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
-def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint that met another at a key, with the smallest there; the smallest itself is left out."""
-    parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("payload").to_pylist()]
-    key, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    least = np.repeat(fp[first], np.diff(np.append(first, len(key))))
-    return fp[fp != least], least[fp != least]
+def met(table: pa.Table, orders: int) -> np.ndarray:
+    """The pairs (2, n) of a bucket: those found before, and those of items that meet in it."""
+    keys, items, pairs = [], [], []
+    for raw in table.column("payload").to_pylist():
+        n = int(np.frombuffer(raw, np.uint64, 1)[0])
+        items.append(np.frombuffer(raw, np.uint64, n, 8))
+        keys.append(np.frombuffer(raw, np.uint32, n, 8 + 8 * n))
+        pairs.append(np.frombuffer(raw, np.uint64, -1, 8 + 12 * n).reshape(2, -1))
+    return np.unique(np.concatenate([*pairs, _heads(np.concatenate(keys), np.concatenate(items), orders)[2]], axis=1), axis=1)
 
 
-def _partnered(table: pa.Table) -> pa.Table:
-    return pa.table({"fp": pa.array(np.unique(np.concatenate(_by_key(table))).view(np.int64))})
+def dealt(items: DataFrame, n: int, keys, each: int, item: str, value: str, orders: int = 1):
+    """The n items spread by key, and grouped into buckets of about BUCKET keys."""
+    bits = max(4, (n * each // BUCKET).bit_length())
+    return items.repartition(n * each // BUCKET + 2).mapInArrow(spread(keys, each, bits, item, value, orders), "bucket int, payload binary").groupBy("bucket")
 
 
-def _dealt(fps: DataFrame, n: int, keys, each: int) -> DataFrame:
-    """The n fingerprints spread by key, and grouped into buckets of about BUCKET keys."""
-    bits = max(4, (n * each // BUCKET).bit_length())
-    return fps.repartition(n * each // BUCKET + 2).mapInArrow(_spread(keys, each, bits), "bucket int, payload binary").groupBy("bucket")
+def _of_prints(keys):
+    return lambda column: keys(column.to_numpy().view(np.uint64))
+
+
+def _partnered(table: pa.Table) -> pa.Table:
+    return pa.table({"fp": pa.array(np.unique(met(table, 1)).view(np.int64))})
 
 
 def _meet(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        pair = np.unique(np.stack(_by_key(table)), axis=1)
+        pair = met(table, 1)
         pair = pair[:, np.bitwise_count(pair[0] ^ pair[1]) <= radius]
         root: dict[int, int] = {}
 
@@ -148,13 +176,8 @@ def _meet(radius: int):
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (fp) which differ in at most four bits, directly or by way of others."""
     fps = staged(fps.distinct(), "distinct")
-    some = staged(_dealt(fps, fps.count(), _agreements, len(AGREE)).applyInArrow(_partnered, "fp long").distinct(), "partnered")
-    return _dealt(some, some.count(), _ball, len(BALL)).applyInArrow(_meet(RADIUS), "a long, b long").distinct()
-
-
-def _parts(prints: DataFrame) -> DataFrame:
-    """(fp, component) of the fingerprints that have links."""
-    return staged(components(links(prints.select("fp"))), "components").withColumnRenamed("node", "fp")
+    some = staged(dealt(fps, fps.count(), _of_prints(_agreements), len(AGREE), "fp", "fp").applyInArrow(_partnered, "fp long").distinct(), "partnered")
+    return dealt(some, some.count(), _of_prints(_ball), len(BALL), "fp", "fp").applyInArrow(_meet(RADIUS), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
@@ -164,21 +187,12 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     """
     prints = staged(fingerprints(docs, text, id_col, size), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    part = _parts(least)
+    part = staged(components(links(least.select("fp"))), "components").withColumnRenamed("node", "fp")
     named = least.join(part, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     of = least.join(part.join(named, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(of, "fp")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay: exactly one of each component, that of the smallest id (nulls last), then by hash of the row."""
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("row"))
-    prints = staged(fingerprints(docs.select(key.alias("key"), F.col(text).alias("text")), "text", "key"), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(_parts(least), "fp", "left").groupBy(F.coalesce("component", "fp"), F.col("component").isNull()).agg(F.min("least")["row"].alias("_row"))
-    return docs.withColumn("_row", row_key(docs)).join(named.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
