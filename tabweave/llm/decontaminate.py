@@ -1,6 +1,6 @@
 """Operator 7: benchmark passages found by spaced seeds, in DataFrame functions alone.
 
-A passage is a window of WINDOW words of an item that stands in a text with at most ODD words exchanged; of an item with
+A passage is a window of WINDOW words of an item that stands in a text with at most ODD words exchanged (or missing beyond its ends); of an item with
 SHORT to WINDOW words, the whole item with as many exchanged; of a shorter one, the whole item word for word (and one under
 ALONE words must be the whole text, as a few words occur anywhere). A seed is a fixed mask over some words that leaves the
 others out. The masks are two of four equal blocks: exchanged words leave two of the blocks whole, so every passage holds
@@ -58,8 +58,8 @@ def _matches(doc: Column, item: Column, at: Column, item_at: Column, span: Colum
 
     def same(start: Column) -> Column:
         begin = start + at - item_at
-        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: F.get(doc, F.greatest(begin + j, F.lit(0))).eqNullSafe(F.get(item, start + j)))
-        return (begin >= 0) & (begin + size <= F.size(doc)) & (F.size(equal) >= size - allowed) & ((n >= ALONE) | (F.size(doc) == n))
+        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (begin + j >= 0) & F.get(doc, F.greatest(begin + j, F.lit(0))).eqNullSafe(F.get(item, start + j)))
+        return (F.size(equal) >= size - allowed) & ((n >= ALONE) | (F.size(doc) == n))
 
     return F.filter(F.sequence(first, last), same)
 
@@ -109,7 +109,7 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id, n_windows, first_word, last_word): documents that hold passages of an item, how many, and the words from the first to the last.
+    """(doc_id, item_id, n_windows, first_word, last_word): documents that hold passages of an item, how many, and the words from the first to the last (beyond the ends where the text cuts a passage short).
 
     Rows that repeat id and text are one document; of rows that share the id alone, each text counts. Rows with a null id
     are reported under it. Items of equal words are each reported, with a null id too.
@@ -148,8 +148,8 @@ aligned AS (SELECT d, b, dw.p - bw.p AS shift, least FROM dw JOIN bw ON dw.x = b
 starts AS (SELECT d.doc_id, b.item_id, d.w AS dw, b.w AS bw, n, size, odd, shift, unnest(range(n - size + 1)) AS s FROM aligned JOIN d USING (d) JOIN b USING (b)),
 good AS (
   SELECT doc_id, item_id, s + shift AS a, size FROM starts
-  WHERE s + shift >= 0 AND s + shift + size <= len(dw) AND (n >= {ALONE} OR len(dw) = n)
-    AND len(list_filter(range(size), lambda j: dw[s + shift + j + 1] = bw[s + j + 1])) >= size - odd
+  WHERE (n >= {ALONE} OR len(dw) = n)
+    AND len(list_filter(range(size), lambda j: s + shift + j >= 0 AND dw[greatest(s + shift + j, 0) + 1] = bw[s + j + 1])) >= size - odd
 )
 SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min(a)::BIGINT AS first_word, max(a + size - 1)::BIGINT AS last_word FROM good GROUP BY doc_id, item_id
 """
