@@ -4,19 +4,20 @@ The labels mark documents, so tokens are labelled from a bounded sample of them:
 for toxic where it stands in far more distinct contexts of toxic documents than of others (contexts, not documents, so that
 copies of one text count once). The field has two states; a token's score comes from hashed weights of the word, its
 beginnings and its neighbours. It is fitted on the sample by full-batch gradient ascent: forward-backward gives the expected
-states and pairs of states, summed over the executors. Every text is then scored whole: marginals give offending offsets,
-and a logistic curve over their sum, highest values and density gives the document's score.
+states and pairs of states. Every text is then scored whole: marginals give offending offsets, and a logistic curve over their sum, highest values and density gives the document's score.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PUNCTUATED, Words, fold, mix, pieces, staged
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
 SAMPLE = 1200
+#: Tokens of these that are learnt from at most; the beginnings of all texts come before the rest of long ones.
+TOKENS = 5_000_000
 FEATURE_BITS = 19
 #: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
 PREFIXES = (5, 6, 7)
@@ -26,6 +27,8 @@ BLOCK = 64
 SEGMENT = 4096
 #: Tasks that the sample is dealt to.
 TASKS = 6
+#: Of the weights of each kind of feature.
+PENALTY = (0.02, *(0.02 for _ in PREFIXES), 2.0, 2.0)
 #: A word's (or beginning's) share of contexts in toxic documents against that in others, the fewest toxic documents that have
 #: it, and the greatest chance that as many would have it if toxic documents had it no more often than others, to be taken for toxic.
 RATIO, DOCUMENTS, CHANCE = 8.0, 5, 1e-4
@@ -74,41 +77,53 @@ def expectations(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> tuple[
         return unary, np.zeros((2, 2))
     start, rank = _blocks(of)
     end = np.minimum(start + BLOCK, np.repeat(of[1:], -(-np.diff(of) // BLOCK)))
-    at = start[:, None] + np.arange(BLOCK)
-    real = at < end[:, None]
-    e = np.ones((*real.shape, 2))
-    e[..., 1] = np.where(real, np.exp(np.clip(unary[np.minimum(at, len(unary) - 1)], -30, 30)), 1.0)
+    at = start + np.arange(BLOCK)[:, None]
+    real = at < end
+    e = np.where(real, np.exp(np.clip(unary[np.minimum(at, len(unary) - 1)], -30, 30)), 1.0)
     t = np.exp(trans)
-    move = np.where(real[:, :, None, None], t, np.eye(2))  # identity beyond the end, and before a chain's first token
-    move[rank == 0, 0] = np.eye(2)
+    moved = real.copy()
+    moved[0, rank == 0] = False  # no move beyond the end, nor into a chain's first token
 
-    def normal(x: np.ndarray) -> np.ndarray:
-        return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+    def ahead(k: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The message (x, y) into token k, at it."""
+        m = moved[k]
+        return np.where(m, x * t[0, 0] + y * t[1, 0], x), np.where(m, x * t[0, 1] + y * t[1, 1], y) * e[k]
 
-    product = np.broadcast_to(np.eye(2), (len(start), 2, 2))
+    one = np.ones(len(start))
+    a, b, c, d = one, 0 * one, 0 * one, one  # products of the blocks' matrices, by rows
     for k in range(BLOCK):
-        product = normal(product @ (move[:, k] * e[:, k, None, :]))
-    left, right = np.ones((len(start), 2)), np.ones((len(start), 2))
+        (a, b), (c, d) = ahead(k, a, b), ahead(k, c, d)
+        total = a + b + c + d
+        a, b, c, d = a / total, b / total, c / total, d / total
+    left, right = np.ones((2, len(start))), np.ones((2, len(start)))
     for r in range(1, int(rank.max()) + 1):
-        b = np.flatnonzero(rank == r)
-        left[b] = normal(np.einsum("bi,bij->bj", left[b - 1], product[b - 1]))
+        i = np.flatnonzero(rank == r)
+        x, y = left[:, i - 1]
+        x, y = x * a[i - 1] + y * c[i - 1], x * b[i - 1] + y * d[i - 1]
+        left[:, i] = x / (x + y), y / (x + y)
     tops = np.flatnonzero(np.append(rank[1:] == 0, True))
     height = np.repeat(rank[tops], np.diff(np.append(-1, tops))) - rank
     for r in range(1, int(height.max()) + 1):
-        b = np.flatnonzero(height == r)
-        right[b] = normal(np.einsum("bij,bj->bi", product[b + 1], right[b + 1]))
-    alpha = np.empty((BLOCK + 1, len(start), 2))
+        i = np.flatnonzero(height == r)
+        x, y = right[:, i + 1]
+        x, y = a[i + 1] * x + b[i + 1] * y, c[i + 1] * x + d[i + 1] * y
+        right[:, i] = x / (x + y), y / (x + y)
+    alpha = np.empty((BLOCK + 1, 2, len(start)))
     alpha[0] = left
     for k in range(BLOCK):
-        alpha[k + 1] = normal(np.einsum("bi,bij->bj", alpha[k], move[:, k]) * e[:, k])
-    p, pairs, beta = np.empty(real.shape), np.zeros((2, 2)), right
+        x, y = ahead(k, *alpha[k])
+        alpha[k + 1] = x / (x + y), y / (x + y)
+    p, pairs, (x, y) = np.empty(real.shape), np.zeros((2, 2)), right
     for k in range(BLOCK - 1, -1, -1):
-        p[:, k] = normal(alpha[k + 1] * beta)[:, 1]
-        ahead = e[:, k] * beta
-        some = real[:, k] & ((rank > 0) | (k > 0))
-        pairs += normal(alpha[k][some, :, None] * t * ahead[some, None, :]).sum(axis=0)
-        beta = normal(np.einsum("bij,bj->bi", move[:, k], ahead))
-    return p[real], pairs
+        u, v = alpha[k + 1]
+        p[k] = v * y / (u * x + v * y)
+        y = y * e[k]
+        u, v = alpha[k]
+        both = np.stack([u * t[0, 0] * x, u * t[0, 1] * y, v * t[1, 0] * x, v * t[1, 1] * y])
+        pairs += np.where(moved[k], both / both.sum(axis=0), 0).sum(axis=1).reshape(2, 2)
+        x, y = np.where(moved[k], t[0, 0] * x + t[0, 1] * y, x), np.where(moved[k], t[1, 0] * x + t[1, 1] * y, y)
+        x, y = x / (x + y), y / (x + y)
+    return p.T[real.T], pairs
 
 
 def marginals(unary: np.ndarray, trans: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -171,7 +186,7 @@ def _chance(k: np.ndarray, other: np.ndarray, toxic_total: float, total: float)
 
 
 def _tokens(batches):
-    """Of each text, segments of at most SEGMENT tokens: hashed features, units and contexts, a row of each kind after the other."""
+    """Of each text, segments of at most SEGMENT tokens: their number, tokens, hashed features, units and contexts, a row of each kind after the other."""
     for batch in batches:
         for piece in pieces(batch):
             words = Words(piece.column("text"), PUNCTUATED)
@@ -181,111 +196,91 @@ def _tokens(batches):
             cuts = [(i, a, min(a + SEGMENT, hi)) for i, (lo, hi) in enumerate(zip(words.of[:-1], words.of[1:], strict=True)) for a in range(lo, max(hi, lo + 1), SEGMENT)]
             row = pa.array([c[0] for c in cuts], pa.int64())
             packed = [[x[..., a:b].tobytes() for _, a, b in cuts] for x in (feats, np.stack(units), context)]
-            yield pa.RecordBatch.from_arrays([piece.column("id").take(row), piece.column("toxic").take(row), *(pa.array(x, pa.binary()) for x in packed)], ["id", "toxic", "feats", "units", "contexts"])
+            part, n = [(a - int(words.of[i])) // SEGMENT for i, a, _ in cuts], [int(b - a) for _, a, b in cuts]
+            yield pa.RecordBatch.from_arrays([piece.column("id").take(row), piece.column("toxic").take(row), pa.array(part, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["id", "toxic", "part", "n", "feats", "units", "contexts"])
 
 
 def _columns(batch: pa.RecordBatch, name: str, kind, rows: int) -> list[np.ndarray]:
     return [np.frombuffer(x, kind).reshape(rows, -1) for x in batch.column(name).to_pylist()]
 
 
-def _unit_rows(batches):
-    """A row for each context of a segment and each of its units."""
+def _context_rows(batches):
+    """A row for each context of a segment, with the units of its word."""
     for batch in batches:
         for i, (units, context) in enumerate(zip(_columns(batch, "units", np.uint64, 1 + len(PREFIXES)), _columns(batch, "contexts", np.int64, 1), strict=True)):
             context, at = np.unique(context[0], return_index=True)
-            for k, unit in enumerate(units[:, at].view(np.int64)):
-                some = np.flatnonzero(unit)
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(n, i))), batch.column("toxic").take(pa.array(np.full(n, i))), pa.array(np.full(n, k, np.int32)), pa.array(unit[some]), pa.array(context[some])], ["id", "toxic", "k", "unit", "context"])
+            of = pa.array(np.full(len(at), i))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, units[:, at].size + 1, len(units)), pa.int32()), pa.array(units[:, at].T.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("toxic").take(of), pa.array(context), lists], ["id", "toxic", "context", "units"])
 
 
-def _telling(segments: DataFrame, kind: str, y: np.ndarray) -> list[np.ndarray]:
+def _telling(segments: DataFrame, kind: str, bad: float, n: int) -> list[np.ndarray]:
     """For each kind of unit, those that stand in far more distinct contexts of toxic documents than of others, and in more of them than chance would have it.
 
     The test is one of the unit's own counts, so a unit of a rare language or topic is judged as one of a common one is.
     A context counts once among toxic documents and once among others, for its smallest id, so that copies of one text count once.
     """
-    rows = segments.mapInArrow(_unit_rows, f"id {kind}, toxic double, k int, unit long, context long")
-    once = staged(rows.groupBy("k", "unit", "context", "toxic").agg(F.min("id").alias("id")), "contexts")
-    of = lambda v: [F.sum((F.col("toxic") == v).cast("long")), F.countDistinct(F.when(F.col("toxic") == v, F.col("id")))]
-    names = ["others", "clean_docs", "bad", "bad_docs"]
-    counts = once.groupBy("k", "unit").agg(*(c.alias(n) for c, n in zip([*of(0), *of(1)], names, strict=True)))
-    totals = {r["k"]: r for r in once.groupBy("k").agg(of(0)[0].alias("others"), of(1)[0].alias("bad")).collect()}
-    share = F.coalesce(*(F.when(F.col("k") == k, F.lit(max(1, r["others"]) / max(1, r["bad"]))) for k, r in totals.items()), F.lit(1.0))
-    some = counts.where((F.col("bad_docs") >= DOCUMENTS) & (F.col("bad") * share >= RATIO * (F.col("others") + 1))).toPandas()
-    sure = _chance(some["bad_docs"].to_numpy(np.int64), some["clean_docs"].to_numpy(np.int64), float((y > 0).sum()), len(y)) <= CHANCE
-    return [np.sort(some["unit"].to_numpy(np.int64)[sure & (some["k"] == k).to_numpy()].view(np.uint64)) for k in range(1 + len(PREFIXES))]
-
-
-def _learnable(used: np.ndarray, telling: list[np.ndarray]):
-    """Each segment with its features as places in used (the last place for all others) and the states of its tokens."""
+    rows = segments.mapInArrow(_context_rows, f"id {kind}, toxic double, context long, units array<long>")
+    once = rows.groupBy("toxic", "context").agg(F.min("id").alias("id"), F.min("units").alias("units"))
+    units = once.select("toxic", "id", F.posexplode_outer("units").alias("k", "unit")).where("unit != 0")
+    of = lambda c, v: F.sum(F.when(F.col("toxic") == v, c).otherwise(0)).alias
+    by_doc = units.groupBy("k", "unit", "toxic", "id").agg(F.count("*").alias("contexts"))
+    counts = staged(by_doc.groupBy("k", "unit").agg(of(F.col("contexts"), 0)("others"), of(F.lit(1), 0)("clean_docs"), of(F.col("contexts"), 1)("bad"), of(F.lit(1), 1)("bad_docs")), "units")
+    totals = counts.groupBy("k").agg(F.sum("others").alias("others"), F.sum("bad").alias("bad")).collect()
+    share = F.coalesce(*(F.when(F.col("k") == r["k"], F.lit(max(1, r["others"]) / max(1, r["bad"]))) for r in totals), F.lit(1.0))
+    some = counts.where((F.col("bad_docs") >= DOCUMENTS) & (F.col("bad") * share >= RATIO * (F.col("others") + 1))).select("k", "unit", "bad_docs", "clean_docs").toArrow()
+    k, unit, having, clean = (x.to_numpy().astype(np.int64) for x in some.columns)
+    sure = _chance(having, clean, bad, n) <= CHANCE
+    return [np.sort(unit[sure & (k == i)].view(np.uint64)) for i in range(1 + len(PREFIXES))]
+
+
+def _states(telling: list[np.ndarray]):
+    """Each segment with the states of its tokens in place of their units: toxic where the document is and a unit tells so."""
 
     def run(batches):
         for batch in batches:
-            feats, states = [], []
-            toxic = batch.column("toxic").to_numpy()
-            for i, (f, units) in enumerate(zip(_columns(batch, "feats", np.int32, KINDS), _columns(batch, "units", np.uint64, 1 + len(PREFIXES)), strict=True)):
-                at = np.minimum(np.searchsorted(used, f), len(used) - 1)
-                feats.append(np.where(used[at] == f, at, len(used)).astype(np.int32).tobytes())
+            toxic, states = batch.column("toxic").to_numpy(), []
+            for i, units in enumerate(_columns(batch, "units", np.uint64, 1 + len(PREFIXES))):
                 states.append((np.logical_or.reduce([np.isin(u, t) for u, t in zip(units, telling, strict=True)]) & (toxic[i] > 0)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(feats, pa.binary()), pa.array(states, pa.binary())], ["id", "toxic", "feats", "states"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "toxic", "part", "feats")), pa.array(states, pa.binary())], ["id", "toxic", "part", "feats", "states"])
 
     return run
 
 
-def _chains(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    feats = _columns(batch, "feats", np.int32, KINDS)
-    return np.concatenate(feats, axis=1), np.append(0, np.cumsum([f.shape[1] for f in feats]))
-
-
-def _sums(w: np.ndarray, bias: float, trans: np.ndarray):
-    """One row for each task: the gradient over its segments."""
-
-    def run(batches):
-        total = np.zeros(len(w) + 5)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                feats, of = _chains(part)
-                y = np.concatenate([np.frombuffer(x, bool) for x in part.column("states").to_pylist()]).astype(float)
-                gw, gb, gt = gradient(w, bias, trans, feats, of, y)
-                total += np.concatenate([gw, [gb], gt.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    return run
-
-
-def _fit_field(learnable: DataFrame, used: np.ndarray, steps: int = 40, rate: float = 0.3, l2: tuple = (0.02, *(0.02 for _ in PREFIXES), 2.0, 2.0)) -> dict:
-    """Adam on the penalised conditional log-likelihood, with a penalty for each kind of feature; every step sums gradients over the tasks."""
-    size, penalty = len(used), np.asarray(l2)[used >> FEATURE_BITS]
-    all_w, m1, m2 = np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
+def _fit_field(feats: np.ndarray, of: np.ndarray, y: np.ndarray, size: int, penalty: np.ndarray, steps: int = 40, rate: float = 0.3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Adam on the penalised conditional log-likelihood; weights beyond size are held at zero. Gradients are summed over runs of chains, so that memory follows those."""
+    w, all_w, m1, m2 = np.zeros(int(feats.max(initial=0)) + 1), np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
     all_w[size] = -4.0
     for step in range(1, steps + 1):
-        w = np.append(all_w[:size], 0.0)  # the last place has no weight
-        grad = np.zeros(size + 6)
-        for r in learnable.mapInArrow(_sums(w.astype(np.float32), all_w[size], all_w[size + 1 :].reshape(2, 2)), "sums binary").collect():
-            grad += np.frombuffer(r["sums"])
-        grad = np.delete(grad, size)
+        w[:size], grad = all_w[:size], np.zeros(size + 5)
+        for at in range(0, len(of) - 1, 256):
+            ends = of[at : at + 257]
+            gw, gb, gt = gradient(w, all_w[size], all_w[size + 1 :].reshape(2, 2), feats[:, ends[0] : ends[-1]], ends - ends[0], y[ends[0] : ends[-1]])
+            grad += np.concatenate([gw[:size], [gb], gt.ravel()])
         grad[:size] -= penalty * all_w[:size]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         all_w = all_w + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    full = np.zeros(KINDS << FEATURE_BITS, np.float32)
-    full[used] = all_w[:size]
-    return {"w": full, "bias": float(all_w[size]), "trans": all_w[size + 1 :].reshape(2, 2)}
-
-
-def _measured(model: dict, used: np.ndarray):
-    """Of each segment: its tokens, the expected number of toxic ones, and the two highest marginals."""
-
-    def run(batches):
-        w = np.append(model["w"][used], np.float32(0))
-        for batch in batches:
-            feats, of = _chains(batch)
-            p = marginals(model["bias"] + sum(w[f] for f in feats).astype(float), model["trans"], of)
-            x = _sums_and_tops(p, of)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *(pa.array(c) for c in x)], ["id", "toxic", "n", "total", "top", "second"])
-
-    return run
+    return all_w[:size], float(all_w[size]), all_w[size + 1 :].reshape(2, 2)
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    """The model, from the segments of the sample: weights of the features that occur twice or more, the rest of the field, and the curve."""
+    table = table.sort_by([("id", "ascending"), ("part", "ascending")])
+    feats = [np.frombuffer(x, np.int32).reshape(KINDS, -1) for x in table.column("feats").to_pylist()]
+    of = np.append(0, np.cumsum([f.shape[1] for f in feats]))
+    y = np.concatenate([np.frombuffer(x, bool) for x in table.column("states").to_pylist()]).astype(float)
+    kinds, back, times = np.unique(np.concatenate(feats, axis=1), return_inverse=True, return_counts=True)
+    used = kinds[times > 1]
+    place = np.full(len(kinds), len(used), np.int32)  # those that occur once share a place without weight
+    place[times > 1] = np.arange(len(used))
+    feats = place[back].reshape(KINDS, -1)
+    w, bias, trans = _fit_field(feats, of, y, len(used), np.asarray(PENALTY)[used >> FEATURE_BITS])
+    w = np.append(w, 0.0).astype(np.float32)
+    text = np.unique(pa.compute.dictionary_encode(table.column("id")).combine_chunks().indices.to_numpy(), return_index=True)[1]
+    ends = np.append(of[text], of[-1])
+    p = marginals(bias + sum(w[f] for f in feats).astype(float), trans, of)
+    beta = _fit_curve(_document_features(*_sums_and_tops(p, ends)), table.column("toxic").to_numpy()[text])
+    return pa.table({"used": [used.astype(np.int32).tobytes()], "w": [w[:-1].tobytes()], "rest": [np.concatenate([[bias], trans.ravel(), beta])]}, schema=pa.schema([("used", pa.binary()), ("w", pa.binary()), ("rest", pa.list_(pa.float64()))]))
 
 
 def _some(docs: DataFrame, labels: DataFrame, text: str, id_col: str, sample: int) -> DataFrame:
@@ -297,52 +292,48 @@ def _some(docs: DataFrame, labels: DataFrame, text: str, id_col: str, sample: in
     return texts.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """Fits field and curve on at most `sample` labelled documents of each class; rows without text or label are no use.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, tokens: int = TOKENS) -> dict:
+    """Fits field and curve on at most `sample` labelled documents of each class, and `tokens` of their tokens; rows without text or label are no use.
 
-    The sample's features are staged by the executors, and every step of the fit sums its gradient there, so the driver
-    holds the weights of features that occur twice or more, and no texts. Without labelled rows of both classes the field is
-    flat and every score is the share of toxic labels.
+    The sample's features are staged by the executors, and one task fits the field on them; the driver gets its weights
+    alone. Without labelled rows of both classes, or without a word that tells them apart, the field is flat and every score is
+    the share of toxic labels.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = staged(_some(docs, labels, text, id_col, sample), "sample")
-    y = np.array([r["toxic"] for r in rows.select("toxic").collect()])
-    flat = {"w": np.zeros(KINDS << FEATURE_BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2))}
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.01
-    if not 0 < y.sum() < len(y):
-        return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
-    segments = staged(rows.repartition(TASKS).mapInArrow(_tokens, f"id {kind}, toxic double, feats binary, units binary, contexts binary"), "segments")
-    telling = _telling(segments, kind, y)
-    times = np.zeros(KINDS << FEATURE_BITS, np.uint8)
-    for r in segments.mapInArrow(_often, "once binary, again binary").collect():
-        for place, least in (("once", 1), ("again", 2)):
-            at = np.frombuffer(r[place], np.int32)
-            times[at] = np.minimum(times[at] + least, 2)
-    used = np.flatnonzero(times > 1).astype(np.int32)
-    if not len(used) or not any(len(t) for t in telling):
-        return flat | {"beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
-    learnable = staged(segments.mapInArrow(_learnable(used, telling), f"id {kind}, toxic double, feats binary, states binary"), "learnable")
-    model = _fit_field(learnable, used)
-    measured = learnable.mapInArrow(_measured(model, used), f"id {kind}, toxic double, n long, total double, top double, second double")
-    highest = F.sort_array(F.flatten(F.collect_list(F.array("top", "second"))), asc=False)
-    docs_of = measured.groupBy("id", "toxic").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), highest.alias("tops")).select("toxic", "n", "total", F.col("tops")[0].alias("top"), F.col("tops")[1].alias("second")).toPandas()
-    x = _document_features(*(docs_of[c].to_numpy(float) for c in ("n", "total", "top", "second")))
-    return model | {"beta": _fit_curve(x, docs_of["toxic"].to_numpy(float))}
-
-
-def _often(batches):
-    """The task's features that occur there once, and those that do so again."""
-    times = np.zeros(KINDS << FEATURE_BITS, np.uint8)
-    for batch in batches:
-        for f in _columns(batch, "feats", np.int32, KINDS):
-            at, n = np.unique(f, return_counts=True)
-            times[at] = np.minimum(times[at] + np.minimum(n, 2), 2)
-    yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(times == k).astype(np.int32).tobytes()], pa.binary()) for k in (1, 2)], ["once", "again"])
+    n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
+    share = float(np.clip(bad / n, 1e-3, 1 - 1e-3)) if n else 0.01
+    flat = {"used": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "beta": np.array([np.log(share / (1 - share)), 0, 0, 0, 0.0])}
+    if not n or not 0 < bad < n:
+        return flat
+    segments = staged(rows.repartition(TASKS).mapInArrow(_tokens, f"id {kind}, toxic double, part long, n long, feats binary, units binary, contexts binary"), "segments")
+    telling = _telling(segments, kind, bad, n)
+    if not any(len(t) for t in telling):
+        return flat
+    before = F.sum("n").over(Window.orderBy("part", F.xxhash64("id"), "id"))  # every text's first segments, then the next ones
+    within = segments.withColumn("before", before).where(F.col("before") <= tokens).drop("before") if segments.agg(F.sum("n")).first()[0] > tokens else segments
+    states = within.mapInArrow(_states(telling), f"id {kind}, toxic double, part long, feats binary, states binary")
+    got = states.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "used binary, w binary, rest array<double>").first()
+    rest = np.array(got["rest"])
+    return {"used": np.frombuffer(got["used"], np.int32), "w": np.frombuffer(got["w"], np.float32), "bias": rest[0], "trans": rest[1:5].reshape(2, 2), "beta": rest[5:]}
+
+
+_dense: dict[bytes, np.ndarray] = {}
+
+
+def _weights(model: dict) -> np.ndarray:
+    """The weights by feature, kept for the life of the worker."""
+    key = model["w"].tobytes()[:4096] + model["beta"].tobytes()
+    if key not in _dense:
+        _dense.clear()
+        _dense[key] = np.zeros(KINDS << FEATURE_BITS, np.float32)
+        _dense[key][model["used"]] = model["w"]
+    return _dense[key]
 
 
 def _apply(model: dict, texts: pa.Array):
-    words = Words(texts, PUNCTUATED)
-    p = marginals(model["bias"] + sum(model["w"][f] for f in _features(words, _units(words))).astype(float), model["trans"], words.of)
+    words, w = Words(texts, PUNCTUATED), _weights(model)
+    p = marginals(model["bias"] + sum(w[f] for f in _features(words, _units(words))).astype(float), model["trans"], words.of)
     score = 1 / (1 + np.exp(-np.clip(_document_features(*_sums_and_tops(p, words.of)) @ model["beta"], -30, 30)))
     return words, p, score
 

@@ -483,8 +483,8 @@ def test_leaks_by_either_join(spark):
             item = (text or "").split()
             size = min(13, len(item))
             for s in range(len(item) - size + 1 if item else 0):
-                for p in range(len(doc) - size + 1):
-                    odd = sum(x != y for x, y in zip(item[s : s + size], doc[p : p + size], strict=True))
+                for p in range(-2, len(doc)):
+                    odd = sum(not 0 <= p + j < len(doc) or doc[p + j] != item[s + j] for j in range(size))
                     if odd <= (2 if len(item) >= 9 else 0) and (len(item) >= 4 or len(item) == len(doc)):
                         n, low, high = want.get((i, k), (0, p, 0))
                         want[i, k] = (n + 1, min(low, p), max(high, p + size - 1))
@@ -492,7 +492,8 @@ def test_leaks_by_either_join(spark):
     assert len(want) > 20
     for most in (decontaminate.BROADCAST_SEEDS, 3):
         got = decontaminate.leaks(docs, items, broadcast_seeds=most).collect()
-        assert len(got) == len(want) and {(x.doc_id, x.item_id): (x.n_windows, x.first_word, x.last_word) for x in got} == want
+        found = {(x.doc_id, x.item_id): (x.n_windows, x.first_word, x.last_word) for x in got}
+        assert found == want and len(got) == len(want)
 
 
 def test_substrings(docs, rows, none):
