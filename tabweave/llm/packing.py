@@ -7,6 +7,7 @@ one unbroken stream of tokens, which is cut every `length` tokens, so that only
 """
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -24,13 +25,20 @@ BUCKETS, DIMENSIONS, BITS = 1024, 3, 10
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file, kept for the life of the worker."""
-    if path not in _encodings:
+def encoding(path: str, special: dict[str, int]) -> tiktoken.Encoding:
+    """The byte-level BPE of a ranks file, kept for the life of the worker; strings in special are one token each wherever they stand."""
+    key = f"{path} {sorted(special.items())}"
+    if key not in _encodings:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[key] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _encodings[key]
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer file takes for one token before it splits a text."""
+    with open(path) as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -71,12 +79,12 @@ def _place(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(np.minimum(((np.tanh(v) + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1).T)
 
 
-def _tokenise(path: str):
+def _tokenise(path: str, special: dict[str, int]):
     def run(batches):
-        enc, pack = encoding(path), zstandard.ZstdCompressor(level=1).compress
+        enc, pack = encoding(path, special), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for piece in pieces(batch):
-                ids = [np.append(enc.encode_to_numpy(t, disallowed_special=()), 0).astype("<u4") for t in piece.column("text").to_pylist()]
+                ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), 0).astype("<u4") for t in piece.column("text").to_pylist()]
                 small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(_place(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.itemsize for x in small], pa.int32()), pa.array([pack(x.tobytes()) for x in small], pa.binary())],
@@ -106,16 +114,18 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, tokenizer: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer: path of a ranks file. A null text is an empty one: its single token is the end, 0. Rows that repeat an id
+    tokenizer: path of a ranks file; special: strings that are one token each, by default those that the same vocabulary's
+    tokenizer file adds. A null text is an empty one: its single token is the end, 0. Rows that repeat an id
     are packed each for itself; a null id stays null. An empty table gives no piece.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    special = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if special is None else special
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens = staged(rows.mapInArrow(_tokenise(tokenizer), f"doc_id {kind}, place long, doc_tokens long, width int, ids binary").withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = staged(rows.mapInArrow(_tokenise(tokenizer, special), f"doc_id {kind}, place long, doc_tokens long, width int, ids binary").withColumn("row", F.monotonically_increasing_id()), "tokens")
     order = ["place", "doc_id", "row"]
     ranged = staged(tokens.select(*order, "doc_tokens").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
