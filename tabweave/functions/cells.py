@@ -1,52 +1,63 @@
 """Cells of tables: kinds, translatability, gates, coordinates."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import letter_count, universal_count
 
 # Terms that keep, or lose, their meaning in translation, before any are learnt.
-TRANSLATABLE = sorted(set("""
-portfolio strategy return risk price value investment asset performance ratio metric comparison equal contribution
-distance similarity probability distribution optimization minimization maximization cost loss gain change increase
-decrease model prediction forecast trend pattern cluster classification regression analysis method algorithm accuracy
-precision recall f1 score rate time dataset evaluation benchmark result parameter coefficient variable feature input
-output mean standard deviation average median variance correlation relationship difference weapon shotgun smg knife
-handgun sniper sword grenade launcher bazooka rifle automatic drug val defense training krav magma billete
-""".split()))
+TRANSLATABLE = [
+    "portfolio", "strategy", "return", "risk", "price", "value", "investment", "asset", "performance", "ratio", "metric",
+    "comparison", "equal", "contribution", "distance", "similarity", "probability", "distribution", "optimization",
+    "minimization", "maximization", "cost", "loss", "gain", "change", "increase", "decrease", "model", "prediction",
+    "forecast", "trend", "pattern", "cluster", "classification", "regression", "analysis", "method", "algorithm",
+    "accuracy", "precision", "recall", "f1", "score", "rate", "time", "dataset", "evaluation", "benchmark", "result",
+    "parameter", "coefficient", "variable", "feature", "input", "output", "mean", "standard", "deviation", "average",
+    "median", "variance", "correlation", "relationship", "difference", "weapon", "shotgun", "smg", "knife", "handgun",
+    "sniper", "sword", "grenade", "launcher", "bazooka", "rifle", "automatic", "drug", "val", "defense", "training",
+    "krav", "magma", "billete",
+]
 UNTRANSLATABLE = [
-    "activation function", "attention", "autoencoder", "backpropagation", "batch", "bert", "bloom", "boltzmann", "cnn", "convolution",
-    "decision tree", "electra", "embedding", "epoch", "finetuning", "gan", "gpt", "gradient descent", "hopfield", "kernel", "layer",
-    "llm", "logistic regression", "lstm", "neural network", "neuron", "overfitting", "perceptron", "pretrained llm", "pretraining",
-    "rnn", "roberta", "support vector", "token", "transformer", "vae", "xlnet",
+    "logistic regression", "neural network", "support vector", "decision tree", "activation function", "neuron", "layer",
+    "kernel", "backpropagation", "gradient descent", "epoch", "batch", "overfitting", "pretrained llm", "bloom", "gpt",
+    "llm", "token", "finetuning", "pretraining", "embedding", "attention", "transformer", "lstm", "rnn", "cnn", "gan",
+    "vae", "bert", "roberta", "xlnet", "electra", "autoencoder", "boltzmann", "hopfield", "perceptron", "convolution",
 ]
 # Endings that mark a file.
-FILE_ENDINGS = "json csv xlsx jpeg jpg png gif txt".split()
+FILE_ENDINGS = ["json", "csv", "xlsx", "jpeg", "jpg", "png", "gif", "txt"]
 
 
-def is_numeric(cell: Column) -> Column:
-    return cell.rlike(r"^\p{Nd}+$") | cell.isin("0", "1", "0.0", "1.0")
+def typed(value: Column) -> tuple[Column, Column]:
+    """Texts and kinds of rows of JSON cells (an array of arrays of VARIANT). A kind is `text`, `number` (booleans too) or, for nested values, `other`; null for null."""
 
+    def kind(v: Column) -> Column:
+        of = F.schema_of_variant(v)
+        return F.when(of.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|BOOLEAN)"), "number").when(of == "STRING", "text").when(of.isNotNull() & (of != "VOID"), "other")
+
+    each = lambda f: F.transform(value, lambda row: F.transform(row, f))
+    return each(lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v)))), each(kind)
 
-def is_path(cell: Column) -> Column:
-    return cell.contains("/") | cell.contains("\\") | cell.rlike(rf"\.({'|'.join(FILE_ENDINGS)})$")
 
+def is_numeric(cell: Column, kind: Column | None = None) -> Column:
+    """Digits alone (or one of four short forms); a cell that was a number or a boolean in its file, whatever its text."""
+    text = cell.rlike(r"^\p{Nd}+$") | cell.isin("0", "1", "0.0", "1.0")
+    return text if kind is None else F.coalesce(kind == "number", F.lit(False)) | text
 
-def _any_of(terms: list[str]) -> str:
-    """A pattern of the terms, those with one first letter together, so that few branches are tried at each place."""
-    by_letter: dict[str, list[str]] = {}
-    for t in sorted(terms):
-        by_letter.setdefault(t[0], []).append(rf"\Q{t[1:]}\E")
-    return "|".join(rf"\Q{first}\E(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+
+def is_path(cell: Column) -> Column:
+    return cell.contains("/") | cell.contains("\\") | cell.rlike(rf"\.({'|'.join(FILE_ENDINGS)})$")
 
 
 def has_untranslatable(cell: Column, terms: list[str] = UNTRANSLATABLE) -> Column:
     """Whether any term stands anywhere in the lower-cased text, within words too."""
-    return F.lower(cell).rlike(_any_of(terms)) if terms else F.lit(False)
+    low = F.lower(cell)
+    return reduce(lambda a, b: a | b, (low.contains(t) for t in terms), F.lit(False))
 
 
-def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE) -> Column:
-    """(score, reason) of a text cell; a null one is universal, as any cell that is no text."""
+def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE, kind: Column | None = None) -> Column:
+    """(score, reason) of a cell. Numbers and booleans are numeric, null and other cells that are no text universal; without kinds every cell is a text."""
     last = F.element_at(F.split(cell, "/"), -1)
     is_universal = universal_count(cell) >= F.length(cell) * 0.5
 
@@ -54,8 +65,8 @@ def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE) -> Column:
         return F.struct(F.lit(score).alias("score"), F.lit(reason).alias("reason"))
 
     return (
-        F.when(cell.isNull(), out(1.0, "non_string_universal"))
-        .when(is_numeric(cell), out(1.0, "numeric_universal"))
+        F.when(cell.isNull() if kind is None else cell.isNull() | (kind == "other"), out(1.0, "non_string_universal"))
+        .when(is_numeric(cell, kind), out(1.0, "numeric_universal"))
         .when(is_path(cell), F.when(universal_count(last) >= F.length(last) * 0.3, out(0.95, "file_path_mostly_universal")).otherwise(out(0.85, "file_path_with_content")))
         .when(has_untranslatable(cell, terms), out(0.0, "untranslatable_label"))
         .when(is_universal, out(1.0, "mostly_universal"))
@@ -95,9 +106,14 @@ def code_host_gate(columns: Column, data: Column) -> Column:
     return (dimension(data) >= 2) & (dimension(columns) >= 2) & (unnamed <= F.size(columns) * 0.5) & (null_count(data) < dimension(data) * dimension(columns))
 
 
+def content_digest(data: Column) -> Column:
+    """A hash of the rows; headers have no part in it."""
+    return F.sha2(F.to_json(data), 256)
+
+
 def content_hash(data: Column) -> Column:
-    """First ten hex digits of a hash of the rows; headers have no part in it."""
-    return F.substring(F.sha2(F.to_json(data), 256), 1, 10)
+    """Its first ten hex digits, for names."""
+    return F.substring(content_digest(data), 1, 10)
 
 
 def cell_name(row: Column, col: Column) -> Column:

@@ -9,8 +9,14 @@ SYMBOLS = ["α", "β", "γ", "δ", "σ", "λ", "θ", "μ", "Δ", "Σ", "%", "·"
 MATH_FUNCTIONS = ["sin", "cos", "tan", "log", "exp", "sqrt", "min", "max"]
 
 # Words that are no terms (35 for extraction, 15 while tracking).
-STOP_WORDS = "the a an and or is are was were in of to for with by at from as on be have has had do does did will would could should may might can this that".split()
-TRACKING_STOP_WORDS = "the a an and or is are in of to for with by at from".split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "is", "are", "was", "were", "in", "of", "to", "for", "with", "by", "at", "from", "as",
+    "on", "be", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can",
+    "this", "that",
+]
+TRACKING_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "is", "are", "in", "of", "to", "for", "with", "by", "at", "from",
+]
 
 
 def letter_count(text: Column) -> Column:
@@ -54,10 +60,14 @@ def strip_fence(text: Column) -> Column:
     return F.when(inner != "", inner).otherwise(F.trim(text))
 
 
+# Fixed value: what closes a model's thoughts.
+THOUGHT_END = "</think>"
+
+
 def response_answer(text: Column) -> Column:
-    """The `data` of a model's JSON answer after its last closing think tag, else the raw text as a single cell."""
-    said = F.trim(F.substring_index(text, "</think>", -1))
-    return F.coalesce(F.from_json(strip_fence(said), "data array<array<string>>")["data"], F.array(F.array(said)))
+    """The `data` of a model's JSON answer, given alone or after its last thought, else the whole raw response as a single cell."""
+    answers = [F.from_json(strip_fence(x), "data array<array<string>>")["data"] for x in (text, F.trim(F.substring_index(text, THOUGHT_END, -1)))]
+    return F.coalesce(*answers, F.array(F.array(text)))
 
 
 def safe_name(model: Column) -> Column:

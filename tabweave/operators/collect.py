@@ -19,7 +19,8 @@ def gated(tables: DataFrame) -> DataFrame:
 
 def distinct_content(tables: DataFrame) -> DataFrame:
     """One table for each source and content, the least id, named by source and hash; headers don't count."""
-    return tables.groupBy("source", C.content_hash(F.col("data")).alias("hash")).agg(F.min("table_id").alias("kept"), F.count("*").alias("copies")).withColumn("table_id", F.concat_ws("_", "source", "hash"))
+    by = tables.groupBy("source", C.content_digest(F.col("data")).alias("digest")).agg(F.min("table_id").alias("kept"), F.count("*").alias("copies"))
+    return by.withColumn("hash", F.substring("digest", 1, 10)).withColumn("table_id", F.concat_ws("_", "source", "hash")).drop("digest")
 
 
 def located(kept: DataFrame, files: DataFrame) -> DataFrame:
@@ -90,66 +91,118 @@ def table_statistics(tables: DataFrame) -> DataFrame:
     return tables.withColumn("numeric", numeric).select("table_id", F.size("columns").cast("long").alias("total_columns"), count.alias("numeric_columns"), (F.size("columns") - count).cast("long").alias("text_columns"), F.round(count * 1.0 / F.size("columns"), 4).alias("numeric_share"), F.array_join(F.slice("columns", 1, 20), "|").alias("first_columns"))
 
 
+def _csv_rows(content):
+    """The rows of a CSV text: line breaks within quotes part none; blank lines are left out."""
+    rows = F.regexp_extract_all(F.regexp_replace(content, "\r\n?", "\n"), F.lit(r'(?:[^"\n]++|"(?:[^"]++|"")*+"|")++'), F.lit(0))
+    return F.filter(rows, lambda x: F.trim(x) != "")
+
+
+def _csv_fields(row, delimiter: str):
+    """The fields of a row; quoted ones hold delimiters, and quotes doubled."""
+    d = rf"\Q{delimiter}\E"
+    fields = F.regexp_extract_all(F.concat(F.lit(delimiter), row), F.lit(rf'{d}("(?:[^"]++|"")*+"|(?:(?!{d}).)*+)'), F.lit(1))
+    return F.transform(fields, lambda x: F.when(x.rlike('(?s)^".*"$'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
 def sniff_csv(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds delimiter, columns and data: the first delimiter that parts the header; lines with more fields are left out."""
-    lines = F.filter(F.split(F.regexp_replace(content, "\r\n", "\n"), "\n"), lambda x: x != "")
-    found = F.coalesce(*(F.when(F.size(F.split(F.get("lines", F.lit(0)), f"\\Q{d}\\E")) > 1, d) for d in DELIMITERS))
-    out = files.withColumn("lines", lines).withColumn("delimiter", found)
-    cut = F.transform("lines", lambda x: F.split(x, F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")), -1))
-    out = out.withColumn("parts", F.when(F.col("delimiter").isNotNull(), cut)).withColumn("columns", F.get("parts", F.lit(0)))
-    return out.withColumn("data", F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda r: F.size(r) <= F.size("columns"))).drop("lines", "parts")
+    """Adds delimiter, columns and data: the first delimiter that parts the header; rows with more fields are left out.
+
+    An empty header is named by its place, an empty field and one that a short row lacks are null. Without a delimiter
+    columns and data are null.
+    """
+    rows = files.withColumn("lines", _csv_rows(F.col(content)))
+    heads = [_csv_fields(F.get("lines", F.lit(0)), d) for d in DELIMITERS]
+    rows = rows.withColumn("delimiter", F.coalesce(*(F.when(F.size(h) > 1, d) for h, d in zip(heads, DELIMITERS, strict=True))))
+    parts = F.coalesce(*(F.when(F.col("delimiter") == d, F.transform("lines", _fields_by(d))) for d in DELIMITERS))
+    rows = rows.withColumn("parts", parts)
+    named = F.transform(F.get("parts", F.lit(0)), lambda x, i: F.when(x == "", F.concat(F.lit("Unnamed: "), i)).otherwise(x))
+    fits = F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda r: F.size(r) <= F.size("columns"))
+    whole = F.transform(fits, lambda r: F.transform(F.sequence(F.lit(0), F.size("columns") - 1), lambda j: F.nullif(F.get(r, j), F.lit(""))))
+    return rows.withColumn("columns", named).withColumn("data", F.when(F.col("columns").isNotNull(), whole)).drop("lines", "parts")
+
+
+def _fields_by(delimiter: str):
+    return lambda row: _csv_fields(row, delimiter)
+
+
+_EMPTY = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
+class _Element:
+    def __init__(self, tag: str, classes: list, parent: "_Element | None"):
+        self.tag, self.classes, self.parent, self.inside = tag, classes, parent, []
+
+    def text(self) -> str:
+        return "".join(x.strip() if isinstance(x, str) else x.text() for x in self.inside)
+
+    def all(self, *tags: str) -> list:
+        """Descendants of these tags, in order; those of a table within are its own."""
+        out = []
+        for x in self.inside:
+            if isinstance(x, _Element):
+                out += [x] if x.tag in tags else []
+                out += [] if x.tag == "table" else x.all(*tags)
+        return out
 
 
-class _Tables(HTMLParser):
-    """The tables of a page, each with its caption, or the figure caption beside it."""
+class _Page(HTMLParser):
+    """A page's elements, and its tables in order."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__()
-        self.done, self.open, self.figure, self.text, self.into = [], [], "", None, None
+        self.at, self.tables = _Element("", [], None), []
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
+        new = _Element(tag, (dict(attrs).get("class") or "").split(), self.at)
+        self.at.inside.append(new)
         if tag == "table":
-            self.open.append({"caption": "", "rows": []})
-        elif tag == "tr" and self.open:
-            self.open[-1]["rows"].append([])
-        elif tag in ("td", "th", "caption", "figcaption"):
-            self.text, self.into = [], tag
+            self.tables.append(new)
+        if tag not in _EMPTY:
+            self.at = new
 
     def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
+        self.at.inside.append(data)
 
     def handle_endtag(self, tag):
-        if tag == self.into and self.text is not None:
-            said, self.text = " ".join("".join(self.text).split()), None
-            if tag == "figcaption":
-                self.figure = said
-                for t in self.done[-1:]:
-                    t["caption"] = t["caption"] or said
-            elif tag == "caption" and self.open:
-                self.open[-1]["caption"] = said
-            elif self.open and self.open[-1]["rows"]:
-                self.open[-1]["rows"][-1].append(said)
-        elif tag == "table" and self.open:
-            t = self.open.pop()
-            t["caption"] = t["caption"] or self.figure
-            self.figure = ""
-            self.done.append(t)
-        elif tag == "figure":
-            self.figure = ""
-
-
-@udtf(returnType="table_no int, caption string, columns array<string>, data array<array<string>>")
+        up = self.at
+        while up and up.tag != tag:
+            up = up.parent
+        if up:
+            self.at = up.parent
+
+
+def _caption(table: _Element) -> str:
+    """Its own caption; else that of the element just before it, if that is one; else that of the figure it stands in."""
+    if own := table.all("caption"):
+        return own[0].text()
+    before = [x for x in table.parent.inside[: table.parent.inside.index(table)] if isinstance(x, _Element)][-1:]
+    said = before[0].text() if before and (before[0].tag in ("figcaption", "caption") or "caption" in before[0].classes) else ""
+    figure = table.parent
+    while figure and figure.tag != "figure":
+        figure = figure.parent
+    return said or (figure.all("figcaption")[0].text() if figure and figure.all("figcaption") else "")
+
+
+def _grid(table: _Element) -> tuple[list, list]:
+    """Header and data rows: the header is the first row of thead, or a first row of th alone; without either, columns are numbered."""
+    rows = [(row, [x for x in row.inside if isinstance(x, _Element) and x.tag in ("td", "th")]) for row in table.all("tr")]
+    rows = [(row, cells) for row, cells in rows if cells]
+    data = [[" ".join(c.text().split()) for c in cells] for _, cells in rows]
+    if rows and (rows[0][0].parent.tag == "thead" or all(c.tag == "th" for c in rows[0][1])):
+        return data[0], data[1:]
+    return [str(i) for i in range(max(map(len, data), default=0))], data
+
+
+@udtf(returnType="table_no int, caption string, columns array<string>, data array<array<string>>", useArrow=True)
 class HtmlTables:
-    """One row for each table of a page that has a header row and data."""
+    """One row for each table of a page that has data."""
 
     def eval(self, html: str):
-        parser = _Tables()
-        parser.feed(html or "")
-        for i, t in enumerate(parser.done):
-            rows = [r for r in t["rows"] if r]
-            if len(rows) > 1:
-                yield i, t["caption"], rows[0], rows[1:]
+        for i, table in enumerate(_Page(html or "").tables):
+            columns, data = _grid(table)
+            if data:
+                yield i, _caption(table), columns, data
 
 
 def html_tables(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -75,12 +75,15 @@ def overall(scored: DataFrame, places: int = 6) -> DataFrame:
 
 
 def summary(tagged: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row: the model (of the first response), counters, and overall and per-language metrics as one JSON text."""
+    """One row: the model (of the first response that names one, by line_no where it is there), counters, and overall and per-language metrics as one JSON text."""
     languages = per_language(scored).agg(F.array_sort(F.collect_list(F.struct("language", "samples", "exact_match", "f1_score", "bleu_score"))).alias("per_language_metrics"))
-    parts = [counters(tagged), overall(scored), languages]  # one row each
+    names = tagged if "model_name" in tagged.columns else tagged.withColumn("model_name", F.lit(None).cast("string"))
+    order = F.struct("line_no" if "line_no" in names.columns else "question_id", "image_filename")
+    model = names.agg(F.min_by("model_name", F.when(F.col("model_name").isNotNull(), order)).alias("model_name"))
+    parts = [counters(tagged), overall(scored), languages, model]  # one row each
     rows = [p.select(F.lit(1).alias("one"), F.struct(*p.columns).alias(f"part{i}")) for i, p in enumerate(parts)]
-    joined = rows[0].join(rows[1], "one").join(rows[2], "one")
-    return joined.select(F.to_json(F.struct(F.col("part0").alias("metadata"), F.col("part1").alias("overall_metrics"), F.col("part2.per_language_metrics").alias("per_language_metrics"))).alias("summary"))
+    joined = rows[0].join(rows[1], "one").join(rows[2], "one").join(rows[3], "one")
+    return joined.select(F.to_json(F.struct(F.col("part3.model_name").alias("model_name"), F.col("part0").alias("metadata"), F.col("part1").alias("overall_metrics"), F.col("part2.per_language_metrics").alias("per_language_metrics"))).alias("summary"))
 
 
 def instances(questions: DataFrame, images: DataFrame, language: str = "default", image_type: str = "clean", prefix: bool = False) -> DataFrame:

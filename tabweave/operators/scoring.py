@@ -8,10 +8,17 @@ from ..functions import text as T
 
 
 def cells(tables: DataFrame) -> DataFrame:
-    """The long form: table_id, category, row_idx, col_idx, col_name, cell."""
-    rows = tables.select("table_id", "category", "columns", F.posexplode("data").alias("row_idx", "row"))
-    flat = rows.select("table_id", "category", "columns", "row_idx", F.posexplode("row").alias("col_idx", "cell"))
-    return flat.select("table_id", "category", "row_idx", "col_idx", F.get("columns", F.col("col_idx")).alias("col_name"), "cell")
+    """The long form: table_id, category, row_idx, col_idx, col_name, cell, and kind if the tables have kinds.
+
+    Explodes are outer ones, as Spark tests the array of an inner one for emptiness first, which computes it again.
+    """
+    typed = "kinds" in tables.columns
+    data = F.arrays_zip(F.col("data").alias("row"), F.col("kinds").alias("kinds")) if typed else F.col("data")
+    rows = tables.select("table_id", "category", "columns", F.posexplode_outer(data).alias("row_idx", "row"))
+    row = F.arrays_zip(F.col("row.row").alias("cell"), F.col("row.kinds").alias("kind")) if typed else F.col("row")
+    flat = rows.select("table_id", "category", "columns", "row_idx", F.posexplode_outer(row).alias("col_idx", "cell")).where("col_idx IS NOT NULL")
+    cell = [F.col("cell.cell").alias("cell"), F.col("cell.kind").alias("kind")] if typed else ["cell"]
+    return flat.select("table_id", "category", "row_idx", "col_idx", F.get("columns", F.col("col_idx")).alias("col_name"), *cell)
 
 
 def from_cells(cells: DataFrame) -> DataFrame:
@@ -22,7 +29,8 @@ def from_cells(cells: DataFrame) -> DataFrame:
 
 
 def cell_translatability(cells: DataFrame, terms: list[str] = C.UNTRANSLATABLE) -> DataFrame:
-    return cells.withColumn("t", C.translatability(F.col("cell"), terms)).select(*cells.columns, "t.score", "t.reason")
+    kind = F.col("kind") if "kind" in cells.columns else None
+    return cells.withColumn("t", C.translatability(F.col("cell"), terms, kind)).select(*cells.columns, "t.score", "t.reason")
 
 
 def table_translatability(tables: DataFrame, terms: list[str] = C.UNTRANSLATABLE) -> DataFrame:
@@ -30,7 +38,8 @@ def table_translatability(tables: DataFrame, terms: list[str] = C.UNTRANSLATABLE
 
     Scores stay in their table's row, so nothing is shuffled.
     """
-    scored = F.transform(F.flatten("data"), lambda c: F.round(C.translatability(c, terms)["score"] * 100).cast("int"))
+    points = lambda c, kind=None: F.round(C.translatability(c, terms, kind)["score"] * 100).cast("int")
+    scored = F.zip_with(F.flatten("data"), F.flatten("kinds"), lambda c, k: points(c, k)) if "kinds" in tables.columns else F.transform(F.flatten("data"), lambda c: points(c))
     rows = tables.select("table_id", "category", F.when(F.size("data") > 1, scored).otherwise(F.array().cast("array<int>")).alias("s"))
     count = lambda keep: F.size(F.filter("s", keep)).cast("long")
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -64,8 +73,10 @@ def category_summary(scores: DataFrame) -> DataFrame:
 
 
 def _text_cells(tables: DataFrame) -> DataFrame:
-    cell = F.explode(F.filter(F.flatten("data"), lambda c: ~(C.is_numeric(c) | C.is_path(c))))
-    return tables.select(cell.alias("cell"))
+    texts = F.flatten("data")
+    if "kinds" in tables.columns:
+        texts = F.zip_with(texts, F.flatten("kinds"), lambda c, k: F.when(k == "text", c))
+    return tables.select(F.explode_outer(texts).alias("cell")).where(~(C.is_numeric(F.col("cell")) | C.is_path(F.col("cell"))))
 
 
 def distinct_terms(tables: DataFrame, with_phrases: bool = False) -> DataFrame:
@@ -110,14 +121,15 @@ def existing(ranked: DataFrame, tables: DataFrame) -> DataFrame:
     return ranked.join(sizes, "table_id").withColumn("total_cells", F.col("num_rows") * F.col("num_columns"))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, or the upper of two."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.floor(F.count(values) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The middle of the sorted values, or the upper of two: counted from above, the first that half of them reach."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
 def selection_report(selected: DataFrame) -> DataFrame:
+    """By category. The tables have been cut to the best of each, so few names come together."""
     return selected.groupBy("category").agg(
-        F.count("*").alias("tables"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.round(F.avg("score"), 4).alias("avg_score"), upper_median(F.col("score")).alias("median_score"),
+        F.count("*").alias("tables"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.round(F.avg("score"), 4).alias("avg_score"), upper_median("score").alias("median_score"),
         F.round(F.avg("num_rows"), 4).alias("avg_rows"), F.round(F.avg("num_columns"), 4).alias("avg_columns"), F.round(F.avg("total_cells"), 4).alias("avg_cells"),
         F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "table_id"))), 1, 10), lambda x: x["table_id"]), ",").alias("top_10"),
     )

@@ -56,6 +56,11 @@ def with_threshold(tables: DataFrame, overall: bool = False) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("chars") >= F.col("threshold"), "kept").otherwise("excluded"))
 
 
+def in_order(decided: DataFrame, decision: str) -> DataFrame:
+    """The tables with a decision: those kept from the most characters down, those excluded from the fewest up; ties by name."""
+    return decided.where(F.col("decision") == decision).orderBy(F.desc("chars") if decision == "kept" else F.asc("chars"), "table_id")
+
+
 def filter_summary(decided: DataFrame) -> DataFrame:
     """By source, and for `other` even where it has none: kept, excluded and the share kept in per cent."""
     counts = decided.groupBy("source").agg(F.count_if(F.col("decision") == "kept").alias("kept"), F.count_if(F.col("decision") == "excluded").alias("excluded"))

@@ -92,6 +92,16 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("rows").alias("all")))).select(column, "rows", F.round(F.col("rows") * 100.0 / F.col("all"), 2).alias("percent"))  # one row
 
 
+def datasets(rows: DataFrame) -> DataFrame:
+    """The distinct data sets of some reviews, in order."""
+    return rows.select(dataset_type(F.col("question_id")).alias("dataset")).distinct().orderBy("dataset")
+
+
+def with_table(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Reviews with the columns and data of their table, null where it isn't there."""
+    return rows.withColumn("table_id", table_of(F.col("question_id"))).join(tables.select("table_id", "columns", "data"), "table_id", "left")
+
+
 def reviews(rows: DataFrame, status: str = "All", dataset: str = "All") -> DataFrame:
     if status != "All":
         rows = rows.where(F.col("is_golden_correct") == status)

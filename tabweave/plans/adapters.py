@@ -41,28 +41,28 @@ PAIRS_SQL = """pairs AS (
   WHERE a.role = 'assistant' AND u.role = 'user')"""
 
 
-def _language(conv_id):
+def language(conv_id):
     return F.element_at(F.array(*(F.lit(x) for x in LANGS)), (conv_id % 4 + 1).cast("int"))
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: user turns but for every fifth conversation; the last of those that share conversation and language wins."""
-    conv = read(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 5 <> 0")
-    return conv.select(F.concat(F.lit("q_"), "conv_id").alias("question_id"), F.col("conv_id").cast("string").alias("table_id"), _language(F.col("conv_id")).alias("language"), F.lower("text").alias("golden_answer"), F.col("turn").alias("line_no"))
+    """Questions: user turns; the last of those that share conversation and language wins."""
+    conv = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return conv.select(F.concat(F.lit("q_"), "conv_id").alias("question_id"), F.col("conv_id").cast("string").alias("table_id"), language(F.col("conv_id")).alias("language"), F.lower("text").alias("golden_answer"), F.col("turn").alias("line_no"))
 
 
 DATASET_SQL = f"""dataset AS (
   SELECT 'q_' || conv_id AS question_id, conv_id::VARCHAR AS table_id, {LANGS!r}[conv_id % 4 + 1] AS language, lower(text) AS golden_answer, turn AS line_no
-  FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0)"""
+  FROM conversations WHERE role = 'user')"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as responses, some of them errors, of unknown language or unreadable."""
+    """Assistant turns as responses, some of them errors, of unknown language or unreadable, each with its line and model."""
     conv = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     c = F.col("conv_id")
-    language = F.when(c % 7 == 0, "xx").otherwise(_language(c))
+    code = F.when(c % 7 == 0, "xx").otherwise(language(c))
     said = F.when(c % 11 == 0, "CUDA out of memory. Skipping.").when(c % 13 == 0, "Table too large").otherwise(F.lower("text"))
-    return conv.select(F.format_string("%s_%03d", c, "turn").alias("response_id"), F.concat(F.lit("q_"), c).alias("question_id"), F.concat(language, F.lit("_clean.jpg")).alias("image_filename"), said.alias("model_response"), (c % 17 != 0).alias("parsed"))
+    return conv.select(F.format_string("%s_%03d", c, "turn").alias("response_id"), F.concat(F.lit("q_"), c).alias("question_id"), F.concat(code, F.lit("_clean.jpg")).alias("image_filename"), said.alias("model_response"), (c % 17 != 0).alias("parsed"), (c * 1000 + F.col("turn")).alias("line_no"), F.concat(F.lit("model_"), c % 3).alias("model_name"))
 
 
 RESPONSES_SQL = f"""responses AS (
@@ -75,7 +75,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clean and three noisy images of each conversation in each of its two languages."""
     conv = read(spark, sf_dir, "conversations").select("conv_id").distinct()
     kinds = F.array(*(F.struct(F.lit(t).alias("image_type"), F.lit(k).alias("kind")) for t, k in (("clean", "clean"), ("noise", "noise1"), ("noise", "noise2"), ("noise", "noise3"))))
-    rows = conv.select("conv_id", F.explode(F.array(_language(F.col("conv_id")), _language(F.col("conv_id") + 1))).alias("lang")).select("conv_id", "lang", F.explode(kinds).alias("x"))
+    rows = conv.select("conv_id", F.explode(F.array(language(F.col("conv_id")), language(F.col("conv_id") + 1))).alias("lang")).select("conv_id", "lang", F.explode(kinds).alias("x"))
     return rows.select(F.col("conv_id").cast("string").alias("table_id"), "x.image_type", F.concat("lang", F.lit("_"), "x.kind", F.lit(".jpg")).alias("image_filename"))
 
 

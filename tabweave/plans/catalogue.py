@@ -174,6 +174,30 @@ def cell_translatability(spark, sf):
     return scoring.cell_translatability(scoring.cells(A.tables(spark, sf))).select("table_id", "row_idx", "col_idx", "score", "reason")
 
 
+@query(
+    "typed_cells",
+    "SELECT o_orderkey::VARCHAR AS table_id, (k - 1)::INT AS col_idx, ['number', 'text', 'number', NULL, 'number', 'other', 'text'][k] AS kind, [NULL, o_orderstatus, NULL, NULL, NULL, NULL, '1.50'][k] AS cell, CASE k WHEN 1 THEN o_totalprice WHEN 5 THEN o_custkey END::DOUBLE AS number, ['numeric_universal', 'translatable_text', 'numeric_universal', 'non_string_universal', 'numeric_universal', 'non_string_universal', 'translatable_text'][k] AS reason FROM orders, range(1, 8) AS r(k)",
+)
+def typed_cells(spark, sf):
+    """Cells of JSON tables that are numbers, texts, booleans, null or nested; numbers are compared as such."""
+    text = F.format_string('[[%s, "%s", true, null, %s, {"a": 1}, "1.50"]]', F.col("o_totalprice").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string"))
+    data, kinds = C.typed(F.from_json(text, "array<array<variant>>"))
+    tables = A.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("table_id"), F.lit("x").alias("category"), F.array().cast("array<string>").alias("columns"), data.alias("data"), kinds.alias("kinds"))
+    out = scoring.cell_translatability(scoring.cells(tables))
+    return out.select("table_id", "col_idx", "kind", F.when(F.col("kind") == "text", F.col("cell")).alias("cell"), F.when(F.col("kind") == "number", F.col("cell").try_cast("double")).alias("number"), "reason")
+
+
+@query(
+    "typed_table_score",
+    "SELECT o_orderkey::VARCHAR AS table_id, 6::BIGINT AS total_cells, 6::BIGINT AS cells_maintaining_meaning, round((100 + 90 + 100) * 2 / 100.0::DOUBLE / 6, 2) AS average_translatability FROM orders",
+)
+def typed_table_score(spark, sf):
+    text = F.format_string('[[%s, "%s", 0.25], [%s, "%s", true]]', *(F.col(c).cast("string") for c in ("o_totalprice", "o_orderstatus") * 2))
+    data, kinds = C.typed(F.from_json(text, "array<array<variant>>"))
+    tables = A.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("table_id"), F.lit("x").alias("category"), data.alias("data"), kinds.alias("kinds"))
+    return scoring.table_translatability(tables).select("table_id", "total_cells", "cells_maintaining_meaning", "average_translatability")
+
+
 def _analysis(spark, sf):
     return scoring.table_translatability(A.tables(spark, sf))
 
@@ -241,12 +265,12 @@ def term_frequency(spark, sf):
 
 TOP = 10
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, table_id)::INT AS rank FROM scores QUALIFY rank <= {TOP})"
-_SELECTED = "selected AS (SELECT r.*, len(t.data)::BIGINT AS num_rows, len(t.data[1])::BIGINT AS num_columns, (len(t.data) * len(t.data[1]))::BIGINT AS total_cells FROM ranked r JOIN tables t ON r.table_id = t.table_id WHERE t.doc_id % 9 <> 0)"
+_SELECTED = "selected AS (SELECT r.*, len(t.data)::BIGINT AS num_rows, len(t.data[1])::BIGINT AS num_columns, (len(t.data) * len(t.data[1]))::BIGINT AS total_cells FROM ranked r JOIN tables t ON r.table_id = t.table_id WHERE t.doc_id IN (SELECT doc_id FROM labels))"
 
 
 def _selected(spark, sf):
-    """Every ninth table is missing after the cut."""
-    there = A.tables(spark, sf).where(F.col("table_id").cast("long") % 9 != 0)
+    """Tables without a label are missing after the cut."""
+    there = A.tables(spark, sf).join(_labels(spark, sf), "table_id", "left_semi")
     return scoring.existing(scoring.top_per_category(_scores(spark, sf), TOP), there)
 
 
@@ -407,10 +431,11 @@ def noise_image_pick(spark, sf):
     return evaluate.instances(_questions(spark, sf), A.images(spark, sf), image_type="noise").select("question_id", "language", "image_filename")
 
 
-@query("benchmark_resume_anti", _with(A.DATASET_SQL, A.IMAGES_SQL, _INSTANCES.format("clean")) + "SELECT * FROM inst WHERE substr(question_id, 3)::BIGINT % 3 <> 0")
+@query("benchmark_resume_anti", _with(A.DATASET_SQL, A.IMAGES_SQL, _INSTANCES.format("clean")) + "SELECT * FROM inst WHERE (question_id, language || '_clean.jpg') NOT IN (SELECT 'q_' || conv_id, " + repr(A.LANGS) + "[conv_id % 4 + 1] || '_clean.jpg' FROM conversations WHERE role = 'assistant' AND length(text) > 100)")
 def benchmark_resume_anti(spark, sf):
     rows = evaluate.instances(_questions(spark, sf), A.images(spark, sf)).select("question_id", "language", "image_filename")
-    done = rows.where(F.substring("question_id", 3, 20).cast("long") % 3 == 0)
+    said = A.read(spark, sf, "conversations").where("role = 'assistant' AND length(text) > 100")
+    done = said.select(F.concat(F.lit("q_"), "conv_id").alias("question_id"), F.concat(A.language(F.col("conv_id")), F.lit("_clean.jpg")).alias("image_filename"))
     return evaluate.remaining(rows, done)
 
 
@@ -494,9 +519,20 @@ def answer_upsert(spark, sf):
 # Collection ------------------------------------------------------------------------------------------------------
 
 
-@query("quality_gate", _with(A.TABLES_SQL) + "SELECT table_id, len(data) >= 3 AND len(data[1]) >= 3 AS accepted FROM tables")
+_GATED = """sized AS (SELECT table_id, CASE WHEN file_name LIKE 'github%' THEN 'github' ELSE source END AS source, len(data) AS n, len(data[1]) AS m,
+  len(list_filter(flatten(data), lambda c: c = '')) AS z, len(list_filter(data[1], lambda c: starts_with(c, 'Unnamed'))) AS u FROM tables),
+gated AS (SELECT *, CASE WHEN source = 'github' THEN n >= 2 AND m >= 2 AND u <= m * 0.5 AND z < n * m ELSE n >= 3 AND m >= 3 AND z::DOUBLE / greatest(n * m, 1) <= 0.8 END AS ok FROM sized)"""
+
+
+def _gated(spark, sf):
+    """Tables with empty cells as nulls, a quarter of them from a code host."""
+    tables = A.tables(spark, sf).withColumn("source", F.when(F.col("file_name").startswith("github"), "github").otherwise(F.col("source")))
+    return collect.gated(tables.withColumn("data", F.transform("data", lambda r: F.transform(r, lambda c: F.nullif(c, F.lit(""))))))
+
+
+@query("quality_gate", _with(A.TABLES_SQL, _GATED) + "SELECT table_id, ok AS accepted FROM gated")
 def quality_gate(spark, sf):
-    return collect.gated(A.tables(spark, sf)).select("table_id", "accepted")
+    return _gated(spark, sf).select("table_id", "accepted")
 
 
 @query("content_hash_dedup", "SELECT source, min(doc_id::VARCHAR) AS kept, count(*) AS copies FROM documents GROUP BY source, text")
@@ -519,17 +555,35 @@ def table_statistics(spark, sf):
     return collect.table_statistics(A.tables(spark, sf))
 
 
-@query("csv_sniff", "SELECT o_orderkey, ['|', ';', ','][o_orderkey % 3 + 1] AS delimiter, 3::BIGINT AS n_columns, o_orderstatus AS first_cell FROM orders")
+_NOTE = """o_orderkey::VARCHAR || ', "' || o_orderdate || '"; | ' || chr(10) || o_orderpriority"""
+
+
+@query("csv_sniff", f"SELECT o_orderkey, ['|', ';', ','][o_orderkey % 3 + 1] AS delimiter, 4::BIGINT AS n_columns, 'Unnamed: 3' AS last_header, 2::BIGINT AS n_rows, o_orderstatus AS first_cell, {_NOTE} AS note, NULL::VARCHAR AS short FROM orders")
 def csv_sniff(spark, sf):
     d = F.element_at(F.array(F.lit("|"), F.lit(";"), F.lit(",")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    content = F.concat(F.lit("status"), d, F.lit("priority"), d, F.lit("n\n"), "o_orderstatus", d, "o_orderpriority", d, F.lit("1\n"))
+    note = F.concat(F.col("o_orderkey").cast("string"), F.lit(', "'), F.col("o_orderdate").cast("string"), F.lit('"; | \n'), "o_orderpriority")
+    quoted = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    head, row = F.concat(F.lit("status"), d, F.lit("note"), d, F.lit("n"), d), F.concat("o_orderstatus", d, quoted, d, F.lit("1"), d, F.lit("x"))
+    content = F.concat(head, F.lit("\r\n"), row, F.lit("\n\n"), row, d, F.lit("too many\n"), F.lit("short"), d, F.lit('""\n'))
     out = collect.sniff_csv(A.read(spark, sf, "orders").select("o_orderkey", content.alias("content")))
-    return out.select("o_orderkey", "delimiter", F.size("columns").cast("long").alias("n_columns"), F.col("data")[0][0].alias("first_cell"))
+    first, second = F.col("data")[0], F.col("data")[1]
+    return out.select("o_orderkey", "delimiter", F.size("columns").cast("long").alias("n_columns"), F.col("columns")[3].alias("last_header"), F.size("data").cast("long").alias("n_rows"), first[0].alias("first_cell"), first[1].alias("note"), F.coalesce(second[1], second[3]).alias("short"))
 
 
-@query("html_tables", "SELECT p_partkey, 0 AS table_no, p_name AS caption, p_brand AS first_header, p_type AS first_cell FROM part")
+@query(
+    "html_tables",
+    """SELECT p_partkey, k AS table_no, CASE k WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN p_brand WHEN 3 THEN '' ELSE p_name END AS caption, CASE k WHEN 4 THEN '0' ELSE p_brand END AS first_header, p_type AS first_cell
+  FROM part, range(0, 5) AS r(k)""",
+)
 def html_tables(spark, sf):
-    page = F.concat(F.lit("<p>x</p><table><caption>"), render.escape(F.col("p_name")), F.lit("</caption><tr><th>"), render.escape(F.col("p_brand")), F.lit("</th><th>n</th></tr><tr><td>"), render.escape(F.col("p_type")), F.lit("</td><td>1</td></tr></table>"))
+    """A caption within, one before by its class, one of the figure that comes after, a stray one that isn't the table's, and a table without header."""
+    name, brand, kind = (render.escape(F.col(c)) for c in ("p_name", "p_brand", "p_type"))
+    row = F.concat(F.lit("<tr><td>"), kind, F.lit("</td><td>1</td></tr></table>"))
+    rest = F.concat(F.lit("<tr><th>"), brand, F.lit("</th><th>n</th></tr>"), row)
+    page = F.concat(
+        F.lit("<p>x<br>y</p><table><caption>"), name, F.lit("</caption>"), rest, F.lit("<div class='a caption'>"), kind, F.lit("</div><table><thead>"), F.replace(rest, F.lit("</tr><tr>"), F.lit("</tr></thead><tr>")),
+        F.lit("<figure><div><table>"), rest, F.lit("</div><figcaption>"), brand, F.lit("</figcaption></figure><figcaption>stray</figcaption><p>z</p><table>"), rest, F.lit("<figcaption>"), name, F.lit("</figcaption><table>"), row,
+    )
     out = collect.html_tables(A.read(spark, sf, "part").select("p_partkey", page.alias("html")))
     return out.select("p_partkey", "table_no", "caption", F.col("columns")[0].alias("first_header"), F.col("data")[0][0].alias("first_cell"))
 
@@ -543,16 +597,20 @@ def caption_join(spark, sf):
     return collect.captions(tables, blocks)
 
 
-@query("response_parse", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'said ' || url END AS answer FROM pages")
+@query("response_parse", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'said ' || url ELSE '<think>hm</think> said ' || url END AS answer FROM pages")
 def response_parse(spark, sf):
-    said = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<think>hm</think>```json\n{"data": [["'), "url", F.lit('"]]}\n```'))).otherwise(F.concat(F.lit("said "), "url"))
+    k = F.col("page_id") % 3
+    said = F.when(k == 0, F.concat(F.lit('<think>hm</think>```json\n{"data": [["'), "url", F.lit('"]]}\n```'))).when(k == 1, F.concat(F.lit("said "), "url")).otherwise(F.concat(F.lit("<think>hm</think> said "), "url"))
     return worklists.parsed_responses(A.read(spark, sf, "pages").select("page_id", said.alias("response"))).select("page_id", F.col("answer")[0][0].alias("answer"))
 
 
-@query("translation_prompts", "SELECT doc_id::VARCHAR AS table_id, starts_with(lang, 'x') AS odd FROM documents")
+@query("translation_prompts", _with(A.TABLES_SQL) + "SELECT table_id, 'Translate headers and cells to ' || lang || '. Keep numbers, symbols and the shape. Answer as JSON with columns and data.' AS asked, array_to_string(data[1], '|') AS header, array_to_string(list_transform(data, lambda r: array_to_string(r, '|')), chr(10)) AS cells FROM tables")
 def translation_prompts(spark, sf):
+    """What is asked, and the table that the prompt holds, read back."""
     t = A.tables(spark, sf).withColumn("prompt", worklists.translation_prompt(F.col("columns"), F.col("data"), F.col("lang")))
-    return t.select("table_id", (~F.col("prompt").startswith("Translate")).alias("odd"))
+    parts = F.split("prompt", "\n", 2)
+    table = F.from_json(parts[1], "columns array<string>, data array<array<string>>")
+    return t.select("table_id", parts[0].alias("asked"), F.array_join(table["columns"], "|").alias("header"), F.array_join(F.transform(table["data"], lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 
 
 @query("kept_files", "SELECT doc_id || '.json' AS file_name, CASE WHEN doc_id % 3 <> 0 THEN 'a/' || doc_id || '.json' END AS path FROM documents")
@@ -563,9 +621,9 @@ def kept_files(spark, sf):
     return collect.located(docs, files)
 
 
-@query("collection_counters", _with(A.TABLES_SQL) + "SELECT source, count(*) AS seen, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS too_small, 0::BIGINT AS too_empty FROM (SELECT source, len(data) >= 3 AND len(data[1]) >= 3 AS ok FROM tables) GROUP BY source")
+@query("collection_counters", _with(A.TABLES_SQL, _GATED) + "SELECT source, count(*) AS seen, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok AND (n < 3 OR m < 3)) AS too_small, count(*) FILTER (NOT ok AND n >= 3 AND m >= 3) AS too_empty FROM gated GROUP BY source")
 def collection_counters(spark, sf):
-    return collect.counters(collect.gated(A.tables(spark, sf)))
+    return collect.counters(_gated(spark, sf))
 
 
 @query("tables_from_cells", _with(A.TABLES_SQL) + "SELECT table_id, array_to_string(list_transform(data, lambda r: array_to_string(r, ' | ')), chr(10)) AS text FROM tables")
@@ -592,16 +650,16 @@ def run_statistics(spark, sf):
     return translate.run_statistics(_plan(spark, sf))
 
 
-def _upper() -> "translate.Client":
-    return lambda prompt: prompt.partition("\n")[2].upper().replace('"COLUMNS"', '"columns"').replace('"DATA"', '"data"')
+def _lower() -> "translate.Client":
+    return lambda prompt: prompt.partition("\n")[2].lower()
 
 
-@query("translation_round_trip", "SELECT doc_id::VARCHAR AS table_id, 'fr' AS lang_code FROM documents")
+@query("translation_round_trip", _with(A.TABLES_SQL) + "SELECT table_id, 'fr' AS lang_code, array_to_string(list_transform(data, lambda r: array_to_string(list_transform(r, lambda c: CASE WHEN doc_id % 3 = 0 THEN c ELSE lower(c) END), '|')), chr(10)) AS cells FROM tables")
 def translation_round_trip(spark, sf):
-    """A step with a client that answers in upper case, of which a third is done already."""
+    """A step with a client that answers in lower case, of which a third is done already."""
     work = A.tables(spark, sf).select("table_id", F.lit("fr").alias("lang_code"), "columns", "data")
     done = work.where(F.col("table_id").cast("long") % 3 == 0)
-    return translate.step(work, done, translate.table_prompt(F.col("lang_code")), lambda: _upper()).select("table_id", "lang_code")
+    return translate.step(work, done, translate.table_prompt(F.col("lang_code")), lambda: _lower()).select("table_id", "lang_code", F.array_join(F.transform("data", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 
 
 @query("eval_summary")
@@ -625,9 +683,9 @@ def html_render(spark, sf):
     return A.tables(spark, sf).select("table_id", render.html(F.col("columns"), F.col("data")).alias("html"))
 
 
-@query("render_worklist", "SELECT doc_id::VARCHAR AS table_id, lang || '_' || k || '.jpg' AS image_filename FROM documents, (VALUES ('clean'), ('noise1'), ('noise2'), ('noise3')) AS v(k)")
+@query("render_worklist", f"SELECT *, floor(('0x' || substr(md5(table_id || '/' || image_filename || '|style'), 1, 12))::BIGINT / 16::DOUBLE ** 12 * {render.STYLES})::INT AS style FROM (SELECT doc_id::VARCHAR AS table_id, lang || '_' || k || '.jpg' AS image_filename FROM documents, (VALUES ('clean'), ('noise1'), ('noise2'), ('noise3')) AS v(k))")
 def render_worklist(spark, sf):
-    return render.render_worklist(A.tables(spark, sf)).select("table_id", "image_filename")
+    return render.render_worklist(A.tables(spark, sf)).select("table_id", "image_filename", "style")
 
 
 @query("noise_plan")

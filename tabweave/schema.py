@@ -7,11 +7,12 @@ QA_PAIR = "question_id STRING, table_id STRING, question_type STRING, question S
 SCORES = "category STRING, tables ARRAY<STRUCT<file: STRING, score: INT>>"
 
 # Languages of table translation, and those of questions (all but the second list).
-LANGUAGES = (
-    "ar id_casual id_formal jv_krama jv_ngoko su_loma tl bn cs en es fr hi it mr ru_casual ru_formal sc si_formal_spoken "
-    "ja_casual ja_formal ko_casual ko_formal th yo nan nan_spoken yue zh_cn az"
-).split()
-TRANSLATION_ONLY = "ru_casual ja_casual ko_casual yo nan_spoken yue".split()
+LANGUAGES = [
+    "ar", "id_casual", "id_formal", "jv_krama", "jv_ngoko", "su_loma", "tl", "bn", "cs", "en", "es", "fr", "hi", "it",
+    "mr", "ru_casual", "ru_formal", "sc", "si_formal_spoken", "ja_casual", "ja_formal", "ko_casual", "ko_formal", "th",
+    "yo", "nan", "nan_spoken", "yue", "zh_cn", "az",
+]
+TRANSLATION_ONLY = ["ru_casual", "ja_casual", "ko_casual", "yo", "nan_spoken", "yue"]
 QA_LANGUAGES = [x for x in LANGUAGES if x not in TRANSLATION_ONLY]
 
 # Categories and types of questions.

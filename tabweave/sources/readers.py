@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
+from ..functions.cells import typed
 
 
 def _stem() -> Column:
@@ -12,13 +13,25 @@ def _stem() -> Column:
 
 
 def tables(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.json") -> DataFrame:
-    """(table_id, columns, data, malformed) of JSON files, one table each. A file that can't be read has nulls and is marked.
+    """(table_id, columns, data, kinds, malformed) of JSON files, one table each. A file that can't be read has nulls and is marked.
 
-    Cells are kept as they are written, so that a bare NaN is the text NaN.
+    Cells are texts: strings as they are, numbers as Spark writes them, a bare NaN as NaN; kinds tells which were numbers (or booleans).
     """
     reader = spark.read.option("multiLine", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.schema(f"{schema.TABLE}, _bad STRING").json(path)
-    return rows.select(_stem().alias("table_id"), "columns", "data", F.col("_bad").isNotNull().alias("malformed"))
+    rows = reader.schema("columns ARRAY<STRING>, data ARRAY<ARRAY<VARIANT>>, _bad STRING").json(path)
+    data, kinds = typed(F.col("data"))
+    return rows.select(_stem().alias("table_id"), "columns", data.alias("data"), kinds.alias("kinds"), F.col("_bad").isNotNull().alias("malformed"))
+
+
+def first_tables(rows: DataFrame, most: int, order: str = "table_id") -> DataFrame:
+    """At most so many tables, the first by name; the sort keeps only so many rows."""
+    return rows.orderBy(order).limit(most)
+
+
+def wiki_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(page_title, columns, data) of a JSON dump in which each line has a `table` with header, rows and page_title."""
+    rows = spark.read.schema("table STRUCT<header: ARRAY<STRING>, rows: ARRAY<ARRAY<STRING>>, page_title: STRING>").json(path)
+    return rows.select("table.page_title", F.col("table.header").alias("columns"), F.col("table.rows").alias("data"))
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +83,18 @@ def image_catalogue(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
-    """(category, table_id, score) of *_table_scores.json files."""
+    """(category, table_id, score) of *_table_scores.json files; of entries that share category and table the last counts."""
     rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*_table_scores.json").schema(schema.SCORES).json(path)
-    rows = rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_table_scores\.json$", 1).alias("category"), F.explode("tables").alias("t")).select("category", F.col("t.file").alias("table_id"), "t.score")
+    rows = rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_table_scores\.json$", 1).alias("category"), F.posexplode("tables").alias("at", "t")).groupBy("category", F.col("t.file").alias("table_id")).agg(F.max_by("t.score", "at").alias("score"))
     return rows.where(F.lower("category").isin([c.lower() for c in categories])) if categories else rows
 
 
+def medians(spark: SparkSession, path: str) -> DataFrame:
+    """(source, median) of a statistics file with a median_characters_per_file for each source."""
+    rows = spark.read.option("multiLine", True).schema("sources MAP<STRING, STRUCT<median_characters_per_file: DOUBLE>>").json(path)
+    return rows.select(F.explode("sources").alias("source", "x")).select("source", F.col("x.median_characters_per_file").alias("median"))
+
+
 def char_stats(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, chars) of a statistics file."""
     rows = spark.read.option("multiLine", True).schema("individual_files MAP<STRING, BIGINT>").json(path)

@@ -4,11 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tables(df: DataFrame, path: str, dry_run: bool = False) -> None:
-    """Table documents as JSON lines, by source if there is one."""
+def tables(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
+    """Table documents as JSON lines, by source if there is one. Returns how many there are by source; a dry run counts and writes nothing."""
     if not dry_run:
         writer = df.write.mode("overwrite")
         (writer.partitionBy("source") if "source" in df.columns else writer).json(path)
+    return df.groupBy("source").count() if "source" in df.columns else df.groupBy().count()
+
+
+def with_metadata(df: DataFrame, path: str, about: DataFrame, key: str = "table_id") -> None:
+    """The tables, and beside them the metadata rows of those that were kept."""
+    tables(df, f"{path}/tables")
+    about.join(df.select(key).distinct(), key, "left_semi").write.mode("overwrite").json(f"{path}/metadata")
 
 
 def report(df: DataFrame, path: str) -> None:

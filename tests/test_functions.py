@@ -84,7 +84,7 @@ def test_medians_and_modes(spark):
     rows = spark.createDataFrame([("s", x) for x in (3, 1, 3, 1, 9)] + [("t", x) for x in (1, 2, 3, 4)], "source string, chars long")
     got = {r.source: r for r in stats.char_stats_by_source(rows).collect()}
     assert got["s"].mode_characters_per_file == 1 and got["t"].median_characters_per_file == 2.5
-    assert rows.where("source = 't'").select(scoring.upper_median(F.col("chars"))).first()[0] == 3
+    assert rows.where("source = 't'").select(scoring.upper_median("chars")).first()[0] == 3
     decided = stats.with_threshold(rows)
     assert decided.where("source = 's' AND decision = 'kept'").count() == 3  # equal to the median is kept
 
@@ -110,7 +110,7 @@ def test_questions(spark):
 def test_html(spark):
     page = "<figure><figcaption>Fig 1</figcaption><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2 &amp; 3</td></tr></table></figure><table><caption>Own</caption><tr><td>only</td></tr></table>"
     rows = collect.html_tables(spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "id int, html string")).collect()
-    assert [(r.id, r.caption, r["columns"], r.data) for r in rows] == [(1, "Fig 1", ["a", "b"], [["1", "2 & 3"]])]
+    assert [(r.id, r.caption, r["columns"], r.data) for r in rows] == [(1, "Fig 1", ["a", "b"], [["1", "2 & 3"]]), (1, "Own", ["0"], [["only"]])]
 
 
 def test_csv(spark):
@@ -136,7 +136,8 @@ def test_table_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"columns": [')
     (tmp_path / "no_data.json").write_text('{"columns": []}')
     rows = {r.table_id: r for r in readers.tables(spark, str(tmp_path)).collect()}
-    assert rows["arxiv_a"].data == [["NaN", "1.50"], ["NaN", "1e-7"]] and rows["bad"].malformed and rows["no_data"].data is None
+    assert rows["arxiv_a"].data == [["NaN", "1.5"], ["NaN", "1.0E-7"]] and rows["bad"].malformed and rows["no_data"].data is None
+    assert rows["arxiv_a"].kinds == [["number", "number"], ["text", "number"]] and not rows["arxiv_a"].malformed
     writers.tables(readers.tables(spark, str(tmp_path)).select("table_id", "columns", "data"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
@@ -241,3 +242,58 @@ def test_located_and_first_tables(spark):
     assert sorted(r.t for r in collect.first_tables(html, pdf).collect()) == [1, 3]
     assert value(spark, collect.clean_headers(F.array(F.lit(" a\nb "), F.lit(None).cast("string")))) == ["a b", ""]
     assert collect.query_text(["x", "y"], (1, 9)) == "(x OR y) extension:csv size:1..9"
+
+
+def test_typed_cells_score(spark):
+    rows = spark.createDataFrame([("t", "[[1.5, true], [0.25, null], [{}, \"a b\"]]")], "table_id string, j string")
+    data, kinds = C.typed(F.from_json("j", "array<array<variant>>"))
+    table = rows.select("table_id", F.lit("c").alias("category"), F.array().cast("array<string>").alias("columns"), data.alias("data"), kinds.alias("kinds"))
+    got = [(r.score, r.reason) for r in scoring.cell_translatability(scoring.cells(table)).orderBy("row_idx", "col_idx").collect()]
+    assert got == [(1.0, "numeric_universal")] * 3 + [(1.0, "non_string_universal")] * 2 + [(0.9, "translatable_text")]
+    assert scoring.distinct_terms(table.withColumn("data", F.array(F.array(F.lit("alpha"), F.lit("beta")))).withColumn("kinds", F.array(F.array(F.lit("other"), F.lit("text"))))).collect()[0].term == "beta"
+
+
+def test_csv_quotes(spark):
+    text = 'name,n,\r\n"Doe, J",1,"say ""x""\nmore"\na,b,c,d\nshort\n'
+    row = collect.sniff_csv(spark.createDataFrame([(text,), (None,), ("one column",)], "content string")).collect()
+    assert (row[0].delimiter, row[0]["columns"], row[0].data) == (",", ["name", "n", "Unnamed: 2"], [["Doe, J", "1", 'say "x"\nmore'], ["short", None, None]])
+    assert row[1].data is None and row[2].delimiter is None and row[2].data is None
+
+
+def test_response_fallback(spark):
+    said = ["<think>why</think> plain words", '<think>a</think>{"data": [["1"]]}', '{"data": [["2"]]}', "no json", None]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").select(T.response_answer(F.col("s"))).collect()]
+    assert got == [[[said[0]]], [["1"]], [["2"]], [["no json"]], [[None]]]
+
+
+def test_evaluation_end_to_end(spark):
+    """The joined evaluation by hand: outcomes, metrics, means and the first model's name."""
+    gold = spark.createDataFrame([("q1", "en", '[["12", "Apples"]]', 1), ("q1", "en", '[["12", "pears"]]', 2), ("q2", "fr", '[["x"]]', 3)], "question_id string, language string, golden_answer string, line_no int")
+    said = spark.createDataFrame(
+        [("q1", "en_clean.jpg", '{"data": [["12", "Pears"]]}', True, 5, "m/b"), ("q2", "fr_noise1.jpg", '[["y"]]', True, 4, None), ("q2", "fr_clean.jpg", "CUDA out of memory", True, 6, "m/a"), ("q9", "en_clean.jpg", "x", True, 7, "m"), (None, None, None, False, 8, None)],
+        "question_id string, image_filename string, model_response string, parsed boolean, line_no int, model_name string",
+    )
+    tagged = evaluate.tag(said, gold)
+    scored = evaluate.score(tagged)
+    rows = {r.question_id: r for r in scored.collect()}
+    assert rows["q1"].model_str_normalized == rows["q1"].gold_str_normalized == "12 pears"
+    assert (rows["q1"].exact_match, rows["q1"].f1_score, rows["q2"].exact_match, rows["q2"].f1_score) == (1, 1.0, 0, 0.0)
+    made = json.loads(evaluate.summary(tagged, scored).first().summary)
+    assert made["model_name"] == "m/b" and made["metadata"]["total_responses"] == 5 and made["overall_metrics"]["samples"] == 2 and made["overall_metrics"]["exact_match"] == 0.5
+    assert [x["language"] for x in made["per_language_metrics"]] == ["en", "fr"]
+
+
+def test_orders_and_lists(spark, tmp_path):
+    decided = stats.with_threshold(spark.createDataFrame([("a", "s", 1), ("b", "s", 5), ("c", "s", 9)], "table_id string, source string, chars long"))
+    assert [r.table_id for r in stats.in_order(decided, "kept").collect()] == ["c", "b"]
+    reviews = spark.createDataFrame([("finqa_1_001",), ("arxiv_2_001",), ("finqa_3_001",)], "question_id string")
+    assert [r.dataset for r in worklists.datasets(reviews).collect()] == ["arxiv", "finqa"]
+    tables = spark.createDataFrame([("finqa_1", ["h"], [["x"]])], "table_id string, columns array<string>, data array<array<string>>")
+    assert sorted((r.question_id, r.data) for r in worklists.with_table(reviews, tables).collect() if r.data) == [("finqa_1_001", [["x"]])]
+    assert writers.tables(tables, str(tmp_path / "none"), dry_run=True).first()["count"] == 1 and not (tmp_path / "none").exists()
+    writers.with_metadata(tables, str(tmp_path / "kept"), spark.createDataFrame([("finqa_1", 1), ("other", 2)], "table_id string, x int"))
+    assert spark.read.json(str(tmp_path / "kept/metadata")).count() == 1
+    (tmp_path / "dump.json").write_text('{"table": {"header": ["a"], "rows": [["1"]], "page_title": "P"}}')
+    assert [tuple(r) for r in readers.wiki_tables(spark, str(tmp_path / "dump.json")).collect()] == [("P", ["a"], [["1"]])]
+    (tmp_path / "c_table_scores.json").write_text('{"tables": [{"file": "t", "score": 3}, {"file": "t", "score": 8}]}')
+    assert [tuple(r) for r in readers.scores(spark, str(tmp_path)).collect()] == [("c", "t", 8)]
