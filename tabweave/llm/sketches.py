@@ -1,9 +1,11 @@
 """Operator 10: document fingerprints as invertible Bloom lookup sketches of paragraphs, in DataFrame functions alone.
 
-A paragraph (a line that isn't blank) is a 64-bit digest; each distinct digest is put into three cells, one of each third
-of the table, of which each holds a count, the exclusive-or of its digests and that of their checks. Two sketches are
-subtracted cell by cell; cells left with one digest give it away, and taking it out of its other cells frees more, until
-nothing is left. Where something is left, both sketches are made again larger: the last size follows from the two counts.
+A paragraph is a line, cut every PIECE words; a text of few characters has its words too, so that it isn't one paragraph
+alone. Each distinct digest is put into three cells, one of each third of the table, of which each holds a count, the
+exclusive-or of its digests and that of their checks. Cells are kept sparse, in order: entries are sorted by cell and each
+cell's are summed, so a sketch takes time in proportion to its digests (and their sorting). Two sketches are subtracted cell by
+cell; cells left with one digest give it away, and taking it out of its other cells frees more, until nothing is left or
+none is pure. Where something is left, both sketches are made again larger: the last sizes follow from the two counts.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,86 +14,85 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CELLS = 15
-ROUNDS = 12
+PIECE, SHORT = 16, 400
+_CELL = "array<struct<at:bigint,n:bigint,key:bigint,chk:bigint>>"
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text; none for a null or empty one."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
+    text = F.coalesce(text, F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(rf"\S+(?:[^\S\n]+\S+){{0,{PIECE - 1}}}"), F.lit(0))
+    words = F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(pieces, words), lambda x: F.xxhash64(x)))
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(3))
 
 
-def _third(cells: Column) -> Column:
-    return F.floor(cells / 3).cast("int")
-
-
-def _tagged(found: Column, cells: Column) -> Column:
-    """Each digest (with its count) with its check and its cell within each third."""
-
-    def places(d: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(d, F.lit(k), cells), _third(cells)).cast("int").alias(f"p{k}") for k in range(3)]
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    return F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"), _check(x["key"]).alias("chk"), *places(x["key"])))
 
+def _entries(found: Column, cells: Column) -> Column:
+    """Each digest (with its count) at its cell of each third."""
+    third = F.floor(cells / 3).cast("bigint")
 
-def _add(cell: Column, x: Column, sign: int) -> Column:
-    return F.struct((cell["n"] + x["n"] * sign).alias("n"), cell["key"].bitwiseXOR(x["key"]).alias("key"), cell["chk"].bitwiseXOR(x["chk"]).alias("chk"))
+    def places(x: Column) -> Column:
+        at = [F.pmod(F.xxhash64(x["key"], F.lit(k), cells), third) + third * k for k in range(3)]
+        return F.array(*(F.struct(a.alias("at"), x["n"].alias("n"), x["key"].alias("key"), _check(x["key"]).alias("chk")) for a in at))
 
+    return F.flatten(F.transform(found, places)).cast(_CELL)
 
-def _put(cells_now: Column, tagged: Column, cells: Column, sign: int) -> Column:
-    """The cells with the tagged digests added to, or taken from, their places."""
 
-    def part(k: int) -> Column:
-        def one(cell: Column, at: Column) -> Column:
-            return F.aggregate(F.filter(tagged, lambda x: x[f"p{k}"] == at), cell, lambda c, x: _add(c, x, sign))
+def _cells(entries: Column) -> Column:
+    """The entries summed by cell, in order; cells that hold nothing are left out."""
 
-        return F.transform(F.slice(cells_now, _third(cells) * k + 1, _third(cells)), one)
+    def add(c: Column, x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), (c["n"] + x["n"]).alias("n"), c["key"].bitwiseXOR(x["key"]).alias("key"), c["chk"].bitwiseXOR(x["chk"]).alias("chk"))
 
-    return F.concat(part(0), part(1), part(2))
+    zero = F.lit(0).cast("bigint")
+    none = F.struct((zero - 1).alias("at"), zero.alias("n"), zero.alias("key"), zero.alias("chk"))
 
+    def summed(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["at"] != F.get(s, F.greatest(i - 2, F.lit(0)))["at"]))
+        sums = _once(begins, lambda b: F.transform(b, lambda i, k: F.aggregate(F.slice(s, i, F.coalesce(F.get(b, k + 1), F.size(s) + 1) - i), none, add)))
+        return F.when(F.size(s) == 0, s).otherwise(F.filter(sums, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)))
 
-def _empty(cells: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.transform(F.sequence(F.lit(1).cast("bigint"), _third(cells) * 3), lambda i: F.struct((i * 0).alias("n"), zero.alias("key"), zero.alias("chk")))
+    return _once(F.array_sort(entries), summed)
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def _less(entries: Column) -> Column:
+    return F.transform(entries, lambda x: F.struct(x["at"].alias("at"), (-x["n"]).alias("n"), x["key"].alias("key"), x["chk"].alias("chk")))
 
 
 def sketch(found: Column, cells: Column) -> Column:
-    """The cells, a multiple of three, of an array of distinct digests."""
-    tagged = _tagged(F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key"))), cells)
-    return _once(tagged, lambda t: _put(_empty(cells), t, cells, 1))
+    """The cells that hold something, of so many (a multiple of three), of an array of distinct digests."""
+    return _cells(_entries(F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key"))), cells))
 
 
 def fingerprint(cells: Column) -> Column:
-    """Cells as hex digits: count, digests, checks."""
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 16, "0"))), ""))
+    """Cells as hex digits: place, count, digests, checks."""
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["at"]), 8, "0"), *(F.lpad(F.hex(c[x]), 16, "0") for x in ("n", "key", "chk")))), ""))
 
 
-def peel(a: Column, b: Column, cells: Column) -> Column:
-    """The digests (n: 1 of a, -1 of b) that two sketches of so many cells differ in; null where peeling gets stuck."""
-    left = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["chk"].bitwiseXOR(y["chk"]).alias("chk")))
-    start = F.struct(left.alias("cells"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("got"), F.lit(True).alias("more"))
+def peel(a: Column, b: Column, cells: Column, most: Column) -> Column:
+    """The digests (n: 1 of a, -1 of b) that two sketches of so many cells differ in; null where peeling gets stuck. most: of digests that can differ."""
+    start = F.struct(_cells(F.concat(a, _less(b))).alias("cells"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("got"), F.lit(True).alias("more"))
 
-    def pure(cells_left: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(cells_left, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+    def pure(left: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(left, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
 
     def step(state: Column, _: Column) -> Column:
         def take(p: Column) -> Column:
-            rest = F.when(F.size(p) == 0, state["cells"]).otherwise(_once(_tagged(p, cells), lambda t: _put(state["cells"], t, cells, -1)))
+            rest = F.when(F.size(p) == 0, state["cells"]).otherwise(_cells(F.concat(state["cells"], _less(_entries(p, cells)))))
             return F.struct(rest.alias("cells"), F.concat(state["got"], p).alias("got"), (F.size(p) > 0).alias("more"))
 
         return F.when(state["more"], _once(pure(state["cells"]), take)).otherwise(state)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return _once(end, lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), e["got"]))
+    end = F.aggregate(F.sequence(F.lit(0).cast("bigint"), most.cast("bigint")), start, step)  # every step but the last gives a digest
+    return _once(end, lambda e: F.when(F.size(e["cells"]) == 0, e["got"]))
 
 
 def difference(a: Column, b: Column, small_a: Column | None = None, small_b: Column | None = None) -> Column:
@@ -105,9 +106,9 @@ def difference(a: Column, b: Column, small_a: Column | None = None, small_b: Col
     least = F.abs(F.size(a) - F.size(b))  # as many differ at least, so a sketch of fewer cells would surely fail
 
     def of(cells: Column) -> Column:
-        return _once(cells, lambda m: peel(sketch(a, m), sketch(b, m), m))
+        return _once(cells, lambda m: peel(sketch(a, m), sketch(b, m), m, total))
 
-    first = peel(small_a if small_a is not None else sketch(a, base), small_b if small_b is not None else sketch(b, base), base)
+    first = peel(small_a if small_a is not None else sketch(a, base), small_b if small_b is not None else sketch(b, base), base, total)
     return F.coalesce(F.when(least <= CELLS, first), F.when((least <= 4 * CELLS) & (total > 4 * CELLS), of(base * 4)), of(total + F.floor(total / 2) + CELLS), of(total * 4 + 8 * CELLS))
 
 
