@@ -15,29 +15,58 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAMS, FEATURES = (3, 4, 5), 1 << 15
 
-#: From these words the labelled table is made: hosts of one word, of two joined, and with a subdomain, and a few paths.
-UNWANTED = "casino pills adult bets spam ads track xxx porn viagra poker malware phish warez crack slots lottery loans escort nude jackpot torrent hack".split()
-LURES = "cheap free win farm x best online hot click bonus".split()
-WANTED = "library museum garden weather physics recipes history school city river music travel health science archive theatre".split()
-NEUTRAL = "open daily my the local world new north green town".split()
-SYLLABLES = "th re on er in an ti st es nd ble ing".split()
-ENDINGS, PATHS = ("example.com", "example.org", "example.net", "sample.io"), ("/", "/en/12", "/de/345", "/fr/page.html", "/es/67/", "/article/2020/01")
+#: From these words the labelled table is made.
+UNWANTED = {
+    "gambling": ["casino", "poker", "slots", "roulette", "blackjack", "jackpot", "lottery", "gambling", "betting", "bets", "bingo", "wager"],
+    "adult": ["porn", "xxx", "sex", "sexcam", "nude", "escort", "camgirl", "erotic", "hookup", "fetish", "adult", "milf"],
+    "drugs": ["viagra", "cialis", "pills", "steroids", "opioid", "xanax", "tramadol", "pharmacy"],
+    "loans": ["payday", "loans", "forex", "cashadvance", "quickcash", "debtfree"],
+    "coins": ["crypto", "airdrop", "doubler", "ponzi", "scam", "giveaway", "bitcoin", "hyip"],
+    "malware": ["malware", "phishing", "keylogger", "trojan", "exploit", "hack", "hacker", "botnet"],
+    "piracy": ["torrent", "warez", "crack", "keygen", "nulled", "camrip", "pirate", "serialkey"],
+    "fakes": ["replica", "fake", "knockoff", "counterfeit"],
+    "spam": ["spam", "ads", "adserver", "tracker", "popunder", "backlinks", "clickbait", "followers"],
+    "lures": ["cheap", "bonus", "winbig", "clickhere", "hotdeal"],
+}
+WANTED = {
+    "learning": ["library", "school", "university", "history", "physics", "mathematics", "chemistry", "economics", "science", "archive", "dictionary", "encyclopedia", "lecture", "grammar"],
+    "culture": ["museum", "theatre", "gallery", "music", "orchestra", "cinema", "novels", "poetry", "festival", "photography", "cathedral", "opera"],
+    "life": ["garden", "recipes", "bakery", "cycling", "football", "chess", "pottery", "travel", "kitchen", "camping", "knitting", "fishing"],
+    "places": ["city", "river", "harbour", "railway", "hospital", "government", "parliament", "court", "embassy", "village", "council", "airport"],
+    "nature": ["weather", "astronomy", "geology", "botany", "forest", "ocean", "birds", "climate", "mountain", "insects"],
+    "work": ["software", "engineering", "hardware", "compiler", "insurance", "builders", "furniture", "printing", "tools", "journal"],
+}
+PARTNERS = ["free", "best", "online", "my", "the", "top", "world", "club", "site", "hub", "24", "open", "daily", "new", "local", "land"]
+SYLLABLES = ["ba", "ko", "mi", "re", "tu", "lan", "ver", "sol", "nd", "th", "ing", "er"]
+ENDINGS = ["com", "org", "net", "io", "info", "biz", "co.uk", "de", "example.com", "example.org", "example.net"]
+SUBDOMAINS = ["", "www.", "m.", "", "blog.", "shop."]
+PATHS = ["", "/", "/index.html", "/about", "/en/12", "/de/345", "/fr/page.html", "/es/67/", "/news/2021/05/title", "/products/12", "/blog/post-7"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the labelled table, made from the word lists by rule; 1 is unwanted."""
+    """(url, label, word): the labelled table, made from the lists by rule; 1 is unwanted, word is what the url was made from.
 
-    def hosts(words, partners, label):
-        joined = [h for i, w in enumerate(words) for h in (w, f"{w}-{partners[i % len(partners)]}", f"{partners[(i + 1) % len(partners)]}-{w}", f"{w}{partners[(i + 2) % len(partners)]}", f"{partners[(i + 3) % len(partners)]}-{w}")]
-        return [(h, label) for h in joined]
-
-    gibberish = [(f"{a}{b}{c}", 0) for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in (SYLLABLES[(i + 2 * j) % 12], "") if (i + j) % 2 or not c]
-    some = hosts(UNWANTED, LURES, 1) + hosts(WANTED, NEUTRAL, 0) + gibberish
+    A host is a word alone or joined to one of PARTNERS, which go with either class alike; invented names of three syllables are
+    wanted, and so is a plain host with a plain path. Every third unwanted word also stands in the path of such a host.
+    """
     rows = []
-    for i, (host, label) in enumerate(some):
-        sub = ("", "www.", "m.", "blog.")[i % 4]
-        rows.append(f"('https://{sub}{host}.{ENDINGS[i // 4 % 4]}{PATHS[i % 6]}', {label}.0D)")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")
+
+    def add(host: str, path: str, label: int, word: str) -> None:
+        i = len(rows)
+        rows.append((f"https://{SUBDOMAINS[i % 6]}{host}.{ENDINGS[i % 11]}{path}", float(label), word))
+
+    for label, families in ((1, UNWANTED), (0, WANTED)):
+        for k, word in enumerate(w for words in families.values() for w in words):
+            a, b, c, d = (PARTNERS[(k + j) % len(PARTNERS)] for j in (0, 3, 7, 12))
+            for j, host in enumerate((word, f"{word}-{a}", f"{b}-{word}", f"{word}{c}", f"{d}{word}")):
+                add(host, PATHS[(k + j) % len(PATHS)], label, word)
+            if k % 3 == 0:
+                add(SYLLABLES[k % 12] + SYLLABLES[(k * 5 + 1) % 12] + SYLLABLES[(k * 7 + 2) % 12], f"/{a}-{word}/", label, word)
+    for i, x in enumerate(SYLLABLES):
+        for j, y in enumerate(SYLLABLES):
+            z = SYLLABLES[(i + 5 * j) % 12]
+            add(f"{x}{y}{z}", PATHS[(i + j) % len(PATHS)], 0, f"{x}{y}{z}")
+    return spark.createDataFrame(rows, "url string, label double, word string")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,10 +89,10 @@ def _grams(host: Column, path: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> PipelineModel:
-    """Logistic regression on a small table (url, label 0 or 1), with an L2 penalty."""
+    """Logistic regression on a small table (url, label 0 or 1), with an L2 penalty; every word that it is made from is learnt."""
     rows = labelled.select("label", _grams(*host_and_path(F.col("url"))).alias("grams"))
-    steps = [HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=30, regParam=0.003)]
-    return Pipeline(stages=steps).fit(rows.coalesce(1).cache())
+    steps = [HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=50, regParam=0.001)]
+    return Pipeline(stages=steps).fit(rows.coalesce(1))
 
 
 def _rule(host: Column, path: Column, rules, value) -> Column:
