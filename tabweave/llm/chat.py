@@ -46,14 +46,14 @@ def features(steps: DataFrame, text: str = "text", step: str = "turn") -> DataFr
 def train(steps: DataFrame, id_col: str = "conv_id", step: str = "turn", role: str = "role", text: str = "text") -> dict:
     """Smoothed logarithms of start, transition and feature shares from steps with roles; the roles are those that occur.
 
-    A transition is a step and the one numbered one more. Rows without role take no part; an empty table knows the roles of MARKERS alone.
+    A transition is a step and the one numbered one more, counted once for each two roles there. Rows without role take no part; an empty table knows the roles of MARKERS alone.
     """
     known = features(steps.where(F.col(role).isNotNull()), text, step)
     columns = [F.struct(F.lit(f).alias("name"), F.col(f"f_{f}").alias("value")) for f in FEATURES]
     seen = known.select(F.col(role).alias("role"), F.explode(F.array(*columns)).alias("x")).groupBy("role", "x.name", "x.value").count().collect()
     roles = sorted({r["role"] for r in seen} | set(MARKERS))
     at = {r: i for i, r in enumerate(roles)}
-    pair = known.select(F.col(id_col).alias("c"), F.col(step).alias("s"), F.col(role).alias("a"))
+    pair = known.select(F.col(id_col).alias("c"), F.col(step).alias("s"), F.col(role).alias("a")).distinct()  # so that repeated rows aren't paired with each other
     moves = pair.join(pair.select("c", (F.col("s") - 1).alias("s"), F.col("a").alias("b")), ["c", "s"]).groupBy("a", "b").count().collect()
     starts = known.where(F.col(step) == 0).groupBy(F.col(role).alias("a")).count().collect()
     trans, start = np.full((len(roles), len(roles)), 0.1), np.full(len(roles), 0.1)
@@ -80,7 +80,7 @@ def _emissions(model: dict, steps: list[dict]) -> np.ndarray:
 
 def _best(model: dict, scores: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best score at the end of a chunk from the given scores before it (one row for each way in), and where each came from."""
-    back = np.empty((len(scores), *before.shape), np.int8)
+    back = np.empty((len(scores), *before.shape), np.int32)
     for k, e in enumerate(scores):
         ways = before[:, :, None] + model["trans"]
         back[k] = ways.argmax(axis=1)
@@ -186,13 +186,13 @@ def _chunks(rows: DataFrame) -> DataFrame:
 def recover(steps: DataFrame, model: dict, id_col: str = "conv_id", step: str = "turn", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, content, rendered): every step with its recovered role, its text without the marker, and in canonical form.
 
-    Steps are taken by number, then text; a row that repeats conversation, number and text is the same step; null numbers
-    count as 0, null texts as empty, null conversations as one of their own.
+    One row for each given. Steps are taken by number, then text; rows that repeat conversation, number and text are one step,
+    whose role each of them gets; null numbers count as 0, null texts as empty, null conversations as one of their own.
     """
     kind = dict(steps.dtypes)[id_col]
-    rows = steps.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col(step), F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    rows = steps.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col(step), F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = ["turn", "text", *(f"f_{f}" for f in FEATURES)]
-    chunks = staged(_chunks(rows), "chunks")
+    chunks = staged(_chunks(rows.distinct()), "chunks")
     matrices = staged(chunks.mapInArrow(_matrices(model), f"conv_id {kind}, chunk long, matrix array<double>"), "matrices")
     stretch = F.floor(F.col("chunk") / JOINED).alias("stretch")
     stretches = matrices.groupBy("conv_id", stretch).agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks"))
@@ -206,6 +206,8 @@ def recover(steps: DataFrame, model: dict, id_col: str = "conv_id", step: str =
     inner = ", ".join(f"{n}: {'bigint' if n == 'turn' else 'string'}" for n in names)
     decoded = both.mapInArrow(_decode(model), f"conv_id {kind}, steps array<struct<{inner}>>, roles array<string>")
     out = decoded.select("conv_id", F.explode(F.arrays_zip("steps", "roles")).alias("x")).select("conv_id", "x.steps.turn", F.col("x.roles").alias("role"), F.col("x.steps.text").alias("text"), F.col("x.steps.f_marker").alias("marker"))
+    every = rows.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), F.col("text").alias("said"))  # a step for each row: large ones are split by skew handling
+    out = out.join(every, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("at")) & (F.col("text") == F.col("said")))
     content = F.when(F.col("marker") == "none", F.trim("text")).otherwise(F.trim(F.regexp_replace("text", _MARK.format("|".join(MARKERS.values())), "")))
     return out.select("conv_id", "turn", "role", content.alias("content")).withColumn("rendered", _rendered())
 
