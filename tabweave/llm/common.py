@@ -1,7 +1,9 @@
 """Shared pieces: the folder all machines see, staged tables, and word hashing over Arrow buffers."""
 
+import re
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,11 @@ PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where the cluster names none."""
+    """The folder in spark.checkpoint.dir. Where none is named, a temporary one is set if all runs on one machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="tabweave-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -47,23 +51,47 @@ def row_key(docs: DataFrame):
 
 
 def put_file(uri: str, parts: list) -> None:
-    """Writes arrays one after another; a task that is run twice leaves the same file."""
+    """Writes arrays one after another, under a name of the attempt's own and then moved; of a task that is run twice, either's file stays, as they are the same."""
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     tmp = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(tmp) as out:
         for part in parts:
             out.write(np.ascontiguousarray(part).view(np.uint8).data)
-    fs.move(tmp, path)
-
-
-def map_file(uri: str) -> pa.Buffer:
-    """The file's bytes: memory-mapped where the shared folder is mounted, else read."""
+    try:
+        fs.move(tmp, path)
+    except OSError:  # some stores don't move onto a file that is there
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(tmp)
+
+
+_mapped: dict[str, np.ndarray] = {}
+_read: OrderedDict[str, np.ndarray] = OrderedDict()
+#: Files kept by a worker that must read them whole.
+KEPT = 32
+
+
+def mapped(uri: str, kind=np.uint64) -> np.ndarray:
+    """The file as an array, empty where there is none: memory-mapped where the shared folder is mounted; elsewhere read, and the last KEPT kept."""
+    if uri in _mapped:
+        return _mapped[uri]
+    if uri in _read:
+        _read.move_to_end(uri)
+        return _read[uri]
     fs, path = pafs.FileSystem.from_uri(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return pa.memory_map(path).read_buffer()
-    with fs.open_input_file(path) as f:
-        return f.read_buffer()
+    try:
+        if isinstance(fs, pafs.LocalFileSystem):
+            _mapped[uri] = np.frombuffer(pa.memory_map(path).read_buffer(), kind)
+            return _mapped[uri]
+        with fs.open_input_file(path) as f:
+            _read[uri] = np.frombuffer(f.read_buffer(), kind)
+    except FileNotFoundError:  # nothing of that shard was written
+        _mapped[uri] = np.zeros(0, kind)
+        return _mapped[uri]
+    if len(_read) > KEPT:
+        _read.popitem(last=False)
+    return _read[uri]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

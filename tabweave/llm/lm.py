@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, map_file, mix, new_path, pieces, put_file
+from .common import Words, fold, mapped, mix, new_path, pieces, put_file
 
 BOS, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Pairs held by a map task before it packs and passes them on.
@@ -178,29 +178,15 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 class Model:
     """The sorted arrays, memory-mapped; a shard is opened when first needed."""
 
-    _open: dict[str, "Model"] = {}
-
     def __init__(self, about: dict):
-        self.about, self.arrays = about, {}
-
-    @classmethod
-    def of(cls, about: dict) -> "Model":
-        return cls._open.setdefault(about["path"], cls(about))
-
-    def _shard(self, kind: str, shard: int, columns: int) -> np.ndarray | None:
-        if (kind, shard) not in self.arrays:
-            try:
-                self.arrays[kind, shard] = np.frombuffer(map_file(f"{self.about['path']}/{kind}/{shard}"), np.uint64).reshape(columns, -1)
-            except FileNotFoundError:  # no key of that shard was counted
-                self.arrays[kind, shard] = None
-        return self.arrays[kind, shard]
+        self.about = about
 
     def find(self, kind: str, keys: np.ndarray, columns: int) -> np.ndarray:
         """The columns after the key for each of the sorted keys; zeros where it isn't there."""
         out = np.zeros((max(1, columns - 1), len(keys)))
         for shard, a, b in _by_shard(keys, self.about["bits"]):
-            table = self._shard(kind, shard, columns)
-            if table is None or not table.shape[1]:
+            table = mapped(f"{self.about['path']}/{kind}/{shard}").reshape(columns, -1)
+            if not table.shape[1]:
                 continue
             at = np.minimum(np.searchsorted(table[0], keys[a:b]), table.shape[1] - 1)
             hit = table[0][at] == keys[a:b]
@@ -233,7 +219,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc_i
     """Per row: the id, n_tokens, n_known, base_score, score and perplexity; a null text is scored as empty (its end alone)."""
 
     def run(batches):
-        m = Model.of(model)
+        m = Model(model)
         for batch in batches:
             for piece in pieces(batch):
                 u, w, first = _pairs(piece.column("text"))

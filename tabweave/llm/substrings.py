@@ -1,15 +1,19 @@
 """Operator 8: removal of repeated 200-byte strings by bucket-pointer refinement over sampled offsets.
 
 Any 200-byte string holds 137 q-grams of 64 bytes, and the smallest hash of them is its bucket: equal strings are in equal
-buckets, and consecutive offsets mostly in the same one, so a text is a row of runs. Buckets are refined by what follows:
-a run's refined identifier is the hash of all bytes that its strings cover, up to the last one's end. A bucket with one run is
-done (nothing repeats), and so is one whose runs all have one identifier (everything does). Only what is left of the other
-buckets goes into the next round, where every offset has an identifier of its own: that of twice the q-gram is made from the
-identifiers of two offsets, and that of the whole string from two of those, the later ones being used again at every offset.
+buckets, and consecutive offsets mostly in the same one, so a text is a row of runs. Buckets are refined in rounds:
+
+1. by what follows: a run's refined identifier is the hash of all bytes that its strings cover, up to the last one's end. A
+   bucket with one run is done (nothing repeats), and so is one whose runs all have one identifier (everything does);
+2. what is left of the other buckets is refined offset by offset: sorted by bucket, the q-gram's identifier and that of the
+   offset 64 further, offsets that share all three get the identifier of a string of twice the length; others are done;
+3. those left are sorted by that identifier and the one 72 further, which was made in the same round and is used again; offsets
+   that share both start equal strings of 200 bytes.
 
 Each round shuffles identifiers alone, reduced within tasks first; its outcome is written to the shared folder as sorted arrays,
 and the next pass over the texts looks up in those, memory-mapped. Texts themselves are never shuffled. Identifiers are
-64-bit content hashes: two different strings are taken for equal with a probability of one in 2^64.
+content hashes of 64 bits, and 32 of the bucket are compared with them: among 10^11 strings, two different ones are taken for
+equal with a probability of about one in ten million.
 """
 
 import numpy as np
@@ -18,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_file, mix, new_path, pieces, put_file, text_bytes
+from .common import mapped, mix, new_path, pieces, put_file, text_bytes
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 8 << 20
@@ -102,40 +106,48 @@ class Runs:
     def whole(self) -> np.ndarray:
         return self.rolling.of(self.first, self.end - 1 + LENGTH)
 
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        """Identifiers of the strings at some offsets: of twice the q-gram from those of it and of the offset where it ends, and of the whole from two of those."""
-
-        def twice(x: np.ndarray) -> np.ndarray:
-            return mix(self.gram[x] + mix(self.gram[x + GRAM]))
+    def doubles(self, at: np.ndarray) -> np.ndarray:
+        """Identifiers of the strings of twice the q-gram at some offsets, from those of it and of the offset where it ends."""
+        return mix(self.gram[at] + mix(self.gram[at + GRAM])) if len(at) else np.zeros(0, np.uint64)
 
-        return mix(twice(at) + mix(twice(at + LENGTH - 2 * GRAM))) if len(at) else np.zeros(0, np.uint64)
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Identifiers of the whole strings, from those of two doubles that overlap."""
+        return mix(self.doubles(at) + mix(self.doubles(at + LENGTH - 2 * GRAM)))
 
-    def offsets(self, pick: np.ndarray) -> np.ndarray:
-        """All offsets of the picked runs."""
+    def offsets(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All offsets of the picked runs, and some bits of each one's bucket."""
         n = (self.end - self.first)[pick]
-        return np.repeat(self.first[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(self.first[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return at, np.repeat((self.bucket[pick] >> np.uint64(8)).astype(np.uint32), n)
 
 
 class Sorted:
-    """Sorted arrays of keys in the shared folder, by their leading bits."""
-
-    _open: dict[tuple, np.ndarray] = {}
+    """Sorted arrays of keys in the shared folder, by their leading bits, each with a check."""
 
     def __init__(self, path: str, bits: int):
         self.path, self.bits = path, bits
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        some, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(some), bool)
-        for shard, a, b in _by_shard(some, self.bits):
-            if (self.path, shard) not in self._open:
-                try:
-                    self._open[self.path, shard] = np.frombuffer(map_file(f"{self.path}/{shard}"), np.uint64)
-                except FileNotFoundError:
-                    self._open[self.path, shard] = np.zeros(0, np.uint64)
-            if len(table := self._open[self.path, shard]):
-                out[a:b] = table[np.minimum(np.searchsorted(table, some[a:b]), len(table) - 1)] == some[a:b]
-        return out[back]
+    def has(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+        """Whether each key is there, with this check."""
+        order = np.argsort(keys)
+        keys, out = keys[order], np.zeros(len(keys), bool)
+        checks = np.zeros(len(keys), np.uint32) if checks is None else checks[order]
+        for shard, a, b in _by_shard(keys, self.bits):
+            table = mapped(f"{self.path}/{shard}", np.uint8)
+            n = len(table) // 12
+            if not n:
+                continue
+            known, check = table[: 8 * n].view(np.uint64), table[8 * n :].view(np.uint32)
+            at = np.searchsorted(known, keys[a:b])
+            more = np.arange(b - a)
+            while len(more := more[(at[more] < n)][known[at[more[at[more] < n]]] == keys[a:b][more[at[more] < n]]]):  # those whose key stands there
+                hit = check[at[more]] == checks[a:b][more]
+                out[a:b][more[hit]] = True
+                more = more[~hit]
+                at[more] += 1
+        back = np.empty(len(out), bool)
+        back[order] = out
+        return back
 
 
 def _by_shard(keys: np.ndarray, bits: int):
@@ -146,24 +158,24 @@ def _by_shard(keys: np.ndarray, bits: int):
             yield int(shard[a]), int(a), int(b)
 
 
-def _reduce(key, count, low, high):
-    """Of each key: how often it occurs (2: or more), and the least and greatest identifier."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+def _reduce(key, check, count, low, high):
+    """Of each key and check: how often it occurs (2: or more), and the least and greatest identifier."""
     if not len(key):
-        return key, count, low, high
+        return key, check, count, low, high
+    order = np.lexsort((check, key)) if check.any() else np.argsort(key, kind="stable")
+    key, check = key[order], check[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])))
     count = np.minimum(np.add.reduceat(count[order].astype(np.int64), first), 2).astype(np.uint8)
-    return key[first], count, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+    return key[first], check[first], count, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
 def _emit(bits: int, found):
-    """found(texts): keys, counts, least and greatest identifiers; with a single identifier, the last two are the same array."""
+    """found(texts): keys, checks, counts, least and greatest identifiers."""
 
     def packed(held):
-        key, count, low, high = _reduce(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        key, check, count, low, high = _reduce(*(np.concatenate(x) for x in zip(*held, strict=True)))
         shrink = zstandard.ZstdCompressor(level=1).compress
-        rows = [(s, shrink(b"".join([key[a:b].tobytes(), low[a:b].tobytes(), (high[a:b] - low[a:b]).tobytes(), count[a:b].tobytes()]))) for s, a, b in _by_shard(key, bits)]
+        rows = [(s, shrink(b"".join([x[a:b].tobytes() for x in (key, low, high - low, check, count)]))) for s, a, b in _by_shard(key, bits)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "payload"])
 
     def run(batches):
@@ -188,13 +200,13 @@ def _settle(path: str):
         shard, parts = table.column("shard")[0].as_py(), []
         for blob in table.column("payload").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(blob)
-            n = len(raw) // 25
+            n = len(raw) // 29
             key, low, span = np.frombuffer(raw, np.uint64, 3 * n).reshape(3, n)
-            parts.append((key, np.frombuffer(raw, np.uint8, n, 24 * n), low, low + span))
-        key, count, low, high = _reduce(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts.append((key, np.frombuffer(raw, np.uint32, n, 24 * n), np.frombuffer(raw, np.uint8, n, 28 * n), low, low + span))
+        key, check, count, low, high = _reduce(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         again = count > 1
-        put_file(f"{path}/same/{shard}", [key[again & (low == high)]])
-        put_file(f"{path}/mixed/{shard}", [key[again & (low != high)]])
+        for name, pick in (("same", again & (low == high)), ("mixed", again & (low != high))):
+            put_file(f"{path}/{name}/{shard}", [key[pick], check[pick]])
         return pa.table({"shard": pa.array([shard], pa.int32()), "repeated": pa.array([int(again.sum())], pa.int64())})
 
     return run
@@ -210,16 +222,27 @@ def _runs_of(texts: pa.Array):
     runs = Runs(texts)
     whole = runs.whole
     one = np.ones(len(whole), np.uint8)
-    return runs.bucket, np.where(runs.many, np.uint8(2), one), np.where(runs.many, np.uint64(0), whole), np.where(runs.many, TOP, whole)
+    return runs.bucket, np.zeros(len(whole), np.uint32), np.where(runs.many, np.uint8(2), one), np.where(runs.many, np.uint64(0), whole), np.where(runs.many, TOP, whole)
+
+
+def _left(runs: Runs, mixed: Sorted, doubled: Sorted | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (and checks) that the rounds before have left."""
+    at, check = runs.offsets(mixed.has(runs.bucket))
+    if doubled is not None:
+        pick = doubled.has(runs.doubles(at), check)
+        at, check = at[pick], check[pick]
+    return at, check
+
 
+def _identified(mixed: Sorted, doubled: Sorted | None = None):
+    """Identifiers of what is left: of doubles, and in the round after that of whole strings."""
 
-def _strings_of(mixed: Sorted):
     def found(texts: pa.Array):
         runs = Runs(texts)
-        at = runs.offsets(mixed.has(runs.bucket))
-        key = runs.strings(at)
+        at, check = _left(runs, mixed, doubled)
+        key = runs.doubles(at) if doubled is None else runs.strings(at)
         zero = np.zeros(len(key), np.uint64)
-        return key, np.ones(len(key), np.uint8), zero, zero
+        return key, check, np.ones(len(key), np.uint8), zero, zero
 
     return found
 
@@ -235,8 +258,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     bits = max(5, (size // SHARD_BYTES).bit_length())
     first = _round(rows.select("text"), bits, _runs_of)
     same, mixed = Sorted(f"{first}/same", bits), Sorted(f"{first}/mixed", bits)
-    second = _round(rows.select("text"), bits, _strings_of(mixed))
-    strings = Sorted(f"{second}/same", bits)
+    doubled = Sorted(f"{_round(rows.select('text'), bits, _identified(mixed))}/same", bits)
+    strings = Sorted(f"{_round(rows.select('text'), bits, _identified(mixed, doubled))}/same", bits)
 
     def run(batches):
         for batch in batches:
@@ -245,8 +268,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
                 data, off = runs.data, runs.off
                 change = np.zeros(len(data) + 1, np.int32)
                 whole = same.has(runs.bucket)
-                at = runs.offsets(mixed.has(runs.bucket))
-                at = at[strings.has(runs.strings(at))]
+                at, check = _left(runs, mixed, doubled)
+                at = at[strings.has(runs.strings(at), check)]
                 change[: len(data)] += np.bincount(runs.first[whole], minlength=len(data))[: len(data)].astype(np.int32)
                 change -= np.bincount(runs.end[whole] - 1 + LENGTH, minlength=len(change)).astype(np.int32)
                 change += np.bincount(at, minlength=len(change)).astype(np.int32)

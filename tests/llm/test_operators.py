@@ -728,3 +728,25 @@ def test_digests_are_sha256(spark, sf):
     out = substrings.op8_suffix_dedup(spark, sf).where("n_removed = 0").limit(3).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert out and all(hashlib.sha256(text[r.doc_id].encode()).hexdigest() == r.kept_sha256 for r in out)
+
+
+def test_sorted_keys_with_checks(tmp_path):
+    from tabweave.llm.common import mapped, put_file
+
+    key, check = np.array([5, 5, 5, 9], np.uint64), np.array([1, 3, 7, 0], np.uint32)
+    for _ in range(2):  # a task that is run twice
+        put_file(f"file://{tmp_path}/t/0", [key, check])
+    found = substrings.Sorted(f"file://{tmp_path}/t", 4)
+    ask = np.array([9, 5, 5, 5, 5, 6, 2**63, 9], np.uint64)
+    assert found.has(ask, np.array([0, 7, 2, 3, 1, 0, 0, 1], np.uint32)).tolist() == [True, True, False, True, True, False, False, False]
+    assert len(mapped(f"file://{tmp_path}/t/8", np.uint8)) == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tabweave.llm import common
+
+    nowhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_dir(nowhere)
