@@ -98,7 +98,8 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     prints = staged(once.mapInArrow(_printed, "node long, prints binary").dropDuplicates(["node"]), "prints")
     pairs = staged(dealt(prints, prints.count(), _values, PRINTS * len(BALL), "node", "prints", ORDERS).applyInArrow(_candidates, "a long, b long").distinct(), "candidates")
     some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = staged(once.join(some, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    single = once.groupBy("node").agg(F.first("text").alias("text"))  # copies go within tasks, before the shuffle; a semi join would be moved below this
+    sets = staged(single.join(some, "node").mapInArrow(_sets, "node long, shingles binary"), "shingles")
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     sized = pairs.join(x, "a").join(y, "b").where(F.least(F.length("x"), F.length("y")) >= LIKE * F.greatest(F.length("x"), F.length("y")))
     return sized.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
