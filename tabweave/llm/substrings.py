@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
                 data, off = runs.data, runs.off
                 change = np.zeros(len(data) + 1, np.int32)
                 whole = same.has(runs.bucket)
-                at, check = _left(runs, mixed, doubled)
+                at, check = _left(runs, mixed)
                 at = at[strings.has(runs.strings(at), check)]
                 change[: len(data)] += np.bincount(runs.first[whole], minlength=len(data))[: len(data)].astype(np.int32)
                 change -= np.bincount(runs.end[whole] - 1 + LENGTH, minlength=len(change)).astype(np.int32)
