@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CELLS = 15
-PIECE, SHORT = 16, 400
-_CELL = "array<struct<at:bigint,n:bigint,key:bigint,chk:bigint>>"
+PIECE, SHORT = 32, 400
 
 
 def digests(text: Column) -> Column:
@@ -37,13 +36,15 @@ def _once(value: Column, use) -> Column:
 
 def _entries(found: Column, cells: Column) -> Column:
     """Each digest (with its count) at its cell of each third."""
-    third = F.floor(cells / 3).cast("bigint")
 
-    def places(x: Column) -> Column:
-        at = [F.pmod(F.xxhash64(x["key"], F.lit(k), cells), third) + third * k for k in range(3)]
-        return F.array(*(F.struct(a.alias("at"), x["n"].alias("n"), x["key"].alias("key"), _check(x["key"]).alias("chk")) for a in at))
+    def placed(third: Column) -> Column:
+        def places(x: Column) -> Column:
+            at = [F.pmod(F.xxhash64(x["key"], F.lit(k)), third) + third * k for k in range(3)]
+            return F.array(*(F.struct(a.alias("at"), x["n"].alias("n"), x["key"].alias("key"), x["chk"].alias("chk")) for a in at))
 
-    return F.flatten(F.transform(found, places)).cast(_CELL)
+        return F.flatten(F.transform(F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"), _check(x["key"]).alias("chk"))), places))
+
+    return _once(F.floor(cells / 3).cast("bigint"), placed)
 
 
 def _cells(entries: Column) -> Column:
@@ -67,9 +68,13 @@ def _less(entries: Column) -> Column:
     return F.transform(entries, lambda x: F.struct(x["at"].alias("at"), (-x["n"]).alias("n"), x["key"].alias("key"), x["chk"].alias("chk")))
 
 
+def _counted(found: Column) -> Column:
+    return F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key")))
+
+
 def sketch(found: Column, cells: Column) -> Column:
     """The cells that hold something, of so many (a multiple of three), of an array of distinct digests."""
-    return _cells(_entries(F.transform(found, lambda d: F.struct(F.lit(1).cast("bigint").alias("n"), d.alias("key"))), cells))
+    return _cells(_entries(_counted(found), cells))
 
 
 def fingerprint(cells: Column) -> Column:
@@ -78,11 +83,18 @@ def fingerprint(cells: Column) -> Column:
 
 
 def peel(a: Column, b: Column, cells: Column, most: Column) -> Column:
-    """The digests (n: 1 of a, -1 of b) that two sketches of so many cells differ in; null where peeling gets stuck. most: of digests that can differ."""
+    """The digests (n: 1 of a, -1 of b) that two sketches of so many cells differ in; null where peeling gets stuck. most: of digests that can differ.
+
+    Entries that haven't been summed up yet do as well as sketches, as sums and differences can be taken in any order.
+    """
     start = F.struct(_cells(F.concat(a, _less(b))).alias("cells"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("got"), F.lit(True).alias("more"))
 
     def pure(left: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(left, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))), lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+        def of(n: int) -> Column:  # apart by sign, as distinct numbers are found by hash and distinct structs by comparing all
+            keys = F.transform(F.filter(left, lambda c: (c["n"] == n) & (c["chk"] == _check(c["key"]))), lambda c: c["key"])
+            return F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(n).cast("bigint").alias("n"), k.alias("key")))
+
+        return F.concat(of(1), of(-1))
 
     def step(state: Column, _: Column) -> Column:
         def take(p: Column) -> Column:
@@ -98,18 +110,18 @@ def peel(a: Column, b: Column, cells: Column, most: Column) -> Column:
 def difference(a: Column, b: Column, small_a: Column | None = None, small_b: Column | None = None) -> Column:
     """Digests that two arrays of distinct digests differ in, by sketches of CELLS (given, if they are there), then larger ones.
 
-    The next have four times the cells where the sets are large enough for that to be a saving, then sizes follow from the
-    counts. null only if even the last is stuck, which takes digests that share all three of their cells.
+    The sizes of these follow from the counts; as cells are sparse, many of them cost no more, and leave most digests alone in one.
+    null only if even the last is stuck, which takes digests that share all three of their cells.
     """
     base = F.lit(CELLS).cast("bigint")
     total = (F.size(a) + F.size(b)).cast("bigint")
     least = F.abs(F.size(a) - F.size(b))  # as many differ at least, so a sketch of fewer cells would surely fail
 
     def of(cells: Column) -> Column:
-        return _once(cells, lambda m: peel(sketch(a, m), sketch(b, m), m, total))
+        return _once(cells, lambda m: peel(_entries(_counted(a), m), _entries(_counted(b), m), m, total))
 
     first = peel(small_a if small_a is not None else sketch(a, base), small_b if small_b is not None else sketch(b, base), base, total)
-    return F.coalesce(F.when(least <= CELLS, first), F.when((least <= 4 * CELLS) & (total > 4 * CELLS), of(base * 4)), of(total + F.floor(total / 2) + CELLS), of(total * 4 + 8 * CELLS))
+    return F.coalesce(F.when(least <= CELLS, first), of(total * 6 + CELLS), of(total * 24 + 8 * CELLS))
 
 
 def likeness(a: Column, b: Column, small_a: Column | None = None, small_b: Column | None = None) -> Column:

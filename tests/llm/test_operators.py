@@ -658,7 +658,7 @@ def test_sketches(spark, docs, rows, none):
 
 
 def plain_digests(text) -> set:
-    found = re.findall(r"\S+(?:[^\S\n]+\S+){0,15}", text, re.ASCII)
+    found = re.findall(r"\S+(?:[^\S\n]+\S+){0,31}", text, re.ASCII)
     return set(found + (re.findall(r"\S+", text, re.ASCII) if len(text) < sketches.SHORT else []))
 
 
