@@ -704,13 +704,45 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).agg(F.count_distinct("doc_id")).first()[0] == docs.count()
 
 
+def test_stages_by_brute_force(spark, sf):
+    """Near copies by all pairs of sets of shingles, passages by all windows, each on what the stage before keeps."""
+    import corpus_pipeline
+
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, split(t)) for i, t in rows.items())}
+    kept, group = [], {}
+    for i in sorted(rows):  # smallest first, each taking all it reaches
+        if i not in group:
+            kept.append(i)
+            reached = [i]
+            for a in reached:
+                group[a] = i
+                reached += [b for b in rows if b not in group and b not in reached and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(r.doc_id for r in steps["near_dedup"](spark, docs, sf).collect()) == kept
+    items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + 13]) for w in items for k in range(max(1, len(w) - 12))}
+    by_word: dict = {}
+    for w in windows:
+        for j in range(3):  # of three places one at least is as it was
+            by_word.setdefault((j, w[j]), []).append(w)
+
+    def leaks(text: str) -> bool:
+        d = [None, None, *re.findall(r"\w+", text.lower()), *[None] * 12]
+        return any(sum(x != y for x, y in zip(w, d[p : p + len(w)], strict=True)) <= 2 for p in range(len(d) - 12) for j in range(3) for w in by_word.get((j, d[p + j]), []))
+
+    clean = sorted(i for i, t in rows.items() if not leaks(t))
+    assert len(clean) < len(rows) and sorted(r.doc_id for r in steps["decontaminate"](spark, docs, sf).collect()) == clean
+
+
 def test_stages_go_by_row(spark, sf):
     import corpus_pipeline
 
     words = lambda k: " ".join(f"{k}x{i}" for i in range(30))
     data = [(1, words("a")), (1, words("b")), (2, words("b")), (None, words("a")), (None, words("c")), (None, words("c")), (0, words("a"))]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(map(tuple, simhash.near_dedup(docs).collect()), key=str) == [(0, words("a")), (1, words("b")), (None, words("c"))]
+    assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, sf).collect()), key=str) == [(0, words("a")), (1, words("b")), (None, words("c"))]
     left = sorted((x.doc_id or -1, x.text) for x in corpus_pipeline.drop_lines(spark, docs, sf).collect() if x.text)
     assert left == [(-1, words("a")), (-1, words("c")), (-1, words("c")), (1, words("b"))]  # 0 is -1 here, and first
 
