@@ -34,6 +34,12 @@ WANTED = {
     "life": ["garden", "recipes", "bakery", "cycling", "football", "chess", "pottery", "travel", "kitchen", "camping", "knitting", "fishing"],
     "places": ["city", "river", "harbour", "railway", "hospital", "government", "parliament", "court", "embassy", "village", "council", "airport"],
     "nature": ["weather", "astronomy", "geology", "botany", "forest", "ocean", "birds", "climate", "mountain", "insects"],
+    "plain words": [
+        "another", "mother", "father", "together", "weather", "rather", "nation", "station", "action", "motion", "question", "education", "information", "section", "tradition", "thing",
+        "nothing", "evening", "morning", "building", "reading", "different", "student", "president", "moment", "parent", "center", "winter", "summer", "number", "letter", "paper",
+        "water", "under", "these", "their", "three", "theory", "thesis", "health", "earth", "north", "south", "growth", "month", "truth", "method", "author", "thread", "throne",
+        "stand", "island", "hand", "friend", "stone", "street", "great", "table", "noble", "possible", "early", "only", "family", "house", "sound", "hour", "area", "idea", "error", "mirror",
+    ],
     "work": ["software", "engineering", "hardware", "compiler", "insurance", "builders", "furniture", "printing", "tools", "journal"],
 }
 PARTNERS = ["free", "best", "online", "my", "the", "top", "world", "club", "site", "hub", "24", "open", "daily", "new", "local", "land"]
