@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import chat, decontaminate, lines, lm, packing, simhash, sketches, substrings, toxicity, urls
+from . import centroids, chat, decontaminate, lines, lm, packing, simhash, sketches, substrings, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_suffix_dedup": substrings.op8_suffix_dedup,
     "op9_urls": urls.op9_urls,
     "op10_fingerprints": sketches.op10_fingerprints,
+    "op11_centroids": centroids.op11_centroids,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL, "op11_centroids": centroids.OP11_SQL}
