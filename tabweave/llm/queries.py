@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import centroids, chat, decontaminate, lines, lm, packing, repair, simhash, sketches, substrings, toxicity, urls
+from . import centroids, chat, decontaminate, lines, lm, packing, quality, repair, simhash, sketches, substrings, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_fingerprints": sketches.op10_fingerprints,
     "op11_centroids": centroids.op11_centroids,
     "op12_repair": repair.op12_repair,
+    "op13_quality": quality.op13_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL, "op11_centroids": centroids.OP11_SQL}
