@@ -22,9 +22,13 @@ def _words(line: Column) -> Column:
     return F.split(line, " ", -1)
 
 
-def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _lines(docs: DataFrame, text: str, id_col: str | Column) -> DataFrame:
     """(doc_id, pos, line, h, g): the lines that aren't blank; h and g: two hashes."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    rows = docs.where(_col(id_col).isNotNull()).select(_col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     return rows.where(F.trim("line") != "").withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
@@ -77,7 +81,7 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", m
     return _removed(docs, text, id_col, min_words).distinct()
 
 
-def _removed(docs: DataFrame, text: str, id_col: str, min_words: int) -> DataFrame:
+def _removed(docs: DataFrame, text: str, id_col: str | Column, min_words: int) -> DataFrame:
     """The same, with places of rows that repeat an id more than once."""
     place = F.struct("doc_id", "pos")
     lines = _lines(docs, text, id_col)
@@ -106,24 +110,25 @@ def _removed(docs: DataFrame, text: str, id_col: str, min_words: int) -> DataFra
     return again.unionByName(near)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", id_col: str | Column = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with the lines that go taken out of the text; every row and column stays, n_chars (if there) is counted anew.
 
-    A null text stays null; a text whose lines all go becomes empty.
+    id_col: a column, or an expression of some, that orders the rows. A null text stays null; a text whose lines all go
+    becomes empty. An empty table gives an empty one. Columns may have any names: a row is carried as one value.
     """
-    gone = _removed(docs, text, id_col, min_words).groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_set("pos").alias("_line_gone"))
-    joined = docs.join(gone, docs[id_col] == F.col("_line_doc"), "left")
+    gone = _removed(docs, text, id_col, min_words).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("pos").alias("gone"))
+    joined = docs.select(_col(id_col).alias("id"), F.struct(*docs.columns).alias("doc")).join(gone, F.col("id") == F.col("of"), "left")
+    old = F.col("doc")[text]
 
     def left(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     # an array of one, so that the text is split once and not for each line
-    new = F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(F.transform(F.array(F.split(F.col(text), "\n", -1)), left)[0])
-    out = joined.withColumn(text, new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = F.when(F.col("gone").isNull(), old).otherwise(F.transform(F.array(F.split(old, "\n", -1)), left)[0])
+    out = joined.select("doc", new.alias("new"))
+    put = {text: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(put.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

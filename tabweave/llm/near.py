@@ -109,10 +109,10 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     """The rows that stay: exactly one of each group of texts that verified links join; that of the smallest id (nulls last), then by hash.
 
     Groups are those of texts, so rows that share an id with another text, or have none, are judged as any other. Texts
-    without words are alike.
+    without words are alike. An empty table gives an empty one. Columns may have any names: a row is carried as one value.
     """
     part = staged(components(links(docs, text)), "components")
     rows = docs.select(_node(text).alias("node"), F.col(id_col).alias("id"), row_key(docs).alias("row"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "row")
-    named = rows.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(order)["row"].alias("_row"))
-    return docs.withColumn("_row", row_key(docs)).join(named.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    named = rows.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(order)["row"].alias("row"))
+    return docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("row")).join(named.select("row"), "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -8,6 +8,7 @@ one unbroken stream of tokens, which is cut every `length` tokens, so that only
 
 import base64
 import json
+import re
 import zlib
 
 import numpy as np
@@ -22,19 +23,38 @@ from .common import mix, pieces, staged
 
 LENGTH = 1024
 BUCKETS, DIMENSIONS, BITS = 1024, 3, 10
+#: Runs of white space from this length on are encoded apart, as the pattern's search gives up on very long ones.
+RUN = 1 << 16
+#: What Unicode calls white space, as the pattern does.
+_RUNS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % RUN)
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
-def encoding(path: str, special: dict[str, int]) -> tiktoken.Encoding:
+def encoding(path: str, special: dict[str, int], pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
     """The byte-level BPE of a ranks file, kept for the life of the worker; strings in special are one token each wherever they stand."""
-    key = f"{path} {sorted(special.items())}"
+    key = f"{path} {sorted(special.items())} {pattern}"
     if key not in _encodings:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[key] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        _encodings[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encodings[key]
 
 
+def token_ids(text: str, path: str, special: dict[str, int]) -> np.ndarray:
+    """The ids of a text of any length.
+
+    Of a run of white space the pattern leaves the last character to the word that follows, so a long run without it is one
+    piece; before a special string, or at the end, the whole run is.
+    """
+    enc, out, at = encoding(path, special), [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) or text.startswith(tuple(special), run.end()) else run.end() - 1
+        out += [enc.encode_to_numpy(text[at : run.start()], allowed_special="all"), encoding(path, {}, "(?s).+").encode_to_numpy(text[run.start() : end])]
+        at = end
+    rest = enc.encode_to_numpy(text[at:] if at else text, allowed_special="all")
+    return np.concatenate([*out, rest]) if out else rest
+
+
 def added_tokens(path: str) -> dict[str, int]:
     """The strings that a tokenizer file takes for one token before it splits a text."""
     with open(path) as f:
@@ -81,10 +101,10 @@ def _place(ids: list[np.ndarray]) -> np.ndarray:
 
 def _tokenise(path: str, special: dict[str, int]):
     def run(batches):
-        enc, pack = encoding(path, special), zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for piece in pieces(batch):
-                ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), 0).astype("<u4") for t in piece.column("text").to_pylist()]
+                ids = [np.append(token_ids(t, path, special), 0).astype("<u4") for t in piece.column("text").to_pylist()]
                 small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(_place(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.itemsize for x in small], pa.int32()), pa.array([pack(x.tobytes()) for x in small], pa.binary())],

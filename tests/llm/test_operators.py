@@ -8,7 +8,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -476,6 +478,18 @@ def test_packing(spark, docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x  " + "\u3000" * packing.RUN + "word" + " \n" * packing.RUN + "<|endoftext|>" + "\t" * packing.RUN + "<|endoftext|> b" + " " * packing.RUN, "a" + "\x1c" * packing.RUN + "b" + " " * (packing.RUN - 1) + "c"])
+def test_long_runs_of_one_character(text):
+    """Ids equal those of the tokenizer file where the pattern alone gives up."""
+    path, file = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    assert np.array_equal(packing.token_ids(text, path, packing.added_tokens(file)), tokenizers.Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids)
+
+
+def test_packing_of_a_text_of_breaks(spark):
+    got = packing.pack(spark.createDataFrame([(1, "\n" * 1_200_000), (2, "a"), (3, " " * 1_200_000)], "doc_id long, text string"))
+    assert {r.doc_id: (r.n, r.d) for r in got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()} == {1: (600_001,) * 2, 2: (2, 2), 3: (1_200_001,) * 2}
+
+
 def test_packing_query(spark, sf):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert_packed(texts, [r.asDict() for r in packing.op6_packing(spark, sf).collect()], 1024)
@@ -747,6 +761,20 @@ def test_stages_go_by_row(spark, sf):
     assert left == [(-1, words("a")), (-1, words("c")), (-1, words("c")), (1, words("b"))]  # 0 is -1 here, and first
 
 
+def test_stages_keep_clashing_columns(spark, sf):
+    """Columns with the names that stages use themselves come out as they went in."""
+    names = ["_row", "_place", "_line_gone", "_line_doc", "row", "doc", "gone", "of", "new", "id", "node", "_doc", "_leak_h"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        rows = docs.select("doc_id", *names).collect()
+        assert docs.columns[-len(names) :] == names and rows, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+    assert packing.pack(docs).count()
+
+
 def test_queries_match_sql(spark, sf, duck):
     from conftest import same_rows
 
