@@ -17,7 +17,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier place has already; places go by id (nulls last) and row, equal rows alone share theirs."""
     kind = docs.schema["doc_id"].dataType
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), row_key(docs)["h"].alias("row"))
-    return lines.dedup_lines(docs.withColumn("_place", place), id_col="_place").drop("_place")
+    return lines.dedup_lines(docs, id_col=place)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
