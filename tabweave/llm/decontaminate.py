@@ -8,14 +8,16 @@ a seed, and none is missed.
 
 All masks of a benchmark begin with the same few words, so a first, cheap join keeps the positions of the texts where
 such a beginning stands; seeds are made for these alone and joined with those of the benchmark. Around a hit, the windows
-that hold the seed are compared word by word at the same alignment. Seeds of a small benchmark (they are counted) are
-broadcast; those of a larger one are shuffled, and words follow the hits alone. Both ways give the same rows.
+that hold the seed are compared word by word (by 64-bit hashes) at the same alignment; a hit takes the few words around it along, not its text. Seeds of a
+small benchmark (they are counted) are broadcast; for a larger one positions alone are shuffled first. Both ways give the same rows.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, ODD, SHORT, ALONE = 13, 2, 9, 4
+#: Words before a seed that a window which holds it may begin at.
+BEFORE = WINDOW - 1
 #: Fixed masks, the positions compared: blocks of three words for items of twelve words or more, of two words for others from
 #: SHORT. Equal distances between blocks are one mask.
 LONG_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
@@ -50,16 +52,17 @@ def _lead(hashes: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(hashes, at + j) for j in range(size)))
 
 
-def _matches(doc: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
-    """Where the item's windows begin that hold the seed and stand in the text at the same alignment."""
+def _matches(near: Column, doc_size: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
+    """Where the item's windows begin that hold the seed and stand in the text at the same alignment; near: hashes of the text's words from BEFORE words before the seed on."""
     n = F.size(item)
     size, allowed = F.least(F.lit(WINDOW), n), F.when(n < SHORT, 0).otherwise(ODD)
     first, last = F.greatest(item_at + span - size, F.lit(0)), F.least(item_at, n - size)
+    base = F.greatest(at - BEFORE, F.lit(0))
 
     def same(start: Column) -> Column:
         begin = start + at - item_at
-        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (begin + j >= 0) & F.get(doc, F.greatest(begin + j, F.lit(0))).eqNullSafe(F.get(item, start + j)))
-        return (F.size(equal) >= size - allowed) & ((n >= ALONE) | (F.size(doc) == n))
+        equal = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (begin + j >= 0) & F.get(near, F.greatest(begin + j - base, F.lit(0))).eqNullSafe(F.get(item, start + j)))
+        return (F.size(equal) >= size - allowed) & ((n >= ALONE) | (doc_size == n))
 
     return F.filter(F.sequence(first, last), same)
 
@@ -88,17 +91,21 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: list[str], text: str =
     some = F.array().cast("array<struct<seed:bigint,lead:bigint,item_at:int,span:int>>")
     known = items.withColumn("hashes", hashed("item_words")).select("item", F.explode_outer(F.flatten(F.array(*(F.coalesce(own(*m), some) for m in masks)))).alias("x")).select("item", "x.*").where("seed IS NOT NULL")
     small = known.limit(broadcast_seeds + 1).count() <= broadcast_seeds  # which bounds the items' words too
-    near = F.broadcast if small else lambda df: df
-    begins = texts.withColumn("hashes", hashed("words"))
-    begins = begins.select(*key, *["words"] * small, "hashes", F.posexplode_outer(F.transform(_positions(F.size("hashes"), lead), lambda i: _lead(F.col("hashes"), i, lead))).alias("at", "lead"))
-    begins = begins.join(near(known.select("lead").distinct()), "lead", "left_semi")
-    seeds = F.array(*(F.when(F.col("at") + m[-1] < F.size("hashes"), _seed(k, m, F.col("hashes"), F.col("at"))) for k, m, _, _ in masks))
-    hits = begins.select(*key, *["words"] * small, "at", F.explode_outer(seeds).alias("seed")).join(near(known.drop("lead")), "seed")
-    if not small:
+    bounded = F.broadcast if small else lambda df: df
+    leads = lambda df, *more: df.select(*key, *more, F.posexplode_outer(F.transform(_positions(F.size("hashes"), lead), lambda i: _lead(F.col("hashes"), i, lead))).alias("at", "lead"))
+    texts = texts.withColumn("hashes", hashed("words")).drop("words")
+    if small:
+        begins = leads(texts, "hashes").join(F.broadcast(known.select("lead").distinct()), "lead", "left_semi")
+    else:  # positions alone are shuffled to the leads, and those that are left come back to their text
+        some = leads(texts).join(known.select("lead").distinct(), "lead", "left_semi").groupBy(*(F.col(c).alias(f"_of_{c}") for c in key)).agg(F.collect_set("at").alias("ats"))
         named = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
-        owners = texts.dropDuplicates(key).select(*(F.col(c).alias(f"_of_{c}") for c in key), "words")
-        hits = hits.drop("seed").distinct().join(owners, named).drop(*(f"_of_{c}" for c in key))
-    found = hits.join(near(items), "item").select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift"), F.least(F.lit(WINDOW), F.size("item_words")).alias("size"), F.explode_outer(_matches(F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at"), F.col("span"))).alias("item_start"))
+        begins = texts.dropDuplicates(key).join(some, named).select(*key, "hashes", F.explode_outer("ats").alias("at"))
+    around = F.slice("hashes", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, WINDOW + BEFORE)
+    begins = begins.select(*key, "at", F.size("hashes").alias("doc_size"), F.array(*(F.when(F.col("at") + m[-1] < F.size("hashes"), _seed(k, m, F.col("hashes"), F.col("at"))) for k, m, _, _ in masks)).alias("seeds"), around.alias("near"))
+    hits = begins.select(*key, "at", "doc_size", "near", F.explode_outer("seeds").alias("seed")).join(bounded(known.drop("lead")), "seed")
+    found = hits.join(bounded(items.select("item", hashed("item_words").alias("item_hashes"))), "item")
+    windows = _matches(F.col("near"), F.col("doc_size"), F.col("item_hashes"), F.col("at"), F.col("item_at"), F.col("span"))
+    found = found.select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift"), F.least(F.lit(WINDOW), F.size("item_hashes")).alias("size"), F.explode_outer(windows).alias("item_start"))
     return found.where("item_start IS NOT NULL").select(*key, "item", "item_start", (F.col("item_start") + F.col("shift")).alias("start"), "size").distinct()
 
 
