@@ -16,7 +16,8 @@ from .common import PUNCTUATED, Words, fold, mix, pieces, staged
 
 #: Labelled documents of each class that are learnt from at most, picked by a hash of the id.
 SAMPLE = 1200
-#: Tokens of these that are learnt from at most; the beginnings of all texts come before the rest of long ones.
+#: Tokens of these that are learnt from at most, half for each class. Documents count whole; where they are too many, longer ones
+#: (by powers of two) are left out first.
 TOKENS = 5_000_000
 FEATURE_BITS = 19
 #: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
@@ -292,8 +293,16 @@ def _some(docs: DataFrame, labels: DataFrame, text: str, id_col: str, sample: in
     return texts.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
+def _within(segments: DataFrame, tokens: int) -> DataFrame:
+    """The segments of whole documents of at most so many tokens, half of each class, and one of each at least."""
+    sizes = segments.groupBy("id", "toxic").agg(F.sum("n").alias("size"))  # a row for each document of the sample
+    order = Window.partitionBy("toxic").orderBy(F.floor(F.log2(F.col("size") + 1)), F.xxhash64("id"), "id")
+    placed = sizes.select("id", F.sum("size").over(order).alias("total"), F.row_number().over(order).alias("place"))
+    return segments.join(F.broadcast(placed.where((F.col("total") <= tokens / 2) | (F.col("place") == 1)).select("id")), "id", "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, tokens: int = TOKENS) -> dict:
-    """Fits field and curve on at most `sample` labelled documents of each class, and `tokens` of their tokens; rows without text or label are no use.
+    """Fits field and curve on at most `sample` labelled documents of each class, whole ones of at most `tokens` tokens together; rows without text or label are no use.
 
     The sample's features are staged by the executors, and one task fits the field on them; the driver gets its weights
     alone. Without labelled rows of both classes, or without a word that tells them apart, the field is flat and every score is
@@ -310,9 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     telling = _telling(segments, kind, bad, n)
     if not any(len(t) for t in telling):
         return flat
-    before = F.sum("n").over(Window.orderBy("part", F.xxhash64("id"), "id"))  # every text's first segments, then the next ones
-    within = segments.withColumn("before", before).where(F.col("before") <= tokens).drop("before") if segments.agg(F.sum("n")).first()[0] > tokens else segments
-    states = within.mapInArrow(_states(telling), f"id {kind}, toxic double, part long, feats binary, states binary")
+    states = _within(segments, tokens).mapInArrow(_states(telling), f"id {kind}, toxic double, part long, feats binary, states binary")
     got = states.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "used binary, w binary, rest array<double>").first()
     rest = np.array(got["rest"])
     return {"used": np.frombuffer(got["used"], np.int32), "w": np.frombuffer(got["w"], np.float32), "bias": rest[0], "trans": rest[1:5].reshape(2, 2), "beta": rest[5:]}
