@@ -66,19 +66,20 @@ def put_file(uri: str, parts: list) -> None:
         fs.delete_file(tmp)
 
 
-_mapped: dict[str, np.ndarray] = {}
+_mapped: OrderedDict[str, np.ndarray] = OrderedDict()
 _read: OrderedDict[str, np.ndarray] = OrderedDict()
-#: Files kept by a worker that must read them whole.
-KEPT = 32
+#: Files kept by a worker that maps them (systems bound how many may be), and by one that must read them whole.
+MAPS, KEPT = 1000, 32
 
 
 def mapped(uri: str, kind=np.uint64) -> np.ndarray:
-    """The file as an array, empty where there is none: memory-mapped where the shared folder is mounted; elsewhere read, and the last KEPT kept."""
-    if uri in _mapped:
-        return _mapped[uri]
-    if uri in _read:
-        _read.move_to_end(uri)
-        return _read[uri]
+    """The file as an array, empty where there is none: memory-mapped where the shared folder is mounted, the last MAPS of them; elsewhere read, and the last KEPT kept."""
+    for kept in (_mapped, _read):
+        if uri in kept:
+            kept.move_to_end(uri)
+            return kept[uri]
+    while len(_mapped) >= MAPS:
+        _mapped.popitem(last=False)  # its memory is let go when no array looks into it
     fs, path = pafs.FileSystem.from_uri(uri)
     try:
         if isinstance(fs, pafs.LocalFileSystem):

@@ -431,6 +431,15 @@ def test_toxicity(spark, docs, none):
     assert toxicity.tag(none, toxicity.train(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Beyond the bound on tokens, documents are left out whole, longer ones first, for each class; one of each stays."""
+    rows = [(i, float(bad), p, min(4096, n - 4096 * p)) for i, (bad, n) in enumerate([(0, 100), (0, 5000), (0, 50), (0, 40_000), (1, 9000), (1, 70_000), (1, 20_000)]) for p in range(-(-n // 4096))]
+    segments = spark.createDataFrame([(*x, b"") for x in rows], "id long, toxic double, part long, n long, feats binary")
+    for tokens, want in ((10_400, {0, 1, 2, 4}), (10, {2, 4}), (10**6, set(range(7))), (60_000, {0, 1, 2, 4, 6})):
+        got = toxicity._within(segments, tokens).collect()
+        assert {x.id for x in got} == want and len(got) == sum(x[0] in want for x in rows)
+
+
 def test_toxicity_of_a_rare_language(spark):
     r = random.Random(4)
 
@@ -576,6 +585,20 @@ def test_leaks_by_either_join(spark):
         assert found == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_SEEDS, 0])
+def test_leaks_of_a_long_text(spark, most):
+    """A text of 200,000 words, in which beginnings of items are frequent; what travels with a hit doesn't grow with the text."""
+    r = random.Random(8)
+    item = [f"q{i}" for i in range(30)]
+    words = [w for _ in range(40_000) for w in (*item[:3], f"w{r.randrange(99)}", "z")]
+    words[150_000:150_020] = [*item[5:12], "odd", *item[13:25]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(item[:3] * 50))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [tuple(x) for x in decontaminate.leaks(docs, items, broadcast_seeds=most).collect()]
+    # windows of 13 with two words off: one word before the passage beside the odd one, two after it
+    assert got == [(1, 7, 11, 149_999, 150_021)]
+
+
 def test_substrings(docs, rows, none):
     data = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[s : s + 200] for _, b in data for s in range(len(b) - 199))
@@ -802,6 +825,18 @@ def test_sorted_keys_with_checks(tmp_path):
     assert len(mapped(f"file://{tmp_path}/t/8", np.uint8)) == 0
 
 
+def test_few_files_stay_mapped(tmp_path, monkeypatch):
+    from tabweave.llm import common
+
+    monkeypatch.setattr(common, "MAPS", 20)
+    for k in range(60):
+        common.put_file(f"file://{tmp_path}/m/{k}", [np.arange(k, k + 600, dtype=np.uint64)])
+    for _ in range(2):
+        assert all(common.mapped(f"file://{tmp_path}/m/{k}")[5] == k + 5 for k in range(60))
+    with open("/proc/self/maps") as f:
+        assert f.read().count(f"{tmp_path}/m/") <= 20
+
+
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
