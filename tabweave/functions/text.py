@@ -1,5 +1,7 @@
 """Text columns: letters, universal content, terms, and the clean-up of model output."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +74,25 @@ def response_answer(text: Column) -> Column:
 
 def safe_name(model: Column) -> Column:
     return F.replace(model, F.lit("/"), F.lit("_"))
+
+
+def printed(number: Column, places: int) -> Column:
+    """A number of at least 0 and below 2^33 with so many places, as C and Python print it: its exact binary value, rounded half to even.
+
+    The number is an integer over a power of two, so the rest of an integer division tells which side of a half it is on.
+    """
+    scales = [(1.0, 62), (2.0**11, 52), (2.0**22, 41), (2.0**33, 30)]  # below the first, at this power the value fits 63 bits and what is cut off can't decide
+    power = reduce(lambda rest, s: F.when(number < s[0], F.lit(1 << s[1]).cast("decimal(38,0)")).otherwise(rest), reversed(scales), F.lit(None).cast("decimal(38,0)"))
+    whole = reduce(lambda rest, s: F.when(number < s[0], F.floor(number * float(1 << s[1]))).otherwise(rest), reversed(scales), F.lit(None).cast("long")).cast("decimal(38,0)")
+    parts = F.struct((whole * F.lit(10**places).cast("decimal(10,0)")).cast("decimal(38,0)").alias("n"), power.alias("p"))
+
+    def rounded(x: Column) -> Column:
+        low = F.floor(x["n"] / x["p"]).cast("decimal(20,0)")  # may be one too many where the quotient is rounded up
+        low = F.when(low * x["p"] > x["n"], low - 1).otherwise(low)
+        rest = (x["n"] - low * x["p"]) * 2
+        up = (rest > x["p"]) | ((rest == x["p"]) & (low % 2 == 1))
+        value = (low + F.when(up, 1).otherwise(0)).cast("long").cast("string")
+        digits = F.when(F.length(value) > places, value).otherwise(F.lpad(value, places + 1, "0"))
+        return F.concat(F.substr(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places))) if places else digits
+
+    return F.transform(F.array(parts), rounded)[0]  # an array of one, so that the parts are computed once

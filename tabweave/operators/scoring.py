@@ -140,8 +140,9 @@ def selection_buckets(selected: DataFrame) -> DataFrame:
     return selected.groupBy("category").agg(*exact, F.count_if(F.col("score") <= 5).alias("score_5_or_less"))
 
 
-def csv_summary(report: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The printed summary: numbers as text, two decimals for means, none for sizes (half to even)."""
-    whole = lambda c: F.bround(c).cast("long").cast("string").alias(c)
-    both = report.join(buckets, "category")
-    return both.select("category", "tables", "min_score", "max_score", F.format_string("%.2f", "avg_score").alias("avg_score"), whole("avg_rows"), whole("avg_columns"), whole("avg_cells"), "score_10", "score_9", "score_8")
+def csv_summary(selected: DataFrame) -> DataFrame:
+    """The printed summary of tables selected (category, score, num_rows, num_columns, has_metadata), by category: means of two decimals, sizes of none, as text."""
+    exact = [F.count_if(F.col("score") == i).alias(f"score_{i}") for i in (10, 9, 8)]
+    means = [F.avg(c).alias(a) for a, c in (("avg_score", "score"), ("avg_rows", "num_rows"), ("avg_columns", "num_columns"))]
+    sums = selected.groupBy("category").agg(F.count("*").alias("tables"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), *means, *exact, F.count_if("has_metadata").alias("metadata_files"))
+    return sums.withColumns({c: T.printed(F.col(c), 2 * (c == "avg_score")) for c in ("avg_score", "avg_rows", "avg_columns")})

@@ -301,15 +301,13 @@ def selection_buckets(spark, sf):
 @query(
     "selection_csv",
     _with(*_UP_TO_SCORES, _RANKED, _SELECTED)
-    + "SELECT category, count(*) AS tables, min(score) AS min_score, max(score) AS max_score, printf('%.2f', round(avg(score), 4)) AS avg_score, "
-    + ", ".join(f"round_even(round(avg({b}), 4), 0)::BIGINT::VARCHAR AS {a}" for a, b in (("avg_rows", "num_rows"), ("avg_columns", "num_columns"), ("avg_cells", "total_cells")))
-    + ", "
+    + "SELECT category, count(*) AS tables, min(score) AS min_score, max(score) AS max_score, printf('%.2f', avg(score)) AS avg_score, printf('%.0f', avg(num_rows)) AS avg_rows, printf('%.0f', avg(num_columns)) AS avg_columns, "
     + ", ".join(f"count(*) FILTER (score = {i}) AS score_{i}" for i in (10, 9, 8))
-    + " FROM selected GROUP BY category",
+    + ", count(*) FILTER (table_id IN (SELECT doc_id::VARCHAR FROM labels WHERE quality = 1)) AS metadata_files FROM selected GROUP BY category",
 )
 def selection_csv(spark, sf):
-    selected = _selected(spark, sf)
-    return scoring.csv_summary(scoring.selection_report(selected), scoring.selection_buckets(selected))
+    """Tables whose label is 1 have metadata."""
+    return scoring.csv_summary(collect.with_metadata(_selected(spark, sf), _labels(spark, sf).where("quality = 1").select("table_id")))
 
 
 # Evaluation ------------------------------------------------------------------------------------------------------

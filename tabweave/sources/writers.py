@@ -23,8 +23,16 @@ def report(df: DataFrame, path: str) -> None:
     df.coalesce(1).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def csv_summary(df: DataFrame, path: str, order: str = "category") -> None:
-    df.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+# Headers of the printed summary, by column.
+SUMMARY = {
+    "category": "Category", "tables": "Tables", "min_score": "Min Score", "max_score": "Max Score", "avg_score": "Avg Score", "avg_rows": "Avg Rows", "avg_columns": "Avg Cols",
+    "score_10": "Score 10", "score_9": "Score 9", "score_8": "Score 8", "metadata_files": "Metadata Files",
+}
+
+
+def csv_summary(df: DataFrame, path: str) -> None:
+    """The printed summary (a row for each category) as one CSV file, in order of category."""
+    df.select(*(F.col(c).alias(h) for c, h in SUMMARY.items())).orderBy(SUMMARY["category"]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_results(df: DataFrame, path: str) -> None:

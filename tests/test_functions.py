@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def test_scores():
     assert M.bleu_of(table, table, 4) == 1.0 and M.bleu_of([], table, 4) == 0
 
 
+def test_printed_means(spark, tmp_path):
+    """As C and Python print them: exact ties go to the even digit, other halves by the binary value."""
+    r = random.Random(1)
+    numbers = [8.625, 8.375, 2.675, 0.0, 0.005, 0.125, 9.995, 1.005, 0.5, 1.5, 2.5, 4194304.005, 2047.995, 1e9 + 0.5, 5e-324] + [r.randint(0, 5000) / r.randint(1, 400) for _ in range(3000)] + [10 ** r.uniform(-6, 9.8) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for places in (0, 1, 2, 4):
+        assert [x.s for x in rows.select("x", T.printed(F.col("x"), places).alias("s")).collect()] == [f"{x:.{places}f}" for x in numbers]
+    selected = spark.createDataFrame([("b", 8 + (k < 5), 5 + k % 2, 2, k < 3) for k in range(8)] + [("a", 10, 7, 3, True)], "category string, score int, num_rows long, num_columns long, has_metadata boolean")
+    writers.csv_summary(scoring.csv_summary(selected), f"{tmp_path}/csv")
+    text = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
+    assert text == ["Category,Tables,Min Score,Max Score,Avg Score,Avg Rows,Avg Cols,Score 10,Score 9,Score 8,Metadata Files", "a,1,10,10,10.00,7,3,1,0,0,1", "b,8,8,9,8.62,6,2,0,5,3,3"]
+
+
 def test_missing_and_gates(spark):
     rows = spark.createDataFrame([(1, [["a", None]]), (2, [["NaN"]]), (3, [[""]]), (4, None), (5, [[]])], "i int, data array<array<string>>")
     assert [r.i for r in rows.where(C.has_missing(F.col("data"))).orderBy("i").collect()] == [1, 2]
