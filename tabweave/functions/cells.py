@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import letter_count, universal_count
+from .terms import scanner
+from .text import letter_count
 
 # Terms that keep, or lose, their meaning in translation, before any are learnt.
 TRANSLATABLE = [
@@ -56,10 +57,13 @@ def has_untranslatable(cell: Column, terms: list[str] = UNTRANSLATABLE) -> Colum
     return reduce(lambda a, b: a | b, (low.contains(t) for t in terms), F.lit(False))
 
 
-def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE, kind: Column | None = None) -> Column:
-    """(score, reason) of a cell. Numbers and booleans are numeric, null and other cells that are no text universal; without kinds every cell is a text."""
+def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE, kind: Column | None = None, found: Column | None = None) -> Column:
+    """(score, reason) of a cell. Numbers and booleans are numeric, null and other cells that are no text universal; without kinds every cell is a text.
+
+    found: what terms.scanner() gives for the cell, where it is there already (as for a dictionary that is a frame, or within a lambda).
+    """
+    found = scanner(terms)(cell) if found is None else found
     last = F.element_at(F.split(cell, "/"), -1)
-    is_universal = universal_count(cell) >= F.length(cell) * 0.5
 
     def out(score: float, reason: str) -> Column:
         return F.struct(F.lit(score).alias("score"), F.lit(reason).alias("reason"))
@@ -67,9 +71,9 @@ def translatability(cell: Column, terms: list[str] = UNTRANSLATABLE, kind: Colum
     return (
         F.when(cell.isNull() if kind is None else cell.isNull() | (kind == "other"), out(1.0, "non_string_universal"))
         .when(is_numeric(cell, kind), out(1.0, "numeric_universal"))
-        .when(is_path(cell), F.when(universal_count(last) >= F.length(last) * 0.3, out(0.95, "file_path_mostly_universal")).otherwise(out(0.85, "file_path_with_content")))
-        .when(has_untranslatable(cell, terms), out(0.0, "untranslatable_label"))
-        .when(is_universal, out(1.0, "mostly_universal"))
+        .when(is_path(cell), F.when(found["last"] >= F.length(last) * 0.3, out(0.95, "file_path_mostly_universal")).otherwise(out(0.85, "file_path_with_content")))
+        .when(found["hit"].isNotNull(), out(0.0, "untranslatable_label"))
+        .when(found["universal"] >= F.length(cell) * 0.5, out(1.0, "mostly_universal"))
         .otherwise(out(0.9, "translatable_text"))
     )
 

@@ -1,9 +1,10 @@
 """Translatability of tables, terms, and selection of the best tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import terms as E
 from ..functions import text as T
 
 
@@ -28,19 +29,45 @@ def from_cells(cells: DataFrame) -> DataFrame:
     return tables.select("table_id", F.transform(F.get("rows", F.lit(0))["r"], lambda x: x["name"]).alias("columns"), F.transform("rows", lambda x: F.transform(x["r"], lambda y: y["cell"])).alias("data"))
 
 
-def cell_translatability(cells: DataFrame, terms: list[str] = C.UNTRANSLATABLE) -> DataFrame:
+def dictionary(spark: SparkSession, translatable: list[str] = C.TRANSLATABLE, untranslatable: list[str] = C.UNTRANSLATABLE) -> DataFrame:
+    """(term, label) of two lists, to be learnt on from; a term of both is untranslatable."""
+    labels = {t: label for label, terms in (("translatable", translatable), ("untranslatable", untranslatable)) for t in terms}
+    return spark.createDataFrame(sorted(labels.items()), "term string, label string")
+
+
+def _untranslatable(terms: DataFrame | list[str]) -> DataFrame | list[str]:
+    return terms.where("label = 'untranslatable'") if isinstance(terms, DataFrame) and "label" in terms.columns else terms
+
+
+def cell_translatability(cells: DataFrame, terms: DataFrame | list[str] = C.UNTRANSLATABLE) -> DataFrame:
+    """The cells with score and reason. terms: a list, or a dictionary (term, and label if it holds others than untranslatable ones) of any size."""
     kind = F.col("kind") if "kind" in cells.columns else None
-    return cells.withColumn("t", C.translatability(F.col("cell"), terms, kind)).select(*cells.columns, "t.score", "t.reason")
+    rows = E.with_found(cells, _untranslatable(terms), "cell", "_found")
+    return rows.withColumn("_t", C.translatability(F.col("cell"), kind=kind, found=F.col("_found"))).select(*cells.columns, F.col("_t.score").alias("score"), F.col("_t.reason").alias("reason"))
+
+
+def _points(cell: Column, kind: Column | None, found: Column) -> Column:
+    return F.round(C.translatability(cell, kind=kind, found=found)["score"] * 100).cast("int")
 
 
-def table_translatability(tables: DataFrame, terms: list[str] = C.UNTRANSLATABLE) -> DataFrame:
-    """Counts by band and the mean score; tables of at most one data row have zeros.
+def table_translatability(tables: DataFrame, terms: DataFrame | list[str] = C.UNTRANSLATABLE) -> DataFrame:
+    """Counts by band and the mean score; tables of at most one data row have zeros. terms as in cell_translatability.
 
-    Scores stay in their table's row, so nothing is shuffled.
+    Scores stay in their table's row, so nothing is shuffled; for a dictionary too large to be broadcast, cells are joined to it.
     """
-    points = lambda c, kind=None: F.round(C.translatability(c, terms, kind)["score"] * 100).cast("int")
-    scored = F.zip_with(F.flatten("data"), F.flatten("kinds"), lambda c, k: points(c, k)) if "kinds" in tables.columns else F.transform(F.flatten("data"), lambda c: points(c))
-    rows = tables.select("table_id", "category", F.when(F.size("data") > 1, scored).otherwise(F.array().cast("array<int>")).alias("s"))
+    terms, typed = _untranslatable(terms), "kinds" in tables.columns
+    if isinstance(terms, DataFrame) and not E.few(terms):
+        each = F.posexplode_outer(F.arrays_zip(F.flatten("data").alias("cell"), F.flatten("kinds").alias("kind")) if typed else F.transform(F.flatten("data"), lambda c: F.struct(c.alias("cell"))))
+        rows = tables.select("table_id", "category", F.size("data").alias("n"), each.alias("at", "x"))
+        flat = E.with_found(rows.where("n > 1 AND at IS NOT NULL").select("table_id", "at", "x.*"), terms, "cell", "found")
+        points = flat.select("table_id", "at", _points(F.col("cell"), F.col("kind") if typed else None, F.col("found")).alias("s")).groupBy("table_id").agg(F.collect_list("s").alias("s"))
+        rows = tables.select("table_id", "category").join(points, "table_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<int>")))
+    else:
+        cells = F.flatten("data")
+        both = F.arrays_zip(cells.alias("cell"), F.flatten("kinds").alias("kind")) if typed else F.transform(cells, lambda c: F.struct(c.alias("cell"), F.lit(None).cast("string").alias("kind")))
+        some = tables.select("table_id", "category", F.when(F.size("data") > 1, both).otherwise(F.array().cast("array<struct<cell:string,kind:string>>")).alias("cells"))
+        found = some.withColumn("found", E.scanner(terms)(F.col("cells.cell"), many=True))
+        rows = found.select("table_id", "category", F.zip_with("cells", "found", lambda c, f: _points(c["cell"], c["kind"] if typed else None, f)).alias("s"))
     count = lambda keep: F.size(F.filter("s", keep)).cast("long")
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(
@@ -97,16 +124,18 @@ def learn_terms(known: DataFrame, labelled: DataFrame) -> DataFrame:
     return known.unionByName(labelled.join(known, "term", "left_anti").dropDuplicates(["term"]))
 
 
-def term_frequency(tables: DataFrame, translatable: list[str] = C.TRANSLATABLE, untranslatable: list[str] = C.UNTRANSLATABLE) -> DataFrame:
-    """Occurrences of (label, term): words of either dictionary, else the first term of several words that the cell holds, else the word as unknown."""
-    word, hit, low = F.col("word"), F.col("hit"), F.lower("cell")
-    several = [F.when(low.contains(t), t) for t in sorted(untranslatable) if " " in t] or [F.lit(None).cast("string")]
-    label = F.when(word.isin(translatable), "translatable").when(word.isin(untranslatable) | hit.isNotNull(), "untranslatable").when(~word.isin(T.TRACKING_STOP_WORDS), "unknown")
-    term = F.when(word.isin(translatable) | word.isin(untranslatable), word).otherwise(F.coalesce(hit, word))
-    cells = _text_cells(tables).withColumn("words", T.words(F.col("cell")))
-    both = F.arrays_zip("words", F.array_repeat(F.coalesce(*several), F.size("words")).alias("hits"))  # the cell's term is looked for once, not for each word
-    rows = cells.select(F.explode_outer(both).alias("x")).select(F.col("x.words").alias("word"), F.col("x.hits").alias("hit"))
-    return rows.where("word IS NOT NULL").select(label.alias("label"), term.alias("term")).where("label IS NOT NULL").groupBy("label", "term").agg(F.count("*").alias("occurrences"))
+def term_frequency(tables: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Occurrences of (label, term) in the text cells of tables with more than one row: words of three letters or more that the dictionary (term, label) has, else the least untranslatable term of several words that the cell holds, else the word as unknown."""
+    known = dictionary(tables.sparkSession) if known is None else known
+    several = known.where("label = 'untranslatable' AND contains(term, ' ')").select("term")
+    cells = E.with_found(_text_cells(tables.where(F.size("data") > 1)), several, "cell")
+    # each word of a cell with its number, and the cell's term once
+    words = F.transform(T.words(F.col("cell")), lambda w: F.struct(w.alias("word"), F.col("found.hit").alias("hit")))
+    rows = cells.select(F.explode(words).alias("x")).where(F.length("x.word") > 2).groupBy("x.word", "x.hit").agg(F.count("*").alias("n"))  # before the join, so that only distinct words meet the dictionary
+    both = rows.join(known.select(F.col("term").alias("word"), F.col("label").alias("own")), "word", "left")
+    label = F.when(F.col("own").isin("translatable", "untranslatable"), F.col("own")).when(F.col("hit").isNotNull(), "untranslatable").when(~F.col("word").isin(T.TRACKING_STOP_WORDS), "unknown")
+    term = F.when(F.col("own").isin("translatable", "untranslatable"), F.col("word")).otherwise(F.coalesce("hit", "word"))
+    return both.select(label.alias("label"), term.alias("term"), "n").where("label IS NOT NULL").groupBy("label", "term").agg(F.sum("n").alias("occurrences"))
 
 
 def top_per_category(scores: DataFrame, n: int = 100) -> DataFrame:

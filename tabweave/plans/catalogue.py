@@ -247,20 +247,44 @@ def unknown_terms(spark, sf):
     return scoring.unknown_terms(scoring.distinct_terms(A.tables(spark, sf)), known)
 
 
+_TRACKED = "tracked AS (SELECT w.* FROM (SELECT cell, unnest(list_filter(regexp_extract_all(lower(cell), '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z_]+$') AND length(w) > 2)) AS word FROM cells WHERE n_rows > 1 AND NOT (" + f"{_NUMERIC_SQL} OR {_PATH_SQL})) w)"
 _SEVERAL = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(cell), '{t}') THEN '{t}' END" for t in sorted(C.UNTRANSLATABLE) if " " in t) + ")"
 
 
 @query(
     "term_frequency",
-    _with(A.TABLES_SQL, _CELLS_ONLY, _WORDS)
+    _with(A.TABLES_SQL, _CELLS_ONLY, _TRACKED)
     + f"""SELECT label, term, count(*) AS occurrences FROM (
   SELECT CASE WHEN word IN ({_in(C.TRANSLATABLE)}) THEN 'translatable' WHEN word IN ({_in(C.UNTRANSLATABLE)}) OR hit IS NOT NULL THEN 'untranslatable' WHEN word NOT IN ({_in(T.TRACKING_STOP_WORDS)}) THEN 'unknown' END AS label,
-    CASE WHEN word IN ({_in(C.TRANSLATABLE + C.UNTRANSLATABLE)}) THEN word ELSE coalesce(hit, word) END AS term FROM (SELECT word, {_SEVERAL} AS hit FROM words)) WHERE label IS NOT NULL GROUP BY label, term""",
+    CASE WHEN word IN ({_in(C.TRANSLATABLE + C.UNTRANSLATABLE)}) THEN word ELSE coalesce(hit, word) END AS term FROM (SELECT word, {_SEVERAL} AS hit FROM tracked)) WHERE label IS NOT NULL GROUP BY label, term""",
 )
 def term_frequency(spark, sf):
     return scoring.term_frequency(A.tables(spark, sf))
 
 
+_LABELLED = f"labelled AS (SELECT DISTINCT word AS term FROM words WHERE length(word) > 5 AND word NOT IN ({_in(T.STOP_WORDS)}) AND word NOT IN ({_in(C.TRANSLATABLE + C.UNTRANSLATABLE)}) AND ('0x' || md5(word)[1:4])::INT % 40 = 0)"
+
+
+def _learnt(spark, sf):
+    """The dictionary, and words of six letters or more that it lacks; of these a fortieth, by md5, are labelled as a model would."""
+    known = scoring.dictionary(spark)
+    new = scoring.unknown_terms(scoring.distinct_terms(A.tables(spark, sf)), known).where(F.length("term") > 5)
+    labelled = new.withColumn("label", F.when(F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % 40 == 0, "untranslatable").otherwise("translatable"))
+    return scoring.learn_terms(known, labelled)
+
+
+@query(
+    "learnt_term_scores",
+    _with(A.TABLES_SQL, _CELLS, _WORDS, _LABELLED)
+    + """SELECT table_id, count(*) AS total_cells, count(*) FILTER (reason = 'untranslatable_label') AS untranslatable_count FROM (
+  SELECT table_id, CASE WHEN reason IN ('mostly_universal', 'translatable_text') AND EXISTS (SELECT 1 FROM labelled WHERE contains(lower(scored.cell), term)) THEN 'untranslatable_label' ELSE reason END AS reason FROM scored WHERE n_rows > 1) GROUP BY table_id""",
+)
+def learnt_term_scores(spark, sf):
+    """Tables scored with the terms that were learnt from them."""
+    found = scoring.table_translatability(A.tables(spark, sf), _learnt(spark, sf))
+    return found.where("total_cells > 0").select("table_id", "total_cells", "untranslatable_count")
+
+
 # Selection -------------------------------------------------------------------------------------------------------
 
 TOP = 10
