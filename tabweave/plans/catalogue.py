@@ -1,12 +1,12 @@
 """Queries by name, and the DuckDB SQL they are held against. Where SQL can't express a query it has none."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import collect, evaluate, render, scoring, stats, translate, worklists
+from ..operators import collect, evaluate, print_tables, render, scoring, stats, translate, worklists
 from ..schema import LANGUAGES, QA_LANGUAGES
 from . import adapters as A
 
@@ -630,6 +630,30 @@ def html_tables(spark, sf):
     return out.select("p_partkey", "table_no", "caption", F.col("columns")[0].alias("first_header"), F.col("data")[0][0].alias("first_cell"))
 
 
+@query(
+    "print_tables",
+    """SELECT o_custkey AS page, 0 AS table_no, 'Order|Status|Order priority|Total' AS columns,
+  string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|' || CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE floor(o_totalprice)::BIGINT::VARCHAR END, ';' ORDER BY o_orderkey) AS data,
+  'Table of ' || o_custkey AS caption FROM orders GROUP BY o_custkey""",
+)
+def print_tables_query(spark, sf):
+    """Each customer's orders as words on a page: below a caption and prose of two lines, a header and a line for each, the total ranged right and sometimes missing."""
+    orders = A.read(spark, sf, "orders").withColumn("line", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    box = lambda text, x, y, width=None: F.struct(*(F.lit(v).cast("double").alias(n) if not isinstance(v, Column) else v.cast("double").alias(n) for n, v in (("x1", x), ("y1", y), ("x2", x + F.length(text) * 5 if width is None else x + width), ("y2", y + 10))), text.alias("text"))
+    total = F.when(F.col("o_orderkey") % 5 != 0, F.floor("o_totalprice").cast("string"))
+    y = F.lit(140) + F.col("line") * 12
+    first, second = F.split_part("o_orderpriority", F.lit(" "), F.lit(1)), F.split_part("o_orderpriority", F.lit(" "), F.lit(2))
+    body = orders.select("o_custkey", F.explode(F.array(box(F.col("o_orderkey").cast("string"), F.lit(50), y), box(F.col("o_orderstatus"), F.lit(150), y), box(first, F.lit(220), y), box(second, F.lit(223) + F.length(first) * 5, y), box(total, F.lit(400) - F.length(total) * 5, y))).alias("w"))
+    fixed = [("Order", 50, 140), ("Status", 150, 140), ("Order", 220, 140), ("priority", 248, 140), ("Total", 375, 140)]
+    prose = [(f"word{k}", 50 + 33 * (k % 10), 60 + 12 * (k // 10), 30) for k in range(20)]
+    head = orders.select("o_custkey").distinct().select("o_custkey", F.explode(F.array(*(box(F.lit(t[0]), F.lit(t[1]), F.lit(t[2]), *t[3:]) for t in fixed + prose))).alias("w"))
+    words = body.unionByName(head).select(F.col("o_custkey").alias("page"), "w.*")
+    tables = print_tables.grid_tables(words)
+    blocks = orders.select(F.col("o_custkey").alias("page")).distinct().select("page", F.lit(0).alias("block"), *(F.lit(float(v)).alias(c) for c, v in (("x1", 50), ("y1", 100), ("x2", 300), ("y2", 112))), F.concat(F.lit("Table of "), "page").alias("text"))
+    rows = F.array_join(F.transform("data", lambda r: F.array_join(r, "|", "-")), ";")
+    return print_tables.captioned(tables, blocks).select("page", "table_no", F.array_join("columns", "|").alias("columns"), rows.alias("data"), "caption")
+
+
 @query("caption_join", "SELECT doc_id AS page, 0 AS table_no, min(source) AS caption FROM (SELECT doc_id, 'Table ' || source AS source FROM documents WHERE n_chars % 200 <= 100) GROUP BY doc_id")
 def caption_join(spark, sf):
     docs = A.read(spark, sf, "documents")
