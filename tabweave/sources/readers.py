@@ -1,8 +1,7 @@
-"""Readers: table JSON, JSON lines, image catalogues, scores, statistics, raw files, and a search source."""
+"""Readers: table JSON, JSON lines, image catalogues, scores, statistics, raw files; searches are in `search`."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
 from ..functions.cells import typed
@@ -118,42 +117,3 @@ def search_hits(items: DataFrame) -> DataFrame:
     url = F.format_string("https://raw.%s.invalid/%s/%s/%s", F.col("host"), "owner", "repo", "path")
     return ok.withColumn("download_url", url).dropDuplicates(["download_url"])
 
-
-class SearchSource(DataSource):
-    """A paged search as a Spark source: each term is a partition.
-
-    Options: terms (comma-separated), pages, and client (module:function of a function of term and page to a list of
-    (owner, repo, path)); three empty pages in a row end a term. Register with spark.dataSource.register.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_search"
-
-    def schema(self) -> str:
-        return "term string, page int, owner string, repo string, path string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SearchReader(dict(self.options))
-
-
-class _SearchReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = {k.lower(): v for k, v in options.items()}
-
-    def partitions(self):
-        return [InputPartition(t) for t in self.options["terms"].split(",")]
-
-    def read(self, partition):
-        import importlib
-
-        module, name = self.options["client"].split(":")
-        find = getattr(importlib.import_module(module), name)
-        empty = 0
-        for page in range(1, int(self.options.get("pages", 10)) + 1):
-            rows = find(partition.value, page)
-            empty = 0 if rows else empty + 1
-            if empty == 3:
-                return
-            for row in rows:
-                yield (partition.value, page, *row)

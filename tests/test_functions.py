@@ -11,7 +11,7 @@ from tabweave.functions import cells as C
 from tabweave.functions import metrics as M
 from tabweave.functions import text as T
 from tabweave.operators import collect, evaluate, scoring, stats, translate, worklists
-from tabweave.sources import readers, writers
+from tabweave.sources import readers, search, writers
 from tabweave.streaming import incremental
 
 
@@ -194,7 +194,7 @@ def test_incremental(spark, tmp_path):
 
 
 def test_search_source(spark):
-    spark.dataSource.register(readers.SearchSource)
+    spark.dataSource.register(search.SearchSource)
     rows = spark.read.format("paged_search").option("terms", "a,b").option("client", "tests.clients:find").load()
     hits = readers.search_hits(rows.withColumn("host", F.lit("h")))
     assert sorted(r.path for r in hits.collect()) == ["a1.csv", "b1.csv"]
