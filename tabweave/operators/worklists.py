@@ -1,5 +1,6 @@
 """What is left to translate, generate and render; gates; questions; reviews."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import text as T
 from ..schema import QUESTION_TYPES, REASONING
+from ..sources.files import Lines
 
 
 def by_language(tables: DataFrame, languages: list[str]) -> DataFrame:
@@ -46,21 +48,25 @@ def evidence(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return refs.join(cells, ["table_id", "row_idx", "col_idx"]).select("question_id", "ref", "cell")
 
 
-def by_client(rows: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]], out: str = "answer", at_once: int | None = None) -> DataFrame:
+def by_client(rows: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]], out: str = "answer", at_once: int | None = None, kept_in: str | None = None) -> DataFrame:
     """Adds a model's answer to each row's prompt. client makes one caller per task; a call that fails gives null.
 
-    at_once: how many tasks may call at the same time.
+    at_once: how many tasks may call at the same time. kept_in: a folder that all machines see, to which each answered row is also
+    written as a JSON line at once, so that the answers of a task that is lost aren't; the next run leaves them out (`evaluate.remaining`).
     """
+    job = uuid.uuid4().hex
 
     def run(batches: Iterator):
-        call = client()
+        call, lines = client(), Lines(kept_in, job) if kept_in else None
         for frame in batches:
             said = []
-            for text in frame[prompt]:
+            for i, text in enumerate(frame[prompt]):
                 try:
                     said.append(call(text))
                 except Exception:  # noqa: BLE001  a failed call is a row to be tried again
                     said.append(None)
+                if lines and said[-1] is not None:
+                    lines.add({c: getattr(x, "tolist", lambda x=x: x)() for c, x in frame.iloc[i].items() if c != prompt} | {out: said[-1]})
             yield frame.assign(**{out: said})
 
     if at_once:

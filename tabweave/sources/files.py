@@ -128,27 +128,35 @@ class ResultLines(DataSource):
         return _LineWriter(dict(self.options), schema.names)
 
 
-class _LineWriter(_JobWriter):
-    def write(self, iterator) -> Written:
-        folder, task, flush = _Folder(self.path), TaskContext.get(), int(self.options.get("flush", 100))
-        own, held, files, rows = f"_tasks-{self.job}/{task.taskAttemptId()}", [], 0, 0
-        folder.make(own)
+class Lines:
+    """JSON lines of a task, a file for each `flush` of them, named by job and partition."""
 
-        def close() -> None:
-            nonlocal held, files
-            name = f"{self.job}-{task.partitionId():05d}-{files:05d}.json"
-            folder.write(f"{own}/{name}", "".join(f"{x}\n" for x in held))
-            folder.move(f"{own}/{name}", name)
-            held, files = [], files + 1
+    def __init__(self, path: str, job: str, flush: int = 1):
+        self.folder, self.job, self.flush, self.held, self.files, task = _Folder(path), job, flush, [], 0, TaskContext.get()
+        self.partition, self.own = task.partitionId(), f"_tasks-{job}/{task.taskAttemptId()}"
+        self.folder.make(self.own)
+
+    def add(self, row: dict) -> None:
+        self.held.append(json.dumps(_plain(row), ensure_ascii=False))
+        if len(self.held) >= self.flush:
+            self.close()
 
+    def close(self) -> None:
+        if self.held:
+            name = f"{self.job}-{self.partition:05d}-{self.files:05d}.json"
+            self.folder.write(f"{self.own}/{name}", "".join(f"{x}\n" for x in self.held))
+            self.folder.move(f"{self.own}/{name}", name)
+            self.held, self.files = [], self.files + 1
+
+
+class _LineWriter(_JobWriter):
+    def write(self, iterator) -> Written:
+        lines, rows = Lines(self.path, self.job, int(self.options.get("flush", 100))), 0
         for row in iterator:
-            held.append(json.dumps({c: _plain(row[c]) for c in self.names}, ensure_ascii=False))
+            lines.add({c: row[c] for c in self.names})
             rows += 1
-            if len(held) >= flush:
-                close()
-        if held:
-            close()
-        return Written(task.partitionId(), files, rows)
+        lines.close()
+        return Written(lines.partition, lines.files, rows)
 
 
 def write_tables(tables: DataFrame, path: str, name: str = "table_id", **options) -> None:
@@ -161,6 +169,6 @@ def write_tables(tables: DataFrame, path: str, name: str = "table_id", **options
 
 
 def append_lines(rows: DataFrame, path: str, flush: int = 100) -> None:
-    """Results, each few rows seen as soon as they are there."""
+    """Results beside those that are there. What a writer has got it keeps; Spark may hold rows back for it, so answers that are dear are kept where they are made (`worklists.by_client`)."""
     rows.sparkSession.dataSource.register(ResultLines)
     rows.write.format("result_lines").mode("append").option("path", path).option("flush", flush).save()

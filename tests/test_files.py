@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import evaluate
+from tabweave.operators import evaluate, worklists
 from tabweave.sources import files, readers
 
 
@@ -52,14 +52,45 @@ def test_of_a_task_that_fails_no_file_is_seen(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("t_*.json"))) == 40
 
 
-def test_lines_of_a_stopped_run_are_kept(spark, tmp_path):
-    """What was flushed before the failure stays, in whole lines; the next run adds the rest, and no row is there twice."""
-    rows = spark.range(0, 40, 1, 4).select("id", F.concat(F.lit("q"), "id").alias("question_id"), F.lit("en_clean.jpg").alias("image_filename"), F.lit("x\ny").alias("model_response"))
+def questions(spark):
+    return spark.range(0, 40, 1, 4).select("id", F.concat(F.lit("q"), "id").alias("question_id"), F.lit("en_clean.jpg").alias("image_filename"), F.lit("x\ny").alias("model_response"))
+
+
+def test_lines(spark, tmp_path):
+    """Lines are whole, and the next run adds what is left."""
+    rows, out = questions(spark), f"{tmp_path}/out"
     with pytest.raises(Exception, match="half way"):
-        files.append_lines(failing(rows, 27), f"{tmp_path}/out", flush=3)
-    done = readers.completed(readers.json_lines(spark, f"{tmp_path}/out/*.json"))
-    own = {int(r.question_id[1:]) for r in done.collect()}
-    assert own & set(range(20, 30)) == set(range(20, 26))
-    files.append_lines(evaluate.remaining(rows, done), f"{tmp_path}/out", flush=3)
-    lines = readers.json_lines(spark, f"{tmp_path}/out/*.json")
-    assert lines.where("NOT parsed").count() == 0 and sorted(int(r.question_id[1:]) for r in readers.responses(lines).collect()) == list(range(40))
+        files.append_lines(failing(rows, 27), out, flush=3)
+    assert not any(int(json.loads(x)["question_id"][1:]) in range(26, 30) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines())
+    files.append_lines(rows.where("id < 12"), out, flush=3)
+    done = readers.completed(readers.json_lines(spark, f"{out}/*.json"))
+    files.append_lines(evaluate.remaining(rows, done), out)
+    lines = readers.json_lines(spark, f"{out}/*.json")
+    assert lines.where("NOT parsed").count() == 0 and {int(r.question_id[1:]) for r in readers.responses(lines).collect()} == set(range(40))
+
+
+def test_answers_of_a_lost_task_are_kept(spark, tmp_path):
+    """A worker that dies at its eighth call leaves seven answers; the next run asks for the others alone."""
+    rows, out = questions(spark).drop("model_response").withColumn("prompt", F.col("question_id")), f"{tmp_path}/out"
+
+    def client(fatal):
+        def make():
+            def call(text):
+                if text == fatal:
+                    raise SystemExit
+                return f"answer to {text}"
+
+            return call
+
+        return make
+
+    with pytest.raises(Exception, match=""):
+        worklists.by_client(rows, "prompt", client("q27"), "model_response", kept_in=out).write.format("noop").mode("overwrite").save()
+    done = readers.completed(readers.json_lines(spark, f"{out}/*.json"))
+    first = {int(r.question_id[1:]) for r in done.collect()}
+    assert first & set(range(20, 30)) == set(range(20, 27))
+    left = evaluate.remaining(rows, done)
+    assert {r.id for r in left.collect()} == set(range(40)) - first
+    worklists.by_client(left, "prompt", client(""), "model_response", kept_in=out).write.format("noop").mode("overwrite").save()
+    lines = readers.responses(readers.json_lines(spark, f"{out}/*.json")).collect()
+    assert sorted((int(r.question_id[1:]), r.model_response) for r in lines) == [(i, f"answer to q{i}") for i in range(40)]
