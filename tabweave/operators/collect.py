@@ -2,11 +2,12 @@
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions import cells as C
+from ..sources.stores import KeyStore
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -29,6 +30,31 @@ def located(kept: DataFrame, files: DataFrame) -> DataFrame:
     return kept.select("file_name").join(first, "file_name", "left")
 
 
+def new_content(tables: DataFrame, store: KeyStore) -> DataFrame:
+    """One table for each source and content that no earlier run has had (store: of `source string, digest string`); those of this run are to be added when it is done."""
+    keyed = tables.withColumn("digest", C.content_digest(F.col("data")))
+    fresh = store.unseen(keyed.groupBy("source", "digest").agg(F.min("table_id").alias("kept"), F.count("*").alias("copies")))
+    return fresh.withColumn("hash", F.substring("digest", 1, 10))
+
+
+def counted(gated: DataFrame, sources: list[str]) -> tuple[DataFrame, Observation]:
+    """The tables, and an observation that has the counters of some sources once the tables are written: they are counted on the way, by no pass of their own."""
+    small = (C.dimension(F.col("data")) < 3) | (C.dimension(F.col("columns")) < 3)
+    tests = {"seen": F.lit(True), "accepted": F.col("accepted"), "too_small": ~F.col("accepted") & small, "too_empty": ~F.col("accepted") & ~small}
+    observation = Observation()
+    counts = [F.count_if((F.col("source") == s) & test).alias(f"{name}:{s}") for s in sources for name, test in tests.items()]
+    return gated.observe(observation, *counts), observation
+
+
+def observed_counters(observation: Observation, spark: SparkSession) -> DataFrame:
+    """(source, seen, accepted, too_small, too_empty) of an observation whose tables are written; sources without a table are left out."""
+    rows: dict[str, dict] = {}
+    for name, n in observation.get.items():
+        counter, source = name.split(":", 1)
+        rows.setdefault(source, {})[counter] = n
+    return spark.createDataFrame([(s, *(c[k] for k in ("seen", "accepted", "too_small", "too_empty"))) for s, c in rows.items() if c["seen"]], "source string, seen long, accepted long, too_small long, too_empty long")
+
+
 def counters(gated: DataFrame) -> DataFrame:
     """By source: tables seen, let in, and turned away for size or for nulls."""
     small = (C.dimension(F.col("data")) < 3) | (C.dimension(F.col("columns")) < 3)
@@ -84,11 +110,38 @@ def _parts(n: int):
     return F.filter(F.transform(begins, lambda i: F.substr("stem", i, F.lit(n))), lambda x: F.length(x) == n)
 
 
+# Names of column types, from the narrowest on.
+_WHOLE, _REAL, _TRUTH, _OTHER = "int64", "float64", "bool", "object"
+
+
+def column_types(data: Column, width: Column) -> Column:
+    """The type of each column of texts: the least that all its cells have. Nulls (and short rows) make whole numbers real and truths others; a column of nulls is real."""
+
+    def of(j: Column) -> Column:
+        cells = F.transform(data, lambda r: F.get(r, j))
+        there = F.filter(cells, lambda c: c.isNotNull())
+        full = F.size(there) == F.size(cells)
+        whole = F.forall(there, lambda c: c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull())
+        real = F.forall(there, lambda c: c.try_cast("double").isNotNull())
+        truth = F.forall(there, lambda c: c.isin("True", "False"))
+        return F.when(F.size(there) == 0, F.when(F.size(cells) == 0, _OTHER).otherwise(_REAL)).when(whole, F.when(full, _WHOLE).otherwise(_REAL)).when(real, _REAL).when(truth & full, _TRUTH).otherwise(_OTHER)
+
+    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), of)).otherwise(F.array().cast("array<string>"))
+
+
 def table_statistics(tables: DataFrame) -> DataFrame:
-    """Columns that are numeric throughout (nulls aside), the others, and the numeric share."""
-    numeric = F.transform(F.sequence(F.lit(0), F.size("columns") - 1), lambda j: F.forall("data", lambda r: F.get(r, j).isNull() | F.get(r, j).try_cast("double").isNotNull()))
-    count = F.size(F.filter(F.col("numeric"), lambda x: x)).cast("long")
-    return tables.withColumn("numeric", numeric).select("table_id", F.size("columns").cast("long").alias("total_columns"), count.alias("numeric_columns"), (F.size("columns") - count).cast("long").alias("text_columns"), F.round(count * 1.0 / F.size("columns"), 4).alias("numeric_share"), F.array_join(F.slice("columns", 1, 20), "|").alias("first_columns"))
+    """Rows, columns and cells; columns of numbers and of others with the numeric share; the first 20 names, and each name's type (of names that repeat, the last's)."""
+    rows = tables.withColumn("types", column_types(F.col("data"), F.size("columns")))
+    count = lambda keep: F.size(F.filter("types", keep)).cast("long")
+    width = F.size("columns")
+    numeric = count(lambda t: t.isin(_WHOLE, _REAL))
+    names = F.transform("columns", lambda c: F.coalesce(c, F.lit("")))
+    last = F.filter(F.arrays_zip(names.alias("name"), F.col("types").alias("type"), F.sequence(F.lit(1), width).alias("at")), lambda x: x["at"] == width + 1 - F.array_position(F.reverse(names), x["name"]))
+    return rows.select(
+        "table_id", C.dimension(F.col("data")).alias("num_rows"), width.cast("long").alias("total_columns"), (C.dimension(F.col("data")) * width).alias("num_cells"),
+        numeric.alias("numeric_columns"), count(lambda t: t == _OTHER).alias("text_columns"), F.when(width > 0, F.round(numeric * 1.0 / width, 4)).otherwise(0.0).alias("numeric_share"),
+        F.slice("columns", 1, 20).alias("column_names"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["name"], x["type"]))).alias("data_types"),
+    )
 
 
 def _csv_rows(content):

@@ -8,6 +8,7 @@ from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import collect, evaluate, print_tables, render, scoring, stats, translate, worklists
 from ..schema import LANGUAGES, QA_LANGUAGES
+from ..sources import stores
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -572,6 +573,46 @@ def quality_gate(spark, sf):
     return _gated(spark, sf).select("table_id", "accepted")
 
 
+@query(
+    "content_new_to_a_run",
+    """SELECT source, min(doc_id::VARCHAR) AS kept, count(*) AS copies FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents e JOIN labels l ON e.doc_id = l.doc_id WHERE l.quality = 1 AND e.source = d.source AND e.text = d.text) GROUP BY source, text""",
+)
+def content_new_to_a_run(spark, sf):
+    """A first run collects the tables whose label is 1, a second one all tables: what is new to it."""
+    store = stores.KeyStore(spark, stores.scratch(spark, "content"), "source string, digest string")
+    first = A.tables(spark, sf).join(_labels(spark, sf).where("quality = 1"), "table_id", "left_semi")
+    store.add(collect.new_content(first, store))
+    return collect.new_content(A.tables(spark, sf), store).select("source", "kept", "copies")
+
+
+@query("answer_corrections", _with(A.PAIRS_SQL) + "SELECT id AS question_id, prediction AS old, truth AS new, 0::BIGINT AS run FROM pairs WHERE conv_id % 3 = 0 AND truth <> prediction")
+def answer_corrections(spark, sf):
+    """A third of the answers is corrected in the store; the log tells what changed."""
+    pairs = A.pairs(spark, sf)
+    store = stores.AnswerStore(spark, stores.scratch(spark, "answers"))
+    store.create(pairs.select(F.col("id").alias("question_id"), F.col("prediction").alias("answer")))
+    store.correct(pairs.where("conv_id % 3 = 0").select(F.col("id").alias("question_id"), F.col("truth").alias("answer")))
+    return store.log().select("question_id", "old", "new", "run")
+
+
+@query("answers_after_corrections", _with(A.PAIRS_SQL) + "SELECT id AS question_id, CASE WHEN conv_id % 3 = 0 THEN truth ELSE prediction END AS answer FROM pairs")
+def answers_after_corrections(spark, sf):
+    pairs = A.pairs(spark, sf)
+    store = stores.AnswerStore(spark, stores.scratch(spark, "answers"))
+    store.create(pairs.select(F.col("id").alias("question_id"), F.col("prediction").alias("answer")))
+    store.correct(pairs.where("conv_id % 3 = 0").select(F.col("id").alias("question_id"), F.col("truth").alias("answer")))
+    return store.answers()
+
+
+@query("review_page_of_store", _with(A.REVIEWS_SQL) + "SELECT * FROM reviews ORDER BY is_golden_correct, doc_id OFFSET 30 LIMIT 10")
+def review_page_of_store(spark, sf):
+    """The fourth page of ten reviews, from a store that is sorted once."""
+    pages = stores.Pages(spark, stores.scratch(spark, "reviews"))
+    pages.build(A.reviews(spark, sf), ["is_golden_correct", "doc_id"])
+    return pages.page(3, 10)
+
+
 @query("content_hash_dedup", "SELECT source, min(doc_id::VARCHAR) AS kept, count(*) AS copies FROM documents GROUP BY source, text")
 def content_hash_dedup(spark, sf):
     return collect.distinct_content(A.tables(spark, sf)).select("source", "kept", "copies")
@@ -594,7 +635,23 @@ def url_dedup(spark, sf):
   FROM (SELECT *, len(list_filter(range(1, len(data[1]) + 1), lambda j: len(list_filter(data, lambda r: r[j] IS NOT NULL AND try_cast(r[j] AS DOUBLE) IS NULL)) = 0))::BIGINT AS n FROM tables)""",
 )
 def table_statistics(spark, sf):
-    return collect.table_statistics(A.tables(spark, sf))
+    found = collect.table_statistics(A.tables(spark, sf))
+    return found.select("table_id", "total_columns", "numeric_columns", "text_columns", "numeric_share", F.array_join("column_names", "|").alias("first_columns"))
+
+
+@query(
+    "column_types",
+    """SELECT p_brand AS table_id, count(*) AS num_rows, 5 * count(*) AS num_cells, 5::BIGINT AS total_columns, 3::BIGINT AS numeric_columns, 1 + (NOT bool_and(p_partkey % 89 <> 0))::BIGINT AS text_columns, 0.6::DOUBLE AS numeric_share, 'name|size|price|none|even' AS column_names,
+  'even=' || CASE WHEN bool_and(p_partkey % 89 <> 0) THEN 'bool' ELSE 'object' END || '|name=object|none=float64|price=float64|size=' || CASE WHEN bool_and(p_partkey % 97 <> 0) THEN 'int64' ELSE 'float64' END AS data_types FROM part GROUP BY p_brand""",
+)
+def column_types(spark, sf):
+    """A table of each brand's parts: names, sizes (some missing), prices, nothing, and truths (some missing)."""
+    key = F.col("p_partkey")
+    row = F.array("p_name", F.when(key % 97 != 0, F.col("p_size").cast("string")), F.col("p_retailprice").cast("string"), F.lit(None).cast("string"), F.when(key % 89 != 0, F.when(F.col("p_size") % 2 == 0, "True").otherwise("False")))
+    tables = A.read(spark, sf, "part").select("p_brand", row.alias("row")).groupBy(F.col("p_brand").alias("table_id")).agg(F.collect_list("row").alias("data"))
+    found = collect.table_statistics(tables.withColumn("columns", F.array(*(F.lit(c) for c in ("name", "size", "price", "none", "even")))))
+    types = F.array_join(F.array_sort(F.transform(F.map_entries("data_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return found.withColumns({"column_names": F.array_join("column_names", "|"), "data_types": types})
 
 
 _NOTE = """o_orderkey::VARCHAR || ', "' || o_orderdate || '"; | ' || chr(10) || o_orderpriority"""
@@ -692,6 +749,17 @@ def collection_counters(spark, sf):
     return collect.counters(_gated(spark, sf))
 
 
+_COUNTERS = SQL["collection_counters"]
+
+
+@query("counters_while_writing", _COUNTERS)
+def counters_while_writing(spark, sf):
+    """The counters of the tables that one pass gates, counts and writes."""
+    tables, observation = collect.counted(_gated(spark, sf), [*(f"src{i}" for i in range(20)), "github"])
+    tables.where("accepted").write.parquet(stores.scratch(spark, "accepted"))
+    return collect.observed_counters(observation, spark)
+
+
 @query("tables_from_cells", _with(A.TABLES_SQL) + "SELECT table_id, array_to_string(list_transform(data, lambda r: array_to_string(r, ' | ')), chr(10)) AS text FROM tables")
 def tables_from_cells(spark, sf):
     back = scoring.from_cells(scoring.cells(A.tables(spark, sf)))

@@ -81,6 +81,33 @@ def test_missing_and_gates(spark):
     assert [r[0] for r in host.select(C.code_host_gate(F.col("columns"), F.col("data"))).collect()] == [False, True]
 
 
+def test_column_types(spark):
+    """By the least type that all cells have; short rows, nulls, signs, large numbers, names that repeat, no columns and no rows."""
+    rows = [
+        ("a", ["n", "x", "t", "n", None], [["1", "1.5", "True", "-2"], ["+7", "2", "False", "3", None]]),
+        ("b", ["n", "x", "t", "big"], [["1", "nan", "True", "99999999999999999999"], [None, "1e3", None, "1"]]),
+        ("c", ["n", "x"], [["1 ", "a"], ["2", ""]]), ("d", ["n"], []), ("e", [], [[]]),
+    ]
+    tables = spark.createDataFrame(rows, "table_id string, columns array<string>, data array<array<string>>")
+    got = {r.table_id: r for r in collect.table_statistics(tables).collect()}
+    assert got["a"].data_types == {"n": "int64", "x": "float64", "t": "bool", "": "float64"} and got["a"].column_names == ["n", "x", "t", "n", None]
+    assert (got["a"].num_rows, got["a"].num_cells, got["a"].numeric_columns, got["a"].text_columns, got["a"].numeric_share) == (2, 10, 4, 0, 0.8)
+    assert got["b"].data_types == {"n": "float64", "x": "float64", "t": "object", "big": "float64"}
+    assert got["c"].data_types["x"] == "object" and got["d"].data_types == {"n": "object"} and got["e"].data_types == {} and got["e"].numeric_share == 0
+
+
+def test_counters_while_writing(spark, tmp_path):
+    """One pass: a single scan and no aggregate of its own; the counters are those of the query."""
+    rows = spark.createDataFrame([("t%d" % i, "s%d" % (i % 2), ["a"] * (1 + i % 4), [["1", None, "3"]] * (i % 5)) for i in range(60)], "table_id string, source string, columns array<string>, data array<array<string>>")
+    gated = collect.gated(rows)
+    tables, observation = collect.counted(gated, ["s0", "s1", "none"])
+    out = tables.where("accepted")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Aggregate" not in plan
+    out.write.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, collect.observed_counters(observation, spark).collect())) == sorted(map(tuple, collect.counters(gated).collect()))
+
+
 def test_names(spark):
     assert value(spark, stats.hash_of(F.lit("github_csv_ab12.json"))) == "csv_ab12"
     assert value(spark, stats.source_of(F.lit("github_csv_ab12.json"))) == "other"
