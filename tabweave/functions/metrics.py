@@ -1,110 +1,87 @@
-"""Answer normalisation and scores, as Arrow UDFs; the relational form of token overlap is in operators.evaluate."""
-
-import json
-import math
-import re
-from collections import Counter
+"""Scores of token lists against a reference, a batch at a time: tokens and n-grams are numbers, and all counting is done on arrays."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
-
-_NUMBER = re.compile(r"^-?\d+(\.\d+)?([eE]-?\d+)?$")
-
-
-def _item(x):
-    if isinstance(x, float) and x.is_integer():
-        return int(x)
-    if not isinstance(x, str):
-        return x
-    kept = re.sub(r"[^\d.\-eE]", "", x.replace(",", "").strip())
-    bare = kept
-    for sign in ".-eE":
-        bare = bare.replace(sign, "", 1)
-    try:
-        if kept and (bare.isdigit() or _NUMBER.match(kept)):
-            n = float(kept)
-            return int(n) if n.is_integer() else round(n, 6)
-    except (ValueError, OverflowError):
-        pass
-    return x.lower()
-
-
-def _parts(x):
-    """The normalised leaves, from left to right."""
-    if isinstance(x, dict):
-        x = list(x.values())
-    if isinstance(x, list):
-        for y in x:
-            yield from _parts(y)
-    else:
-        yield _item(re.sub(r"[{}]|[\w-]+:", "", x) if isinstance(x, str) else x)
-
-
-def answer_text_of(raw) -> str:
-    """An answer, given as JSON or free text, in one normalised lower-case line. Free text: its numbers, then its ASCII words."""
-    if raw is None:
-        return "none"
-    try:
-        value = json.loads(raw)
-    except ValueError:
-        value = re.findall(r"\b\d+\b", raw) + re.findall(r"\b[a-zA-Z]+\b", raw)
-    if isinstance(value, dict):
-        value = value.get("data", value)
-    return " ".join(str(x) for x in _parts(value)).lower()
-
-
-def token_f1_of(prediction: str, truth: str) -> float:
-    a, b = (prediction or "").split(), (truth or "").split()
-    if not a or not b:
-        return float(a == b)
-    overlap = sum((Counter(a) & Counter(b)).values())
-    return 2 * overlap / (len(a) + len(b)) if overlap else 0.0
-
-
-def bleu_of(prediction: list, truth: list, orders: int) -> float:
-    """BLEU with even weights up to an order, one reference, and 0.1 for orders without a match."""
-    if not prediction or not truth:
-        return 0.0
-    total = 0.0
-    for n in range(1, orders + 1):
-        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (prediction, truth))
-        matched = sum((a & b).values())
-        if n == 1 and not matched:
-            return 0.0
-        total += math.log((matched or 0.1) / max(1, len(prediction) - n + 1)) / orders
-    short = 1.0 if len(prediction) > len(truth) else math.exp(1 - len(truth) / len(prediction))
-    return short * math.exp(total)
-
-
-def adaptive_bleu_of(prediction: str, truth: str) -> float:
+from pyspark.sql.types import DoubleType
+
+
+class Pairs:
+    """The tokens of predictions and of truths; a token, and an n-gram, has the same number wherever it stands."""
+
+    def __init__(self, predictions: list, truths: list):
+        both = [*predictions, *truths]
+        self.rows = len(predictions)
+        self.size = np.array([len(x) for x in both], np.int64)
+        self.of = np.repeat(np.arange(len(both)), self.size)
+        self.at = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.unit = pd.factorize(np.array([t for x in both for t in x], dtype=object))[0].astype(np.int64) if self.size.sum() else np.zeros(0, np.int64)
+        self.gram, self.n = self.unit, 1
+
+    def longer(self) -> None:
+        """From n-grams to those of one token more: pairs of an n-gram and the token after it are numbered anew."""
+        self.n += 1
+        follow = self.unit[self.n - 1 :]
+        pair = self.gram[: len(follow)] * (self.unit.max(initial=0) + 1) + follow
+        self.gram = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+
+    def matched(self) -> np.ndarray:
+        """For each pair, how many n-grams of the prediction the truth has too, each as often as it has it."""
+        some = self.at[: len(self.gram)] + self.n <= self.size[self.of[: len(self.gram)]]
+        of, gram = self.of[: len(self.gram)][some], self.gram[some]
+        kinds = self.gram.max(initial=0) + 1
+        mine = of < self.rows
+        a, many = np.unique(of[mine] * kinds + gram[mine], return_counts=True)
+        b, often = np.unique((of[~mine] - self.rows) * kinds + gram[~mine], return_counts=True)
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        return np.bincount(a[i] // kinds, np.minimum(many[i], often[j]), self.rows)
+
+
+def f1(predictions: list, truths: list) -> np.ndarray:
+    """Token F1; where one has no token, whether neither has."""
+    pairs = Pairs(predictions, truths)
+    a, b = pairs.size[: pairs.rows], pairs.size[pairs.rows :]
+    return np.where((a == 0) | (b == 0), (a == b).astype(float), 2 * pairs.matched() / np.maximum(a + b, 1))
+
+
+def bleu(predictions: list, truths: list, orders: tuple[int, ...]) -> np.ndarray:
+    """(orders, pairs): BLEU with even weights up to each order, one reference, and 0.1 for orders without a match; 0 where no token matches."""
+    pairs = Pairs(predictions, truths)
+    a, b = pairs.size[: pairs.rows], pairs.size[pairs.rows :]
+    logs = []
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            pairs.longer()
+        m = pairs.matched()
+        if n == 1:
+            none = m == 0
+        logs.append(np.log(np.where(m > 0, m, 0.1) / np.maximum(1, a - n + 1)))
+    short = np.where(a > b, 1.0, np.exp(1 - b / np.maximum(a, 1)))
+    return np.stack([np.where(none, 0.0, short * np.exp(sum(logs[:n]) / n)) for n in orders])
+
+
+def adaptive_bleu_of(predictions: list, truths: list) -> np.ndarray:
     """BLEU-1 for up to three tokens, the mean of orders 1 and 2 for up to seven, else of 1, 2 and 4."""
-    a, b = (prediction or "").split(), (truth or "").split()
-    orders = (1,) if len(a) <= 3 else (1, 2) if len(a) <= 7 else (1, 2, 4)
-    return sum(bleu_of(a, b, n) for n in orders) / len(orders)
-
-
-def table_tokens(columns, data) -> list[str]:
-    """Headers and cells, one token each."""
-    return [str(c) for c in columns] + [str(c) for row in data for c in row]
+    one, two, four = bleu(predictions, truths, (1, 2, 4))
+    size = np.array([len(p) for p in predictions])
+    return np.where(size <= 3, one, np.where(size <= 7, (one + two) / 2, (one + two + four) / 3))
 
 
-@F.pandas_udf(StringType())
-def answer_text(raw: pd.Series) -> pd.Series:
-    return raw.map(answer_text_of, na_action=None)
+def _tokens(texts: pd.Series) -> list:
+    return [(t or "").split() for t in texts]
 
 
 @F.pandas_udf(DoubleType())
 def token_f1(prediction: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([token_f1_of(a, b) for a, b in zip(prediction, truth, strict=True)], dtype="float64")
+    return pd.Series(f1(_tokens(prediction), _tokens(truth)))
 
 
 @F.pandas_udf(DoubleType())
 def adaptive_bleu(prediction: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([adaptive_bleu_of(a, b) for a, b in zip(prediction, truth, strict=True)], dtype="float64")
+    return pd.Series(adaptive_bleu_of(_tokens(prediction), _tokens(truth)))
 
 
 @F.pandas_udf(DoubleType())
 def table_bleu(prediction: pd.Series, truth: pd.Series) -> pd.Series:
     """Of two arrays of cell tokens."""
-    return pd.Series([bleu_of(list(a), list(b), 4) for a, b in zip(prediction, truth, strict=True)], dtype="float64")
+    return pd.Series(bleu(list(prediction), list(truth), (4,))[0])

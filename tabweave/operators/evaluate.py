@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from ..functions.answers import answer_text
 from ..schema import QA_LANGUAGES
 
 OUTCOMES = ["parse_error", "no_match", "skipped", "processed"]
@@ -57,7 +58,7 @@ def token_overlap(pairs: DataFrame) -> DataFrame:
 
 def score(tagged: DataFrame) -> DataFrame:
     """Processed rows with both answers normalised, and the three metrics."""
-    rows = tagged.where("outcome = 'processed'").withColumns({"model_str_normalized": M.answer_text("model_response"), "gold_str_normalized": M.answer_text("golden_answer")})
+    rows = tagged.where("outcome = 'processed'").withColumns({"model_str_normalized": answer_text(F.col("model_response")), "gold_str_normalized": answer_text(F.col("golden_answer"))})
     a, b = "model_str_normalized", "gold_str_normalized"
     return rows.withColumns({"exact_match": (F.col(a) == F.col(b)).cast("int"), "f1_score": M.token_f1(a, b), "bleu_score": M.adaptive_bleu(a, b)})
 

@@ -236,9 +236,13 @@ def distinct_terms(spark, sf):
     return scoring.distinct_terms(A.tables(spark, sf))
 
 
-@query("distinct_phrases")
+# RE2's boundaries are those of ASCII words: letters beyond ASCII become underscores, which are of a word and of no phrase.
+_PHRASES = "phrases AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(cell), '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g'), '(\\b[a-z]+\\s+[a-z]+(?:\\s+[a-z]+)?\\b)')) AS term FROM cells WHERE NOT (" + f"{_NUMERIC_SQL} OR {_PATH_SQL}))"
+
+
+@query("distinct_phrases", _with(A.TABLES_SQL, _CELLS_ONLY, _WORDS, _PHRASES) + f"SELECT DISTINCT term FROM (SELECT word AS term FROM words UNION ALL SELECT term FROM phrases) WHERE length(term) > 2 AND term NOT IN ({_in(T.STOP_WORDS)})")
 def distinct_phrases(spark, sf):
-    """Words and phrases; DuckDB's \\b is one of ASCII letters."""
+    """Words and phrases."""
     return scoring.distinct_terms(A.tables(spark, sf), with_phrases=True)
 
 
@@ -424,10 +428,24 @@ def eval_per_language(spark, sf):
     return evaluate.per_language(rows.withColumns({"exact_match": (F.col(a) == F.col(b)).cast("int"), "f1_score": M.token_f1(a, b), "bleu_score": M.adaptive_bleu(a, b)}))
 
 
-@query("eval_scored_responses")
+def _line_sql(c: str) -> str:
+    """The normalised line of a free text."""
+    words = f"regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+')"
+    return f"lower(array_to_string(list_concat(list_transform(list_filter({words}, lambda w: regexp_matches(w, '^[0-9]+$')), lambda w: w::DOUBLE::BIGINT::VARCHAR), list_filter({words}, lambda w: regexp_matches(w, '^[a-zA-Z]+$'))), ' '))"
+
+
+_LINES = f"pairs AS (SELECT response_id AS id, language, {_line_sql('model_response')} AS prediction, {_line_sql('golden_answer')} AS truth FROM tagged WHERE outcome = 'processed')"
+_SCORED = """scored AS (SELECT p.id AS response_id, p.language, p.truth AS gold_str_normalized, p.prediction AS model_str_normalized, (p.prediction = p.truth)::INT AS exact_match,
+  CASE WHEN len(k.p) = 0 OR len(k.t) = 0 THEN (len(k.p) = len(k.t))::INT::DOUBLE ELSE coalesce(o.both, 0)::DOUBLE * 2 / (len(k.p) + len(k.t)) END AS f1_score, bleu AS bleu_score
+  FROM pairs p JOIN toks k ON p.id = k.id JOIN bleu b ON p.id = b.id LEFT JOIN overlap o ON p.id = o.id)"""
+_UP_TO_SCORED = (*_UP_TO_TAGGED, _LINES, _TOKENS, _OVERLAP, _GRAMS, _MATCHED, _LOGS, _BLEU, _SCORED)
+
+
+@query("eval_scored_responses", _with(*_UP_TO_SCORED) + "SELECT * EXCLUDE (f1_score, bleu_score), round(f1_score, 9) AS f1_score, round(bleu_score, 9) AS bleu_score FROM scored")
 def eval_scored_responses(spark, sf):
-    """Normalised answers and metrics of processed responses; normalisation is recursive."""
-    return evaluate.score(_tagged(spark, sf)).select("response_id", "language", "gold_str_normalized", "model_str_normalized", "exact_match", "f1_score", "bleu_score")
+    """Normalised answers (free texts here) and metrics of processed responses."""
+    found = evaluate.score(_tagged(spark, sf))
+    return found.select("response_id", "language", "gold_str_normalized", "model_str_normalized", "exact_match", *(F.round(c, 9).alias(c) for c in ("f1_score", "bleu_score")))
 
 
 _CELL_TOKENS = "toks AS (SELECT table_id AS id, list_concat(data[1], flatten(data)) AS p, list_transform(list_concat(data[1], flatten(data)), lambda c: lower(c)) AS t FROM tables)"
@@ -796,10 +814,21 @@ def translation_round_trip(spark, sf):
     return translate.step(work, done, translate.table_prompt(F.col("lang_code")), lambda: _lower()).select("table_id", "lang_code", F.array_join(F.transform("data", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 
 
-@query("eval_summary")
+@query(
+    "eval_summary",
+    _with(*_UP_TO_SCORED, "languages AS (SELECT language, count(*) AS n, round(avg(bleu_score), 6) AS bleu FROM scored GROUP BY language)")
+    + """SELECT (SELECT 'model_' || conv_id % 3 FROM conversations WHERE role = 'assistant' ORDER BY conv_id * 1000 + turn LIMIT 1) AS model_name, (SELECT count(*) FROM tagged) AS total_responses, (SELECT count(*) FROM tagged WHERE outcome = 'processed') AS processed,
+  (SELECT count(*) FROM scored) AS samples, (SELECT round(avg(exact_match), 6) FROM scored) AS exact_match, (SELECT round(avg(f1_score), 6) FROM scored) AS f1_score, (SELECT round(avg(bleu_score), 6) FROM scored) AS bleu_score,
+  (SELECT string_agg(language || '=' || n, ',' ORDER BY language) FROM languages) AS languages, (SELECT max(bleu) FROM languages) AS best_bleu""",
+)
 def eval_summary(spark, sf):
+    """The written summary, read back: model, counters, overall metrics, the languages and the best mean BLEU of one."""
     tagged = _tagged(spark, sf)
-    return evaluate.summary(tagged, evaluate.score(tagged))
+    means = "samples BIGINT, exact_match DOUBLE, f1_score DOUBLE, bleu_score DOUBLE"
+    kind = f"model_name STRING, metadata STRUCT<total_responses: BIGINT, processed: BIGINT>, overall_metrics STRUCT<{means.replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE')}>, per_language_metrics ARRAY<STRUCT<language: STRING, {means.replace(' BIGINT', ': BIGINT').replace(' DOUBLE', ': DOUBLE')}>>"
+    read = evaluate.summary(tagged, evaluate.score(tagged)).select(F.from_json("summary", kind).alias("s")).select("s.*")
+    languages = F.array_join(F.transform("per_language_metrics", lambda m: F.concat(m["language"], F.lit("="), m["samples"])), ",")
+    return read.select("model_name", "metadata.*", "overall_metrics.*", languages.alias("languages"), F.array_max("per_language_metrics.bleu_score").alias("best_bleu"))
 
 
 # Rendering -------------------------------------------------------------------------------------------------------

@@ -3,10 +3,13 @@
 import json
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabweave.functions import answers
 from tabweave.functions import cells as C
 from tabweave.functions import metrics as M
 from tabweave.functions import text as T
@@ -42,20 +45,52 @@ def test_translatability(spark, cell, score, reason):
     ("raw", "text"),
     [
         ('[["Row 5"]]', "5"), ('[["Item 5"]]', "item 5"), ('[["$1,234"]]', "1234"), ('[["2.50"]]', "2.5"), ('[["time: 5"]]', "5"), ('[["1-2"]]', "1-2"),
-        ('{"data": [["5"]]}', "5"), ("abc é 12", "12 abc"), (None, "none"), ("3.0", "3"), ('[1, [2.5, "X"]]', "1 2.5 x"), ('{"a": "Yes", "b": 2}', "yes 2"), ('[["٣"]]', "3"),
+        ('{"data": [["5"]]}', "5"), ("abc é 12", "12 abc"), (None, "none"), ("3.0", "3"), ('[1, [2.5, "X"]]', "1 2.5 x"), ('{"a": "Yes", "b": 2}', "yes 2"), ('[["٣"]]', "3"), ('[["\\"q: x\\", {7}"], true, null, -0, 1.50, 1e3]', '7 true none 0 1.5 1000'),
+        ('{"b": 1, "a": {"k:": "v"}, "data": {"z": [3], "y": 2}}', "3 2"), ('{"data": "Total: 1,000"}', "1000"), ('{"data": null}', "none"), ('{"data": [1.25]}', "1.25"), ("7 x_1 007 é2 Zz", "7 7 zz"), ("[1] 2", "1 2"), ("[1][2 a]", "1 2 a"), ('{"a": 1}} b', "1 a b"), ("-5 pears", "5 pears"), (" [[1], {\"]\": 2}] ", "1 2"), ("", ""), ("[]", ""), ('["e", "-", "1e", "1.2.3"]', "e - 1e 1.2.3"),
     ],
 )
-def test_answer_text(raw, text):
-    assert M.answer_text_of(raw) == text
+def test_answer_text(spark, raw, text):
+    assert value(spark, answers.answer_text(F.col("t")), raw) == text
+
+
+def test_numbers_of_answers(spark):
+    """Numbers are written as Python writes them: texts to six places, JSON numbers as they are."""
+    r = random.Random(8)
+    numbers = [0.1, 1e-5, 2.5e-7, 123456789.125, 1e15 + 0.5, 0.30000000000000004, 1 / 3, -7.25, 12.5e10, 99999.9999999, 0.0000005, 1.25e-300, -0.0000001, 4.35, 1e22] + [r.uniform(-1, 1) * 10 ** r.randint(-8, 12) for _ in range(2000)]
+    rows = spark.createDataFrame([(json.dumps([n]), json.dumps([repr(n)]), i) for i, n in enumerate(numbers)], "number string, text string, i int")
+    got = rows.select("i", answers.answer_text(F.col("number")).alias("number"), answers.answer_text(F.col("text")).alias("text")).orderBy("i").collect()
+    plain = lambda n: str(int(n)) if n.is_integer() else str(n)
+    assert [(x.number, x.text) for x in got] == [(plain(n), str(int(n)) if n.is_integer() else str(round(n, 6))) for n in numbers]
 
 
 def test_scores():
-    assert M.token_f1_of("", "") == 1 and M.token_f1_of("", "x") == 0 and M.token_f1_of("a b", "b c") == 0.5
-    assert M.adaptive_bleu_of("", "x") == 0 and M.adaptive_bleu_of("a b c", "a b c") == 1
-    assert M.adaptive_bleu_of("a b c d", "a b c d") == pytest.approx(1)
-    assert M.adaptive_bleu_of("a x", "a b c") == pytest.approx(math.exp(1 - 3 / 2) / 2)
-    table = M.table_tokens(["h1", "h2"], [["1", "2"], ["3", "4"]])
-    assert M.bleu_of(table, table, 4) == 1.0 and M.bleu_of([], table, 4) == 0
+    words = lambda *texts: [t.split() for t in texts]
+    assert M.f1(words("", "", "a b"), words("", "x", "b c")).tolist() == [1, 0, 0.5]
+    got = M.adaptive_bleu_of(words("", "a b c", "a b c d", "a x"), words("x", "a b c", "a b c d", "a b c"))
+    assert got == pytest.approx([0, 1, 1, math.exp(1 - 3 / 2) / 2])
+    table = ["h1", "h2", "1", "2", "3", "4"]
+    assert M.bleu([table, []], [table, table], (4,))[0].tolist() == [1.0, 0.0]
+    assert len(M.f1([], [])) == 0 and M.bleu([], [], (1, 4)).shape == (2, 0)
+
+
+def plain_bleu(a: list, b: list, orders: int) -> float:
+    """One pair, with counters."""
+    total = 0.0
+    for n in range(1, orders + 1):
+        x, y = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (a, b))
+        m = (x & y).total()
+        if not a or n == 1 and not m:
+            return 0.0
+        total += math.log((m or 0.1) / max(1, len(a) - n + 1)) / orders
+    return math.exp(total) * (1.0 if len(a) > len(b) else math.exp(1 - len(b) / len(a)))
+
+
+def test_scores_of_batches():
+    r = random.Random(2)
+    some = [([r.choice("abcde") for _ in range(r.randint(0, 14))], [r.choice("abcdef") for _ in range(r.randint(0, 14))]) for _ in range(800)]
+    got = M.bleu(*zip(*some, strict=True), (1, 2, 4))
+    assert got.T == pytest.approx(np.array([[plain_bleu(a, b, n) for n in (1, 2, 4)] for a, b in some]))
+    assert M.f1(*zip(*some, strict=True)) == pytest.approx([float(a == b) if not a or not b else 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) for a, b in some])
 
 
 def test_printed_means(spark, tmp_path):
