@@ -106,7 +106,7 @@ def _whole_json(raw: Column) -> Column:
 
     closed = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")), step)["closed"]
     nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)") & F.trim(raw).rlike(r"[\]}]$") & (closed == 1)
-    return F.when(nested | raw.rlike(rf"^\s*(?:{_TOKENS})\s*$"), value)
+    return F.when(value.isNull(), None).when(nested | raw.rlike(rf"^\s*(?:{_TOKENS})\s*$"), value)
 
 
 def answer_text(raw: Column) -> Column:
@@ -118,6 +118,6 @@ def answer_text(raw: Column) -> Column:
     inner = F.when(is_object & data.isNotNull(), F.coalesce(scalar, F.get_json_object(raw, "$.data"))).otherwise(raw)
     tokens = F.filter(F.regexp_extract_all(inner, F.lit(_TOKENS), F.lit(0)), lambda t: ~t.endswith(":"))
     words = F.regexp_extract_all(raw, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    free = F.concat(F.filter(words, lambda w: w.rlike(r"^\p{Nd}+$")), F.filter(words, lambda w: w.rlike("^[a-zA-Z]+$")))
-    items = F.when(value.isNotNull(), F.transform(tokens, _json_item)).otherwise(F.transform(free, text_item))
+    numbers = F.transform(F.filter(words, lambda w: w.rlike(r"^\p{Nd}+$")), text_item)
+    items = F.when(value.isNotNull(), F.transform(tokens, _json_item)).otherwise(F.concat(numbers, F.filter(words, lambda w: w.rlike("^[a-zA-Z]+$"))))
     return F.when(raw.isNull(), "none").otherwise(F.lower(F.array_join(items, " ")))

@@ -309,7 +309,7 @@ def test_translation_steps(spark):
 
     first = translate.step(work, none, translate.table_prompt(F.col("lang_code")), answer)
     assert [r.table_id for r in first.collect()] == ["t"]
-    assert [(r.bleu_score, r.decision) for r in translate.quality(tables, first).collect()] == [(pytest.approx(translate.M.bleu_of(["a", "1", "2"], ["a", "1", "2"], 4)), "KEEP")]
+    assert [(r.bleu_score, r.decision) for r in translate.quality(tables, first).collect()] == [(pytest.approx(plain_bleu(["a", "1", "2"], ["a", "1", "2"], 4)), "KEEP")]
 
 
 def test_located_and_first_tables(spark):
