@@ -17,4 +17,4 @@ QUERIES = {
     "op12_repair": repair.op12_repair,
     "op13_quality": quality.op13_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL, "op11_centroids": centroids.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_suffix_dedup": substrings.OP8_SQL, "op11_centroids": centroids.OP11_SQL, "op12_repair": repair.OP12_SQL}

@@ -406,3 +406,55 @@ def op12_repair(spark, sf_dir: str) -> DataFrame:
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     none = F.col("audit").isNull()  # no row after the damage
     return every.select("conv_id", *(F.when(none, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """Turn by turn, with the cheapest (cost, audit) at each of the four states; crc32 from its polynomial."""
+
+    def way(state: str, cost: str, letters: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}'}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    drop = lambda s: way(s, str(DELETE), "D")
+    new = lambda s: f"CASE WHEN NOT gone THEN {way(s, f'{REROLE} + more', 'R')} END"
+    keep = lambda s, i: f"CASE WHEN NOT gone AND initial = '{i}' THEN {way(s, 'more', 'K')} END"
+    put = lambda s, n=1: way(s, str(INSERT * n), "I" * n)
+    white = r"\x20\x09-\x0D"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS n, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+named AS (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS n FROM conversations),
+hit AS (SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed, crc),
+damaged AS (
+  SELECT n, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY n, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^{white}])[{white}]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY n ORDER BY i) || initial AS pair FROM placed),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS more FROM judged),
+sums AS (
+  SELECT n, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY n),
+scan AS (
+  SELECT n, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR) AS s1, {{'c': {INSERT}::BIGINT, 'a': 'I'}} AS s2, {{'c': {2 * INSERT}::BIGINT, 'a': 'II'}} AS s3 FROM sums
+  UNION ALL
+  SELECT n, i, t0, t1, {least('t2', put('t0'), put('t1'), put('t3'))}, {least('t3', put('t2'), put('t0', 2), put('t1', 2))} FROM (
+    SELECT r.n, r.i, {drop('s0')} AS t0, {least(drop('s1'), keep('s0', 's'))} AS t1,
+      {least(drop('s2'), *(f(s) for s in ('s0', 's1', 's3') for f in (new, lambda s: keep(s, 'u'))))} AS t2, {least(drop('s3'), new('s2'), keep('s2', 'a'))} AS t3
+    FROM scan JOIN r ON r.n = scan.n AND r.i = scan.i + 1)),
+best AS (SELECT n, {least('s0', 's3')} AS b FROM scan JOIN sums USING (n) WHERE i = rows),
+letters AS (SELECT n, unnest(string_split(b.a, '')) AS x, generate_subscripts(string_split(b.a, ''), 1) AS p FROM best WHERE b.a <> ''),
+edits AS (SELECT *, sum((x <> 'I')::INT) OVER (PARTITION BY n ORDER BY p) AS i, sum((x <> 'D')::INT) OVER (PARTITION BY n ORDER BY p) AS k FROM letters),
+kept AS (
+  SELECT e.n, e.p, e.x, e.k, r.role, CASE WHEN e.x = 'I' THEN '' ELSE r.text END AS text, max((e.x = 'K' AND e.k = 1 AND r.initial = 's')::INT) OVER (PARTITION BY e.n) AS begins
+  FROM edits e LEFT JOIN r ON r.n = e.n AND r.i = e.i WHERE e.x <> 'D'),
+said AS (SELECT n, string_agg(CASE WHEN x = 'K' THEN role WHEN (k - begins) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS said FROM kept GROUP BY n)
+SELECT conv_id, {', '.join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM named LEFT JOIN sums USING (n) LEFT JOIN best USING (n) LEFT JOIN said USING (n)
+"""
+
+
+OP12_SQL = _sql()

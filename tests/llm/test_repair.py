@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from conftest import same_rows
 
 from tabweave.llm import repair
 
@@ -171,6 +172,10 @@ def test_empty_table(spark):
     assert repair.repair(none).count() == 0 and repair.repaired(none).count() == 0
 
 
+def test_query_equals_sql(spark, sf, duck):
+    same_rows(repair.op12_repair(spark, sf).toPandas(), duck.sql(repair.OP12_SQL).df())
+
+
 @pytest.mark.parametrize("at", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_query(spark, at):
     rows: dict = {}
