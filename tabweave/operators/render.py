@@ -38,6 +38,30 @@ def html(columns: Column, data: Column) -> Column:
     return F.concat(F.lit("<table><thead><tr>"), head, F.lit("</tr></thead><tbody>"), F.array_join(F.transform(data, row), ""), F.lit("</tbody></table>"))
 
 
+#: Looks of a table; a style is one of each: 5 x 4 x 3 = STYLES.
+FONTS = ["Arial, sans-serif", "Georgia, serif", "'Courier New', monospace", "Verdana, sans-serif", "'Times New Roman', serif"]
+#: Of the page, the header, and every other row.
+COLOURS = [("#ffffff", "#e8e8e8", "#f7f7f7"), ("#fffdf5", "#f3e2b3", "#fbf4dd"), ("#f5f9ff", "#b9d3f2", "#e3eefb"), ("#f7fff7", "#bfe3c0", "#e6f5e6")]
+LINES = ["td, th { border: 1px solid #888888; }", "td, th { border-bottom: 1px solid #bbbbbb; }", "table { border-top: 2px solid #222222; border-bottom: 2px solid #222222; }"]
+
+
+def _pick(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
+
+
+def style_sheet(style: Column) -> Column:
+    """The style sheet of a style: the number's rest by the fonts, then by the colours, then by the lines."""
+    font, colour, line = style, F.floor(style / len(FONTS)), F.floor(style / (len(FONTS) * len(COLOURS)))
+    page, head, row = (_pick([c[k] for c in COLOURS], colour) for k in range(3))
+    rules = [F.lit("body { background: "), page, F.lit("; font-family: "), _pick(FONTS, font), F.lit("; } table { border-collapse: collapse; } td, th { padding: 4px 8px; } th { background: "), head, F.lit("; } tr:nth-child(even) { background: "), row, F.lit("; } "), _pick(LINES, line)]
+    return F.concat(*rules)
+
+
+def page(columns: Column, data: Column, style: Column) -> Column:
+    """A whole page: the table in its style."""
+    return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><style>'), style_sheet(style), F.lit("</style></head><body>"), html(columns, data), F.lit("</body></html>"))
+
+
 def _draw(key: Column, name: str) -> Column:
     """A number from 0 to 1 that the key and the name decide."""
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{name}"))), 1, 12), 16, 10).cast("double") / float(16**12)

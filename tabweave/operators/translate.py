@@ -2,6 +2,7 @@
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..schema import REASONING, TABLE
+from ..sources.stores import scratch
 from . import worklists
 
 STEPS = ("translated", "refined", "returned")
@@ -109,6 +111,25 @@ def generated_questions(answers: DataFrame) -> DataFrame:
     return worklists.valid_questions(rows.select("question_id", "table_id", "pair.*"))
 
 
+def generate_questions(tables: DataFrame, client: Client, n: int = 10, tries: int = 3, at_once: int | None = None) -> DataFrame:
+    """Valid questions on (table_id, columns, data). Tables whose call fails, or whose answer holds none that can be read, are asked again, up to `tries` times in all; an empty list is an answer.
+
+    The answers of each try are kept in the shared folder, so none is asked for twice.
+    """
+    spark, left, rounds = tables.sparkSession, tables.select("table_id", "columns", "data"), []
+    for _ in range(tries):
+        path = scratch(spark, "questions")
+        worklists.by_client(left.select("table_id", question_prompt(n).alias("prompt")), "prompt", client, at_once=at_once).drop("prompt").write.parquet(path)
+        said = spark.read.parquet(path)
+        rounds.append(said)
+        empty = F.from_json(T.strip_fence(F.col("answer")), "array<string>")
+        done = said.where(F.size(empty) == 0).select("table_id").unionByName(generated_questions(said).select("table_id")).distinct()
+        left = left.join(done, "table_id", "left_anti")
+        if left.isEmpty():
+            break
+    return generated_questions(reduce(DataFrame.unionByName, rounds))
+
+
 def translated_questions(pairs: DataFrame, languages: list[str], client: Client) -> DataFrame:
     """Every question in every language: English passes through, and answers of type `value` stay as they are."""
     rows = worklists.by_language(pairs, languages)

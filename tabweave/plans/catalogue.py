@@ -102,17 +102,31 @@ def global_threshold_filter(spark, sf):
     return stats.with_threshold(_chars(spark, sf), overall=True).where("decision = 'kept'").select("table_id", "chars")
 
 
-_BLANK = "len(list_filter(flatten(data), lambda c: trim(c, ' ') = '' OR c = 'NaN')) > 0"
+# Cells are blanked by their hash, some as empty texts, some as NaN and some as nulls, so that some tables miss cells and others don't.
+_HOLES = "holes AS (SELECT table_id, list_transform(flatten(data), lambda c: CASE ('0x' || md5(c)[1:2])::INT WHEN 0 THEN '' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL WHEN 3 THEN '  ' ELSE c END) AS cells FROM tables)"
+_BLANK = "len(list_filter(cells, lambda c: c IS NULL OR trim(c, ' ') = '' OR c = 'NaN')) > 0"
 
 
-@query("missing_cell_tables", _with(A.TABLES_SQL) + f"SELECT table_id FROM tables WHERE {_BLANK}")
+def _holes(spark, sf):
+    by = lambda c: F.conv(F.substring(F.md5(c), 1, 2), 16, 10).cast("int")
+    blank = lambda c: F.when(by(c) == 0, "").when(by(c) == 1, "NaN").when(by(c) == 2, None).when(by(c) == 3, "  ").otherwise(c)
+    return A.tables(spark, sf).withColumn("data", F.transform("data", lambda r: F.transform(r, blank)))
+
+
+@query("missing_cell_tables", _with(A.TABLES_SQL, _HOLES) + f"SELECT table_id FROM holes WHERE {_BLANK}")
 def missing_cell_tables(spark, sf):
-    return collect.missing_tables(A.tables(spark, sf), blank=True).select("table_id")
+    return collect.missing_tables(_holes(spark, sf), blank=True).select("table_id")
 
 
-@query("complete_tables", _with(A.TABLES_SQL) + f"SELECT table_id FROM tables WHERE NOT {_BLANK}")
+@query("complete_tables", _with(A.TABLES_SQL, _HOLES) + f"SELECT table_id FROM holes WHERE NOT {_BLANK}")
 def complete_tables(spark, sf):
-    return collect.complete_tables(A.tables(spark, sf), blank=True).select("table_id")
+    return collect.complete_tables(_holes(spark, sf), blank=True).select("table_id")
+
+
+@query("missing_values_tables", _with(A.TABLES_SQL, _HOLES) + "SELECT table_id FROM holes WHERE len(list_filter(cells, lambda c: c IS NULL OR c = 'NaN')) > 0")
+def missing_values_tables(spark, sf):
+    """Nulls and NaN alone; empty texts are values."""
+    return collect.missing_tables(_holes(spark, sf)).select("table_id")
 
 
 # Metadata --------------------------------------------------------------------------------------------------------
@@ -190,13 +204,18 @@ def typed_cells(spark, sf):
 
 @query(
     "typed_table_score",
-    "SELECT o_orderkey::VARCHAR AS table_id, 6::BIGINT AS total_cells, 6::BIGINT AS cells_maintaining_meaning, round((100 + 90 + 100) * 2 / 100.0::DOUBLE / 6, 2) AS average_translatability FROM orders",
+    """SELECT o_orderkey::VARCHAR AS table_id, (CASE WHEN n > 1 THEN 4 * n ELSE 0 END)::BIGINT AS total_cells, (CASE WHEN n > 1 THEN (4 - gpt) * n ELSE 0 END)::BIGINT AS cells_maintaining_meaning, (CASE WHEN n > 1 THEN gpt * n ELSE 0 END)::BIGINT AS cells_losing_meaning,
+  CASE WHEN n > 1 THEN round(((100 + CASE WHEN gpt = 1 THEN 0 ELSE 90 END + 100 + CASE WHEN nested THEN 100 ELSE 90 END) * n) / 100.0::DOUBLE / (4 * n), 2) ELSE 0 END::DOUBLE AS average_translatability
+  FROM (SELECT *, 1 + o_custkey % 4 AS n, (o_orderkey % 5 = 0)::INT AS gpt, o_orderkey % 3 = 0 AS nested FROM orders)""",
 )
 def typed_table_score(spark, sf):
-    text = F.format_string('[[%s, "%s", 0.25], [%s, "%s", true]]', *(F.col(c).cast("string") for c in ("o_totalprice", "o_orderstatus") * 2))
-    data, kinds = C.typed(F.from_json(text, "array<array<variant>>"))
+    """One to four equal rows of a number, a text (some untranslatable), a truth, and a nested value or a text that looks like a number but for its sign."""
+    text = F.when(F.col("o_orderkey") % 5 == 0, "a GPT model").otherwise(F.col("o_orderstatus"))
+    last = F.when(F.col("o_orderkey") % 3 == 0, '{"a": [1]}').otherwise('"minus 1.5 by far"')
+    row = F.format_string('[%s, "%s", true, %s]', F.col("o_totalprice").cast("string"), text, last)
+    data, kinds = C.typed(F.from_json(F.concat(F.lit("["), F.array_join(F.array_repeat(row, (1 + F.col("o_custkey") % 4).cast("int")), ","), F.lit("]")), "array<array<variant>>"))
     tables = A.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("table_id"), F.lit("x").alias("category"), data.alias("data"), kinds.alias("kinds"))
-    return scoring.table_translatability(tables).select("table_id", "total_cells", "cells_maintaining_meaning", "average_translatability")
+    return scoring.table_translatability(tables).select("table_id", "total_cells", "cells_maintaining_meaning", "cells_losing_meaning", "average_translatability")
 
 
 def _analysis(spark, sf):
@@ -846,6 +865,26 @@ def html_render(spark, sf):
     return A.tables(spark, sf).select("table_id", render.html(F.col("columns"), F.col("data")).alias("html"))
 
 
+def _style_sql(style: str) -> str:
+    def pick(values, i: str) -> str:
+        return f"""[{', '.join("'" + v.replace("'", "''") + "'" for v in values)}][({i}) % {len(values)} + 1]"""
+
+    n, m = len(render.FONTS), len(render.COLOURS)
+    page, head, row = (pick([c[k] for c in render.COLOURS], f"{style} // {n}") for k in range(3))
+    return f"""'body {{ background: ' || {page} || '; font-family: ' || {pick(render.FONTS, style)} || '; }} table {{ border-collapse: collapse; }} td, th {{ padding: 4px 8px; }} th {{ background: ' || {head} || '; }} tr:nth-child(even) {{ background: ' || {row} || '; }} ' || {pick(render.LINES, f'{style} // {n * m}')}"""
+
+
+@query(
+    "html_pages",
+    SQL["html_render"].replace("AS html FROM tables", "AS html FROM tables), styled AS (SELECT table_id, html, floor(('0x' || substr(md5(table_id || '|style'), 1, 12))::BIGINT / 16::DOUBLE ** 12 * 60)::INT AS style FROM plain").replace("SELECT table_id, '<table>", ", plain AS (SELECT table_id, '<table>", 1)
+    + f""") SELECT table_id, style, '<!DOCTYPE html><html><head><meta charset="utf-8"><style>' || {_style_sql('style')} || '</style></head><body>' || html || '</body></html>' AS page FROM styled""",
+)
+def html_pages(spark, sf):
+    """Every table as a page in the style that its name draws."""
+    rows = A.tables(spark, sf).withColumn("style", render.style_of(F.col("table_id")))
+    return rows.select("table_id", "style", render.page(F.col("columns"), F.col("data"), F.col("style")).alias("page"))
+
+
 @query("render_worklist", f"SELECT *, floor(('0x' || substr(md5(table_id || '/' || image_filename || '|style'), 1, 12))::BIGINT / 16::DOUBLE ** 12 * {render.STYLES})::INT AS style FROM (SELECT doc_id::VARCHAR AS table_id, lang || '_' || k || '.jpg' AS image_filename FROM documents, (VALUES ('clean'), ('noise1'), ('noise2'), ('noise3')) AS v(k))")
 def render_worklist(spark, sf):
     return render.render_worklist(A.tables(spark, sf)).select("table_id", "image_filename", "style")

@@ -172,3 +172,11 @@ def append_lines(rows: DataFrame, path: str, flush: int = 100) -> None:
     """Results beside those that are there. What a writer has got it keeps; Spark may hold rows back for it, so answers that are dear are kept where they are made (`worklists.by_client`)."""
     rows.sparkSession.dataSource.register(ResultLines)
     rows.write.format("result_lines").mode("append").option("path", path).option("flush", flush).save()
+
+
+def write_text(path: str, text: str) -> None:
+    """A single small file, from the driver."""
+    root, name = path.rsplit("/", 1)
+    folder = _Folder(root)
+    folder.make("")
+    folder.write(name, text)

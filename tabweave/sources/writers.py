@@ -1,8 +1,12 @@
 """Writers. Nothing is ever deleted or changed in place: what is kept is written to another folder."""
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import append_lines, write_text
+
 
 def tables(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
     """Table documents as JSON lines, by source if there is one. Returns how many there are by source; a dry run counts and writes nothing."""
@@ -43,3 +47,22 @@ def append_results(df: DataFrame, path: str) -> None:
 def result_path(root: str, model: str, language: str, now) -> str:
     """Folder of a run, by model, language and time (a datetime)."""
     return f"{root}/{model.replace('/', '_')}_{language}_{now:%Y%m%d_%H%M%S}"
+
+
+def evaluation(scored: DataFrame, counters: DataFrame, overall: DataFrame, per_language: DataFrame, folder: str, dataset_file: str, response_file: str, model: str | None = None) -> None:
+    """The pair of results of a run: metrics_<response file>, a folder of JSON lines with a row for each scored response, and summary_<its stem>.json.
+
+    counters, overall: a row each; per_language: a row for each language. Only these come to the driver.
+    """
+    append_lines(scored, f"{folder}/metrics_{response_file}")
+    seen, means = counters.first().asDict(), overall.first().asDict()
+    languages = {r["language"]: {k: v for k, v in r.asDict().items() if k != "language"} for r in per_language.orderBy("language").collect()}
+    summary = {
+        "metadata": {"model_name": model or "unknown_model", "dataset_file": dataset_file, "response_file": response_file, "total_samples": seen["processed"]},
+        "overall_metrics": {
+            **{k: means[k] for k in ("exact_match", "f1_score", "bleu_score")}, "processed_samples": seen["processed"], "skipped_samples": seen["skipped"], "no_match_samples": seen["no_match"],
+            "parse_errors": seen["parse_error"], "cuda_errors": seen["cuda_errors"], "table_errors": seen["table_errors"], "total_responses": seen["total_responses"],
+        },
+        "per_language_metrics": languages,
+    }
+    write_text(f"{folder}/summary_{response_file.rsplit('.', 1)[0]}.json", json.dumps(summary, indent=2, ensure_ascii=False))

@@ -14,6 +14,7 @@ from tabweave.functions import cells as C
 from tabweave.functions import metrics as M
 from tabweave.functions import text as T
 from tabweave.operators import collect, evaluate, scoring, stats, translate, worklists
+from tabweave.schema import QUESTION_TYPES, REASONING
 from tabweave.sources import readers, search, writers
 from tabweave.streaming import incremental
 
@@ -299,6 +300,39 @@ def test_terms_and_questions(spark):
     assert out["en"].question == "q" and out["fr"].question == "Translate to fr: q" and out["fr"].answer == [["1"]]
 
 
+def test_questions_are_asked_for_again(spark, tmp_path):
+    """A failed call, an unreadable answer and one without a valid question are tried again, three times at most; an empty list isn't."""
+    tables = spark.createDataFrame([(t, [t], [["1"]]) for t in "abcd"], "table_id string, columns array<string>, data array<array<string>>")
+    good = json.dumps([{"question": "q?", "answer": [["1"]], "evidence_cells": ["A2"], "question_type": QUESTION_TYPES[0], "reasoning_category": REASONING[0]}])
+
+    def client():
+        def call(prompt):
+            name = json.loads(prompt.split("\n", 1)[1])["columns"][0]
+            with open(f"{tmp_path}/{name}", "a") as f:
+                f.write("x")
+            n = (tmp_path / name).stat().st_size
+            if name == "a" and n < 3:
+                raise ConnectionError
+            return {"a": good, "b": "no JSON" if n < 2 else f"```json\n{good}\n```", "c": "[]", "d": json.dumps([{"question": "no answer"}])}[name]
+
+        return call
+
+    got = translate.generate_questions(tables, client, at_once=1).collect()
+    assert sorted(r.question_id for r in got) == ["a_001", "b_001"]
+    assert {p.name: p.stat().st_size for p in tmp_path.iterdir() if len(p.name) == 1} == {"a": 3, "b": 2, "c": 1, "d": 3}
+
+
+def test_evaluation_files(spark, tmp_path):
+    tagged = spark.createDataFrame([("q1", "en", "[[5]]", "[[5]]", "processed", "m"), ("q2", "fr", "a b", "a c", "processed", "m"), ("q3", "fr", "CUDA out of memory", "x", "skipped", "m")], "question_id string, language string, model_response string, golden_answer string, outcome string, model_name string")
+    scored = evaluate.score(tagged)
+    writers.evaluation(scored, evaluate.counters(tagged), evaluate.overall(scored), evaluate.per_language(scored), str(tmp_path), "data.jsonl", "out.jsonl", "m")
+    about = json.loads((tmp_path / "summary_out.json").read_text())
+    assert about["metadata"] == {"model_name": "m", "dataset_file": "data.jsonl", "response_file": "out.jsonl", "total_samples": 2}
+    assert about["overall_metrics"]["exact_match"] == 0.5 and about["overall_metrics"]["cuda_errors"] == 1 and list(about["per_language_metrics"]) == ["en", "fr"]
+    lines = [json.loads(x) for p in (tmp_path / "metrics_out.jsonl").glob("*.json") if p.name[0] != "_" for x in p.read_text().splitlines()]
+    assert sorted((x["question_id"], x["f1_score"]) for x in lines) == [("q1", 1.0), ("q2", 0.5)]
+
+
 def test_translation_steps(spark):
     tables = spark.createDataFrame([("t", ["a"], [["1"], ["2"]]), ("u", ["b"], [["3"], [None]])], "table_id string, columns array<string>, data array<array<string>>")
     work = worklists.by_language(tables, ["fr"])
