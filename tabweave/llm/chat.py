@@ -187,7 +187,8 @@ def recover(steps: DataFrame, model: dict, id_col: str = "conv_id", step: str =
     """(conv_id, turn, role, content, rendered): every step with its recovered role, its text without the marker, and in canonical form.
 
     One row for each given. Steps are taken by number, then text; rows that repeat conversation, number and text are one step,
-    whose role each of them gets; null numbers count as 0, null texts as empty, null conversations as one of their own.
+    whose role each of them gets; null numbers count as 0, null texts as empty, null conversations as one of their own. An empty
+    table gives no row; other columns are not looked at.
     """
     kind = dict(steps.dtypes)[id_col]
     rows = steps.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col(step), F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -139,7 +139,8 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
 
     tokenizer: path of a ranks file; special: strings that are one token each, by default those that the same vocabulary's
     tokenizer file adds. A null text is an empty one: its single token is the end, 0. Rows that repeat an id
-    are packed each for itself; a null id stays null. An empty table gives no piece.
+    are packed each for itself; a null id stays null. An empty table gives no piece; other columns are not looked at. A
+    text's ids are held at once in a task.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     special = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if special is None else special

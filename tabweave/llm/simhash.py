@@ -55,7 +55,10 @@ def _fold_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row. A null text, or one without words, has fingerprint zero."""
+    """(doc_id, fp long) for every row. A null text, or one without words, has fingerprint zero.
+
+    Other columns are not looked at; an empty table gives no row. A text is handled alone from 2 MB on, so a worker holds one long one at a time.
+    """
 
     def run(batches):
         for batch in batches:

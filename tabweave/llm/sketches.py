@@ -154,7 +154,8 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     """(doc_id, text, edited, next_digests): every text, itself with its last half replaced by the next document's beginning, and that one's paragraphs.
 
     Null texts are empty. Rows that repeat both id and text take one place in the order; of rows that share only the id,
-    the texts' hashes decide. A null id comes last. A single document is its own next.
+    the texts' hashes decide. A null id comes last. A single document is its own next. An empty table gives no row; other columns
+    are not looked at.
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
     key = ["id", "no_id", "h"]  # plain columns, so that both joins and the window share one partitioning of the texts

@@ -251,7 +251,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): each text's bytes without those that a repeated 200-byte string covers.
 
     kept: binary, as cuts may part the bytes of a character; spans: start and end of the maximal removed runs. A null text
-    is an empty one; texts under 200 bytes stay whole. Repeated rows are texts of their own, so each is removed in full.
+    is an empty one; texts under 200 bytes stay whole. Repeated rows are texts of their own, so each is removed in full. An
+    empty table gives no row; other columns are not looked at. A text takes some 93 bytes of a worker's memory for each of its bytes.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -346,7 +346,7 @@ def _apply(model: dict, texts: pa.Array):
 
 
 def tag(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, score, spans) of every row; spans: offsets in code points of tokens that are toxic rather than not.
+    """(doc_id, score, spans) of every row; spans: offsets in code points of tokens that are toxic rather than not. An empty table gives no row; other columns are not looked at.
 
     A null text is scored as an empty one.
     """

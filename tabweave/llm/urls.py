@@ -113,7 +113,10 @@ def _rule(host: Column, path: Column, rules, value) -> Column:
 
 
 def judge(pages: DataFrame, model: PipelineModel, url: str = "url", id_col: str = "page_id", rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, p_unwanted) for every row. A null or malformed url has an empty host and path and is judged by the intercept."""
+    """(page_id, host, path, rule, verdict, p_unwanted) for every row. A null or malformed url has an empty host and path and is judged by the intercept.
+
+    Rows that repeat are judged each, an empty table gives no row, and other columns are not looked at; a long url is judged by all its n-grams.
+    """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = model.transform(rows.withColumn("grams", _grams(F.col("host"), F.col("path"))))
