@@ -267,11 +267,16 @@ def html_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     return spark.sql(f"SELECT {', '.join(f'p.`{c}`' for c in rest)}, t.* FROM {{pages}} p, LATERAL tabweave_html_tables(p.`{html}`) t", pages=some)
 
 
+def stands_above(block: Column | dict[str, Column], x1: Column, y1: Column) -> Column:
+    """Whether a text block (x1, y1, y2, text) ends above a table's upper left corner, begins within 100 points of it and 50 of its left edge, and speaks of a table."""
+    return (block["y2"] <= y1) & (block["y1"] >= y1 - 100) & (F.abs(block["x1"] - x1) < 50) & F.lower(F.substring(block["text"], 1, 20)).rlike(r"table|tab\.|tab:")
+
+
 def captions(tables: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The first text block of the page that ends above a table, begins within 100 points of it and 50 of its left edge, and speaks of a table.
+    """The first text block of the page that is above a table.
 
     An equality join on the page; the ranges are tested on its few blocks.
     """
-    near = (F.col("b.y2") <= F.col("t.y1")) & (F.col("b.y1") >= F.col("t.y1") - 100) & (F.abs(F.col("b.x1") - F.col("t.x1")) < 50) & F.lower(F.substring("b.text", 1, 20)).rlike(r"table|tab\.|tab:")
+    near = stands_above({c: F.col(f"b.{c}") for c in ("x1", "y1", "y2", "text")}, F.col("t.x1"), F.col("t.y1"))
     joined = tables.alias("t").join(blocks.alias("b"), (F.col("t.page") == F.col("b.page")) & near)
     return joined.groupBy(F.col("t.page").alias("page"), F.col("t.table_no").alias("table_no")).agg(F.min_by("b.text", "b.block").alias("caption"))

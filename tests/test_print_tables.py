@@ -65,3 +65,20 @@ def test_random_grids(spark):
 def test_a_page_is_shuffled_once(spark):
     plan = print_tables.grid_tables(spark.createDataFrame(line(1, (1, "a")), WORDS), ["paper", "page"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(paper") == 1 and "Join" not in plan
+
+
+def test_tasks_grow_with_the_words(spark, monkeypatch):
+    """A task has some TASK_WORDS words at most, and captions don't compute the tables again."""
+    monkeypatch.setattr(print_tables, "TASK_WORDS", 2)
+    words = spark.range(40).selectExpr("id AS page", "0D AS x1", "0D AS y1", "9D AS x2", "9D AS y2", "'a' AS text")
+    assert print_tables.spread(words, ["page"]).rdd.getNumPartitions() == 20
+    blocks = spark.createDataFrame([], "page long, block int, x1 double, y1 double, x2 double, y2 double, text string")
+    plan = print_tables.captioned(print_tables.grid_tables(words), blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count(" Sort ") < 12
+
+
+def test_first_block_above_is_the_caption(spark):
+    tables = spark.createDataFrame([(1, 0, 50.0, 100.0), (2, 0, 50.0, 100.0), (3, 0, 50.0, 100.0)], "page int, table_no int, x1 double, y1 double")
+    blocks = [(1, 2, 50.0, 80.0, 90.0, 90.0, "Table 2"), (1, 1, 50.0, 60.0, 90.0, 70.0, "Table 1"), (1, 0, 50.0, 95.0, 90.0, 120.0, "Table 0"), (2, 0, 300.0, 80.0, 390.0, 90.0, "Table 3"), (2, None, 50.0, 80.0, 90.0, 90.0, "Table 4")]
+    out = print_tables.captioned(tables, spark.createDataFrame(blocks, "page int, block int, x1 double, y1 double, x2 double, y2 double, text string"))
+    assert {r.page: r.caption for r in out.collect()} == {1: "Table 1", 2: "", 3: ""}
