@@ -82,3 +82,15 @@ def test_many_terms_take_little_more_time(spark):
     plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
     assert out.where("found.hit IS NULL").count() == 1000
+
+
+def test_a_batch_is_scanned_in_parts(monkeypatch):
+    """What a scan holds follows a part of the batch; the parts give what the whole gives."""
+    r = random.Random(5)
+    texts = pa.array([None if r.random() < 0.1 else "".join(r.choices(["gpt", "é", "sin", "/", "1.5", "İ", "layer ", "x"], k=r.randrange(30))) for _ in range(300)] + ["y" * 500])
+    some = E.Dictionary(["gpt", "layer", "é"])
+    whole, seen, scan = some.scan(texts), [], E.Dictionary._scan
+    monkeypatch.setattr(E, "MOST_SCANNED", 100)
+    monkeypatch.setattr(E.Dictionary, "_scan", lambda self, part: seen.append([len((t or "").encode()) for t in part.to_pylist()]) or scan(self, part))
+    assert some.scan(texts) == whole and len(some.scan(texts.slice(0, 0))) == 0
+    assert len(seen) > 50 and max(sum(x[:-1]) for x in seen) <= 200
