@@ -1,12 +1,16 @@
 """Collection: gates, copies, statistics, CSV and HTML tables, captions, metadata."""
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..functions import cells as C
+from ..functions.batches import parts
 from ..sources.stores import KeyStore
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -198,13 +202,43 @@ class _Element:
         return out
 
 
+#: A tag as pages mostly have it, with the text after it; and its attributes. The parser reads a page that holds anything else, or one of the elements whose text isn't markup.
+_TAG = re.compile(r"""<(?:([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][a-zA-Z0-9-]*(?:=(?:"[^"]*"|'[^']*'|[a-zA-Z0-9]+))?)*)\s*|/([a-zA-Z][a-zA-Z0-9]*))>([^<]*)""")
+_ATTRIBUTE = re.compile(r"""\s+([a-zA-Z][a-zA-Z0-9-]*)(?:=(?:"([^"]*)"|'([^']*)'|([a-zA-Z0-9]+)))?""")
+_OTHER_TEXT = {"script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title", "plaintext", "noscript"}
+
+
 class _Page(HTMLParser):
     """A page's elements, and its tables in order."""
 
     def __init__(self, html: str):
-        super().__init__()
         self.at, self.tables = _Element("", [], None), []
-        self.feed(html)
+        if not self.plain(html):
+            super().__init__()
+            self.feed(html)
+
+    def plain(self, html: str) -> bool:
+        """Reads a page of nothing but tags and texts; of others nothing is read."""
+        begin = html.find("<")
+        if begin < 0 or "&" in html[html.rfind(">") :]:
+            return False
+        tags, at = [], begin
+        while at < len(html):
+            if (tag := _TAG.match(html, at)) is None or (tag[1] or "").lower() in _OTHER_TEXT:
+                return False
+            tags.append(tag.groups())
+            at = tag.end()
+        if begin:
+            self.handle_data(unescape(html[:begin]))
+        for name, attributes, ending, text in tags:
+            if ending is not None:
+                self.handle_endtag(ending.lower())
+            else:
+                found = [(a.lower(), unescape(b or c or d)) for a, b, c, d in _ATTRIBUTE.findall(attributes)] if "class" in attributes.lower() else ()
+                self.handle_starttag(name.lower(), found)
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return True
 
     def handle_starttag(self, tag, attrs):
         new = _Element(tag, (dict(attrs).get("class") or "").split(), self.at)
@@ -247,24 +281,28 @@ def _grid(table: _Element) -> tuple[list, list]:
     return [str(i) for i in range(max(map(len, data), default=0))], data
 
 
-@udtf(returnType="table_no int, caption string, columns array<string>, data array<array<string>>", useArrow=True)
-class HtmlTables:
-    """One row for each table of a page that has data."""
+_TABLES = pa.list_(pa.struct([("table_no", pa.int32()), ("caption", pa.string()), ("columns", pa.list_(pa.string())), ("data", pa.list_(pa.list_(pa.string())))]))
+#: Bytes of pages whose elements are held at once, unless a page has more.
+MOST_HELD = 1 << 22
+
+
+def _tables(html: str) -> list[dict]:
+    """The tables of a page that have data."""
+    grids = [(i, table, *_grid(table)) for i, table in enumerate(_Page(html or "").tables)]
+    return [{"table_no": i, "caption": _caption(table), "columns": columns, "data": data} for i, table, columns, data in grids if data]
+
 
-    def eval(self, html: str):
-        for i, table in enumerate(_Page(html or "").tables):
-            columns, data = _grid(table)
-            if data:
-                yield i, _caption(table), columns, data
+def _page_tables(pages: pa.Array) -> pa.Array:
+    sizes = pa.compute.binary_length(pages).fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([pa.array([_tables(x) if x else [] for x in pages.slice(i, j - i).to_pylist()], _TABLES) for i, j in parts(sizes, MOST_HELD)])
 
 
 def html_tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages that hold a table element, with the tables; others never reach Python."""
-    spark = pages.sparkSession
-    spark.udtf.register("tabweave_html_tables", HtmlTables)
+    """Pages that hold a table element, with the tables; the text of others never reaches Python."""
     rest = [c for c in pages.columns if c != html]
-    some = pages.where(F.lower(html).contains("<table"))
-    return spark.sql(f"SELECT {', '.join(f'p.`{c}`' for c in rest)}, t.* FROM {{pages}} p, LATERAL tabweave_html_tables(p.`{html}`) t", pages=some)
+    tables = F.arrow_udf(_page_tables, "array<struct<table_no:int,caption:string,columns:array<string>,data:array<array<string>>>>")
+    some = F.when(F.lower(html).contains("<table"), F.col(html))  # no filter, as one would go to where the pages are made
+    return pages.select(*rest, tables(some).alias("_tables")).select(*rest, F.inline_outer("_tables")).where("table_no IS NOT NULL")  # an outer one, as Spark would test the array of an inner one first, which computes it again
 
 
 def stands_above(block: Column | dict[str, Column], x1: Column, y1: Column) -> Column:
