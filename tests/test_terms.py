@@ -1,5 +1,6 @@
 """A dictionary's terms in texts: the scan against plain string tests, and the join against the scan."""
 
+import pickle
 import random
 import re
 
@@ -11,6 +12,7 @@ from tabweave.functions import cells as C
 from tabweave.functions import terms as E
 from tabweave.functions import text as T
 from tabweave.operators import scoring
+from tabweave.plans import catalogue
 
 TEXTS = ["", None, "3.14 and 2..5, 1.2.3.4.5", "a+b = c^2", "Sin(x) cosine LOG maximum", "path/to/file_1.2.csv", "Neural Network layers", "İstanbul sin ΣΑΣ", "٣٫١ ١.٢.٣ ４２", "a/b/", "≤≥·Δ", "x" * 3000 + "gpt" + "/" + "9." * 50, "mincostmin min", "😀 token 😀/1 token"]
 
@@ -94,3 +96,31 @@ def test_a_batch_is_scanned_in_parts(monkeypatch):
     monkeypatch.setattr(E.Dictionary, "_scan", lambda self, part: seen.append([len((t or "").encode()) for t in part.to_pylist()]) or scan(self, part))
     assert some.scan(texts) == whole and len(some.scan(texts.slice(0, 0))) == 0
     assert len(seen) > 50 and max(sum(x[:-1]) for x in seen) <= 200
+
+
+def test_a_dictionary_takes_little_memory():
+    """A worker holds its terms and some bytes for each, not a tree of their characters; what goes to workers is the same arrays."""
+    r = random.Random(2)
+    terms = {"".join(r.choices("abcdefghijklmnop", k=r.randrange(6, 30))) for _ in range(50_000)}
+    some = E.Dictionary(terms).terms
+    held = [some.data, some.start, some.begun, *(x for head in some.heads.values() for x in head)]
+    assert sum(x.nbytes for x in held) < sum(map(len, terms)) + 100 * len(terms)
+    assert len(some) == sum(not any(t[:n] in terms for n in range(1, len(t))) for t in terms)  # none that begins with another
+    assert len(pickle.dumps(some)) < sum(map(len, terms)) + 100 * len(terms)
+
+
+def test_least_terms_of_shared_beginnings(monkeypatch):
+    """Terms that begin with others, share eight bytes or more, or lie across the places looked up at once."""
+    r = random.Random(3)
+    for letters in ("ab", "aé😀", "xyz "):
+        word = lambda n: "".join(r.choice(letters) for _ in range(n))  # noqa: B023, E731
+        for most in (7, 64, 1 << 18):
+            monkeypatch.setattr(E, "MOST_SCANNED", most)
+            terms = [r.choice(["", "aaaaaaaa", "ab" * 9]) + word(r.randrange(1, 30)) for _ in range(200)]
+            texts = [word(r.randrange(80)) + r.choice(terms)[: r.randrange(40)] + word(3) for _ in range(60)]
+            assert E.Dictionary(terms).scan(pa.array(texts, pa.string())).field("hit").to_pylist() == [min((t for t in terms if t in x), default=None) for x in texts]
+
+
+def test_learnt_scores_scan_once(spark, sf):
+    """The filter on the number of cells needs no scan, so each task has one Python worker."""
+    assert catalogue.QUERIES["learnt_term_scores"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
