@@ -162,10 +162,10 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text"):
-    """Slices of a batch that hold about PIECE_BYTES of text."""
+def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES):
+    """Slices of a batch that hold about so many bytes of text."""
     sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(sizes) // PIECE_BYTES
+    group = np.cumsum(sizes) // size
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
         if b > a:
